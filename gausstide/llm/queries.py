@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from gausstide.llm import line_dedup
+from gausstide.llm import decontaminate, line_dedup, mixture, ngram_join, order_minhash, sharding, toxicity
 
 MODULES = {
+    "op1_toxicity": toxicity,
+    "op2_decontamination": decontaminate,
+    "op3_order_minhash": order_minhash,
+    "op4_sharding": sharding,
     "op6_line_dedup": line_dedup,
+    "op7_ngram_jaccard_join": ngram_join,
+    "op9_mixture": mixture,
 }
 
 
