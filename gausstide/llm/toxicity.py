@@ -26,7 +26,9 @@ from gausstide.llm.common import table
 #: Labelled documents that the model is fitted on at most, those with the least hashes of their ids.
 FIT_DOCUMENTS = 20_000
 MAX_TERMS = 300
+#: A term's share of toxic documents over its share of others, and the least evidence for it (natural logarithm of the odds against chance).
 MIN_RATIO = 25.0
+MIN_SURPRISE = 14.0
 WINDOW = 40
 QUOTE_DISCOUNT = 0.35
 #: Words that announce someone else's speech.
@@ -154,7 +156,14 @@ def _counted(keep: frozenset | None, label: int):
 def choose_terms(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> list[str]:
     """Terms far likelier in toxic documents. Of a word and its prefixes: the longest that covers 95% of the documents of the shortest good one, whole words before stems."""
     ratio = lambda t: ((pos[t] + 0.5) / (n_pos + 1)) / ((neg.get(t, 0) + 0.5) / (n_neg + 1))
-    good = {t for t in pos if ratio(t) >= MIN_RATIO and pos[t] > 8 * neg.get(t, 0)}
+    prior = max(n_pos, 1) / max(n_pos + n_neg, 1)
+
+    def surprise(t):
+        """How far the share of toxic documents among those with the term is from chance: documents times relative entropy."""
+        k, n = pos[t], pos[t] + neg.get(t, 0)
+        return k * math.log(k / n / prior) + (n - k) * math.log(max((n - k) / n / max(1 - prior, 1e-9), 1e-300)) * (n > k)
+
+    good = {t for t in pos if ratio(t) >= MIN_RATIO and pos[t] > 3 * neg.get(t, 0) and surprise(t) >= MIN_SURPRISE}
     chosen: list[str] = []
     for t in sorted(good, key=lambda t: (-pos[t], len(t), t)):
         bare = t.rstrip("*")
