@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from gausstide.llm import decontaminate, line_dedup, mixture, ngram_join, order_minhash, sharding, toxicity
+import corpus_pipeline
+
+from gausstide.llm import decontaminate, licences, line_dedup, mixture, ngram_join, order_minhash, sharding, token_counts, toxicity, url_filter
 
 MODULES = {
     "op1_toxicity": toxicity,
     "op2_decontamination": decontaminate,
     "op3_order_minhash": order_minhash,
     "op4_sharding": sharding,
+    "op5_url_filter": url_filter,
     "op6_line_dedup": line_dedup,
     "op7_ngram_jaccard_join": ngram_join,
+    "op8_token_counts": token_counts,
     "op9_mixture": mixture,
+    "op10_licences": licences,
 }
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in MODULES.items()}
+    return {name: module.query for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

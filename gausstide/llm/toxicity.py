@@ -154,25 +154,32 @@ def _counted(keep: frozenset | None, label: int):
 
 
 def choose_terms(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> list[str]:
-    """Terms far likelier in toxic documents. Of a word and its prefixes: the longest that covers 95% of the documents of the shortest good one, whole words before stems."""
-    ratio = lambda t: ((pos[t] + 0.5) / (n_pos + 1)) / ((neg.get(t, 0) + 0.5) / (n_neg + 1))
+    """Terms far likelier in toxic documents, those with most evidence first; of equal evidence whole words, then the longest.
+
+    A term that a chosen stem covers is skipped, and so is a stem whose evidence is that of chosen longer terms.
+    """
     prior = max(n_pos, 1) / max(n_pos + n_neg, 1)
 
-    def surprise(t):
-        """How far the share of toxic documents among those with the term is from chance: documents times relative entropy."""
-        k, n = pos[t], pos[t] + neg.get(t, 0)
-        return k * math.log(k / n / prior) + (n - k) * math.log(max((n - k) / n / max(1 - prior, 1e-9), 1e-300)) * (n > k)
+    def surprise(k: int, miss: int) -> float:
+        """How far the share of toxic documents among those with a term is from chance: documents times relative entropy."""
+        n = k + miss
+        if k <= n * prior:
+            return 0.0
+        return k * math.log(k / n / prior) + (miss * math.log(miss / n / (1 - prior)) if miss else 0.0)
 
-    good = {t for t in pos if ratio(t) >= MIN_RATIO and pos[t] > 3 * neg.get(t, 0) and surprise(t) >= MIN_SURPRISE}
+    def good(k: int, miss: int) -> bool:
+        return k > 3 * miss and (k + 0.5) / (n_pos + 1) >= MIN_RATIO * (miss + 0.5) / (n_neg + 1) and surprise(k, miss) >= MIN_SURPRISE
+
+    order = sorted((t for t in pos if good(pos[t], neg.get(t, 0))), key=lambda t: (-round(surprise(pos[t], neg.get(t, 0)), 3), t.endswith("*"), -len(t), t))
     chosen: list[str] = []
-    for t in sorted(good, key=lambda t: (-pos[t], len(t), t)):
+    for t in order:
         bare = t.rstrip("*")
-        if any(c.endswith("*") and bare.startswith(c[:-1]) for c in chosen) or bare in chosen:
+        if any(c == bare or c.endswith("*") and bare.startswith(c[:-1]) for c in chosen):
+            continue
+        inside = [c for c in chosen if t.endswith("*") and c.startswith(bare)]
+        if inside and not good(pos[t] - sum(pos[c] for c in inside), neg.get(t, 0)):
             continue
-        family = [u for u in good if u.rstrip("*").startswith(bare) and pos[u] >= 0.95 * pos[t] and (u.endswith("*") or len(u) >= len(bare))]
-        best = max(family, key=lambda u: (not u.endswith("*"), len(u), u))
-        if best not in chosen:
-            chosen = [c for c in chosen if not (best.endswith("*") and c.rstrip("*").startswith(best[:-1]))] + [best]
+        chosen.append(t)
         if len(chosen) >= MAX_TERMS:
             break
     return chosen
