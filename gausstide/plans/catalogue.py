@@ -1,15 +1,659 @@
-"""Query catalogue of the distributional time-series engine."""
+"""Query catalogue of the distributional time-series engine: a Spark query per operator, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from gausstide.functions import closed_forms as cf
+from gausstide.functions import linalg as la
+from gausstide.operators import autoregression as ar
+from gausstide.operators import charts, evaluation, grid, inference, references, simulation, splits, states
+from gausstide.plans import views as v
+from gausstide.plans.views import sql
+
+_QUERIES: dict = {}
+_SQL: dict = {}
+HORIZONS = [3, 4, 5]
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _SQL[f.__name__] = oracle
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+def _r(c, digits: int = 8):
+    """Rounded, without a negative zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def _at(c: str, i: int):
+    return F.get(F.col(c), F.lit(i))
+
+
+# ---- grids and cleaning
+
+
+@query("select date_trunc('hour', ts::timestamp) as ts, event_type as k, count(*)::bigint as n from events where ts is not null and event_type is not null group by all")
+def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.events_hourly(spark, sf_dir)
+
+
+@query(sql("select i, k, c from e", "e"))
+def hourly_grid_filled(spark, sf_dir):
+    return v.E(spark, sf_dir)
+
+
+_SCORES = """sc as (select k, avg((c > 0)::int) as nonzero, stddev_pop(c) as spread from l where i < 264 group by k),
+ rk as (select *, nonzero * spread as score, row_number() over (order by round(nonzero * spread, 9) desc, k desc) as rank from sc)"""
+
+
+@query(sql(f"select k, round(nonzero, 8) as nonzero, round(spread, 8) as spread, round(score, 8) as score, rank::int as rank from ({'with ' + _SCORES} select * from rk)", "l"))
+def key_scores(spark, sf_dir):
+    return grid.key_scores(v.L(spark, sf_dir), 264).select("k", _r("nonzero").alias("nonzero"), _r("spread").alias("spread"), _r("score").alias("score"), "rank")
+
+
+@query(sql(f"select k, rank::int as rank, sum(c) as total from (with {_SCORES} select l.k, rank, c from l join rk using (k) where rank <= 10) group by all", "l"))
+def top_n_keys(spark, sf_dir):
+    return grid.top_keys(v.L(spark, sf_dir), 264, 10).groupBy("k", "rank").agg(F.sum("c").alias("total"))
+
+
+_PROFILE = "pr as (select k, avg(c) as center, case when stddev_pop(c) >= 1e-8 then stddev_pop(c) else 1 end as scale from e where i < 264 group by k)"
+
+
+@query(sql(f"select k, round(center, 8) as center, round(scale, 8) as scale from (with {_PROFILE} select * from pr)", "e"))
+def fit_profile(spark, sf_dir):
+    return grid.fit_profile(v.E(spark, sf_dir), 264).select("k", _r("center").alias("center"), _r("scale").alias("scale"))
+
+
+@query(sql(f"select i, k, round(c, 8) + 0.0::double as c from (with {_PROFILE} select i, k, (c - center) / scale as c from e join pr using (k))", "e"))
+def standardized_stream(spark, sf_dir):
+    e = v.E(spark, sf_dir)
+    return grid.standardised(e, grid.fit_profile(e, 264)).withColumn("c", _r("c"))
+
+
+@query(sql("select i, k, round(c, 8) + 0.0::double as c from e", "e"))
+def destandardized_stream(spark, sf_dir):
+    e = v.E(spark, sf_dir)
+    p = grid.fit_profile(e, 264)
+    return grid.destandardised(grid.standardised(e, p), p).withColumn("c", _r("c"))
+
+
+@query(
+    sql(
+        """select i, k, round((x - m2) / s2, 8) + 0.0::double as c from (select f.*, avg(case when i < 432 then x end) over (partition by k) as m2, stddev_samp(case when i < 432 then x end) over (partition by k) as s2
+ from (select i, k, coalesce(case when c > 0 then c end, med) as x from e join (select k, median(c) as med from e where i < 432 and c > 0 group by k) using (k)) f)""",
+        "e",
+    )
+)
+def median_imputed_stream(spark, sf_dir):
+    return grid.median_imputed(v.E(spark, sf_dir), 432).withColumn("c", _r("c"))
+
+
+@query(
+    sql(
+        """select i, k, round(case when c is not null then c when p is null then qc when q is null then pc else pc + (qc - pc) * (i - p) / (q - p) end, 8) + 0.0::double as c from (
+ select i, k, case when i % 7 <> 3 then c end as c, i - 1 as p0,
+  max(case when i % 7 <> 3 then i end) over (partition by k order by i rows between unbounded preceding and current row) as p,
+  min(case when i % 7 <> 3 then i end) over (partition by k order by i rows between current row and unbounded following) as q,
+  case when i % 7 = 3 then lag(c) over (partition by k order by i) else c end as pc, case when i % 7 = 3 then lead(c) over (partition by k order by i) else c end as qc from e)""",
+        "e",
+    )
+)
+def interpolated_series(spark, sf_dir):
+    gaps = v.E(spark, sf_dir).withColumn("c", F.when(F.col("i") % 7 != 3, F.col("c")))
+    return grid.interpolated(gaps).withColumn("c", _r("c"))
+
+
+@query(sql("select k, round(avg((c > 0)::int), 8) as coverage from e group by k", "e"))
+def key_coverage(spark, sf_dir):
+    return grid.coverage(v.E(spark, sf_dir)).select("k", _r("coverage").alias("coverage"))
+
+
+# ---- states
+
+
+@query(sql("select t, unnest([0, 1])::int as j, round(unnest([mx, my]), 8) as value from s2", "e", "s2"))
+def hopping_means(spark, sf_dir):
+    means, _ = states.tidy(v.S2(spark, sf_dir))
+    return means.select("t", F.col("i").alias("j"), _r("value").alias("value"))
+
+
+@query(sql("select t, unnest([0, 0, 1])::int as i, unnest([0, 1, 1])::int as j, round(unnest([a, b, d]), 8) + 0.0::double as value from s2", "e", "s2"))
+def hopping_covariances(spark, sf_dir):
+    _, cells = states.tidy(v.S2(spark, sf_dir))
+    return cells.select("t", "i", "j", _r("value").alias("value"))
+
+
+@query(
+    sql(
+        """select t::int as t, p::int as p, round(case when ka = kb then 0.8 * cv + 0.2 * tr / 5 else 0.8 * cv end, 8) + 0.0::double as value from (
+ select *, sum(case when ka = kb then cv else 0 end) over (partition by t) as tr, row_number() over (partition by t order by ka, kb) - 1 as p from (
+ select x.i // 7 as t, x.k as ka, y.k as kb, (sum(x.c * y.c) - sum(x.c) * sum(y.c) / 7) / 6 as cv from o x join o y on x.i = y.i where x.i < 2401 group by all))""",
+        "o",
+    )
+)
+def block_states_shrunk(spark, sf_dir):
+    return states.block_states(v.O(spark, sf_dir), 7, v.DAYS, shrinkage=0.2).select("t", F.posexplode("cov").alias("p", "value")).withColumn("value", _r("value"))
+
+
+@query(
+    """with d as (select ts, (row_number() over (order by ts) - 1)::int as i from (select distinct o_orderdate::timestamp as ts from orders)),
+ g as (select *, i // 7 as block, date_diff('second', lag(ts) over (partition by i // 7 order by i), ts) as gap from d)
+ select block::int as block, min(ts) as start, max(ts) as "end" from g group by block having count(*) = 7 and min(gap) = 86400 and max(gap) = 86400"""
+)
+def contiguous_blocks(spark, sf_dir):
+    days = v.read(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts")).distinct()
+    rows = days.withColumn("i", (F.row_number().over(W.orderBy("ts")) - 1).cast("int"))
+    return states.contiguous_blocks(rows, 7, 86400)
+
+
+@query(
+    sql(
+        """select i, k, round(coalesce(m, last_value(m ignore nulls) over (partition by k order by i rows between unbounded preceding and current row), 0), 8) + 0.0::double as c from (
+ select e.i, e.k, case when e.i < 720 then c end as m from e where e.i < 720)""",
+        "e",
+    )
+)
+def overlap_average_series(spark, sf_dir):
+    return states.overlap_average(v.E(spark, sf_dir), v.WINDOW, v.STEP, v.HOURS).withColumn("c", _r("c"))
+
+
+@query(sql("select t, round(mx, 8) as m0, round(my, 8) as m1, round(a, 8) as c0, round(b, 8) + 0.0::double as c1, round(b, 8) + 0.0::double as c2, round(d, 8) as c3 from s2", "e", "s2"))
+def tidy_state_roundtrip(spark, sf_dir):
+    back = states.from_tidy(*states.tidy(v.S2(spark, sf_dir)))
+    return back.select("t", *(_r(_at("mean", i)).alias(f"m{i}") for i in range(2)), *(_r(_at("cov", i)).alias(f"c{i}") for i in range(4)))
+
+
+# ---- chronology
+
+
+@query(
+    """with recursive p as (select 175 as n), q as (select n, greatest(60, floor(.35*n)::int) as fit, greatest(24, floor(.15*n)::int) as val, greatest(24, floor(.12*n)::int) as block from p),
+ r as (select 0 as origin, fit, n, val, block from q union all select origin + 1, fit + block, n, val, block from r where fit + block + val + 2 < n)
+ select origin::int as origin, fit::int as fit_end, (fit + val)::int as val_end, least(fit + val + block, n)::int as test_end from r where fit + val + 2 < n and least(fit + val + block, n) - fit - val >= 2"""
+)
+def rolling_origin_splits(spark, sf_dir):
+    return splits.split_table(spark, splits.rolling_origins(v.STATES))
+
+
+@query(sql("select origin::int as origin, horizon::int as horizon, source, (source + horizon)::int as target from src", "sp", "src"))
+def test_sources(spark, sf_dir):
+    return splits.test_sources(splits.split_table(spark, v.SPLITS), HORIZONS)
+
+
+@query(sql("select origin::int as origin, horizon::int as horizon, source::int as source, (source + horizon)::int as target from (select origin, horizon, unnest(range(greatest(fit_end - horizon, 71), val_end - horizon)) as source from sp, (select unnest([3,4,5]) as horizon))", "sp"))
+def validation_sources(spark, sf_dir):
+    return splits.validation_sources(splits.split_table(spark, v.SPLITS), HORIZONS, 72)
+
+
+@query(sql("select origin::int as origin, horizon::int as horizon, source::int as source, (source + horizon)::int as target from (select origin, horizon, unnest(range(val_end, test_end - horizon)) as source from sp, (select unnest([1,3,6]) as horizon))", "sp"))
+def evaluation_origins(spark, sf_dir):
+    return splits.block_sources(splits.split_table(spark, v.SPLITS), [1, 3, 6])
+
+
+@query(
+    """with w as (select t, timestamp '2024-01-01' + to_days((t * 7)::int) as s, timestamp '2024-01-01' + to_days((t * 7 + 14)::int) as e from (select unnest(range(50)) as t)),
+ m as (select unnest(['2024-07', '2024-09', '2024-11']) as month)
+ select month, count(*) filter (e <= (month || '-01')::date - interval 2 month) as fit_end, count(*) filter (e <= (month || '-01')::date) as val_end,
+ count(*) filter (s < (month || '-01')::date + interval 1 month) as test_end from w, m group by month"""
+)
+def month_splits(spark, sf_dir):
+    day = lambda n: (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=n))
+    t = spark.range(50).select(F.col("id").cast("int").alias("t"))
+    windows = t.select("t", day(F.col("t") * 7).alias("start"), day(F.col("t") * 7 + 14).alias("end"))
+    return splits.month_splits(windows, ["2024-07", "2024-09", "2024-11"])
+
+
+# ---- losses
+
+
+def _pairs(spark, sf_dir):
+    return splits.paired(v.S2(spark, sf_dir), splits.test_sources(splits.split_table(spark, v.SPLITS), HORIZONS))
+
+
+_PERSIST = "pe as (select origin, horizon, source, pow(p.mx - q.mx, 2) + pow(p.my - q.my, 2) as mw from src join s2 p on p.t = source join s2 q on q.t = source + horizon)"
+
+
+@query(sql(f"select origin::int as origin, horizon::int as horizon, source, round(sqrt(mw / 2), 8) as raw_rmse from (with {_PERSIST} select * from pe)", "e", "s2", "sp", "src"))
+def persistence_rmse(spark, sf_dir):
+    return evaluation.persistence(_pairs(spark, sf_dir)).select("origin", "horizon", "source", _r("raw_rmse").alias("raw_rmse"))
+
+
+@query(sql(f"select origin::int as origin, horizon::int as horizon, round(avg(mw), 6) as mean_w2, count(*)::bigint as n from (with {_PERSIST} select * from pe) group by all", "e", "s2", "sp", "src"))
+def persistence_mean_w2(spark, sf_dir):
+    return evaluation.persistence(_pairs(spark, sf_dir)).groupBy("origin", "horizon").agg(_r(F.avg("mean_w2"), 6).alias("mean_w2"), F.count("*").alias("n"))
+
+
+@query(sql(f"select horizon::int as horizon, round(avg(sqrt(mw/2)), 6) as mean, round(median(sqrt(mw/2)), 6) as median, round(quantile_cont(sqrt(mw/2), 0.9), 6) as q90, count(*)::bigint as n, round(stddev_samp(sqrt(mw/2)) / sqrt(count(*)), 6) as se from (with {_PERSIST} select * from pe) group by horizon", "e", "s2", "sp", "src"))
+def loss_quantiles(spark, sf_dir):
+    rows = evaluation.persistence(_pairs(spark, sf_dir)).withColumn("loss", F.col("raw_rmse"))
+    return evaluation.loss_summary(rows, ["horizon"]).select("horizon", *(_r(c, 6).alias(c) for c in ("mean", "median", "q90", "se")), "n")
+
+
+# ---- matrix functions: Arrow UDFs against closed forms in SQL
+
+
+def _adjacent(spark, sf_dir):
+    return states.adjacent(v.S2(spark, sf_dir))
+
+
+_BURES = "greatest(a1 + d1 + a2 + d2 - 2*sqrt(a1*a2 + 2*b1*b2 + d1*d2 + 2*sqrt((a1*d1 - b1*b1)*(a2*d2 - b2*b2))), 0)"
+
+
+@query(sql(f"select t, round({_BURES}, 6) + 0.0::double as bures from adj", "e", "s2", "adj"))
+def bures_d2(spark, sf_dir):
+    return _adjacent(spark, sf_dir).select("t", _r(la.call("bures", "before_cov", "cov"), 6).alias("bures"))
+
+
+@query(sql(f"select t, round(pow(m1 - n1, 2) + pow(m2 - n2, 2) + {_BURES}, 6) + 0.0::double as w2 from adj", "e", "s2", "adj"))
+def w2_d2(spark, sf_dir):
+    """The native closed form: no Python in the plan."""
+    return _adjacent(spark, sf_dir).select("t", _r(cf.w2("before_mean", "before_cov", "mean", "cov"), 6).alias("w2"))
+
+
+@query(sql("select t, round(f*pa, 6) as m0, round(f*pb, 6) + 0.0::double as m1, round(f*pd, 6) as m3 from tr", "e", "s2", "adj", "tr"))
+def transport_map_d2(spark, sf_dir):
+    m = _adjacent(spark, sf_dir).select("t", la.call("transport", "before_cov", "cov").alias("m"))
+    return m.select("t", *(_r(_at("m", i), 6).alias(f"m{i}") for i in (0, 1, 3)))
+
+
+def _fun(f: str) -> str:
+    return sql(f"select t, round(p + q*a, 6) + 0.0::double as m0, round(q*b, 6) + 0.0::double as m1, round(p + q*d, 6) + 0.0::double as m3 from (select *, {f.format('l1')} - q*l1 as p from (select *, ({f.format('l2')} - {f.format('l1')}) / (l2 - l1) as q from eig))", "e", "s2", "eig")
+
+
+@query(_fun("ln({})"))
+def matlog_d2(spark, sf_dir):
+    m = v.S2(spark, sf_dir).select("t", la.call("logm", "cov").alias("m"))
+    return m.select("t", *(_r(_at("m", i), 6).alias(f"m{i}") for i in (0, 1, 3)))
+
+
+@query(_fun("sqrt({})"))
+def matsqrt_d2(spark, sf_dir):
+    m = v.S2(spark, sf_dir).select("t", la.call("sqrtm", "cov").alias("m"))
+    return m.select("t", *(_r(_at("m", i), 6).alias(f"m{i}") for i in (0, 1, 3)))
+
+
+@query(_fun("exp({} / 50)"))
+def matexp_d2(spark, sf_dir):
+    m = v.S2(spark, sf_dir).select("t", la.call("expm", F.transform("cov", lambda x: x / 50)).alias("m"))
+    return m.select("t", *(_r(_at("m", i), 6).alias(f"m{i}") for i in (0, 1, 3)))
+
+
+@query(sql("select t, round(l2 / l1, 4) as condition from eig", "e", "s2", "eig"))
+def condition_d2(spark, sf_dir):
+    return v.S2(spark, sf_dir).select("t", _r(la.call("condition", "cov"), 4).alias("condition"))
+
+
+@query(sql("select t, round(l1, 6) as low from eig", "e", "s2", "eig"))
+def smallest_eigenvalue_d2(spark, sf_dir):
+    return v.S2(spark, sf_dir).select("t", _r(la.call("smallest_eigenvalue", "cov"), 6).alias("low"))
+
+
+@query(sql("select t, round(b / sqrt(a*d), 6) + 0.0::double as rho from s2", "e", "s2"))
+def correlation_d2(spark, sf_dir):
+    return v.S2(spark, sf_dir).select("t", la.call("correlation", "cov").alias("m")).select("t", _r(_at("m", 1), 6).alias("rho"))
+
+
+@query(sql("select t, round(sqrt(2) * abs(a1*b2 + b1*d2 - b1*a2 - d1*b2) / (sqrt(a1*a1 + 2*b1*b1 + d1*d1) * sqrt(a2*a2 + 2*b2*b2 + d2*d2)), 6) + 0.0::double as commutator from adj", "e", "s2", "adj"))
+def commutator_d2(spark, sf_dir):
+    return _adjacent(spark, sf_dir).select("t", _r(la.call("commutator", "before_cov", "cov"), 6).alias("commutator"))
+
+
+@query(
+    sql(
+        """select t, round(0.5 * (2*ln(2*pi()) + ln(det) + (d1*a2 - 2*b1*b2 + a1*d2)/det + (d1*x*x - 2*b1*x*y + a1*y*y)/det), 6) as score
+ from (select *, a1*d1 - b1*b1 as det, n1 - m1 as x, n2 - m2 as y from adj)""",
+        "e",
+        "s2",
+        "adj",
+    )
+)
+def log_score_d2(spark, sf_dir):
+    return _adjacent(spark, sf_dir).select("t", _r(la.call("log_score", "before_mean", "before_cov", "mean", "cov"), 6).alias("score"))
+
+
+@query(
+    sql(
+        """select t, round(p*(p*a1 + q*b1) + q*(p*b1 + q*d1), 5) as m0, round(p*(q*a1 + r*b1) + q*(q*b1 + r*d1), 5) + 0.0::double as m1, round(q*(q*a1 + r*b1) + r*(q*b1 + r*d1), 5) as m3
+ from (select *, 0.5 + 0.5*f*pa as p, 0.5*f*pb as q, 0.5 + 0.5*f*pd as r from tr)""",
+        "e",
+        "s2",
+        "adj",
+        "tr",
+    )
+)
+def geodesic_d2(spark, sf_dir):
+    m = _adjacent(spark, sf_dir).select("t", la.geodesic_column("before_cov", "cov", 0.5).alias("m"))
+    return m.select("t", *(_r(_at("m", i), 5).alias(f"m{i}") for i in (0, 1, 3)))
+
+
+def _encoded(spark, sf_dir, method, digits=6):
+    s2 = v.S2(spark, sf_dir)
+    ref = s2.filter("t = 0").select(F.col("mean").alias("ref_mean"), F.col("cov").alias("ref_cov"))
+    z = charts.encode(s2, ref, [method])
+    return z.select("t", *(_r(_at("z", i), digits).alias(f"z{i}") for i in range(5)))
+
+
+@query(sql("select t, round(mx, 6) as z0, round(my, 6) as z1, round(a, 6) as z2, round(b, 6) + 0.0::double as z3, round(d, 6) as z4 from s2", "e", "s2"))
+def encode_euclidean(spark, sf_dir):
+    return _encoded(spark, sf_dir, "euclidean")
+
+
+@query(sql("select t, round(mx, 6) as z0, round(my, 6) as z1, round(ln(sqrt(a)), 6) + 0.0::double as z2, round(b / sqrt(a), 6) + 0.0::double as z3, round(ln(sqrt(d - b*b/a)), 6) + 0.0::double as z4 from s2", "e", "s2"))
+def encode_cholesky_d2(spark, sf_dir):
+    return _encoded(spark, sf_dir, "cholesky")
+
+
+@query(sql("select t, round(mx, 6) as z0, round(my, 6) as z1, round(p + q*a, 6) + 0.0::double as z2, round(q*b, 6) + 0.0::double as z3, round(p + q*d, 6) + 0.0::double as z4 from (select *, ln(l1) - q*l1 as p from (select *, (ln(l2) - ln(l1)) / (l2 - l1) as q from eig))", "e", "s2", "eig"))
+def encode_logeuclid_d2(spark, sf_dir):
+    return _encoded(spark, sf_dir, "log_euclidean")
+
+
+@query(
+    "with " + ",\n".join([v.SQL["e"], v.SQL["s2"], v.SQL["adj"].replace("q.t = p.t + 1", "p.t = 0"), v.SQL["tr"]]) + "\nselect t, round(n1 - m1, 6) + 0.0::double as z0, round(n2 - m2, 6) + 0.0::double as z1, round(f*pa - 1, 6) + 0.0::double as z2, round(f*pb, 6) + 0.0::double as z3, round(f*pd - 1, 6) + 0.0::double as z4 from tr"
+)
+def encode_transport_d2(spark, sf_dir):
+    return _encoded(spark, sf_dir, "transport_fixed")
+
+
+@query()
+def bures_d5(spark, sf_dir):
+    return states.adjacent(v.S(spark, sf_dir)).select("t", la.call("bures", "before_cov", "cov").alias("bures"), la.call("is_spd", "cov").alias("spd"))
+
+
+@query()
+def transport_d5(spark, sf_dir):
+    return states.adjacent(v.S(spark, sf_dir)).select("t", la.call("transport", "before_cov", "cov").alias("map"))
+
+
+@query()
+def chart_roundtrip_d5(spark, sf_dir):
+    s = v.S(spark, sf_dir)
+    ref = references.group_references(s.filter("t < 61").withColumn("series", F.lit("S")), ["series"]).drop("series")
+    back = charts.decode(charts.encode(s, ref, ["euclidean", "cholesky", "log_euclidean", "transport_fixed"]), ref)
+    both = back.join(s.select("t", F.col("mean").alias("m0"), F.col("cov").alias("c0")), "t")
+    return both.groupBy("method").agg(F.max(la.squared_distance("mean", "m0")).alias("mean_error"), F.max(la.squared_distance("cov", "c0")).alias("cov_error"), F.count("*").alias("n"))
+
+
+# ---- autoregression
+
+
+def _coordinates(spark, sf_dir):
+    return v.S2(spark, sf_dir).select("t", F.posexplode(F.concat("mean", la.upper("cov", 2))).alias("k", "z"))
+
+
+_Z = "z as (select t, unnest([0,1,2,3,4])::int as k, unnest([mx,my,a,b,d]) as z from s2)"
+_DIAG = "mo as (select k, max(mu) as mu, sum(x*y) / (sum(x*x) + (max(n) - 1) * 0.01) as slope from (select k, mu, n, z - mu as y, lag(z) over (partition by k order by t) - mu as x from (select *, avg(z) over (partition by k) as mu, count(*) over (partition by k) as n from z where t < 87)) group by k)"
+
+
+@query(sql(f"select k, round(mu, 6) as mu, round(slope, 6) + 0.0::double as slope from (with {_Z}, {_DIAG} select * from mo)", "e", "s2"))
+def var_diag_coef(spark, sf_dir):
+    return ar.fit_diagonal(_coordinates(spark, sf_dir), 87, 0.01, ["k"]).select("k", _r("mu", 6).alias("mu"), _r("slope", 6).alias("slope"))
+
+
+@query(sql(f"select t, k, round(mu + pow(slope, 3) * (z - mu), 6) + 0.0::double as z from (with {_Z}, {_DIAG} select t, k, mu, slope, z from z join mo using (k) where t >= 87)", "e", "s2"))
+def var_diag_forecast_h(spark, sf_dir):
+    z = _coordinates(spark, sf_dir)
+    return ar.forecast_diagonal(z.filter("t >= 87"), ar.fit_diagonal(z, 87, 0.01, ["k"]), 3, ["k"]).select("t", "k", _r("z", 6).alias("z"))
+
+
+_RIDGES = "rg as (select unnest([1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0]) as ridge)"
+
+
+@query(
+    sql(
+        f"""select k, ridge, round(loss, 6) as loss from (with {_Z}, {_RIDGES},
+ su as (select k, max(mu) as mu, sum(x*y) as xy, sum(x*x) as xx, max(n) - 1 as m from (select k, mu, n, z - mu as y, lag(z) over (partition by k order by t) - mu as x from (select *, avg(z) over (partition by k) as mu, count(*) over (partition by k) as n from z where t < 61)) group by k),
+ lo as (select k, ridge, avg(pow(b.z - (mu + pow(xy / (xx + m * ridge), 3) * (a.z - mu)), 2)) as loss from su cross join rg join z a using (k) join z b on b.k = su.k and b.t = a.t + 3 where a.t >= 58 and a.t < 84 group by all)
+ select *, row_number() over (partition by k order by round(loss, 9), ridge) as r from lo) where r = 1""",
+        "e",
+        "s2",
+    )
+)
+def var_diag_ridge_argmin(spark, sf_dir):
+    """The ridge of each coordinate by validation loss: all ridges in one plan."""
+    z = _coordinates(spark, sf_dir)
+    grid_z = z.withColumn("ridge", F.explode(F.array(*map(F.lit, evaluation.RIDGES))))
+    model = ar.fit_diagonal(grid_z, 61, F.col("ridge"), ["k", "ridge"])
+    pred = ar.forecast_diagonal(grid_z.filter("t >= 58 and t < 84"), model, 3, ["k", "ridge"]).withColumn("t", F.col("t") + 3).withColumnRenamed("z", "p")
+    loss = pred.join(z, ["t", "k"]).groupBy("k", "ridge").agg(F.avg(F.pow(F.col("z") - F.col("p"), F.lit(2.0))).alias("loss"))
+    return loss.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.round("loss", 9), "ridge"))).filter("r = 1").select("k", "ridge", _r("loss", 6).alias("loss"))
+
+
+@query(
+    sql(
+        """select round((gd*cxx - gb*cyx)/det, 6) + 0.0::double as a00, round((gd*cxy - gb*cyy)/det, 6) + 0.0::double as a01, round((ga*cyx - gb*cxx)/det, 6) + 0.0::double as a10, round((ga*cyy - gb*cxy)/det, 6) + 0.0::double as a11 from (
+ select *, ga*gd - gb*gb as det from (select sum(x*x) + 86*0.01 as ga, sum(x*y) as gb, sum(y*y) + 86*0.01 as gd, sum(x*nx) as cxx, sum(x*ny) as cxy, sum(y*nx) as cyx, sum(y*ny) as cyy from (
+ select mx - ax as nx, my - ay as ny, lag(mx) over (order by t) - ax as x, lag(my) over (order by t) - ay as y from (select *, avg(mx) over () as ax, avg(my) over () as ay from s2 where t < 87)) where x is not null))""",
+        "e",
+        "s2",
+    )
+)
+def var_full_d2_coef(spark, sf_dir):
+    def fit(g):
+        _, a = ar.fit_full(np.stack(g.sort_values("t")["mean"].map(np.asarray)), 0.01)
+        return pd.DataFrame([a.reshape(-1)], columns=["a00", "a01", "a10", "a11"])
+
+    out = v.S2(spark, sf_dir).filter("t < 87").select("t", "mean").withColumn("series", F.lit(0)).groupBy("series").applyInPandas(fit, "a00 double, a01 double, a10 double, a11 double")
+    return out.select(*(_r(c, 6).alias(c) for c in out.columns))
+
+
+@query(
+    sql(
+        """select k, round((sy - slope*sx)/n, 6) + 0.0::double as intercept, round(slope, 6) + 0.0::double as slope from (select *, (n*sxy - sx*sy) / (n*(sxx + 0.1) - sx*sx) as slope from (
+ select k, count(*) as n, sum(x) as sx, sum(c) as sy, sum(x*c) as sxy, sum(x*x) as sxx from (select k, c, lag(c) over (partition by k order by i) as x from e where i < 300) where x is not null group by k))""",
+        "e",
+    )
+)
+def raw_var_diag(spark, sf_dir):
+    return ar.fit_raw_diagonal(v.E(spark, sf_dir), 300, 0.1).select("k", _r("intercept", 6).alias("intercept"), _r("slope", 6).alias("slope"))
+
+
+@query()
+def dual_vs_primal(spark, sf_dir):
+    """The same full model in both spaces: the largest difference of coefficients, per ridge."""
+
+    def run(g):
+        z = np.stack(g.sort_values("t")["mean"].map(np.asarray))
+        return pd.DataFrame([(r, float(abs(ar.fit_full(z, r)[1] - ar.fit_dual(z, r)[1]).max())) for r in evaluation.RIDGES[1:]], columns=["ridge", "gap"])
+
+    return v.S(spark, sf_dir).select("t", "mean").withColumn("series", F.lit(0)).groupBy("series").applyInPandas(run, "ridge double, gap double")
+
+
+# ---- references
+
+
+@query(
+    sql("select t::int as series, round(pow(avg(sqrt(c)), 2), 6) as s from (select t % 7 as t, a as c from s2) group by all", "e", "s2")
+)
+def barycenter_1d(spark, sf_dir):
+    one = v.S2(spark, sf_dir).select((F.col("t") % 7).alias("series"), "t", F.slice("mean", 1, 1).alias("mean"), F.slice("cov", 1, 1).alias("cov"))
+    return references.group_references(one, ["series"], exact=True).select("series", _r(_at("ref_cov", 0), 6).alias("s"))
+
+
+@query()
+def barycenter_d5(spark, sf_dir):
+    s = v.S(spark, sf_dir).withColumn("series", (F.col("t") % 3).cast("string"))
+    a = references.group_references(s, ["series"]).select("series", "ref_mean", F.col("ref_cov").alias("plain"))
+    b = references.group_references(s, ["series"], exact=True).select("series", F.col("ref_cov").alias("exact"))
+    return a.join(b, "series").withColumn("gap", la.squared_distance("plain", "exact"))
+
+
+@query()
+def reference_library(spark, sf_dir):
+    return references.library(v.S(spark, sf_dir).withColumn("series", F.lit("S")), ["series"], 61)
+
+
+@query()
+def rolling_reference(spark, sf_dir):
+    s = v.S2(spark, sf_dir).withColumn("series", F.lit("S2"))
+    return references.rolling_references(s, ["series"], 24, refresh=10)
+
+
+# ---- panels and inference
+
+
+def _panel(spark, sf_dir):
+    s2 = v.S2(spark, sf_dir)
+    raw = states.vectors(v.E2(spark, sf_dir))
+    return evaluation.target_panel(s2, v.SPLITS[:2], [3], evaluation.METHODS, raw, v.WINDOW, v.STEP)
+
+
+@query()
+def target_panel(spark, sf_dir):
+    return _panel(spark, sf_dir)
+
+
+@query()
+def panel_completeness(spark, sf_dir):
+    return evaluation.panel_problems(_panel(spark, sf_dir), evaluation.METHODS)
+
+
+@query()
+def local_chart_forecast(spark, sf_dir):
+    return evaluation.target_panel(v.S2(spark, sf_dir), v.SPLITS[:1], [3], ["persistence", "transport_local"])
+
+
+@query()
+def paired_inference(spark, sf_dir):
+    p = _panel(spark, sf_dir)
+    parts = [evaluation.differences(p, "w2", "transport_fixed", m).withColumn("comparator", F.lit(m)) for m in ("persistence", "euclidean", "cholesky", "log_euclidean")]
+    return inference.paired_inference(grid.union_all(parts), ["comparator", "horizon"], ["horizon"], draws=400)
+
+
+# a loss table from orders, for the tables around panels: origin = month, method = priority
+
+
+def _loss_table(spark, sf_dir):
+    o = v.read(spark, sf_dir, "orders")
+    return o.groupBy((F.year("o_orderdate") - 1995).alias("origin"), F.month("o_orderdate").alias("target_index"), F.col("o_orderpriority").alias("method")).agg(F.avg(F.floor("o_totalprice")).alias("loss"))
+
+
+_LOSS = "with lt as (select (year(o_orderdate) - 1995)::int as origin, month(o_orderdate)::int as target_index, o_orderpriority as method, avg(floor(o_totalprice)) as loss from orders group by all) "
+
+
+@query(_LOSS + "select origin, target_index, round(max(case when method = '1-URGENT' then loss end) - max(case when method = '5-LOW' then loss end), 6) + 0.0::double as difference from lt where method in ('1-URGENT', '5-LOW') group by origin, target_index")
+def paired_difference_pivot(spark, sf_dir):
+    rows = _loss_table(spark, sf_dir).withColumn("horizon", F.lit(1))
+    return evaluation.differences(rows, "loss", "1-URGENT", "5-LOW").select("origin", "target_index", _r("difference", 6).alias("difference"))
+
+
+_SUM = _LOSS + ", su as (select origin, method, avg(loss) as mean from lt group by all), bb as (select origin, method as best_method, mean as best from (select *, row_number() over (partition by origin order by mean, method) as r from su where method <> '1-URGENT') where r = 1) "
+
+
+@query(_SUM.replace(") , su", "), su") + "select origin, best_method, round(best, 6) as best, round(mean, 6) as target_mean, round(best - mean, 6) + 0.0::double as margin, round((best - mean) / greatest(abs(best), 1e-12), 6) + 0.0::double as margin_fraction from su join bb using (origin) where method = '1-URGENT'")
+def argmin_baseline_join(spark, sf_dir):
+    s = _loss_table(spark, sf_dir).groupBy("origin", "method").agg(F.avg("loss").alias("mean"))
+    out = evaluation.margins(s, ["origin"], "1-URGENT", ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+    return out.select("origin", "best_method", *(_r(c, 6).alias(c) for c in ("best", "target_mean", "margin", "margin_fraction")))
+
+
+@query(_LOSS + "select method, round(avg(loss), 6) as mean, round(median(loss), 6) as median, round(quantile_cont(loss, 0.9), 6) as q90, round(stddev_samp(loss) / sqrt(count(*)), 6) as se, count(*)::bigint as n from lt group by method")
+def configuration_summary(spark, sf_dir):
+    out = evaluation.loss_summary(_loss_table(spark, sf_dir), ["method"])
+    return out.select("method", *(_r(c, 6).alias(c) for c in ("mean", "median", "q90", "se")), "n")
+
+
+@query(_LOSS + "select a.origin, a.target_index, a.method, round(a.loss / greatest(b.loss, 1e-12), 6) as ratio from lt a join lt b on a.origin = b.origin and a.target_index = b.target_index and b.method = '5-LOW'")
+def ratio_to_baseline(spark, sf_dir):
+    return evaluation.ratio_to(_loss_table(spark, sf_dir), ["origin", "target_index"], "5-LOW").select("origin", "target_index", "method", _r("ratio", 6).alias("ratio"))
+
+
+@query(
+    """with p as (select c_nationkey as family, c_custkey as id, least(1.0, abs(c_acctbal) / 10000) as p from customer),
+ r as (select *, count(*) over (partition by family) as n, row_number() over (partition by family order by p, id) as r from p)
+ select family, id, round(p, 8) as p, round(max(least(1.0, (n - r + 1) * p)) over (partition by family order by r rows between unbounded preceding and current row), 8) as adjusted from r"""
+)
+def holm_adjust(spark, sf_dir):
+    c = v.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("family"), F.col("c_custkey").alias("id"), F.least(F.lit(1.0), F.abs("c_acctbal") / 10000).alias("p"))
+    return inference.holm(c, "p", ["family"]).select("family", "id", _r("p").alias("p"), _r("adjusted").alias("adjusted"))
+
+
+@query()
+def moving_block_bootstrap(spark, sf_dir):
+    return inference.bootstrap_means(_loss_table(spark, sf_dir), ["method"], "loss", draws=500)
+
+
+@query()
+def circular_block_bootstrap(spark, sf_dir):
+    rows = _loss_table(spark, sf_dir).withColumn("i", F.col("origin") * 12 + F.col("target_index"))
+    return inference.circular_intervals(rows, ["method"], "loss", "i", draws=500)
+
+
+@query()
+def circular_block_bootstrap_at_scale(spark, sf_dir):
+    rows = _loss_table(spark, sf_dir).withColumn("i", F.col("origin") * 12 + F.col("target_index"))
+    return inference.circular_intervals_at_scale(rows, ["method"], "loss", "i", draws=500)
+
+
+_SHRINK = """select coalesce(min(case when worst <= 3 then r end), min_by(r, worst)) as shrinkage from (select r, max(q) as worst from (select r, t % 4 as panel, quantile_cont(((1-r)*l2 + r*h) / ((1-r)*l1 + r*h), 0.9) as q
+ from eig, (select unnest([0.01, 0.05, 0.1, 0.2, 0.3]::double[]) as r) group by all) group by r)"""
+
+
+@query(sql(_SHRINK, "e", "s2", "eig"))
+def shrinkage_choice_d2(spark, sf_dir):
+    s2 = v.S2(spark, sf_dir).withColumn("shrinkage", F.explode(F.array(*map(F.lit, [0.01, 0.05, 0.1, 0.2, 0.3])))).withColumn("panel", F.col("t") % 4)
+    low, high = cf.eigenvalues("cov")
+    half, g = cf.trace("cov") / 2, F.col("shrinkage")
+    rows = s2.select("shrinkage", "panel", (((1 - g) * high + g * half) / ((1 - g) * low + g * half)).alias("condition"))
+    return evaluation.shrinkage_choice(rows, 3.0)
+
+
+# ---- panels of embeddings, simulations
+
+
+@query()
+def spatial_panels(spark, sf_dir):
+    e = v.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("x"))
+    return evaluation.spatial_panels(e, 4, 20, 20260731)
+
+
+@query()
+def covariance_pooled_by_label(spark, sf_dir):
+    """Full-dimension covariance by label, shrunk so that few vectors still give a definite matrix."""
+    e = v.read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("t"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"))
+    s = states._states(states._moments(e), 0.0, 0.2)
+    return s.select("t", "n", la.call("condition", "cov").alias("condition"), la.call("is_spd", "cov").alias("spd"))
+
+
+@query()
+def simulate_s1_smoke(spark, sf_dir):
+    designs = [{"design": "Baseline", "generator": g, "n": 120, "d": 3, "phi": 0.7, "dispersion": 0.15} for g in ("transport",)]
+    return simulation.summarise_study(simulation.study_one(spark, designs, 4))
+
+
+_CASES = [("persistent", 0.75), ("mean_reverting", 1.0)]
+
+
+@query()
+def simulate_s2_smoke(spark, sf_dir):
+    return simulation.decision_table(simulation.study_two(spark, 2, _CASES, n=120, fit_end=50, val_end=80, ridges=(1e-2, 1e-1)))
+
+
+@query()
+def s2_audit(spark, sf_dir):
+    rows = simulation.study_two(spark, 1, _CASES, n=120, fit_end=50, val_end=80, ridges=(1e-2, 1e-1))
+    return simulation.audit(rows, 1, _CASES, (1, 3, 6), (1e-2, 1e-1))
 
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hopping states to the fixed transport chart, diagonal autoregression, and the forecasts' Wasserstein loss by origin."""
+    panel = evaluation.target_panel(v.S2(spark, sf_dir), v.SPLITS, [3], ["persistence", "transport_fixed"], diagonal=True)
+    return panel.groupBy("origin", "method").agg(F.avg("w2").alias("w2"), F.avg("raw_rmse").alias("raw_rmse"), F.count("*").alias("n"))
