@@ -1,8 +1,9 @@
 """Operator 7: Jaccard self-join of word n-gram sets, by rare-first prefixes.
 
-1. Words are counted by documents; those of at least a ten-thousandth of all documents are the frequent ones, at most
-   10,000 times the mean number of distinct words of a document, however large the input is. A shingle is as rare as its
-   rarest word: that bounds its own document frequency, and gives all documents one order, rare first.
+1. Shingles are counted by documents, in chunks of CHUNK documents inside each task; a chunk reports those it meets more
+   than once. A shingle of more documents than there are chunks is met twice in one, so none that is common escapes, and
+   the sums give all documents one order, rare first. Frequent are those in a ten-thousandth of all documents or more, at
+   most 10,000 times the mean number of shingles of a document, however large the input is; only these are broadcast.
 2. Equal sets become one node. A node posts the prefix of its ordered set: two sets that link share a prefix shingle.
 3. In every group of a prefix shingle, each node is first compared with one hub only. Links of these stars are joined into
    components. Then pairs inside a group are formed only across components, and only where the triangle inequality of the
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,12 @@ from pyspark.sql import functions as F
 
 from gausstide.llm.common import broadcast_if_small, components, stage, table
 
-#: A word is frequent from this share of all documents on.
+#: A shingle is frequent from this share of all documents on.
 FREQUENT_SHARE = 1e-4
+#: Documents, and shingles, after which a chunk is counted.
+CHUNK, CHUNK_SHINGLES = 4096, 6_000_000
+#: Words that are hashed into shingles at a time.
+GROUP_WORDS = 100_000
 #: Hash classes of the suffix filter.
 CLASSES = 64
 #: Entries after which a task starts its word tables anew.
@@ -36,92 +42,117 @@ _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 
 
 class _Words(dict):
-    """word -> row of the growing arrays of hashes and document frequencies (0: not frequent)."""
+    """word -> row of a growing array of hashes."""
 
-    def __init__(self, frequent: tuple[np.ndarray, np.ndarray]):
+    def __init__(self):
         super().__init__()
-        self.known, self.df = frequent
-        self.hashes, self.ranks = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+        self.hashes = np.zeros(1024, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        i, h = len(self), xxhash.xxh3_64_intdigest(word)
+        i = len(self)
         if i == len(self.hashes):
-            self.hashes, self.ranks = np.resize(self.hashes, 2 * i), np.resize(self.ranks, 2 * i)
-        at = np.searchsorted(self.known, np.uint64(h))
-        self.hashes[i] = h
-        self.ranks[i] = self.df[at] if at < len(self.known) and self.known[at] == h else 0
+            self.hashes = np.resize(self.hashes, 2 * i)
+        self.hashes[i] = xxhash.xxh3_64_intdigest(word)
         self[word] = i
         return i
 
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+def _hashed(h: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of all runs of ``size`` word hashes."""
+    n = len(h) - size + 1
+    h = h ^ (h >> np.uint64(29))
+    out = np.full(n, size, np.uint64)
+    for j in range(size):
+        out = (out ^ (h[j : j + n] * _MULT[j % 8] + np.uint64(j))) * _MULT[(j + 3) % 8]
+    return out ^ (out >> np.uint64(32))
+
+
+def _sets_of(texts: Iterator[str | None], k: int) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles. Words are what bytes.split, which knows ASCII white space alone, leaves of the A-Z lower-cased text; many short texts are hashed at once."""
+    table = _Words()
+
+    def flush(group: list[list[bytes]]) -> Iterator[np.ndarray]:
+        sizes = list(map(len, group))
+        at = np.fromiter(map(table.__getitem__, chain.from_iterable(group)), np.int64, sum(sizes))
+        h = table.hashes[at]  # after the look-up, which lets it grow
+        whole = _hashed(h, k) if len(h) >= k else h
+        at = 0
+        for n in sizes:
+            if n >= k:
+                yield np.unique(whole[at : at + n - k + 1])
+            else:
+                yield _hashed(h[at : at + n], n) if n else np.zeros(0, np.uint64)
+            at += n
+        if len(table) > MEMO:
+            table.clear()
+
+    group, words = [], 0
+    for text in texts:
+        group.append(text.encode().lower().split() if text else [])
+        words += len(group[-1])
+        if words >= GROUP_WORDS:
+            yield from flush(group)
+            group, words = [], 0
+    yield from flush(group)
+
+
+def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
+    return (x.as_py() for x in batch.column(name))
+
+
+def _chunk_counts(k: int):
+    """(shingle, documents) of the shingles that a chunk of documents meets more than once; equal sets count once in a chunk."""
+
+    def counted(chunk: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if chunk:
+            s, n = np.unique(np.concatenate(chunk), return_counts=True)
+            more = n > 1
+            if more.any():
+                yield pa.RecordBatch.from_arrays([pa.array(s[more].view(np.int64)), pa.array(n[more].astype(np.int64))], ["s", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, seen, docs, size = [], set(), 0, 0
+        for batch in batches:
+            for own in _sets_of(_texts(batch, "text"), k):
+                docs += 1
+                digest = own.tobytes() if len(own) < 4 else hashlib.blake2b(own.tobytes(), digest_size=8).digest()
+                if digest not in seen:
+                    seen.add(digest)
+                    chunk.append(own)
+                    size += len(own)
+                if docs >= CHUNK or size >= CHUNK_SHINGLES:
+                    yield from counted(chunk)
+                    chunk, seen, docs, size = [], set(), 0, 0
+        yield from counted(chunk)
 
-def _split(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, cut at ASCII white space: bytes.lower and bytes.split know ASCII alone."""
-    return text.encode().lower().split() if text else []
+    return run
 
 
-def _shingles(table: _Words, words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the distinct shingles, sorted, and the rank of each."""
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = table.rows(words)
-    h, r = table.hashes[at], table.ranks[at]
-    n = max(1, len(words) - k + 1)
-    size = min(k, len(words))
-    out, low = np.full(n, size, np.uint64), np.full(n, np.iinfo(np.int64).max)
-    for j in range(size):
-        mixed = (h[j : j + n] ^ (h[j : j + n] >> np.uint64(29))) * _MULT[j % 8] + np.uint64(j)
-        out = (out ^ mixed) * _MULT[(j + 3) % 8]
-        low = np.minimum(low, r[j : j + n])
-    out ^= out >> np.uint64(32)
-    out, first = np.unique(out, return_index=True)
-    return out, low[first]
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word hash, documents) over the documents of a task, in parts of bounded size."""
-    counts: dict[bytes, int] = {}
-
-    def part():
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["word", "n"])
-
-    for batch in batches:
-        for text in batch.column(0):
-            for w in set(_split(text.as_py())):
-                counts[w] = counts.get(w, 0) + 1
-            if len(counts) > MEMO // 2:
-                yield part()
-                counts.clear()
-    if counts:
-        yield part()
-
-
-def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted word hashes and document frequencies of the frequent words; see the module text for their bound."""
+def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counted documents of the frequent shingles; see the module text for their bound."""
     n = docs.count()
-    found = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, int(n * FREQUENT_SHARE)))
+    found = docs.select("text").mapInArrow(_chunk_counts(k), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, int(n * FREQUENT_SHARE)))
     got = found.toArrow()
-    words, df = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(words)
-    return words[order], df[order]
+    shingles, df = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], df[order]
 
 
 def _sets(frequent, k: int, percent: int):
     """Per document: size and digest of its set, the prefix in rare-first order, and the counts by hash class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(frequent.value)
+        known, df = frequent.value
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
-                if len(words) > MEMO:
-                    words = _Words(frequent.value)
-                hashes, ranks = _shingles(words, _split(text.as_py()), k)
+            for hashes in _sets_of(_texts(batch, "text"), k):
                 n = len(hashes)
-                prefix = hashes[np.lexsort((hashes, ranks))[: n - -(-percent * n // 100) + 1]] if n else hashes
+                prefix = hashes
+                if n:
+                    at = np.searchsorted(known, hashes)
+                    at[at == len(known)] = 0
+                    ranks = np.where(known[at] == hashes, df[at], 0) if len(known) else np.zeros(n, np.int64)
+                    prefix = hashes[np.argsort(ranks, kind="stable")[: n - -(-percent * n // 100) + 1]]  # hashes are sorted: the order among equals
                 classes = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
                 digest = int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
                 rows.append((n, digest, prefix.view(np.int64), np.minimum(classes, 65535).astype("<u2").tobytes()))
@@ -154,24 +185,20 @@ def _suffix_filter(percent: int):
 
 
 def _verify(k: int):
-    """The overlap and union of each pair of texts; the last sets of either side are kept, since pairs come sorted by y."""
+    """The overlap and union of each pair of texts; pairs come sorted by y, whose set is kept while it stays the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        words, held = _Words(empty), (None, None)
+        held = (None, None)
         for batch in batches:
-            xs, ys, inter, union = batch.column("x"), batch.column("y"), [], []
-            ids = ys.to_pylist()
-            for i in range(batch.num_rows):
-                if len(words) > MEMO:
-                    words = _Words(empty)
-                if held[0] != ids[i]:
-                    held = (ids[i], _shingles(words, _split(batch.column("ty")[i].as_py()), k)[0])
-                own = _shingles(words, _split(batch.column("tx")[i].as_py()), k)[0]
+            inter, union = [], []
+            for i, own in enumerate(_sets_of(_texts(batch, "tx"), k)):
+                y = batch.column("y")[i].as_py()
+                if held[0] != y:
+                    held = (y, next(_sets_of(iter([batch.column("ty")[i].as_py()]), k)))
                 n = len(np.intersect1d(own, held[1], assume_unique=True))
                 inter.append(n)
                 union.append(len(own) + len(held[1]) - n)
-            yield pa.RecordBatch.from_arrays([xs, ys, pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["x", "y", "inter", "union"])
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["x", "y", "inter", "union"])
 
     return run
 
@@ -186,7 +213,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    frequent = spark.sparkContext.broadcast(frequent_words(docs))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
     sets = stage(docs.mapInArrow(_sets(frequent, k, percent), "doc_id long, n int, node long, prefix array<long>, classes binary"), "shingle-sets")
     members = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     least = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
