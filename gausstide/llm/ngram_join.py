@@ -5,7 +5,7 @@
    the sums give all documents one order, rare first. Frequent are those in a ten-thousandth of all documents or more, at
    most 10,000 times the mean number of shingles of a document, however large the input is; only these are broadcast.
 2. Equal sets become one node. A node posts the prefix of its ordered set: two sets that link share a prefix shingle.
-3. In every group of a prefix shingle, each node is first compared with one hub only. Links of these stars are joined into
+3. In every group of a prefix shingle, each node is first compared with one hub only, the one with fewest rare shingles. Links of these stars are joined into
    components. Then pairs inside a group are formed only across components, and only where the triangle inequality of the
    Jaccard distance over the hub leaves a link possible; so a group of thousands of near copies costs a row each, not all
    its pairs, and no link between components is missed.
@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gausstide.llm.common import broadcast_if_small, components, stage, table
 
@@ -139,7 +140,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(frequent, k: int, percent: int):
-    """Per document: size and digest of its set, the prefix in rare-first order, and the counts by hash class."""
+    """Per document: size of its set, members that are not frequent, digest of the set, the prefix in rare-first order, and the counts by hash class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df = frequent.value
@@ -155,10 +156,10 @@ def _sets(frequent, k: int, percent: int):
                     prefix = hashes[np.argsort(ranks, kind="stable")[: n - -(-percent * n // 100) + 1]]  # hashes are sorted: the order among equals
                 classes = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
                 digest = int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
-                rows.append((n, digest, prefix.view(np.int64), np.minimum(classes, 65535).astype("<u2").tobytes()))
+                rows.append((n, int((ranks == 0).sum()) if n else 0, digest, prefix.view(np.int64), np.minimum(classes, 65535).astype("<u2").tobytes()))
             if rows:
-                n, digest, prefix, classes = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(classes, pa.binary())], ["doc_id", "n", "node", "prefix", "classes"])
+                n, rare, digest, prefix, classes = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(digest, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(classes, pa.binary())], ["doc_id", "n", "rare", "node", "prefix", "classes"])
 
     return run
 
@@ -214,22 +215,29 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
-    sets = stage(docs.mapInArrow(_sets(frequent, k, percent), "doc_id long, n int, node long, prefix array<long>, classes binary"), "shingle-sets")
+    sets = stage(docs.mapInArrow(_sets(frequent, k, percent), "doc_id long, n int, rare int, node long, prefix array<long>, classes binary"), "shingle-sets")
     members = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     least = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = stage(sets.join(least, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]), "nodes")
 
-    posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "s"))
-    groups = posts.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("node", "n", "pos")).alias("hub")).filter("members > 1").select("s", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
-    posts = stage(posts.join(groups, "s"), "shared-postings")
-
-    def fits(nx, px, ny, py):
-        nx, ny = F.col(nx), F.col(ny)
+    posts = nodes.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "s"))
+    shared = posts.groupBy("s").agg(F.count("*").alias("members")).filter("members > 1").select("s")
+    # prior: how many prefix shingles before this one any other node could share; a common shingle of two sets that
+    # precedes a common prefix shingle in one precedes it in the other too, so it is in both prefixes
+    prior = F.row_number().over(W.partitionBy("node").orderBy("pos")) - 1
+    shared = stage(posts.join(shared, "s").withColumn("prior", prior), "shared-postings")
+    # the hub is the member with fewest rare shingles: of edited copies, the one they were made from
+    hub = F.min(F.struct("rare", "node", "n", "pos", "prior")).alias("hub")
+    posts = stage(shared.join(shared.groupBy("s").agg(hub).select("s", *(F.col(f"hub.{a}").alias(b) for a, b in [("node", "hub"), ("n", "hub_n"), ("pos", "hub_pos"), ("prior", "hub_prior")])), "s"), "hub-postings")
+
+    def fits(x, y):
+        nx, px, ex = (F.col(c) for c in x)
+        ny, py, ey = (F.col(c) for c in y)
         length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-        most = F.least(F.col(px), F.col(py)) + F.least(nx - F.col(px), ny - F.col(py))
+        most = F.least(ex, ey) + F.least(nx - px, ny - py)
         return length & (most * (100 + percent) >= percent * (nx + ny))
 
-    stars = posts.filter((F.col("node") != F.col("hub")) & fits("n", "pos", "hub_n", "hub_pos")).select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
+    stars = posts.filter((F.col("node") != F.col("hub")) & fits(("n", "pos", "prior"), ("hub_n", "hub_pos", "hub_prior"))).select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
     checked = stage(_checked(stars, nodes, docs, k, percent), "verified-stars")
     linked = F.col("inter") * 100 >= F.col("union") * percent
     links = checked.filter(linked)
@@ -240,13 +248,13 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
     far = checked.select(F.col("x").alias("node"), F.col("y").alias("hub"), (1 - F.col("inter") / F.col("union")).alias("far"))
     posts = posts.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node")).join(far, ["node", "hub"], "left")
     posts = posts.withColumn("far", F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
-    posts = stage(posts.select("s", "node", "n", "pos", "label", "far"), "labelled-postings")
+    posts = stage(posts.select("s", "node", "n", "pos", "prior", "label", "far"), "labelled-postings")
     mixed = posts.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("s")
     posts = posts.join(mixed, "s", "left_semi")
-    a = posts.select("s", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "label", "far")))
-    b = posts.select("s", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "label", "far")))
+    a = posts.select("s", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "prior", "label", "far")))
+    b = posts.select("s", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "prior", "label", "far")))
     near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    rest = a.join(b, (a["s"] == b["s"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & near & fits("n_x", "pos_x", "n_y", "pos_y"))
+    rest = a.join(b, (a["s"] == b["s"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & near & fits(("n_x", "pos_x", "prior_x"), ("n_y", "pos_y", "prior_y")))
     rest = rest.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct().join(checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     more = stage(_checked(rest, nodes, docs, k, percent), "verified-rest").filter(linked)
     return members, links.unionByName(more)
