@@ -9,8 +9,8 @@
    components. Then pairs inside a group are formed only across components, and only where the triangle inequality of the
    Jaccard distance over the hub leaves a link possible; so a group of thousands of near copies costs a row each, not all
    its pairs, and no link between components is missed.
-4. Length, positional and suffix filters (counts of shingles by hash class bound the overlap) come before verification;
-   each pair is verified once, on whole sets rebuilt from the two texts.
+4. Length, positional and suffix filters (counts of shingles by hash class bound the overlap) are part of the join or come
+   before verification; each pair is verified once, on whole sets rebuilt from the two texts.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -34,8 +34,8 @@ FREQUENT_SHARE = 1e-4
 CHUNK, CHUNK_SHINGLES = 4096, 6_000_000
 #: Words that are hashed into shingles at a time.
 GROUP_WORDS = 100_000
-#: Hash classes of the suffix filter.
-CLASSES = 64
+#: Hash classes of the suffix filter, and the count at which a class counts as unbounded.
+CLASSES, FULL = 64, 32_767
 #: Entries after which a task starts its word tables anew.
 MEMO = 1_000_000
 
@@ -156,33 +156,18 @@ def _sets(frequent, k: int, percent: int):
                     prefix = hashes[np.argsort(ranks, kind="stable")[: n - -(-percent * n // 100) + 1]]  # hashes are sorted: the order among equals
                 classes = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
                 digest = int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
-                rows.append((n, int((ranks == 0).sum()) if n else 0, digest, prefix.view(np.int64), np.minimum(classes, 65535).astype("<u2").tobytes()))
+                rows.append((n, int((ranks == 0).sum()) if n else 0, digest, prefix.view(np.int64), np.minimum(classes, FULL).astype(np.int16)))
             if rows:
                 n, rare, digest, prefix, classes = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(digest, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(classes, pa.binary())], ["doc_id", "n", "rare", "node", "prefix", "classes"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(digest, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int16()))], ["doc_id", "n", "rare", "node", "prefix", "classes"])
 
     return run
 
 
-def _needed(percent: int, nx, ny):
-    """The least overlap that links sets of these sizes: 100 i >= percent (nx + ny - i)."""
-    return -(-percent * (nx + ny) // (100 + percent))
-
-
-def _suffix_filter(percent: int):
-    """Pairs whose class counts leave enough overlap. A count is cut at 65,535; such a class counts as unbounded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int64) for c in ("cx", "cy"))
-            both = np.minimum(x, y)
-            bound = np.where(both == 65535, 1 << 40, both).sum(1)
-            nx, ny = (batch.column(c).to_numpy().astype(np.int64) for c in ("nx", "ny"))
-            yield batch.select(["x", "y"]).filter(pa.array(bound >= _needed(percent, nx, ny)))
-
-    return run
+def _suffix_bound(cx: str, cy: str, nx: str, ny: str, percent: int) -> Column:
+    """Whether the counts by hash class leave the overlap that a link needs: 100 i >= percent (nx + ny - i)."""
+    least = F.zip_with(cx, cy, lambda a, b: F.when(F.least(a, b) < FULL, F.least(a, b).cast("long")).otherwise(F.lit(1 << 40)))
+    return F.aggregate(least, F.lit(0).cast("long"), lambda t, c: t + c) * (100 + percent) >= percent * (F.col(nx) + F.col(ny))
 
 
 def _verify(k: int):
@@ -215,7 +200,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
-    sets = stage(docs.mapInArrow(_sets(frequent, k, percent), "doc_id long, n int, rare int, node long, prefix array<long>, classes binary"), "shingle-sets")
+    sets = stage(docs.mapInArrow(_sets(frequent, k, percent), "doc_id long, n int, rare int, node long, prefix array<long>, classes array<smallint>"), "shingle-sets")
     members = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     least = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = stage(sets.join(least, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]), "nodes")
@@ -250,11 +235,11 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
     posts = posts.withColumn("far", F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
     posts = stage(posts.select("s", "node", "n", "pos", "prior", "label", "far"), "labelled-postings")
     mixed = posts.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("s")
-    posts = posts.join(mixed, "s", "left_semi")
-    a = posts.select("s", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "prior", "label", "far")))
-    b = posts.select("s", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "prior", "label", "far")))
+    posts = posts.join(mixed, "s", "left_semi").join(nodes.select("node", "classes"), "node")
+    a = posts.select("s", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "prior", "label", "far", "classes")))
+    b = posts.select("s", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "prior", "label", "far", "classes")))
     near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    rest = a.join(b, (a["s"] == b["s"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & near & fits(("n_x", "pos_x", "prior_x"), ("n_y", "pos_y", "prior_y")))
+    rest = a.join(b, (a["s"] == b["s"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & near & fits(("n_x", "pos_x", "prior_x"), ("n_y", "pos_y", "prior_y")) & _suffix_bound("classes_x", "classes_y", "n_x", "n_y", percent))
     rest = rest.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct().join(checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     more = stage(_checked(rest, nodes, docs, k, percent), "verified-rest").filter(linked)
     return members, links.unionByName(more)
@@ -264,7 +249,7 @@ def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     """Pairs (x, y) that pass the suffix filter, with their verified overlap and union."""
     own = nodes.select("node", "n", "classes")
     x, y = own.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("classes").alias("cx")), own.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("classes").alias("cy"))
-    pairs = stage(pairs.join(x, "x").join(y, "y").mapInArrow(_suffix_filter(percent), "x long, y long"), "candidate-pairs")
+    pairs = stage(pairs.join(x, "x").join(y, "y").filter(_suffix_bound("cx", "cy", "nx", "ny", percent)).select("x", "y"), "candidate-pairs")
     wanted = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
     ids = broadcast_if_small(stage(nodes.select("node", "doc_id").join(wanted, "node", "left_semi"), "candidate-nodes"))
     texts = stage(docs.join(ids, "doc_id").select("node", "text").dropDuplicates(["node"]), "candidate-texts")
