@@ -24,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from gausstide.llm.common import broadcast_if_small, components, stage, table
 
@@ -206,40 +205,37 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
     nodes = stage(sets.join(least, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]), "nodes")
 
     posts = nodes.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "s"))
-    shared = posts.groupBy("s").agg(F.count("*").alias("members")).filter("members > 1").select("s")
-    # prior: how many prefix shingles before this one any other node could share; a common shingle of two sets that
-    # precedes a common prefix shingle in one precedes it in the other too, so it is in both prefixes
-    prior = F.row_number().over(W.partitionBy("node").orderBy("pos")) - 1
-    shared = stage(posts.join(shared, "s").withColumn("prior", prior), "shared-postings")
     # the hub is the member with fewest rare shingles: of edited copies, the one they were made from
-    hub = F.min(F.struct("rare", "node", "n", "pos", "prior")).alias("hub")
-    posts = stage(shared.join(shared.groupBy("s").agg(hub).select("s", *(F.col(f"hub.{a}").alias(b) for a, b in [("node", "hub"), ("n", "hub_n"), ("pos", "hub_pos"), ("prior", "hub_prior")])), "s"), "hub-postings")
+    groups = posts.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("rare", "node", "n", "pos")).alias("hub")).filter("members > 1")
+    groups = groups.select("s", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+    posts = stage(posts.drop("rare").join(groups, "s"), "hub-postings")
 
-    def fits(x, y):
-        nx, px, ex = (F.col(c) for c in x)
-        ny, py, ey = (F.col(c) for c in y)
+    def fits(nx, px, ny, py):
+        nx, ny = F.col(nx), F.col(ny)
         length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-        most = F.least(ex, ey) + F.least(nx - px, ny - py)
-        return length & (most * (100 + percent) >= percent * (nx + ny))
+        # the first common shingle of a link stands where as many follow, on either side, as the link needs: only there is
+        # a pair formed, so seldom more than once
+        first = F.least(nx - F.col(px), ny - F.col(py)) * (100 + percent) >= percent * (nx + ny)
+        return length & first
 
-    stars = posts.filter((F.col("node") != F.col("hub")) & fits(("n", "pos", "prior"), ("hub_n", "hub_pos", "hub_prior"))).select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
+    stars = posts.filter((F.col("node") != F.col("hub")) & fits("n", "pos", "hub_n", "hub_pos")).select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
     checked = stage(_checked(stars, nodes, docs, k, percent), "verified-stars")
     linked = F.col("inter") * 100 >= F.col("union") * percent
     links = checked.filter(linked)
     parts = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
     # what the stars left: pairs across components that share a prefix shingle
-    parts = parts.select(F.col("node"), F.col("label"))
+    parts = broadcast_if_small(parts.select("node", "label"))
     far = checked.select(F.col("x").alias("node"), F.col("y").alias("hub"), (1 - F.col("inter") / F.col("union")).alias("far"))
-    posts = posts.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node")).join(far, ["node", "hub"], "left")
+    posts = posts.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node")).join(broadcast_if_small(stage(far, "hub-distances")), ["node", "hub"], "left")
     posts = posts.withColumn("far", F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
-    posts = stage(posts.select("s", "node", "n", "pos", "prior", "label", "far"), "labelled-postings")
+    posts = stage(posts.select("s", "node", "n", "pos", "label", "far"), "labelled-postings")
     mixed = posts.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("s")
     posts = posts.join(mixed, "s", "left_semi").join(nodes.select("node", "classes"), "node")
-    a = posts.select("s", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "prior", "label", "far", "classes")))
-    b = posts.select("s", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "prior", "label", "far", "classes")))
+    a = posts.select("s", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "label", "far", "classes")))
+    b = posts.select("s", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "label", "far", "classes")))
     near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    rest = a.join(b, (a["s"] == b["s"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & near & fits(("n_x", "pos_x", "prior_x"), ("n_y", "pos_y", "prior_y")) & _suffix_bound("classes_x", "classes_y", "n_x", "n_y", percent))
+    rest = a.join(b, (a["s"] == b["s"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & near & fits("n_x", "pos_x", "n_y", "pos_y") & _suffix_bound("classes_x", "classes_y", "n_x", "n_y", percent))
     rest = rest.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct().join(checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     more = stage(_checked(rest, nodes, docs, k, percent), "verified-rest").filter(linked)
     return members, links.unionByName(more)
