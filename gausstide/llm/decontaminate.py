@@ -131,7 +131,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame
             return F.aggregate(F.slice("w.window", 2, F.size("w.window")), s, step)
 
         heads = F.filter(F.sequence(F.lit(1), F.size("around")), lambda i: F.element_at("around", i) == F.element_at("w.window", 1))
-        spans = F.filter(F.transform(heads, lambda s: F.struct(s.alias("s"), end_from(s).alias("e"))), lambda x: x["e"].isNotNull() & (x["e"] - x["s"] + 1 <= F.size("w.window") + slop))
+        spans = F.filter(F.transform(heads, lambda s: F.named_struct(F.lit("s"), s, F.lit("e"), end_from(s))), lambda x: x["e"].isNotNull() & (x["e"] - x["s"] + 1 <= F.size("w.window") + slop))
         out = each.select("doc_id", "text_key", "first", F.explode("w.item_ids").alias("item_id"), spans.alias("spans"))
         out = out.select("doc_id", "text_key", "item_id", "first", F.explode("spans").alias("x"))
         out = out.select("doc_id", "text_key", "item_id", (F.col("first") + F.col("x.s") - 1).alias("start"), (F.col("first") + F.col("x.e") - 1).alias("end")).distinct()

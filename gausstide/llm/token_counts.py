@@ -57,10 +57,12 @@ def allocate(lengths: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: st
     """
     n = len(starts)
     tokens, crossing = np.zeros(n), np.zeros(n, np.int64)
+    if not n:
+        return tokens, crossing
     b = np.cumsum(lengths)
     a = b - lengths
     first, last = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
-    one = (last - first == 1) & (a >= starts[np.minimum(first, n - 1)]) & (b <= ends[np.minimum(first, n - 1)]) if n else np.zeros(0, bool)
+    one = (last - first == 1) & (a >= starts[np.minimum(first, n - 1)]) & (b <= ends[np.minimum(first, n - 1)])
     np.add.at(tokens, first[one], 1)
     for i in np.flatnonzero(~one & (first < last)):
         inside = np.arange(first[i], last[i])

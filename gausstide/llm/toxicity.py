@@ -26,9 +26,10 @@ from gausstide.llm.common import table
 #: Labelled documents that the model is fitted on at most, those with the least hashes of their ids.
 FIT_DOCUMENTS = 20_000
 MAX_TERMS = 300
-#: A term's share of toxic documents over its share of others, and the least evidence for it (natural logarithm of the odds against chance).
+#: A term's share of toxic documents over its share of others, and the least evidence for it (natural logarithm of the
+#: odds against chance) beyond the logarithm of the number of terms tried.
 MIN_RATIO = 25.0
-MIN_SURPRISE = 14.0
+MIN_SURPRISE = 2.0
 WINDOW = 40
 QUOTE_DISCOUNT = 0.35
 #: Words that announce someone else's speech.
@@ -168,7 +169,7 @@ def choose_terms(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: in
         return k * math.log(k / n / prior) + (miss * math.log(miss / n / (1 - prior)) if miss else 0.0)
 
     def good(k: int, miss: int) -> bool:
-        return k > 3 * miss and (k + 0.5) / (n_pos + 1) >= MIN_RATIO * (miss + 0.5) / (n_neg + 1) and surprise(k, miss) >= MIN_SURPRISE
+        return k > 3 * miss and (k + 0.5) / (n_pos + 1) >= MIN_RATIO * (miss + 0.5) / (n_neg + 1) and surprise(k, miss) >= MIN_SURPRISE + math.log(max(len(pos), 1))
 
     order = sorted((t for t in pos if good(pos[t], neg.get(t, 0))), key=lambda t: (-round(surprise(pos[t], neg.get(t, 0)), 3), t.endswith("*"), -len(t), t))
     chosen: list[str] = []
