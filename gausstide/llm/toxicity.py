@@ -2,8 +2,7 @@
 
 The lexicon (whole words, and stems that stand for all words beginning with them) is learned from labelled documents of
 the training folds: distributed counts of words and prefixes by label. It is kept as a trie. A word is matched by
-intersecting its Levenshtein automaton with the trie: the automaton's states are rows of edit distances, walked along
-the trie's edges and cut where no row entry is within the allowed distance. Each (term, distance) has a weight measured
+intersecting the terms' Levenshtein automata with the trie, as one automaton built as words need it. Each (term, distance) has a weight measured
 on the training documents, so an edit distance at which a term also meets ordinary words weighs nothing. Matches are
 summed over context windows; matches between quotation marks or after words of attribution count at a discount. A
 logistic model turns a document's window sums into its score.
@@ -15,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ ATTRIBUTION = frozenset(["said", "says", "quote", "quoted", "wrote", "called", "
 QUOTES = frozenset('"“”«»„')
 TOKEN = re.compile(r"\w+|[\"“”«»„]")
 MEMO = 300_000
+#: States of the automaton after which a worker starts it anew.
+MAX_STATES = 100_000
 FEATURES = 4
 
 
@@ -50,11 +52,15 @@ def allowed_edits(term: str) -> int:
 
 
 class Trie:
-    """Terms ("word" whole, "stem*" for all words that begin so), matched within their allowed edits."""
+    """Terms ("word" whole, "stem*" for all words that begin so), matched within their allowed edits.
+
+    The product of the terms' Levenshtein automata with the trie is run as one deterministic automaton that is built as
+    words need it. A state holds, for each live node of the trie, the edits between what was read and the node's prefix;
+    nodes beyond the edits that any term below them allows are dead, so most words end in the empty state early.
+    """
 
     def __init__(self, terms: list[str]):
         self.terms, self.next, self.ends, self.most = terms, [{}], [[]], [0]
-        parts = set()
         for i, t in enumerate(terms):
             bare = t.rstrip("*")
             at, k = 0, allowed_edits(bare)
@@ -67,31 +73,78 @@ class Trie:
                     self.most.append(0)
                 at = self.next[at][c]
                 self.most[at] = max(self.most[at], k)
-            self.ends[at].append((i, t.endswith("*"), k))
-            # a word within k edits of a term holds one of its k + 1 parts unchanged
-            cut = [len(bare) * j // (k + 1) for j in range(k + 2)]
-            parts.update(bare[a:b] for a, b in zip(cut, cut[1:]) if b > a)
-        self.parts = re.compile("|".join(map(re.escape, sorted(parts)))) if parts else None
+            self.ends[at].append((i, t.endswith("*"), k, -len(bare)))
+        self.letters = {c for children in self.next for c in children}
+        self._restart()
+
+    def _restart(self) -> None:
+        self.known, self.nodes, self.steps, self.on_stem, self.on_word = {}, [], [], [], []
+        self._state({})
+        self._state(self._deletions({0: 0}))
+
+    def _deletions(self, live: dict[int, int]) -> dict[int, int]:
+        """``live`` with the nodes reached by leaving out letters of the term. Children are numbered above their parents."""
+        todo = list(live)
+        while todo:
+            node = todo.pop()
+            d = live[node] + 1
+            for child in self.next[node].values():
+                if d <= self.most[child] and d < live.get(child, 99):
+                    live[child] = d
+                    todo.append(child)
+        return live
+
+    def _state(self, live: dict[int, int]) -> int:
+        key = tuple(sorted(live.items()))
+        if key not in self.known:
+            self.known[key] = len(self.nodes)
+            self.nodes.append(live)
+            self.steps.append({})
+            reached = [(d, length, i, stem) for node, d in live.items() for i, stem, k, length in self.ends[node] if d <= k]
+            self.on_stem.append(min((r[:3] for r in reached if r[3]), default=None))
+            self.on_word.append(min((r[:3] for r in reached), default=None))
+        return self.known[key]
+
+    def _step(self, state: int, c: str) -> int:
+        live: dict[int, int] = {}
+        for node, d in self.nodes[state].items():
+            if d < self.most[node] and d + 1 < live.get(node, 99):
+                live[node] = d + 1
+            for letter, child in self.next[node].items():
+                e = d + (letter != c)
+                if e <= self.most[child] and e < live.get(child, 99):
+                    live[child] = e
+        return self._state(self._deletions(live))
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(term, distance) of the nearest term, the longest first; None without one."""
-        if self.parts is None or len(word) > 64 or not self.parts.search(word):
+        """(term, distance) of the nearest term, of equally near ones the longest, then the first; None without one."""
+        if len(word) > 64:
             return None
-        best = None
-        stack = [(0, tuple(range(len(word) + 1)), 0)]
-        while stack:
-            node, row, depth = stack.pop()
-            for i, stem, k in self.ends[node]:
-                d = min(row) if stem else row[-1]
-                if d <= k and (best is None or (d, -depth) < best[0]):
-                    best = ((d, -depth), (i, d))
-            for c, child in self.next[node].items():
-                new = [row[0] + 1]
-                for j, w in enumerate(word):
-                    new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (w != c)))
-                if min(new) <= self.most[child]:
-                    stack.append((child, tuple(new), depth + 1))
-        return best[1] if best else None
+        if len(self.nodes) > MAX_STATES:
+            self._restart()
+        state, best, letters, steps, on_stem = 1, None, self.letters, self.steps, self.on_stem
+        for c in word:
+            if c not in letters:
+                c = ""
+            to = steps[state].get(c)
+            if to is None:
+                to = steps[state][c] = self._step(state, c)
+            state = to
+            if not state:
+                break
+            found = on_stem[state]
+            if found is not None and (best is None or found < best):
+                best = found
+        found = self.on_word[state]
+        if found is not None and (best is None or found < best):
+            best = found
+        return (best[2], best[0]) if best else None
+
+
+@lru_cache(maxsize=2)
+def _trie(terms: tuple[str, ...]) -> Trie:
+    """The trie and its automaton, kept by each Python worker from task to task."""
+    return Trie(list(terms))
 
 
 class Matcher(dict):
@@ -190,7 +243,7 @@ def _sample_rows(trie_terms: list[str]):
     """Per training document: its matches (term, distance) with weight 1, for the weights; kept small by the fit bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(Trie(trie_terms))
+        matcher = Matcher(_trie(tuple(trie_terms)))
         for batch in batches:
             rows = []
             for text in batch.column("text"):
@@ -203,7 +256,7 @@ def _sample_rows(trie_terms: list[str]):
 
 def _feature_rows(terms: list[str], weights: np.ndarray, model: np.ndarray | None, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(Trie(terms))
+        matcher = Matcher(_trie(tuple(terms)))
         for batch in batches:
             rows, hits = [], []
             for text in batch.column("text"):
