@@ -168,6 +168,29 @@ def test_licences_against_brute_force(spark):
     assert set(got) == set(want) and all(got[d][1] == want[d][1] and abs(got[d][0] - want[d][0]) < 1e-6 for d in got)
 
 
+def test_common_notices_count(spark):
+    """A notice in a third of the documents, and one that two tiny files share."""
+    mit, gpl = "Released under the MIT License", "This work is licensed under the GNU General Public License, version 3"
+    many = [(i, f"{mit}\nx{i} y" if i % 3 == 0 else f"the work of q{i}\nx{i} y") for i in range(300)]
+    for rows, want in ((many, {i: "MIT" for i in range(0, 300, 3)}), ([(1, gpl), (2, gpl), (3, "other words")], {1: "GPL-3.0", 2: "GPL-3.0"})):
+        got = {r.doc_id: r.own_licence for r in licences.own_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == want
+
+
+def test_no_line_within_reach_is_set_aside(spark):
+    """Against the cosine of every line with every template, without any filter."""
+    rng = random.Random(12)
+    words = [w for _, t in licences.TEMPLATES for w in t.split()] + ["zeta", "eta"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for i in range(150)] + [(200 + i, t + " zeta" * (i % 4) + " the" * (i % 3)) for i, (_, t) in enumerate(licences.TEMPLATES * 3)]
+    got = {r.doc_id: (round(-r.cosine, 6), r.own_licence) for r in licences.own_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share, licences.COMMON_SHARE = licences.COMMON_SHARE, 1.0  # the reference without its filter
+    try:
+        want = brute_licences(rows)
+    finally:
+        licences.COMMON_SHARE = share
+    assert got == {d: (round(c, 6), name) for d, (c, name) in want.items()}
+
+
 def test_inheritance(spark):
     plain, mit, gpl = "nothing here", "Released under the MIT License", "This work is licensed under the GNU General Public License, version 3"
     rows = [(1, "repo/LICENSE", mit, True), (2, "repo/a/LICENSE", gpl, True), (3, "repo/a/b/c.py", plain, False), (4, "repo/x/y.py", plain, False), (5, "repo/a/own.py", mit, False), (6, "other/z.py", plain, False), (7, None, plain, False), (8, "top.py", None, None)] + [(100 + i, "big/f", "\n".join(["filler words only"] * 60), False) for i in range(5)]
