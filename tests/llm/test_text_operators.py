@@ -214,6 +214,64 @@ def test_signature_depends_on_numbered_kmers_and_order(spark):
     assert len(brute_signature(a)) == 79
 
 
+def test_likeness_at_every_length_and_without_blanks(spark):
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    spaced = " ".join(word(5) for _ in range(40))
+    pairs = [(spaced[:100], spaced[:101]), (spaced[:99], spaced[:101]), (spaced[:130], spaced[:98])]  # around 100 code points
+    for n in (101, 400, 5_000):  # a run without blanks, with a character set into it, with another last quarter
+        t = word(n)
+        pairs += [(t, t[: n // 2] + "é" + t[n // 2 :]), (t, t[: n - n // 4] + word(n // 4))]
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(600))
+    pairs += [(han, "x" + han), (spaced, spaced[1:])]
+    far = [(word(600), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(600)))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs + far)], "i long, a string, b string")
+    for c in "ab":
+        df = order_minhash.with_signature(df, c, f"s{c}")
+    got = [r.l for r in df.select("i", order_minhash.likeness("sa", "sb").alias("l")).orderBy("i").collect()]
+    assert all(x >= 0.2 for x in got[:-1]) and got[-1] == 0, got
+
+
+def python_signature(text, hashes, k=2, size=2, sketch=32):
+    """Order MinHash in plain Python over given hashes: ``hashes(rows)`` is Spark's xxhash64 of each row of values."""
+    head, tail = text[: order_minhash.SHORT], re.split("[ \t\n\x0b\x0c\r]+", text[order_minhash.SHORT :])
+    units = list(head) + [u for w in tail if w for u in (w if len(w) > order_minhash.RUN else [w])]
+    grams = [tuple(units[i : i + k]) for i in range(max(1, len(units) - k + 1))] if units else []
+    bare = [h >> 24 for h in hashes(grams)]
+    seen, numbered = Counter(), []
+    for b in bare:
+        numbered.append((b, seen[b]))
+        seen[b] += 1
+    marks = [h >> 24 for h in hashes(numbered)]
+    parts = defaultdict(list)
+    for i, m in enumerate(marks):
+        parts[(m & (2**40 - 1)) >> 35].append((m, i))
+    out = {}
+    for p, members in parts.items():
+        least = sorted(members)[:size]
+        out[p] = [m for m, _ in sorted(least, key=lambda x: x[1])]
+    return out
+
+
+def test_signature_against_python(spark):
+    def hashes(rows):
+        if not rows:
+            return []
+        kinds = "string" if isinstance(rows[0][0], str) else "long"
+        given = spark.createDataFrame([(n, *r, *[None] * (2 - len(r))) for n, r in enumerate(rows)], f"n long, a {kinds}, b {'string' if kinds == 'string' else 'int'}")
+        return [r.h for r in given.select("n", F.xxhash64("a", "b").alias("h")).orderBy("n").collect()]
+
+    rng = random.Random(5)
+    texts = ["", "a", "aaaa bbbb aaaa", " ".join(rng.choice(["one", "two", "three", "x" * 17, "y" * 16]) for _ in range(120))]
+    df = order_minhash.with_signature(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), "t", "s")
+    got = {r.i: r.s for r in df.collect()}
+    for i, t in enumerate(texts):
+        want = python_signature(t, hashes)
+        named = spark.createDataFrame([(p, m) for p, m in want.items()] or [(0, [0])], "p long, m array<long>").select("p", F.xxhash64("m").alias("h")).collect()
+        want = {(r.p << 59 | (r.h % 2**64) >> 5) % 2**64 for r in named} if want else set()
+        assert {x % 2**64 for x in got[i]} == want and len(got[i]) == len(want)
+
+
 # ---- operator 4
 
 
