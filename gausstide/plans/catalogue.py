@@ -74,6 +74,12 @@ def top_n_keys(spark, sf_dir):
     return grid.top_keys(v.L(spark, sf_dir), 264, 10).groupBy("k", "rank").agg(F.sum("c").alias("total"))
 
 
+@query(sql(f"select k, rank::int as rank, sum(c) as total from (with {_SCORES} select l.k, rank, c from l join rk using (k) where rank <= 10) group by all", "l_all"))
+def top_n_keys_all_days(spark, sf_dir):
+    """top_n_keys with totals over all ship days; the early steps only choose the keys."""
+    return grid.top_keys(v.L_all(spark, sf_dir), 264, 10).groupBy("k", "rank").agg(F.sum("c").alias("total"))
+
+
 _PROFILE = "pr as (select k, avg(c) as center, case when stddev_pop(c) >= 1e-8 then stddev_pop(c) else 1 end as scale from e where i < 264 group by k)"
 
 

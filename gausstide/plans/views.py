@@ -1,7 +1,8 @@
 """The driver's tables as inputs of the engine, and the same views as SQL.
 
 E: hourly event counts by type (720 hours). E2: click and view only. S2: states of E2, 24 h windows, 4 h step (175).
-O: daily order counts by priority (2,405 days). B: 7-day blocks of O (343).
+O: daily order counts by priority (2,405 days). B: 7-day blocks of O (343). L: daily line counts by supplier, the first
+600 days, as its SQL has it; L_all: from the first to the last ship day.
 """
 
 from __future__ import annotations
@@ -52,6 +53,12 @@ def L(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
     return grid.filled_grid(daily, "1995-01-02 00:00:00", 600, "day")
 
 
+def L_all(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    daily = grid.counts(read(spark, sf_dir, "lineitem"), "l_shipdate", "l_suppkey", "day")
+    first, days = daily.agg(F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss"), F.datediff(F.max("ts"), F.min("ts")) + 1).first()
+    return grid.filled_grid(daily, first or "1995-01-02 00:00:00", days or 0, "day")
+
+
 SQL = {
     "e": """hrs as (select (date_part('epoch', date_trunc('hour', ts::timestamp)) - date_part('epoch', timestamp '2024-01-01'))::bigint // 3600 as i, event_type as k, count(*) as n
       from events where ts is not null and event_type is not null group by all),
@@ -60,6 +67,9 @@ SQL = {
     o as (select g.i::int as i, ks.k, coalesce(n, 0)::double as c from (select unnest(range(2405)) as i) g cross join (select distinct k from dys) ks left join dys using (i, k))""",
     "l": """ldy as (select date_diff('day', date '1995-01-02', l_shipdate::date) as i, l_suppkey::varchar as k, count(*) as n from lineitem group by all),
     l as (select g.i::int as i, ks.k, coalesce(n, 0)::double as c from (select unnest(range(600)) as i) g cross join (select distinct k from ldy) ks left join ldy using (i, k))""",
+    "l_all": """ldy as (select l_shipdate::date as day, l_suppkey::varchar as k, count(*) as n from lineitem where l_shipdate is not null and l_suppkey is not null group by all),
+    lsp as (select min(day) as a, max(day) as b from ldy), ldi as (select date_diff('day', a, day) as i, k, n from ldy cross join lsp),
+    l as (select g.i::int as i, ks.k, coalesce(n, 0)::double as c from (select unnest(range(date_diff('day', a, b) + 1)) as i from lsp) g cross join (select distinct k from ldi) ks left join ldi using (i, k))""",
     "s2": """v as (select i, max(case when k = 'click' then c end) as x, max(case when k = 'view' then c end) as y from e group by i),
     w as (select t::int as t, x, y from (select unnest(range(175)) as t) join v on i >= 4 * t and i < 4 * t + 24),
     s2 as (select t, avg(x) as mx, avg(y) as my, (sum(x*x) - sum(x)*sum(x)/24)/23 + 1e-5 as a, (sum(x*y) - sum(x)*sum(y)/24)/23 as b, (sum(y*y) - sum(y)*sum(y)/24)/23 + 1e-5 as d from w group by t)""",

@@ -32,6 +32,14 @@ def test_against_sql(spark, name):
     assert a.equals(b)
 
 
+def test_top_keys_over_all_ship_days(spark):
+    test_against_sql(spark, "top_n_keys_all_days")
+    lines = pd.read_parquet(f"{SF}/lineitem.parquet", columns=["l_shipdate", "l_suppkey"]).dropna()
+    whole = lines.groupby(lines["l_suppkey"].astype(str)).size()
+    got = catalogue.queries()["top_n_keys_all_days"](spark, SF).collect()
+    assert len(got) == 10 and all(r.total == whole[r.k] for r in got)
+
+
 @pytest.mark.parametrize("d", [1, 2, 5, 30])
 def test_matrix_invariants(d):
     rng = np.random.default_rng(d)
