@@ -218,6 +218,15 @@ def differences(panel: DataFrame, value: str, target: str, comparator: str) -> D
     return wide.select("origin", "horizon", "target_index", (F.col(f"`{target}`") - F.col(f"`{comparator}`")).alias("difference"))
 
 
+def all_differences(panel: DataFrame, values: list[str], pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """``differences`` of each value (metric) for each (family, target, comparator) of ``pairs``; the panel is read once."""
+    methods = sorted({m for _, *both in pairs for m in both})
+    of_metric = F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).alias("value")) for v in values))).alias("m")
+    wide = panel.select("origin", "horizon", "target_index", "method", of_metric).groupBy("origin", "horizon", "target_index", "m.metric").pivot("method", methods).agg(F.first("m.value"))
+    each = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(t).alias("target"), F.lit(c).alias("comparator"), (F.col(f"`{t}`") - F.col(f"`{c}`")).alias("difference")) for f, t, c in pairs))
+    return wide.select("origin", "horizon", "target_index", "metric", F.inline(each))
+
+
 def best_baseline(summary: DataFrame, by: list[str], baselines: list[str], value: str = "mean") -> DataFrame:
     """(by, best_method, best): the baseline of least loss, ties in the order given."""
     order = F.array_position(F.array(*map(F.lit, baselines)), F.col("method"))

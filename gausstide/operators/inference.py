@@ -22,14 +22,16 @@ def block_means(by_origin: list[np.ndarray], block: int, draws: int, seed: int)
     rng = np.random.default_rng(seed)
     total = sum(map(len, by_origin))
     sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in by_origin]
+    sizes = [min(block, len(v)) for v in by_origin]
+    blocks = [-(-len(v) // size) for v, size in zip(by_origin, sizes, strict=True)]
+    # one array has the same stream as single draws in order of draw, origin, block
+    ends = np.concatenate([np.full(b, len(v) - size + 1) for v, size, b in zip(by_origin, sizes, blocks, strict=True)])
+    starts = iter(rng.integers(0, np.broadcast_to(ends, (draws, len(ends)))).T)
     out = np.zeros(draws)
-    for i in range(draws):
-        for v, c in zip(by_origin, sums, strict=True):
-            size, left = min(block, len(v)), len(v)
-            while left > 0:
-                at = int(rng.choice(len(v) - size + 1))
-                out[i] += c[at + min(size, left)] - c[at]
-                left -= size
+    for v, c, size, b in zip(by_origin, sums, sizes, blocks, strict=True):
+        for j in range(b):
+            at = next(starts)
+            out += c[at + min(size, len(v) - j * size)] - c[at]
     return out / total
 
 

@@ -519,7 +519,7 @@ def rolling_reference(spark, sf_dir):
 def _panel(spark, sf_dir):
     s2 = v.S2(spark, sf_dir)
     raw = states.vectors(v.E2(spark, sf_dir))
-    return evaluation.target_panel(s2, v.SPLITS[:2], [3], evaluation.METHODS, raw, v.WINDOW, v.STEP)
+    return evaluation.target_panel(s2, v.SPLITS, HORIZONS, evaluation.METHODS, raw, v.WINDOW, v.STEP)
 
 
 @query()
@@ -534,14 +534,16 @@ def panel_completeness(spark, sf_dir):
 
 @query()
 def local_chart_forecast(spark, sf_dir):
-    return evaluation.target_panel(v.S2(spark, sf_dir), v.SPLITS[:1], [3], ["persistence", "transport_local"])
+    return evaluation.target_panel(v.S2(spark, sf_dir), v.SPLITS, HORIZONS, ["persistence", "transport_local"])
 
 
 @query()
 def paired_inference(spark, sf_dir):
-    p = _panel(spark, sf_dir)
-    parts = [evaluation.differences(p, "w2", "transport_fixed", m).withColumn("comparator", F.lit(m)) for m in ("persistence", "euclidean", "cholesky", "log_euclidean")]
-    return inference.paired_inference(grid.union_all(parts), ["comparator", "horizon"], ["horizon"], draws=400)
+    """Both transport methods against the five others, and against each other in a family of their own, on both losses."""
+    targets = [m for m in evaluation.METHODS if m.startswith("transport")]
+    pairs = [("others", t, m) for t in targets for m in evaluation.METHODS if m not in targets] + [("transport", "transport_local", "transport_fixed")]
+    differences = evaluation.all_differences(_panel(spark, sf_dir), ["raw_rmse", "w2"], pairs)
+    return inference.paired_inference(differences, ["family", "target", "metric", "comparator", "horizon"], ["family", "target", "metric", "horizon"])
 
 
 # a loss table from orders, for the tables around panels: origin = month, method = priority
@@ -594,19 +596,19 @@ def holm_adjust(spark, sf_dir):
 
 @query()
 def moving_block_bootstrap(spark, sf_dir):
-    return inference.bootstrap_means(_loss_table(spark, sf_dir), ["method"], "loss", draws=500)
+    return inference.bootstrap_means(_loss_table(spark, sf_dir), ["method"], "loss")
 
 
 @query()
 def circular_block_bootstrap(spark, sf_dir):
     rows = _loss_table(spark, sf_dir).withColumn("i", F.col("origin") * 12 + F.col("target_index"))
-    return inference.circular_intervals(rows, ["method"], "loss", "i", draws=500)
+    return inference.circular_intervals(rows, ["method"], "loss", "i")
 
 
 @query()
 def circular_block_bootstrap_at_scale(spark, sf_dir):
     rows = _loss_table(spark, sf_dir).withColumn("i", F.col("origin") * 12 + F.col("target_index"))
-    return inference.circular_intervals_at_scale(rows, ["method"], "loss", "i", draws=500)
+    return inference.circular_intervals_at_scale(rows, ["method"], "loss", "i")
 
 
 _SHRINK = """select coalesce(min(case when worst <= 3 then r end), min_by(r, worst)) as shrinkage from (select r, max(q) as worst from (select r, t % 4 as panel, quantile_cont(((1-r)*l2 + r*h) / ((1-r)*l1 + r*h), 0.9) as q
@@ -634,7 +636,7 @@ def spatial_panels(spark, sf_dir):
 @query()
 def covariance_pooled_by_label(spark, sf_dir):
     """Full-dimension covariance by label, shrunk so that few vectors still give a definite matrix."""
-    e = v.read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("t"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"))
+    e = v.read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     s = states._states(states._moments(e), 0.0, 0.2)
     return s.select("t", "n", la.call("condition", "cov").alias("condition"), la.call("is_spd", "cov").alias("spd"))
 

@@ -116,6 +116,51 @@ def test_holm_and_bootstrap(spark):
     assert abs(inference.circular_means(v, 3, 4000, np.random.default_rng(1)).mean() - v.mean()) < 0.1
 
 
+def test_block_means_keep_the_stream():
+    def one_by_one(by_origin, block, draws, seed):
+        rng = np.random.default_rng(seed)
+        out = []
+        for _ in range(draws):
+            parts = []
+            for v in by_origin:
+                size, left = min(block, len(v)), len(v)
+                while left > 0:
+                    at = int(rng.choice(len(v) - size + 1))
+                    parts.append(v[at : at + min(size, left)])
+                    left -= size
+            out.append(np.concatenate(parts).mean())
+        return np.array(out)
+
+    rng = np.random.default_rng(6)
+    v = [rng.normal(size=n) for n in (24, 16, 5, 2, 1)]
+    for block in (3, 6):
+        assert np.allclose(inference.block_means(v, block, 50, 9), one_by_one(v, block, 50, 9), atol=1e-12)
+
+
+def test_registered_panel_and_inference_are_whole(spark):
+    q, sf = catalogue.queries(), "/root/testdata/sf0.001"
+    panel = q["target_panel"](spark, sf).toPandas()
+    cells = {(s[0], h, m) for s in catalogue.v.SPLITS for h in catalogue.HORIZONS for m in evaluation.METHODS}
+    assert set(zip(panel.origin, panel.horizon, panel.method, strict=True)) == cells
+    assert len(panel) == sum(s[3] - s[2] for s in catalogue.v.SPLITS) * len(catalogue.HORIZONS) * len(evaluation.METHODS)
+    got = q["paired_inference"](spark, sf).toPandas()
+    assert len(got) == (2 * 5 + 1) * 2 * 3 and set(got[got.family == "others"].comparator) == {"persistence", "raw_var", "euclidean", "cholesky", "log_euclidean"}
+    count = got.p * 10_001  # of 10,000 draws
+    assert np.allclose(count, count.round(), atol=1e-6) and not np.allclose(got.p * 401, (got.p * 401).round(), atol=1e-6)
+    r = got[(got.target == "transport_local") & (got.comparator == "raw_var") & (got.metric == "raw_rmse") & (got.horizon == 4)].iloc[0]
+    wide = panel[panel.horizon == 4].pivot(index=["origin", "target_index"], columns="method", values="raw_rmse")
+    assert r["n"] == len(wide) and np.isclose(r["mean"], (wide.transport_local - wide.raw_var).mean())
+
+
+def test_pooled_covariance_has_all_coordinates(spark):
+    e = pd.read_parquet(f"{SF}/embeddings.parquet")
+    for r in catalogue.queries()["covariance_pooled_by_label"](spark, SF).collect():
+        x = np.stack(e[e.label == r.t].embedding).astype(float)
+        c = np.cov(x, rowvar=False)
+        c = 0.8 * c + 0.2 * np.trace(c) / x.shape[1] * np.eye(x.shape[1])
+        assert x.shape[1] == 64 and r.n == len(x) and r.spd and np.isclose(r.condition, np.linalg.cond(c), rtol=1e-6)
+
+
 def test_panel_checks(spark):
     panel = spark.createDataFrame([(0, 3, 10, "x", 1.0, 1.0), (0, 3, 10, "x", 1.0, 1.0), (1, 3, 10, "y", float("nan"), 1.0), (0, 3, 11, "x", 1.0, 1.0)], "origin int, horizon int, target_index int, method string, raw_rmse double, w2 double")
     found = {r.problem: r.n for r in evaluation.panel_problems(panel, ["x", "y"]).collect()}
