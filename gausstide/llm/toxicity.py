@@ -25,7 +25,6 @@ from gausstide.llm.common import table
 
 #: Labelled documents that the model is fitted on at most, those with the least hashes of their ids.
 FIT_DOCUMENTS = 20_000
-MAX_TERMS = 300
 #: A term's share of toxic documents over its share of others, and the least evidence for it (natural logarithm of the
 #: odds against chance) beyond the logarithm of the number of terms tried.
 MIN_RATIO = 25.0
@@ -118,8 +117,6 @@ class Trie:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, distance) of the nearest term, of equally near ones the longest, then the first; None without one."""
-        if len(word) > 64:
-            return None
         if len(self.nodes) > MAX_STATES:
             self._restart()
         state, best, letters, steps, on_stem = 1, None, self.letters, self.steps, self.on_stem
@@ -210,7 +207,7 @@ def _counted(keep: frozenset | None, label: int):
 def choose_terms(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> list[str]:
     """Terms far likelier in toxic documents, those with most evidence first; of equal evidence whole words, then the longest.
 
-    A term that a chosen stem covers is skipped, and so is a stem whose evidence is that of chosen longer terms.
+    Every term with enough evidence is taken, however many there are. A term that a chosen stem covers is skipped, and so is a stem whose evidence is that of chosen longer terms.
     """
     prior = max(n_pos, 1) / max(n_pos + n_neg, 1)
 
@@ -234,8 +231,6 @@ def choose_terms(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: in
         if inside and not good(pos[t] - sum(pos[c] for c in inside), neg.get(t, 0)):
             continue
         chosen.append(t)
-        if len(chosen) >= MAX_TERMS:
-            break
     return chosen
 
 

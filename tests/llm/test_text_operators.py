@@ -323,6 +323,14 @@ def test_trie_against_brute_force():
         assert (found[1] if found else None) == best
 
 
+def test_long_words_match_and_no_term_is_cut():
+    trie = toxicity.Trie(["vilify*", "scoundrel"])
+    assert trie.match("vilify_" + "x" * 100) == (0, 0) and trie.match("vilify" + "y" * 50_000) == (0, 0)
+    assert trie.match("x" * 50_000) is None and trie.match("scoundrel" + "x" * 100) is None
+    terms = {f"t{i:03d}word": 100 for i in range(450)}
+    assert set(toxicity.choose_terms(terms, {}, 450, 4_000)) == set(terms)
+
+
 def test_quotation_scores_lower():
     matcher = toxicity.Matcher(toxicity.Trie(["scoundrel"]))
     weights = np.array([[4.0, 3.0, 0.0]])
