@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of ``documents``. SQL cannot express the learned toxicity score, so
-there is no ORACLE_SQL; tests hold the stages against brute force.
+there is no ORACLE_SQL. Tests look at each stage's columns and a few properties of its rows; no test holds the kept ids
+against brute force.
 """
 
 from __future__ import annotations
