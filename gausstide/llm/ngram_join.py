@@ -1,14 +1,20 @@
 """Operator 7: Jaccard self-join of word n-gram sets, by rare-first prefixes.
 
-1. Shingles are counted by documents, in chunks of CHUNK documents inside each task; a chunk reports those it meets more
-   than once. A shingle of more documents than there are chunks is met twice in one, so none that is common escapes, and
-   the sums give all documents one order, rare first. Frequent are those in a ten-thousandth of all documents or more, at
-   most 10,000 times the mean number of shingles of a document, however large the input is; only these are broadcast.
-2. Equal sets become one node. A node posts the prefix of its ordered set: two sets that link share a prefix shingle.
-3. In every group of a prefix shingle, each node is first compared with one hub only, the one with fewest rare shingles. Links of these stars are joined into
-   components. Then pairs inside a group are formed only across components, and only where the triangle inequality of the
-   Jaccard distance over the hub leaves a link possible; so a group of thousands of near copies costs a row each, not all
-   its pairs, and no link between components is missed.
+1. A first scan gives every document's set size and a digest of its set, and counts shingles by documents, in chunks of
+   CHUNK documents inside each task; a chunk reports those it meets more than once. A shingle of more documents than
+   there are chunks is met twice in one, so none that is common escapes, and the sums give all documents one order, rare
+   first. Frequent are those in a ten-thousandth of all documents or more: at most 10,000 times the mean number of
+   shingles of a document, however large the input is (at 450 shingles a document 4.5 million, 72 MB); only these are
+   broadcast.
+2. Equal sets become one node. A node posts the prefix of its ordered set: two sets that link share a prefix shingle. The
+   postings are shuffled once, by shingle. Inside a shingle they are ordered by set size, and one is kept only if a
+   neighbour in that order can link with it: the smaller of two sets must hold the shingle early enough for the overlap
+   that the link needs.
+3. In every group of a prefix shingle, each node is first compared with one hub only, the one with fewest rare shingles.
+   Links of these stars are joined into components. Then pairs inside a group are formed only across components, in
+   buckets of set size, and only where the triangle inequality of the Jaccard distance over the hub leaves a link
+   possible; so a group of thousands of near copies costs a row each, not all its pairs, and no link between components
+   is missed.
 4. Length, positional and suffix filters (counts of shingles by hash class bound the overlap) are part of the join or come
    before verification; each pair is verified once, on whole sets rebuilt from the two texts.
 """
@@ -16,6 +22,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from gausstide.llm.common import broadcast_if_small, components, stage, table
+from gausstide.llm.common import broadcast_if_small, components, scratch, stage, table, text_key
 
 #: A shingle is frequent from this share of all documents on.
 FREQUENT_SHARE = 1e-4
@@ -100,65 +108,76 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
     return (x.as_py() for x in batch.column(name))
 
 
-def _chunk_counts(k: int):
-    """(shingle, documents) of the shingles that a chunk of documents meets more than once; equal sets count once in a chunk."""
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
-    def counted(chunk: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+
+def _first_scan(k: int):
+    """Rows of two kinds: (doc_id, text_key, n, digest) of every document, and (s, df) of the shingles that a chunk of documents meets more than once; equal sets count once in a chunk."""
+
+    def counted(chunk: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         if chunk:
             s, n = np.unique(np.concatenate(chunk), return_counts=True)
             more = n > 1
             if more.any():
-                yield pa.RecordBatch.from_arrays([pa.array(s[more].view(np.int64)), pa.array(n[more].astype(np.int64))], ["s", "n"])
+                columns = [pa.nulls(int(more.sum()), f.type) for f in list(schema)[:4]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(s[more].view(np.int64)), pa.array(n[more].astype(np.int64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, seen, docs, size = [], set(), 0, 0
+        chunk, seen, docs, size, schema = [], set(), 0, 0, None
         for batch in batches:
+            schema = schema or pa.schema([("doc_id", batch.schema.field("doc_id").type), ("text_key", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("s", pa.int64()), ("df", pa.int64())])
+            sizes, digests = [], []
             for own in _sets_of(_texts(batch, "text"), k):
                 docs += 1
-                digest = own.tobytes() if len(own) < 4 else hashlib.blake2b(own.tobytes(), digest_size=8).digest()
+                sizes.append(len(own))
+                digests.append(digest := _digest(own) if len(own) else None)
                 if digest not in seen:
                     seen.add(digest)
                     chunk.append(own)
                     size += len(own)
                 if docs >= CHUNK or size >= CHUNK_SHINGLES:
-                    yield from counted(chunk)
+                    yield from counted(chunk, schema)
                     chunk, seen, docs, size = [], set(), 0, 0
-        yield from counted(chunk)
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+        if schema:
+            yield from counted(chunk, schema)
 
     return run
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(counts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counted documents of the frequent shingles; see the module text for their bound."""
-    n = docs.count()
-    found = docs.select("text").mapInArrow(_chunk_counts(k), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, int(n * FREQUENT_SHARE)))
+    found = counts.groupBy("s").agg(F.sum("df").alias("df")).filter(F.col("df") >= max(2, int(n_docs * FREQUENT_SHARE)))
     got = found.toArrow()
-    shingles, df = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.int64)
+    shingles, df = got.column("s").to_numpy().view(np.uint64), got.column("df").to_numpy().astype(np.int64)
     order = np.argsort(shingles)
     return shingles[order], df[order]
 
 
 def _sets(frequent, k: int, percent: int):
-    """Per document: size of its set, members that are not frequent, digest of the set, the prefix in rare-first order, and the counts by hash class."""
+    """Per document with words: size of its set, members that are not frequent, digest of the set, the prefix in rare-first order, and the counts by hash class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df = frequent.value
         for batch in batches:
-            rows = []
-            for hashes in _sets_of(_texts(batch, "text"), k):
+            rows, kept = [], []
+            for i, hashes in enumerate(_sets_of(_texts(batch, "text"), k)):
                 n = len(hashes)
-                prefix = hashes
-                if n:
-                    at = np.searchsorted(known, hashes)
-                    at[at == len(known)] = 0
-                    ranks = np.where(known[at] == hashes, df[at], 0) if len(known) else np.zeros(n, np.int64)
-                    prefix = hashes[np.argsort(ranks, kind="stable")[: n - -(-percent * n // 100) + 1]]  # hashes are sorted: the order among equals
+                if not n:
+                    continue
+                at = np.searchsorted(known, hashes)
+                at[at == len(known)] = 0
+                ranks = np.where(known[at] == hashes, df[at], 0) if len(known) else np.zeros(n, np.int64)
+                prefix = hashes[np.argsort(ranks, kind="stable")[: n - -(-percent * n // 100) + 1]]  # hashes are sorted: the order among equals
                 classes = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
-                digest = int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
-                rows.append((n, int((ranks == 0).sum()) if n else 0, digest, prefix.view(np.int64), np.minimum(classes, FULL).astype(np.int16)))
+                rows.append((n, int((ranks == 0).sum()), _digest(hashes), prefix.view(np.int64), np.minimum(classes, FULL).astype(np.int16)))
+                kept.append(i)
             if rows:
                 n, rare, digest, prefix, classes = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(digest, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int16()))], ["doc_id", "n", "rare", "node", "prefix", "classes"])
+                ids = [batch.column(c).take(pa.array(kept)) for c in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int16()))], ["doc_id", "text_key", "n", "rare", "digest", "prefix", "classes"])
 
     return run
 
@@ -188,89 +207,178 @@ def _verify(k: int):
     return run
 
 
-def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, n_shingles, node) of all documents and links (x, y, inter, union) between nodes that suffice for the components.
+def _postings(nodes: DataFrame, percent: int) -> DataFrame:
+    """(s, node, n, pos, hub, hub_n, hub_pos): the postings that can link with another of their shingle, and the group's hub.
 
-    Words are what stands between ASCII white space, A-Z lower-cased. A set holds the distinct runs of ``k`` words; with
-    fewer words the whole sequence is the one member; without words (null and empty texts too) it is empty, node is null,
-    and nothing links. Two sets link when 100 * intersection >= percent * union. Equal sets share a node, so copies and
-    repeated rows are one node however many they are. Shingles are 64-bit hashes, nodes 64-bit digests of whole sets.
+    A set of n members needs an overlap of 2p/(100+p) n with one that is no smaller, so as the smaller one it must hold
+    their first common shingle within that much of its end (``early``); the larger may hold it anywhere in its prefix.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
-    sets = stage(docs.mapInArrow(_sets(frequent, k, percent), "doc_id long, n int, rare int, node long, prefix array<long>, classes array<smallint>"), "shingle-sets")
-    members = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    least = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stage(sets.join(least, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]), "nodes")
-
     posts = nodes.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "s"))
+    n = F.col("n").cast("long")
+    early = (n - F.col("pos")) * (100 + percent) >= 2 * percent * n
+    ordered = W.partitionBy("s").orderBy("n", "node")
+    below = F.last(F.when(early, n), ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, -1))
+    above = F.lead(n).over(ordered)
+    partner = F.coalesce(100 * below >= percent * n, F.lit(False)) | F.coalesce(early & (100 * n >= percent * above), F.lit(False))
+    posts = posts.withColumn("partner", partner).filter("partner")
     # the hub is the member with fewest rare shingles: of edited copies, the one they were made from
-    groups = posts.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("rare", "node", "n", "pos")).alias("hub")).filter("members > 1")
-    groups = groups.select("s", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
-    posts = stage(posts.drop("rare").join(groups, "s"), "hub-postings")
-
-    def fits(nx, px, ny, py):
-        nx, ny = F.col(nx), F.col(ny)
-        length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-        # the first common shingle of a link stands where as many follow, on either side, as the link needs: only there is
-        # a pair formed, so seldom more than once
-        first = F.least(nx - F.col(px), ny - F.col(py)) * (100 + percent) >= percent * (nx + ny)
-        return length & first
-
-    stars = posts.filter((F.col("node") != F.col("hub")) & fits("n", "pos", "hub_n", "hub_pos")).select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
-    checked = stage(_checked(stars, nodes, docs, k, percent), "verified-stars")
-    linked = F.col("inter") * 100 >= F.col("union") * percent
-    links = checked.filter(linked)
-    parts = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-
-    # what the stars left: pairs across components that share a prefix shingle
-    parts = broadcast_if_small(parts.select("node", "label"))
-    far = checked.select(F.col("x").alias("node"), F.col("y").alias("hub"), (1 - F.col("inter") / F.col("union")).alias("far"))
-    posts = posts.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node")).join(broadcast_if_small(stage(far, "hub-distances")), ["node", "hub"], "left")
-    posts = posts.withColumn("far", F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
-    posts = stage(posts.select("s", "node", "n", "pos", "label", "far"), "labelled-postings")
-    mixed = posts.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("s")
-    posts = posts.join(mixed, "s", "left_semi").join(nodes.select("node", "classes"), "node")
-    a = posts.select("s", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "label", "far", "classes")))
-    b = posts.select("s", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "label", "far", "classes")))
+    posts = posts.withColumn("hub", F.min(F.struct("rare", "node", "n", "pos")).over(W.partitionBy("s")))
+    return posts.select("s", "node", "n", "pos", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+
+
+def _fits(nx: str, px: str, ny: str, py: str, percent: int) -> Column:
+    """The length filter, and the positional one: the first common shingle of a link stands where as many follow, on either side, as the link needs."""
+    nx, ny = F.col(nx).cast("long"), F.col(ny).cast("long")
+    length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
+    return length & (F.least(nx - F.col(px), ny - F.col(py)) * (100 + percent) >= percent * (nx + ny))
+
+
+def _across(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (x, y) of postings with other labels. The smaller of two sets stands in the bucket of its size, the larger in its own bucket and the one below, which together hold all sizes that a link allows."""
+    level = F.floor(F.log(F.col("n") + 0.5) / math.log(100 / min(percent, 99))).cast("int")  # the half keeps sizes off the bounds
+    posts = posts.join(nodes.select("node", "classes"), "node")
+    fields = ("node", "n", "pos", "label", "far", "classes")
+    early = (F.col("n").cast("long") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n").cast("long")
+    a = posts.filter(early).select("s", level.alias("level"), *(F.col(c).alias(f"{c}_x") for c in fields))
+    b = posts.select("s", F.explode(F.array(level, level - 1)).alias("level"), *(F.col(c).alias(f"{c}_y") for c in fields))
     near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    rest = a.join(b, (a["s"] == b["s"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & near & fits("n_x", "pos_x", "n_y", "pos_y") & _suffix_bound("classes_x", "classes_y", "n_x", "n_y", percent))
-    rest = rest.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct().join(checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-    more = stage(_checked(rest, nodes, docs, k, percent), "verified-rest").filter(linked)
-    return members, links.unionByName(more)
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    on = (a["s"] == b["s"]) & (a["level"] == b["level"]) & smaller & (F.col("label_x") != F.col("label_y")) & near
+    rest = a.join(b, on & _fits("n_x", "pos_x", "n_y", "pos_y", percent) & _suffix_bound("classes_x", "classes_y", "n_x", "n_y", percent))
+    return rest.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
+
 
+def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members (doc_id, text_key, n_shingles, digest) of all rows, nodes (node, digest), and links (x, y, inter, union)
+    between nodes that suffice for the components; each a staged table.
 
-def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    Words are what stands between ASCII white space, A-Z lower-cased. A set holds the distinct runs of ``k`` words; with
+    fewer words the whole sequence is the one member; without words (null and empty texts too) it is empty, its digest is
+    null, and nothing links. Two sets link when 100 * intersection >= percent * union. Equal sets (128-bit digests) share
+    a node, so copies and repeated rows are one node however many they are. Rows are told apart by (doc_id, text_key), so
+    ids may repeat with other texts, or be null. Members of sets are 64-bit hashes: two different shingles of one pair
+    of documents count as equal with a chance below n_x n_y / 2**64.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", text_key().alias("text_key"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    linked = F.col("inter") * 100 >= F.col("union") * percent
+    with scratch(spark, "jaccard") as step:
+        scanned = step(docs.mapInArrow(_first_scan(k), f"doc_id {kind}, text_key long, n int, digest binary, s long, df long"), "first-scan")
+        members = stage(scanned.filter("s is null").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "digest"), "members")
+        frequent = spark.sparkContext.broadcast(frequent_shingles(scanned.filter("s is not null").select("s", "df"), members.count()))
+        sets = docs.mapInArrow(_sets(frequent, k, percent), f"doc_id {kind}, text_key long, n int, rare int, digest binary, prefix array<long>, classes array<smallint>")
+        nodes = step(sets.dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+        frequent.unpersist()
+        posts = step(_postings(nodes, percent), "postings")
+
+        stars = posts.filter((F.col("node") != F.col("hub")) & _fits("n", "pos", "hub_n", "hub_pos", percent)).select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
+        checked = step(_checked(stars, nodes, docs, k, percent, step), "verified-stars")
+        links = checked.filter(linked)
+        parts = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), step)
+
+        # what the stars left: pairs across components that share a prefix shingle
+        posts = posts.select("s", "node", "n", "pos", "hub").join(broadcast_if_small(parts.select("node", "label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        group = W.partitionBy("s")
+        mixed = posts.withColumns({"a": F.min("label").over(group), "b": F.max("label").over(group)}).filter("a <> b").drop("a", "b")
+        mixed = step(mixed, "mixed-postings")
+        far = checked.select(F.col("x").alias("node"), F.col("y").alias("hub"), (1 - F.col("inter") / F.col("union")).alias("far"))
+        mixed = mixed.join(broadcast_if_small(step(far, "hub-distances")), ["node", "hub"], "left")
+        mixed = mixed.withColumn("far", F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
+        rest = _across(mixed, nodes, percent).join(checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+        more = _checked(rest, nodes, docs, k, percent, step).filter(linked)
+        links = stage(links.unionByName(more), "links")
+        nodes = stage(nodes.select("node", "digest"), "set-nodes")
+    return members, nodes, links
+
+
+def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, step) -> DataFrame:
     """Pairs (x, y) that pass the suffix filter, with their verified overlap and union."""
     own = nodes.select("node", "n", "classes")
     x, y = own.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("classes").alias("cx")), own.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("classes").alias("cy"))
-    pairs = stage(pairs.join(x, "x").join(y, "y").filter(_suffix_bound("cx", "cy", "nx", "ny", percent)).select("x", "y"), "candidate-pairs")
+    pairs = broadcast_if_small(step(pairs, "star-pairs"))
+    pairs = step(x.join(pairs, "x").join(y, "y").filter(_suffix_bound("cx", "cy", "nx", "ny", percent)).select("x", "y"), "candidate-pairs")
     wanted = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
-    ids = broadcast_if_small(stage(nodes.select("node", "doc_id").join(wanted, "node", "left_semi"), "candidate-nodes"))
-    texts = stage(docs.join(ids, "doc_id").select("node", "text").dropDuplicates(["node"]), "candidate-texts")
+    ids = nodes.select("node", F.col("doc_id").alias("id"), F.col("text_key").alias("key")).join(broadcast_if_small(step(wanted, "wanted")), "node", "left_semi")
+    ids = broadcast_if_small(step(ids, "candidate-nodes"))
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]) & (docs["text_key"] == ids["key"])).select("node", "text")
+    texts = step(texts.dropDuplicates(["node"]), "candidate-texts")
     both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
     return both.mapInArrow(_verify(k), "x long, y long, inter long, union long")
 
 
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """members, and per digest of a set the first row (no null id before any other, then the least doc_id and text key) of its component."""
+    members, nodes, links = similar_documents(docs, k, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    sets = members.filter("digest is not null").groupBy("digest").agg(F.min(row).alias("first"))
+    with scratch(docs.sparkSession, "components") as step:
+        parts = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), step)
+        labels = step(nodes.join(broadcast_if_small(parts), "node").select("digest", "label"), "labels")
+        joined = sets.join(broadcast_if_small(labels), "digest")
+        joined = step(joined, "linked-sets")
+        of_label = broadcast_if_small(step(joined.groupBy("label").agg(F.min("first").alias("first")), "label-firsts"))
+        linked = stage(joined.select("digest", "label").join(of_label, "label").select("digest", F.col("first").alias("linked")), "linked-firsts")
+    firsts = sets.join(broadcast_if_small(linked), "digest", "left").select("digest", F.coalesce("linked", "first").alias("first"))
+    return members, firsts
+
+
 def component_ids(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id that links reach, itself included).
 
-    Rows that repeat a doc_id are each returned. A document without words is its own component. Empty table: no rows.
+    Rows that repeat a doc_id are each returned, with the component of their own text. Null ids link like others; a
+    component's id is its least id that is not null, or null without one. A document without words is its own component.
+    Other columns, whatever their names, play no part. Empty table: no rows.
     """
-    members, links = similar_documents(docs, k, percent)
-    parts = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    labelled = members.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    members, firsts = _grouped(docs, k, percent)
+    least = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return members.join(firsts, "digest", "left").select("doc_id", "n_shingles", least.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those whose component has a lesser doc_id; all columns kept. Of rows that repeat a doc_id one stays, unless it is null."""
-    rest = component_ids(docs, k, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(rest, "doc_id", "left_anti")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    """``docs`` with one row of each component, that of the least (doc_id, text key), null ids last; all columns kept.
+
+    Only linked or equal sets are dropped: rows that share an id but not their text both stay, and so do all rows without
+    words. Of rows that repeat both id and text one stays.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    members, firsts = _grouped(docs, k, percent)
+    first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
+    rows = stage(members.filter("digest is not null").join(firsts, "digest").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), first.alias("first")), "chosen-rows")
+    keyed = docs.withColumn(_free(columns, "text_key"), text_key())
+    key = keyed.columns[-1]
+    at = lambda other: keyed["doc_id"].eqNullSafe(other["_id"]) & (keyed[key] == other["_key"])
+    gone = broadcast_if_small(stage(rows.filter("not first").select("_id", "_key").distinct(), "later-rows"))
+    again = stage(rows.filter("first").groupBy("_id", "_key").count().filter("count > 1").select("_id", "_key"), "repeated-rows")
+    kept = keyed.join(gone, at(gone), "left_anti")
+    if again.take(1):  # the rare case: rows repeated in full
+        again = broadcast_if_small(again)
+        once = kept.join(again, at(again), "left_semi").dropDuplicates(["doc_id", key])
+        kept = kept.join(again, at(again), "left_anti").unionByName(once)
+    return kept.select(*columns)
+
+
+def _free(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return component_ids(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+grams as (select distinct doc_id, array_to_string(w[s:s + 3], ' ') as g
+          from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as s from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as i from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * i >= 85 * (p.n + q.n - i)),
+reach as (select x as doc_id, y from links union select r.doc_id, l.y from reach r join links l on l.x = r.y)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
+from words left join sizes using (doc_id) left join (select doc_id, min(y) as m from reach group by doc_id) using (doc_id)
+"""
