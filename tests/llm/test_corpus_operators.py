@@ -137,24 +137,26 @@ def test_mixture_rows(spark, monkeypatch):
 # ---- operator 10
 
 
-def brute_licences(rows, threshold=licences.THRESHOLD):
+def brute_licences(rows, threshold=licences.THRESHOLD, margin=licences.MARGIN):
     terms = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
     vocabulary = {w for _, t in licences.TEMPLATES for w in terms(t)}
-    lines = [(d, terms(x)) for d, t in rows if t is not None for x in t.split("\n")]
-    df = Counter(w for _, x in lines for w in set(x) if w in vocabulary)
-    n = len(lines)
+    cut = lambda t: t.split("\n") + [p for p in re.split("\n[ \t\r]*\n", t) if "\n" in p]
+    units = [(d, terms(x)) for d, t in rows if t is not None for x in cut(t)]
+    df = Counter(w for _, x in units for w in set(x) if w in vocabulary)
+    n = len(units)
     idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1 if w in vocabulary else math.log(n + 1) + 1
-    telling = {w for w in vocabulary if df[w] <= max(1, licences.COMMON_SHARE * n)}
     norm = lambda c: math.sqrt(sum((k * idf(w)) ** 2 for w, k in c.items()))
+    models = [(name, Counter(terms(t))) for name, t in licences.TEMPLATES]
+    models = [(name, m, norm(m)) for name, m in models]
     best = defaultdict(list)
-    for d, x in lines:
-        if telling & set(x):
-            c = Counter(x)
-            for name, t in licences.TEMPLATES:
-                m = Counter(terms(t))
-                cos = sum(c[w] * m[w] * idf(w) ** 2 for w in m) / norm(c) / norm(m)
-                if cos >= threshold:
-                    best[d].append((-round(cos, 9), name))
+    for d, x in units:
+        c, of = Counter(x), {}
+        for name, m, size in models if x else []:
+            cos = round(min(1.0, sum(c[w] * m[w] * idf(w) ** 2 for w in m) / norm(c) / size), 9)
+            of[name] = max(of.get(name, 0), cos)
+        order = sorted((-cos, name) for name, cos in of.items())
+        if order and -order[0][0] >= threshold and order[1][0] - order[0][0] >= margin - 1e-9:
+            best[d].append(order[0])
     return {d: min(v) for d, v in best.items()}
 
 
@@ -177,18 +179,35 @@ def test_common_notices_count(spark):
         assert got == want
 
 
-def test_no_line_within_reach_is_set_aside(spark):
-    """Against the cosine of every line with every template, without any filter."""
+def test_no_unit_within_reach_is_set_aside(spark):
+    """Against the cosine of every unit with every template, without any filter."""
     rng = random.Random(12)
     words = [w for _, t in licences.TEMPLATES for w in t.split()] + ["zeta", "eta"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for i in range(150)] + [(200 + i, t + " zeta" * (i % 4) + " the" * (i % 3)) for i, (_, t) in enumerate(licences.TEMPLATES * 3)]
+    rows += [(500 + i, f"intro {i}\n\n" + "\n".join(" ".join(w) for w in (t.split()[:9], t.split()[9:]))) for i, (_, t) in enumerate(licences.TEMPLATES)]
     got = {r.doc_id: (round(-r.cosine, 6), r.own_licence) for r in licences.own_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    share, licences.COMMON_SHARE = licences.COMMON_SHARE, 1.0  # the reference without its filter
-    try:
-        want = brute_licences(rows)
-    finally:
-        licences.COMMON_SHARE = share
-    assert got == {d: (round(c, 6), name) for d, (c, name) in want.items()}
+    assert got == {d: (round(c, 6), name) for d, (c, name) in brute_licences(rows).items()}
+
+
+def test_confusable_licences(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {0}General Public License\nas published by the Free Software Foundation; either version {1}\nof the License, or (at your option) any later version."
+    whole = {t[0]: t[1] for t in licences.TEMPLATES}  # the last template of each, the whole text where there is one
+    wrapped = lambda t: "Copyright (c) 2020 Somebody\n\n" + "\n".join(" ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11))
+    cases = {
+        "GPL-2.0": gnu.format("", 2), "GPL-3.0": gnu.format("", 3), "LGPL-2.1": gnu.format("Lesser ", 2.1), "AGPL-3.0": gnu.format("Affero ", 3),
+        "BSD-2-Clause": wrapped(whole["BSD-2-Clause"]), "BSD-3-Clause": wrapped(whole["BSD-3-Clause"]), "ISC": wrapped(whole["ISC"]), "MIT": wrapped(whole["MIT"]),
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-4.0": "Licensed under CC BY 4.0", "Apache-1.1": "Licensed under the Apache Software License, Version 1.1",
+    }
+    undecided = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", gnu.format("", 3).split("; either")[0]]
+    for filler in (3, 1000):
+        rows = [(i, t) for i, t in enumerate([*cases.values(), *undecided])] + [(100 + i, f"plain line {i} of some words") for i in range(filler)]
+        got = {r.doc_id: r.own_licence for r in licences.own_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == dict(enumerate(cases))
+
+
+def test_licences_of_an_empty_table(spark):
+    files = spark.createDataFrame([], "doc_id long, path string, text string, is_licence_file boolean, text_key int, dir string, unit string")
+    assert licences.scan(files).count() == 0
 
 
 def test_inheritance(spark):
