@@ -1,10 +1,12 @@
 """Operator 2: benchmark decontamination over a positional inverted index.
 
-Benchmark texts are cut into windows of consecutive words. A first scan counts, over all documents, how many hold each
-benchmark word; each window is then anchored at its rarest word. A second scan stores the postings of the anchor words:
-word, document, position, and the words around it. A posting joins the windows of its word once, and the offset-adjusted
-neighbours decide whether the phrase stands there. Everything is DataFrame expressions. Windows are taken in blocks, so
-neither the word sets in the plan nor the broadcast windows grow with the benchmark.
+Benchmark texts are cut into windows of consecutive words. One scan of all texts stores the index: for each document,
+which benchmark term stands at each position. Document frequencies follow from it, and give every window its terms in
+order, rarest first. The lists of the rarest terms are taken out as postings (term, document, position, and the part of
+the document's lists that a window can reach from there) and each joins the windows of its term once; there the lists of
+the window's further terms, in order of rarity, are intersected with it at their adjusted offsets, until one fails.
+Everything is DataFrame expressions. Windows are taken in blocks, so neither the word sets in the plan nor the broadcast
+windows grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gausstide.llm.common import ascii_words, broadcast_if_small, stage, table, text_key
+from gausstide.llm.common import ascii_words, broadcast_if_small, free, scratch, stage, table, text_key
 
 WINDOW_WORDS = 10
-#: The windows of one block; each block is one more scan of the documents.
+#: The windows of one block; each block is one scan of the documents.
 BLOCK_WINDOWS = 20_000
 
 
@@ -26,76 +28,85 @@ def windows_of(items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     return words.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, F.lit(size)))).alias("window"))
 
 
-def _documents_with(words: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(word, df): the number of documents with each word of the vocabulary."""
-    own = F.filter(F.array_distinct("words"), lambda w: w.isin(vocabulary))
-    return words.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-
-
-def _anchored(windows: DataFrame, df: DataFrame) -> DataFrame:
-    """Per anchor word: the windows it is the rarest word of, with its offset. Windows with a word that no document has are gone."""
+def _anchored(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """Per anchor term: the windows it is the rarest term of, each with its offset and its terms, rarest first. Windows with a term that no document has are gone."""
+    df = index.select(F.explode(F.array_distinct("terms")).alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("df"))
     terms = windows.select("window", "item_ids", F.posexplode("window").alias("offset", "word")).join(df, "word", "left")
-    rarest = terms.groupBy("window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "offset")).alias("r"), F.first("item_ids").alias("item_ids"))
-    entry = F.struct("window", F.col("r.offset").alias("offset"), "item_ids")
-    return rarest.filter("r.df > 0").groupBy(F.col("r.word").alias("term")).agg(F.collect_list(entry).alias("windows"))
+    by_rarity = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "offset")))
+    ranked = terms.groupBy("window").agg(by_rarity.alias("terms"), F.first("item_ids").alias("item_ids")).filter(F.col("terms")[0]["df"] > 0)
+    entry = F.struct(F.size("window").alias("length"), F.col("terms")[0]["offset"].alias("offset"), F.transform("terms", lambda t: F.struct(t["offset"].alias("offset"), t["word"].alias("word"))).alias("terms"), "window", "item_ids")
+    return ranked.groupBy(F.col("terms")[0]["word"].alias("term")).agg(F.collect_list(entry).alias("windows"))
 
 
-def _postings(words: DataFrame, anchors: list[str], before: int, after: int) -> Column:
-    """The positions (from 1) of anchor words, each with the words around it and the position of the first of these."""
-    at = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i).isin(anchors))
+def _postings(anchors: list[str], before: int, after: int) -> Column:
+    """The positions (from 1) of anchor terms, each with the terms around it and the position of the first of these."""
+    at = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda i: F.element_at("terms", i).isin(anchors))
     first = lambda i: F.greatest(i - before, F.lit(1))
-    entry = lambda i: F.struct(F.element_at("words", i).alias("term"), i.alias("pos"), first(i).alias("first"), F.slice("words", first(i), i + after + 1 - first(i)).alias("around"))
-    return F.when(F.size("words") > 0, F.transform(at, entry))
+    entry = lambda i: F.struct(F.element_at("terms", i).alias("term"), i.alias("pos"), first(i).alias("first"), F.slice("terms", first(i), i + after + 1 - first(i)).alias("around"))
+    return F.when(F.size("terms") > 0, F.transform(at, entry))
 
 
-def _blocks(windows: DataFrame):
+def _blocks(windows: DataFrame, step):
     """Blocks of distinct windows with their item ids, each a staged table with its vocabulary (bounded by the block)."""
-    windows = stage(windows, "windows")
+    windows = step(windows, "windows")
     n = max(1, -(-windows.count() // BLOCK_WINDOWS))
     for b in range(n):
         part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(n)) == b) if n > 1 else windows
-        part = stage(part.groupBy("window").agg(F.collect_set("item_id").alias("item_ids")), "window-block")
+        part = step(part.groupBy("window").agg(F.collect_set("item_id").alias("item_ids")), "window-block")
         vocabulary = [r[0] for r in part.select(F.explode("window").alias("w")).distinct().collect()]
         if vocabulary:
             yield part, vocabulary
 
 
-def positional_index(docs: DataFrame, windows: DataFrame, vocabulary: list[str], slack: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The anchored windows of a block, and the staged index (doc_id, text_key, postings) of their anchor words over all documents."""
+def positional_index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, text_key, n_words, terms): for each position the term of the vocabulary that stands there, else null."""
     words = docs.select("doc_id", text_key().alias("text_key"), ascii_words(F.col("text")).alias("words"))
-    anchors = stage(_anchored(windows, stage(_documents_with(words, vocabulary), "word-df")), "anchors")
+    return words.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.transform("words", lambda w: F.when(w.isin(vocabulary), w)).alias("terms"))
+
+
+def _anchor_lists(windows: DataFrame, index: DataFrame, step, slack: int = 0) -> DataFrame:
+    """(doc_id, text_key, term, pos, first, around, windows): the postings of the anchor terms with the windows of each."""
+    anchors = step(_anchored(windows, index), "anchors")
     terms = [r[0] for r in anchors.select("term").collect()]
-    longest = windows.agg(F.max(F.size("window"))).first()[0]
-    index = words.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), _postings(words, terms, longest - 1 + slack, longest - 1 + slack).alias("postings"))
-    return anchors, stage(index, "positional-index")
+    reach = (windows.agg(F.max(F.size("window"))).first()[0] or 1) - 1 + slack
+    posted = index.select("doc_id", "text_key", F.explode(_postings(terms, reach, reach)).alias("p")).select("doc_id", "text_key", "p.*")
+    return posted.join(broadcast_if_small(anchors), "term")
 
 
-def phrase_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, n_words) of all documents, and (doc_id, text_key, hits) of those with hits.
+NO_HITS = "array<struct<start:int,length:int,item_ids:array<string>>>"
 
-    hits: array of (start, length, item_ids), start from 1: every exact occurrence of a window. Null texts and texts
-    without words have no hits; rows that repeat a document have the same hits; an empty benchmark gives no hits.
-    """
+
+def _phrase_hits(docs: DataFrame, items: DataFrame, size: int, step) -> tuple[DataFrame, DataFrame]:
     sizes, found = None, None
-    for windows, vocabulary in _blocks(windows_of(items, size)):
-        anchors, index = positional_index(docs, windows, vocabulary)
+    for windows, vocabulary in _blocks(windows_of(items, size), step):
+        index = step(positional_index(docs, vocabulary), "positional-index")
         sizes = sizes or index.select("doc_id", "text_key", "n_words")
-        posted = index.filter(F.size("postings") > 0).select("doc_id", "text_key", F.explode("postings").alias("p")).select("doc_id", "text_key", "p.*")
-        both = posted.join(broadcast_if_small(anchors), "term")
+        both = _anchor_lists(windows, index, step)
         start = lambda w: F.col("pos") - w["offset"]
-        stands = lambda w: (start(w) >= F.col("first")) & (F.slice("around", F.greatest(start(w) - F.col("first") + 1, F.lit(1)), F.size(w["window"])) == w["window"])
-        hits = F.transform(F.filter("windows", stands), lambda w: F.struct(start(w).alias("start"), F.size(w["window"]).alias("length"), w["item_ids"].alias("item_ids")))
-        hits = both.select("doc_id", "text_key", hits.alias("hits")).filter(F.size("hits") > 0)
+        stands = lambda w: (start(w) >= F.col("first")) & F.forall(w["terms"], lambda t: F.coalesce(F.get("around", start(w) - F.col("first") + t["offset"]) == t["word"], F.lit(False)))
+        hits = F.transform(F.filter("windows", stands), lambda w: F.struct(start(w).alias("start"), w["length"].alias("length"), w["item_ids"].alias("item_ids")))
+        hits = step(both.select("doc_id", "text_key", hits.alias("hits")).filter(F.size("hits") > 0), "hits")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         sizes = docs.select("doc_id", text_key().alias("text_key"), F.size(ascii_words(F.col("text"))).cast("long").alias("n_words"))
-        nothing = "array<struct<start:int,length:int,item_ids:array<string>>>"
-        return sizes, sizes.limit(0).select("doc_id", "text_key", F.lit(None).cast(nothing).alias("hits"))
+        return sizes, sizes.limit(0).select("doc_id", "text_key", F.lit(None).cast(NO_HITS).alias("hits"))
     return sizes, found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 
+def phrase_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_words) of all documents, and (doc_id, text_key, hits) of those with hits.
+
+    hits: array of (start, length, item_ids), start from 1: every exact occurrence of a window. Null texts and texts
+    without words have no hits; rows that repeat a document have the same hits; an empty benchmark gives no hits. Items of
+    any length: a posting carries as many terms as two windows, not as an item. Further columns play no part.
+    """
+    with scratch(docs.sparkSession, "decontamination") as step:
+        sizes, hits = _phrase_hits(docs, items, size, step)
+        return stage(sizes, "document-sizes"), stage(hits, "phrase-hits")
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """Per document: doc_id, text_key, n_words, n_hit (words inside any occurrence), item_ids (sorted strings), contaminated."""
+    """Per document: doc_id, text_key, n_words, n_hit (words inside any occurrence), item_ids (sorted strings), contaminated. For odd cases see ``phrase_hits``."""
     sizes, hits = phrase_hits(docs, items, size)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
     ids = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["item_ids"]))), lambda i: i.cast("string")))
@@ -106,39 +117,41 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """``docs`` without the contaminated rows, all columns kept."""
-    found = contamination(docs, items, size).filter("contaminated").select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("_text_key", text_key())
-    return keyed.join(found, keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_text_key"] == found["text_key"]), "left_anti").drop("_text_key")
+    """``docs`` without the contaminated rows, all columns kept, whatever their names."""
+    found = stage(contamination(docs.select("doc_id", "text"), items, size).filter("contaminated").select("doc_id", "text_key").distinct(), "contaminated")
+    found = broadcast_if_small(found)
+    (key,) = free(docs.columns, "text_key")
+    keyed = docs.withColumn(key, text_key())
+    return keyed.join(found, keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed[key] == found["text_key"]), "left_anti").drop(key)
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
     """(doc_id, text_key, item_id, start, end): where all words of an item stand in order, with ``slop`` words at most between them in all.
 
     Of the spans that begin at one position the shortest is given. slop 0 is exact phrase search. Items are whole
-    queries here (no windows); positions count from 1.
+    queries here (no windows), so a posting carries as many terms as twice the longest item; positions count from 1.
     """
     words = items.filter("item_id is not null").select("item_id", ascii_words(F.col("text")).alias("window")).filter(F.size("window") > 0)
     found = None
-    for windows, vocabulary in _blocks(words):
-        anchors, index = positional_index(docs, windows, vocabulary, slack=slop)
-        posted = index.filter(F.size("postings") > 0).select("doc_id", "text_key", F.explode("postings").alias("p")).select("doc_id", "text_key", "p.*")
-        each = posted.join(broadcast_if_small(anchors), "term").select("*", F.explode("windows").alias("w"))
-
-        def end_from(s):
-            after = lambda e, word: F.array_position(F.slice("around", e + 1, F.size("around")), word)
-            step = lambda e, word: F.when(after(e, word) > 0, e + after(e, word).cast("int"))
-            return F.aggregate(F.slice("w.window", 2, F.size("w.window")), s, step)
-
-        heads = F.filter(F.sequence(F.lit(1), F.size("around")), lambda i: F.element_at("around", i) == F.element_at("w.window", 1))
-        spans = F.filter(F.transform(heads, lambda s: F.named_struct(F.lit("s"), s, F.lit("e"), end_from(s))), lambda x: x["e"].isNotNull() & (x["e"] - x["s"] + 1 <= F.size("w.window") + slop))
-        out = each.select("doc_id", "text_key", "first", F.explode("w.item_ids").alias("item_id"), spans.alias("spans"))
-        out = out.select("doc_id", "text_key", "item_id", "first", F.explode("spans").alias("x"))
-        out = out.select("doc_id", "text_key", "item_id", (F.col("first") + F.col("x.s") - 1).alias("start"), (F.col("first") + F.col("x.e") - 1).alias("end")).distinct()
-        found = out if found is None else found.unionByName(out)
-    if found is None:
-        return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("end"))
-    return found
+    with scratch(docs.sparkSession, "proximity") as step:
+        for windows, vocabulary in _blocks(words, step):
+            index = step(positional_index(docs, vocabulary), "positional-index")
+            each = _anchor_lists(windows, index, step, slack=slop).select("*", F.explode("windows").alias("w"))
+
+            def end_from(s):
+                after = lambda e, word: F.array_position(F.slice("around", e + 1, F.size("around")), word)
+                step = lambda e, word: F.when(after(e, word) > 0, e + after(e, word).cast("int"))
+                return F.aggregate(F.slice("w.window", 2, F.size("w.window")), s, step)
+
+            heads = F.filter(F.sequence(F.lit(1), F.size("around")), lambda i: F.element_at("around", i) == F.element_at("w.window", 1))
+            spans = F.filter(F.transform(heads, lambda s: F.named_struct(F.lit("s"), s, F.lit("e"), end_from(s))), lambda x: x["e"].isNotNull() & (x["e"] - x["s"] + 1 <= F.size("w.window") + slop))
+            out = each.select("doc_id", "text_key", "first", F.explode("w.item_ids").alias("item_id"), spans.alias("spans"))
+            out = out.select("doc_id", "text_key", "item_id", "first", F.explode("spans").alias("x"))
+            out = step(out.select("doc_id", "text_key", "item_id", (F.col("first") + F.col("x.s") - 1).alias("start"), (F.col("first") + F.col("x.e") - 1).alias("end")).distinct(), "spans")
+            found = out if found is None else found.unionByName(out)
+        if found is not None:
+            return stage(found, "proximity-matches")
+    return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("end"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gausstide.llm.common import broadcast_if_small, components, scratch, stage, table, text_key
+from gausstide.llm.common import broadcast_if_small, components, free, scratch, stage, table, text_key
 
 #: A shingle is frequent from this share of all documents on.
 FREQUENT_SHARE = 1e-4
@@ -341,12 +341,12 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Only linked or equal sets are dropped: rows that share an id but not their text both stay, and so do all rows without
     words. Of rows that repeat both id and text one stays.
     """
-    spark, columns = docs.sparkSession, docs.columns
+    columns = docs.columns
     members, firsts = _grouped(docs, k, percent)
     first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
     rows = stage(members.filter("digest is not null").join(firsts, "digest").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), first.alias("first")), "chosen-rows")
-    keyed = docs.withColumn(_free(columns, "text_key"), text_key())
-    key = keyed.columns[-1]
+    (key,) = free(columns, "text_key")
+    keyed = docs.withColumn(key, text_key())
     at = lambda other: keyed["doc_id"].eqNullSafe(other["_id"]) & (keyed[key] == other["_key"])
     gone = broadcast_if_small(stage(rows.filter("not first").select("_id", "_key").distinct(), "later-rows"))
     again = stage(rows.filter("first").groupBy("_id", "_key").count().filter("count > 1").select("_id", "_key"), "repeated-rows")
@@ -358,13 +358,6 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return kept.select(*columns)
 
 
-def _free(columns: list[str], name: str) -> str:
-    """``name``, with underscores before it until no column has it."""
-    while name.lower() in {c.lower() for c in columns}:
-        name = "_" + name
-    return name
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return component_ids(table(spark, sf_dir, "documents"), k=4, percent=85)
 
