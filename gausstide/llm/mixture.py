@@ -5,7 +5,7 @@ than its tokens times the epochs allowed, and what it cannot take goes to its si
 never given more than its whole subtree can take, so a shortage is met among siblings first and reaches an ancestor's
 siblings only when all of them are full. A leaf takes whole epochs, and of the last epoch the token-prefix of its
 documents in an order seeded by leaf epoch. Budgets are windows over the table of nodes; the prefix is a distributed
-running sum: every leaf is cut into buckets of about 20,000 documents by the seeded hash, so a leaf that holds a third of
+running sum: every leaf is cut into buckets of about 2,000 documents by the seeded hash, so a leaf that holds a third of
 all rows is no single task. DataFrame expressions only.
 """
 
@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gausstide.llm.common import BLANKS, broadcast_if_small, stage, table, text_key
+from gausstide.llm.common import BLANKS, broadcast_if_small, free, stage, table, text_key
 
 LEVELS = ["domain", "lang", "source"]
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SEED = 20240101
 
 
@@ -37,9 +37,11 @@ def node_budgets(leaves: DataFrame, total: Column, max_epochs: float, temperatur
     """``leaves`` (levels, tokens, rows) with ``budget``: tokens given to each leaf.
 
     A node's weight is that in ``weights`` under the tuple of its level values, else its tokens to the power of
-    ``temperature``. Weights must be above 0 for nodes with tokens.
+    ``temperature``. Weights that are null or not above 0 are an error.
     """
     levels = levels or LEVELS
+    if any(value is None or not value > 0 for value in (weights or {}).values()):
+        raise ValueError("weights must be above 0")
     parent = leaves.agg(F.least(total.cast("double"), F.sum("tokens") * F.lit(float(max_epochs))).alias("parent_budget"))
     for d in range(1, len(levels) + 1):
         path = levels[:d]
@@ -96,13 +98,15 @@ def mix(docs: DataFrame, budget_share: float = 1.0, max_epochs: float = 2.0, tem
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents taken, a row for each copy, all columns kept. Rows that repeat a document each get the largest of its counts."""
+    """The documents taken, a row for each copy, all columns kept, whatever their names. Rows that repeat a document each get the largest of its counts."""
     columns, levels = docs.columns, options.get("levels") or LEVELS
     tree = with_domain(docs) if "domain" in levels and "domain" not in columns else docs
     taken = mix(tree, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_taken")).agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    keyed = docs.withColumn("_key", text_key())
-    both = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken["_id"]) & (keyed["_key"] == taken["_taken"]))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    _key, _id, _taken, _copies, _copy = free(columns, "_key", "_id", "_taken", "_copies", "_copy")
+    taken = taken.toDF(_id, _taken, _copies)
+    keyed = docs.withColumn(_key, text_key())
+    both = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken[_id]) & (keyed[_key] == taken[_taken]))
+    return both.withColumn(_copy, F.explode(F.sequence(F.lit(1), F.col(_copies)))).select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

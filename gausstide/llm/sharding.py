@@ -1,6 +1,6 @@
 """Operator 4: reproducible shuffle and sharding by a Feistel permutation of global row numbers.
 
-Rows are numbered by (hash bucket, doc_id, text key): bucket counts give each bucket its first number, a window inside the
+Rows are numbered by (hash bucket, doc_id, text key, hash of the row): bucket counts give each bucket its first number, a window inside the
 bucket the rest, so no task sees more than a bucket. The numbers 0 to N - 1 are permuted by an alternating Feistel
 network over a rectangle of A x B cells just larger than N; a number that lands outside is permuted again until it is
 inside (cycle walking), which keeps the map a permutation of 0 to N - 1. Row p of the shuffled order is slot p div n of
@@ -17,26 +17,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from gausstide.llm.common import table, text_key
+from gausstide.llm.common import broadcast_if_small, free, table, text_key
 
-BUCKETS = 1024
+#: Rows of a bucket, about, and the least number of buckets.
+BUCKET_ROWS, BUCKETS = 200_000, 1024
 ROUNDS = 6
 #: At most A - 1 cells lie outside, so up to 4,096 rows the walk ends within 64 steps; beyond, a step stays outside with a chance below 1 in 64.
 WALKS = 64
 
 
-def row_numbers(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """``docs`` with ``_row`` (0 to N - 1), and N. Buckets hold about N / ``buckets`` rows: the document id is part of the hash, so groups of copies spread."""
-    keyed = docs.withColumn("_key", text_key()).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(buckets)).cast("int"))
-    counts = dict(sorted(tuple(r) for r in keyed.groupBy("_bucket").count().collect()))  # at most ``buckets`` rows
+def row_numbers(docs: DataFrame, name: str = "_row", buckets: int | None = None) -> tuple[DataFrame, int]:
+    """``docs`` with the column ``name`` (0 to N - 1), and N.
+
+    A bucket holds about BUCKET_ROWS rows: the document id is part of the hash, so groups of copies spread. Inside it
+    rows stand by doc_id, text key and a hash of all columns, so rows that differ in any column have a fixed order.
+    """
+    buckets = buckets or max(BUCKETS, docs.count() // BUCKET_ROWS)
+    _key, _all, _bucket, _rank, _first = free(docs.columns, "_key", "_all", "_bucket", "_rank", "_first")
+    hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.withColumns({_key: text_key(), _all: F.xxhash64(*(F.col(f"`{c}`") for c in hashable))}).withColumn(_bucket, F.pmod(F.xxhash64("doc_id", _key), F.lit(buckets)).cast("int"))
+    counts = dict(sorted(tuple(r) for r in keyed.groupBy(_bucket).count().collect()))  # at most ``buckets`` rows
     firsts, n = [], 0
     for b, c in counts.items():
         firsts.append((b, n))
         n += c
-    offsets = docs.sparkSession.createDataFrame(firsts, T.StructType([T.StructField("_bucket", T.IntegerType()), T.StructField("_first", T.LongType())]))
-    rank = F.row_number().over(W.partitionBy("_bucket").orderBy("doc_id", "_key"))
-    out = keyed.withColumn("_rank", rank).join(F.broadcast(offsets), "_bucket")
-    return out.withColumn("_row", F.col("_first") + F.col("_rank") - 1).drop("_bucket", "_rank", "_first", "_key"), n
+    offsets = docs.sparkSession.createDataFrame(firsts, T.StructType([T.StructField(_bucket, T.IntegerType()), T.StructField(_first, T.LongType())]))
+    rank = F.row_number().over(W.partitionBy(_bucket).orderBy("doc_id", _key, _all))
+    out = keyed.withColumn(_rank, rank).join(broadcast_if_small(offsets), _bucket)
+    return out.withColumn(name, F.col(_first) + F.col(_rank) - 1).drop(_bucket, _rank, _first, _key, _all), n
 
 
 def _network(x: Column, n: int, seed: int, backwards: bool = False) -> Column:
@@ -73,11 +81,14 @@ def shards(docs: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
     """``docs`` with shard (0 to n_shards - 1) and slot (gapless from 0).
 
     Shard sizes are at most one apart. The result depends on the rows and the seed alone, not on partitions or file
-    order. Null ids and texts are keys like others; repeated rows get a place each; an empty table stays empty.
+    order. Null ids and texts are keys like others; repeated rows get a place each; an empty table stays empty. Input
+    columns named shard or slot are replaced; others keep their names and values. Rows that differ in a map column alone
+    may swap places.
     """
-    numbered, n = row_numbers(docs)
-    place = permuted(F.col("_row"), max(n, 1), seed)
-    return numbered.withColumn("_place", place).withColumns({"shard": F.pmod("_place", F.lit(n_shards)).cast("int"), "slot": ((F.col("_place") - F.pmod("_place", F.lit(n_shards))) / n_shards).cast("long")}).drop("_row", "_place")
+    _row, _place = free(docs.columns, "_row", "_place")
+    numbered, n = row_numbers(docs.drop("shard", "slot"), _row)
+    numbered = numbered.withColumn(_place, permuted(F.col(_row), max(n, 1), seed))
+    return numbered.withColumns({"shard": F.pmod(_place, F.lit(n_shards)).cast("int"), "slot": ((F.col(_place) - F.pmod(_place, F.lit(n_shards))) / n_shards).cast("long")}).drop(_row, _place)
 
 
 def sized(docs: DataFrame) -> DataFrame:

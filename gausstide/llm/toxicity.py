@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gausstide.llm.common import table
+from gausstide.llm.common import free, table
 
 #: Labelled documents that the model is fitted on at most, those with the least hashes of their ids.
 FIT_DOCUMENTS = 20_000
@@ -33,6 +33,8 @@ WINDOW = 40
 QUOTE_DISCOUNT = 0.35
 #: Words that announce someone else's speech.
 ATTRIBUTION = frozenset(["said", "says", "quote", "quoted", "wrote", "called", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"])
+#: A stem has 3 to so many letters; a whole word of any length can be a term.
+LONGEST_STEM = 20
 QUOTES = frozenset('"“”«»„')
 TOKEN = re.compile(r"\w+|[\"“”«»„]")
 MEMO = 300_000
@@ -42,8 +44,8 @@ FEATURES = 4
 
 
 def held_out_fold():
-    """0 to 4: crc32 of the id as text, modulo 5."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    """0 to 4: crc32 of the id as text, modulo 5. A null id is in fold 1: it has no label to learn from, and is not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)), F.lit(1))
 
 
 def allowed_edits(term: str) -> int:
@@ -194,9 +196,8 @@ def _counted(keep: frozenset | None, label: int):
             for text in batch.column("text"):
                 terms = set()
                 for w in set(TOKEN.findall((text.as_py() or "").lower())):
-                    if len(w) > 2:
-                        terms.add(w)
-                        terms.update(w[:k] + "*" for k in range(3, min(len(w) - 1, 10) + 1))
+                    terms.add(w)
+                    terms.update(w[:k] + "*" for k in range(3, min(len(w) - 1, LONGEST_STEM) + 1))
                 counts.update(terms & keep if keep is not None else terms)
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
@@ -327,13 +328,14 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], carr
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``; all columns kept."""
+    """``docs`` without the rows whose score reaches ``threshold``; all columns kept, whatever their names."""
     columns = docs.columns
+    _score, _matches = free(columns, "_score", "_matches")
     model = fit(docs, labels)
     terms, weights, coef = model
     run = _feature_rows(terms, weights, coef, columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, `_score` double, `_matches` long").toDF(*columns, "_score", "_matches").filter(F.col("_score") < threshold).select(*columns)
+    return docs.mapInArrow(run, f"{kinds}, `{_score}` double, `{_matches}` long").filter(F.col(_score) < threshold).select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
