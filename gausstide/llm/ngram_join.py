@@ -15,8 +15,8 @@
    buckets of set size, and only where the triangle inequality of the Jaccard distance over the hub leaves a link
    possible; so a group of thousands of near copies costs a row each, not all its pairs, and no link between components
    is missed.
-4. Length, positional and suffix filters (counts of shingles by hash class bound the overlap) are part of the join or come
-   before verification; each pair is verified once, on whole sets rebuilt from the two texts.
+4. Length and positional filters are part of the join; the suffix filter (bitmaps of the whole sets bound the overlap)
+   comes before verification; each pair is verified once, on whole sets rebuilt from the two texts.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -41,8 +41,8 @@ FREQUENT_SHARE = 1e-4
 CHUNK, CHUNK_SHINGLES = 4096, 6_000_000
 #: Words that are hashed into shingles at a time.
 GROUP_WORDS = 100_000
-#: Hash classes of the suffix filter, and the count at which a class counts as unbounded.
-CLASSES, FULL = 64, 32_767
+#: Bits of a suffix filter's bitmap for each member of the set, at least.
+BITS = 4
 #: Entries after which a task starts its word tables anew.
 MEMO = 1_000_000
 
@@ -156,8 +156,16 @@ def frequent_shingles(counts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.nd
     return shingles[order], df[order]
 
 
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each hash, by its lowest bits; as many bits as the power of two that gives each member BITS of them."""
+    size = max(64, 1 << (BITS * len(hashes) - 1).bit_length())
+    marks = np.zeros(size, bool)
+    marks[(hashes & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
 def _sets(frequent, k: int, percent: int):
-    """Per document with words: size of its set, members that are not frequent, digest of the set, the prefix in rare-first order, and the counts by hash class."""
+    """Per document with words: size of its set, members that are not frequent, digest of the set, the prefix in rare-first order, and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df = frequent.value
@@ -171,21 +179,36 @@ def _sets(frequent, k: int, percent: int):
                 at[at == len(known)] = 0
                 ranks = np.where(known[at] == hashes, df[at], 0) if len(known) else np.zeros(n, np.int64)
                 prefix = hashes[np.argsort(ranks, kind="stable")[: n - -(-percent * n // 100) + 1]]  # hashes are sorted: the order among equals
-                classes = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
-                rows.append((n, int((ranks == 0).sum()), _digest(hashes), prefix.view(np.int64), np.minimum(classes, FULL).astype(np.int16)))
+                rows.append((n, int((ranks == 0).sum()), _digest(hashes), prefix.view(np.int64), _bitmap(hashes)))
                 kept.append(i)
             if rows:
-                n, rare, digest, prefix, classes = zip(*rows, strict=True)
+                n, rare, digest, prefix, bits = zip(*rows, strict=True)
                 ids = [batch.column(c).take(pa.array(kept)) for c in ("doc_id", "text_key")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int16()))], ["doc_id", "text_key", "n", "rare", "digest", "prefix", "classes"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "text_key", "n", "rare", "digest", "prefix", "bits"])
 
     return run
 
 
-def _suffix_bound(cx: str, cy: str, nx: str, ny: str, percent: int) -> Column:
-    """Whether the counts by hash class leave the overlap that a link needs: 100 i >= percent (nx + ny - i)."""
-    least = F.zip_with(cx, cy, lambda a, b: F.when(F.least(a, b) < FULL, F.least(a, b).cast("long")).otherwise(F.lit(1 << 40)))
-    return F.aggregate(least, F.lit(0).cast("long"), lambda t, c: t + c) * (100 + percent) >= percent * (F.col(nx) + F.col(ny))
+def _may_link(percent: int):
+    """The pairs (x, y) whose bitmaps leave the overlap that a link needs, 100 i >= percent (nx + ny - i): members whose bit the other set lacks are not shared. A larger bitmap is folded to the size of the smaller."""
+
+    def folded(bits: np.ndarray, size: int) -> np.ndarray:
+        while len(bits) > size:
+            bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+        return bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for nx, bx, ny, by in zip(*(batch.column(c).to_pylist() for c in ("nx", "bx", "ny", "by")), strict=True):
+                bx, by = np.frombuffer(bx, np.uint8), np.frombuffer(by, np.uint8)
+                size = min(len(bx), len(by))
+                bx, by = folded(bx, size), folded(by, size)
+                most = min(nx - int(np.bitwise_count(bx & ~by).sum()), ny - int(np.bitwise_count(by & ~bx).sum()))
+                keep.append(most * (100 + percent) >= percent * (nx + ny))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("x", "y")], ["x", "y"])
+
+    return run
 
 
 def _verify(k: int):
@@ -233,18 +256,17 @@ def _fits(nx: str, px: str, ny: str, py: str, percent: int) -> Column:
     return length & (F.least(nx - F.col(px), ny - F.col(py)) * (100 + percent) >= percent * (nx + ny))
 
 
-def _across(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _across(posts: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (x, y) of postings with other labels. The smaller of two sets stands in the bucket of its size, the larger in its own bucket and the one below, which together hold all sizes that a link allows."""
     level = F.floor(F.log(F.col("n") + 0.5) / math.log(100 / min(percent, 99))).cast("int")  # the half keeps sizes off the bounds
-    posts = posts.join(nodes.select("node", "classes"), "node")
-    fields = ("node", "n", "pos", "label", "far", "classes")
+    fields = ("node", "n", "pos", "label", "far")
     early = (F.col("n").cast("long") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n").cast("long")
     a = posts.filter(early).select("s", level.alias("level"), *(F.col(c).alias(f"{c}_x") for c in fields))
     b = posts.select("s", F.explode(F.array(level, level - 1)).alias("level"), *(F.col(c).alias(f"{c}_y") for c in fields))
     near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
     on = (a["s"] == b["s"]) & (a["level"] == b["level"]) & smaller & (F.col("label_x") != F.col("label_y")) & near
-    rest = a.join(b, on & _fits("n_x", "pos_x", "n_y", "pos_y", percent) & _suffix_bound("classes_x", "classes_y", "n_x", "n_y", percent))
+    rest = a.join(b, on & _fits("n_x", "pos_x", "n_y", "pos_y", percent))
     return rest.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
 
 
@@ -267,7 +289,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
         scanned = step(docs.mapInArrow(_first_scan(k), f"doc_id {kind}, text_key long, n int, digest binary, s long, df long"), "first-scan")
         members = stage(scanned.filter("s is null").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "digest"), "members")
         frequent = spark.sparkContext.broadcast(frequent_shingles(scanned.filter("s is not null").select("s", "df"), members.count()))
-        sets = docs.mapInArrow(_sets(frequent, k, percent), f"doc_id {kind}, text_key long, n int, rare int, digest binary, prefix array<long>, classes array<smallint>")
+        sets = docs.mapInArrow(_sets(frequent, k, percent), f"doc_id {kind}, text_key long, n int, rare int, digest binary, prefix array<long>, bits binary")
         nodes = step(sets.dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
         frequent.unpersist()
         posts = step(_postings(nodes, percent), "postings")
@@ -285,7 +307,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
         far = checked.select(F.col("x").alias("node"), F.col("y").alias("hub"), (1 - F.col("inter") / F.col("union")).alias("far"))
         mixed = mixed.join(broadcast_if_small(step(far, "hub-distances")), ["node", "hub"], "left")
         mixed = mixed.withColumn("far", F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
-        rest = _across(mixed, nodes, percent).join(checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+        rest = _across(mixed, percent).join(checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
         more = _checked(rest, nodes, docs, k, percent, step).filter(linked)
         links = stage(links.unionByName(more), "links")
         nodes = stage(nodes.select("node", "digest"), "set-nodes")
@@ -294,15 +316,18 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
 
 def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, step) -> DataFrame:
     """Pairs (x, y) that pass the suffix filter, with their verified overlap and union."""
-    own = nodes.select("node", "n", "classes")
-    x, y = own.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("classes").alias("cx")), own.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("classes").alias("cy"))
-    pairs = broadcast_if_small(step(pairs, "star-pairs"))
-    pairs = step(x.join(pairs, "x").join(y, "y").filter(_suffix_bound("cx", "cy", "nx", "ny", percent)).select("x", "y"), "candidate-pairs")
-    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
-    ids = nodes.select("node", F.col("doc_id").alias("id"), F.col("text_key").alias("key")).join(broadcast_if_small(step(wanted, "wanted")), "node", "left_semi")
-    ids = broadcast_if_small(step(ids, "candidate-nodes"))
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]) & (docs["text_key"] == ids["key"])).select("node", "text")
-    texts = step(texts.dropDuplicates(["node"]), "candidate-texts")
+
+    def ends(pairs: DataFrame, columns: list) -> DataFrame:
+        wanted = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
+        return nodes.select("node", *columns).join(broadcast_if_small(step(wanted, "wanted")), "node", "left_semi")
+
+    pairs = step(pairs, "pairs")
+    own = ends(pairs, ["n", "bits"])
+    x, y = own.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx")), own.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    pairs = step(pairs.join(x, "x").join(y, "y").mapInArrow(_may_link(percent), "x long, y long"), "candidate-pairs")
+    ids = broadcast_if_small(step(ends(pairs, [F.col("doc_id").alias("id"), F.col("text_key").alias("key")]), "candidate-nodes"))
+    # dealt by node once: the exchange serves both joins
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]) & (docs["text_key"] == ids["key"])).select("node", "text").dropDuplicates(["node"])
     both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
     return both.mapInArrow(_verify(k), "x long, y long, inter long, union long")
 
