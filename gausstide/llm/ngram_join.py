@@ -15,9 +15,10 @@
    buckets of set size, and only where the triangle inequality of the Jaccard distance over the hub leaves a link
    possible; so a group of thousands of near copies costs a row each, not all its pairs, and no link between components
    is missed.
-4. Length, positional and suffix filters are part of the join across components: counts of members by hash class bound
-   the overlap. A sharper suffix filter, by bitmaps of the whole sets, comes before verification; each pair is verified
-   once, on whole sets rebuilt from the two texts.
+4. Length and positional filters are part of the join across components, and so is a look back: a pair whose two postings
+   share one of the last few shingles before this one was formed there, and is not formed again. The suffix filter, by
+   bitmaps of the whole sets, comes before verification; each pair is verified once, on whole sets rebuilt from the two
+   texts.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ CHUNK, CHUNK_SHINGLES = 4096, 6_000_000
 GROUP_WORDS = 100_000
 #: Bits of a suffix filter's bitmap for each member of the set, at least.
 BITS = 4
-#: Hash classes of the suffix filter inside the join, and the count at which a class counts as unbounded.
-CLASSES, FULL = 64, 127
+#: How many earlier shingles of a set a posting carries in the join across components.
+BACK = 4
 #: Entries after which a task starts its word tables anew.
 MEMO = 1_000_000
 
@@ -168,7 +169,7 @@ def _bitmap(hashes: np.ndarray) -> bytes:
 
 
 def _sets(frequent, k: int, percent: int):
-    """Per document with words: size of its set, members that are not frequent, digest of the set, the prefix in rare-first order, the bitmap, and the counts by hash class."""
+    """Per document with words: size of its set, members that are not frequent, digest of the set, the prefix in rare-first order, and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df = frequent.value
@@ -182,12 +183,12 @@ def _sets(frequent, k: int, percent: int):
                 at[at == len(known)] = 0
                 ranks = np.where(known[at] == hashes, df[at], 0) if len(known) else np.zeros(n, np.int64)
                 prefix = hashes[np.argsort(ranks, kind="stable")[: n - -(-percent * n // 100) + 1]]  # hashes are sorted: the order among equals
-                rows.append((n, int((ranks == 0).sum()), _digest(hashes), prefix.view(np.int64), _bitmap(hashes), np.minimum(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=CLASSES), FULL).astype(np.int8)))
+                rows.append((n, int((ranks == 0).sum()), _digest(hashes), prefix.view(np.int64), _bitmap(hashes)))
                 kept.append(i)
             if rows:
-                n, rare, digest, prefix, bits, classes = zip(*rows, strict=True)
+                n, rare, digest, prefix, bits = zip(*rows, strict=True)
                 ids = [batch.column(c).take(pa.array(kept)) for c in ("doc_id", "text_key")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(classes, pa.list_(pa.int8()))], ["doc_id", "text_key", "n", "rare", "digest", "prefix", "bits", "classes"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "text_key", "n", "rare", "digest", "prefix", "bits"])
 
     return run
 
@@ -259,20 +260,20 @@ def _fits(nx: str, px: str, ny: str, py: str, percent: int) -> Column:
     return length & (F.least(nx - F.col(px), ny - F.col(py)) * (100 + percent) >= percent * (nx + ny))
 
 
-def _across(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _across(posts: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (x, y) of postings with other labels. The smaller of two sets stands in the bucket of its size, the larger in its own bucket and the one below, which together hold all sizes that a link allows."""
     level = F.floor(F.log(F.col("n") + 0.5) / math.log(100 / min(percent, 99))).cast("int")  # the half keeps sizes off the bounds
-    posts = posts.join(nodes.select("node", "classes"), "node")
-    fields = ("node", "n", "pos", "label", "far", "classes")
+    of_node = W.partitionBy("node").orderBy("pos")
+    posts = posts.withColumn("back", F.array_compact(F.array(*(F.lag("s", i).over(of_node) for i in range(1, BACK + 1)))))
+    fields = ("node", "n", "pos", "label", "far", "back")
     early = (F.col("n").cast("long") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n").cast("long")
     a = posts.filter(early).select("s", level.alias("level"), *(F.col(c).alias(f"{c}_x") for c in fields))
     b = posts.select("s", F.explode(F.array(level, level - 1)).alias("level"), *(F.col(c).alias(f"{c}_y") for c in fields))
     near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
     on = (a["s"] == b["s"]) & (a["level"] == b["level"]) & smaller & (F.col("label_x") != F.col("label_y")) & near
-    least = F.zip_with("classes_x", "classes_y", lambda a, b: F.when(F.least(a, b) < FULL, F.least(a, b).cast("long")).otherwise(F.lit(1 << 40)))
-    suffix = F.aggregate(least, F.lit(0).cast("long"), lambda t, c: t + c) * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))
-    rest = a.join(b, on & _fits("n_x", "pos_x", "n_y", "pos_y", percent) & suffix)
+    # every filter that holds here holds at an earlier common shingle too, or the pair cannot link
+    rest = a.join(b, on & _fits("n_x", "pos_x", "n_y", "pos_y", percent) & ~F.arrays_overlap("back_x", "back_y"))
     return rest.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
 
 
@@ -295,7 +296,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
         scanned = step(docs.mapInArrow(_first_scan(k), f"doc_id {kind}, text_key long, n int, digest binary, s long, df long"), "first-scan")
         members = stage(scanned.filter("s is null").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "digest"), "members")
         frequent = spark.sparkContext.broadcast(frequent_shingles(scanned.filter("s is not null").select("s", "df"), members.count()))
-        sets = docs.mapInArrow(_sets(frequent, k, percent), f"doc_id {kind}, text_key long, n int, rare int, digest binary, prefix array<long>, bits binary, classes array<tinyint>")
+        sets = docs.mapInArrow(_sets(frequent, k, percent), f"doc_id {kind}, text_key long, n int, rare int, digest binary, prefix array<long>, bits binary")
         nodes = step(sets.dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
         frequent.unpersist()
         posts = step(_postings(nodes, percent), "postings")
@@ -313,7 +314,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[D
         far = checked.select(F.col("x").alias("node"), F.col("y").alias("hub"), (1 - F.col("inter") / F.col("union")).alias("far"))
         mixed = mixed.join(broadcast_if_small(step(far, "hub-distances")), ["node", "hub"], "left")
         mixed = mixed.withColumn("far", F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
-        rest = _across(mixed, nodes, percent).join(checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+        rest = _across(mixed, percent).join(checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
         more = _checked(rest, nodes, docs, k, percent, step).filter(linked)
         links = stage(links.unionByName(more), "links")
         nodes = stage(nodes.select("node", "digest"), "set-nodes")
