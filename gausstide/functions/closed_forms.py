@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,38 @@ def eigenvalues(m: str) -> tuple[Column, Column]:
 def condition(m: str) -> Column:
     low, high = eigenvalues(m)
     return high / low
+
+
+def smallest_eigenvalue(m: str) -> Column:
+    return eigenvalues(m)[0]
+
+
+def floored(m: str, eps: float) -> Column:
+    """The matrix with its eigenvalues raised to ``eps`` where they are below."""
+    low, high = eigenvalues(m)
+    lift = (F.lit(eps) - low) / (high - low)  # times high - m, the projector of the smaller eigenvalue
+    cells = [_at(m, i) + lift * ((high if i in (0, 3) else F.lit(0.0)) - _at(m, i)) for i in range(4)]
+    whole = F.array(*(F.lit(eps if i in (0, 3) else 0.0) for i in range(4)))
+    return F.when(low >= eps, F.col(m)).when(high <= eps, whole).otherwise(F.array(*cells))
+
+
+def _quadratic(m: str, x: Column, y: Column) -> Column:
+    """(x, y) under the inverse of ``m``."""
+    return (_at(m, 3) * x * x - 2 * _at(m, 1) * x * y + _at(m, 0) * y * y) / det(m)
+
+
+def log_score(mean: str, cov: str, true_mean: str, true_cov: str) -> Column:
+    """Mean negative log likelihood of a Gaussian with the true moments under the predicted one; ``cov`` must be definite."""
+    mixed = (_at(cov, 3) * _at(true_cov, 0) - 2 * _at(cov, 1) * _at(true_cov, 1) + _at(cov, 0) * _at(true_cov, 3)) / det(cov)
+    delta = [_at(true_mean, i) - _at(mean, i) for i in range(2)]
+    return 0.5 * (2 * math.log(2 * math.pi) + F.log(det(cov)) + mixed + _quadratic(cov, *delta))
+
+
+def negative_log_likelihood(mean: str, cov: str, x: str) -> Column:
+    """That of one vector ``x``."""
+    delta = [_at(x, i) - _at(mean, i) for i in range(2)]
+    return 0.5 * (2 * math.log(2 * math.pi) + F.log(det(cov)) + _quadratic(cov, *delta))
+
+
+def correlation(m: str) -> Column:
+    return _at(m, 1) / F.sqrt(_at(m, 0) * _at(m, 3))

@@ -8,6 +8,7 @@ as plain column expressions in ``closed_forms``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -125,6 +126,91 @@ def log_score(m_pred, c_pred, m_true, c_true) -> np.ndarray:
     return 0.5 * (p.shape[-1] * np.log(2 * np.pi) + np.linalg.slogdet(p)[1] + trace(solved[..., :-1]) + (diff * solved[..., -1]).sum(-1))
 
 
+# ---- the strict layer: errors instead of NaN
+
+#: Multiples of machine precision that an eigenvalue must stand above, and the largest relative residual of a map.
+RESOLUTION, CONGRUENCE = 64.0, 1e-7
+
+
+class NumericalError(ValueError):
+    """A matrix that must be finite and positive definite is not."""
+
+
+def strict_matrices(a) -> np.ndarray:
+    """A stack of square real matrices as floats; complex, boolean, text, empty and non-finite input is refused."""
+    a = np.asarray(a)
+    if a.dtype.kind not in "iuf":
+        raise TypeError("matrices must be real numbers")
+    if a.ndim < 2 or a.shape[-1] != a.shape[-2] or not a.shape[-1]:
+        raise ValueError("matrices must be square and not empty")
+    a = a.astype(float)
+    if not np.isfinite(a).all():
+        raise NumericalError("matrices must be finite")
+    return a
+
+
+def _definite(a: np.ndarray, what: str) -> np.ndarray:
+    if not is_spd(a).all():
+        raise NumericalError(f"{what} is not positive definite")
+    return a
+
+
+def strict_floored(a: np.ndarray) -> np.ndarray:
+    return _definite(floored(strict_matrices(a)), "a projected covariance")
+
+
+def strict_power(a: np.ndarray, p: float) -> np.ndarray:
+    """The power of a definite matrix; eigenvalues at or below 0 are an error."""
+    a = strict_matrices(a)
+    w = np.linalg.eigvalsh(sym(a))
+    if not np.isfinite(w).all() or w.min() <= 0:
+        raise NumericalError("a power needs positive eigenvalues")
+    out = spectral(a, lambda w: np.maximum(w, FLOOR) ** p)
+    if not np.isfinite(out).all():
+        raise NumericalError("a power overflows")
+    return out
+
+
+def prepared(covs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Projected covariances and their square roots, computed once for all windows that share them."""
+    projected = strict_floored(covs)
+    return projected, strict_power(projected, 0.5)
+
+
+def strict_transport(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The map T with T a T = b by the singular values of the product of roots: b^1/2 a^1/2 = U S V', and the root of
+    a^1/2 b a^1/2 is V S V'. The result must be definite and carry a to b within CONGRUENCE."""
+    a, b = strict_floored(a), strict_floored(b)
+    factor = strict_power(b, 0.5) @ strict_power(a, 0.5)
+    _, s, v = np.linalg.svd(factor)
+    if not np.isfinite(s).all() or s.min() <= 0:
+        raise NumericalError("a transport map needs positive singular values")
+    inverse = strict_power(a, -0.5)
+    out = _definite(sym(inverse @ ((mt(v) * s[..., None, :]) @ v) @ inverse), "a transport map")
+    norm = lambda x: np.sqrt((x * x).sum((-1, -2)))
+    residual = norm(out @ a @ out - b) / np.maximum(norm(b), 1e-12)
+    if not (residual <= CONGRUENCE).all():
+        raise NumericalError(f"a transport map misses its target by {residual.max():.3e}")
+    return out
+
+
+def resolved(a: np.ndarray) -> np.ndarray:
+    """Decoded covariances floored, then lifted along the diagonal until the smallest eigenvalue can be told from 0 at the matrix's scale."""
+    a = floored(a)
+    w = np.linalg.eigvalsh(a)
+    least = FLOOR + 8 * RESOLUTION * np.finfo(float).eps * a.shape[-1] * np.maximum(np.abs(w).max(-1), 1.0)
+    lift = np.maximum(least - w[..., 0], 0.0)
+    return _definite(sym(a + lift[..., None, None] * np.eye(a.shape[-1])), "a decoded covariance")
+
+
+def misaligned(vectors: np.ndarray, values: np.ndarray, direction: np.ndarray) -> np.ndarray:
+    """V diag(order) V' for the order of ``values`` whose commutator with ``direction`` is largest; the first of equal ones. All orders are tried, so d is small."""
+    orders = np.array(list(permutations(values)))
+    stack = (vectors * orders[:, None, :]) @ vectors.T
+    c = stack @ direction - direction @ stack
+    return stack[int(np.argmax(np.sqrt((c * c).sum((-1, -2)))))]
+
+
 def _batched(fn, shapes: str, out, *columns: pd.Series) -> pd.Series:
     """Calls ``fn`` once per dimension in the batch. ``shapes``: m for a matrix column, v for a vector column. Null in, null out."""
     n = len(columns[0])
@@ -163,6 +249,9 @@ _FUNCTIONS = {
     "expm": (expm, "m", DOUBLES),
     "bures": (bures, "mm", T.DoubleType()),
     "transport": (transport, "mm", DOUBLES),
+    "strict_transport": (strict_transport, "mm", DOUBLES),
+    "strict_root": (lambda a: strict_power(strict_floored(a), 0.5), "m", DOUBLES),
+    "resolved": (resolved, "m", DOUBLES),
     "correlation": (correlation, "m", DOUBLES),
     "commutator": (commutator, "mm", T.DoubleType()),
     "condition": (condition, "m", T.DoubleType()),

@@ -58,6 +58,10 @@ def _transport(c, ref):
     return half(la.transport(np.broadcast_to(ref, c.shape), c) - np.eye(c.shape[-1]))
 
 
+def _local(c, ref):
+    return half(la.strict_transport(np.broadcast_to(ref, c.shape), c) - np.eye(c.shape[-1]))
+
+
 def _from_transport(margin: float):
     def decode(z, ref):
         a = la.safe_map(unhalf(z), margin)
@@ -71,7 +75,7 @@ def _from_local(z, ref):
     a = np.eye(ref.shape[-1]) + unhalf(z)
     bad = la.smallest_eigenvalue(a) <= 0
     a = np.where(bad[..., None, None], la.floored(a, la.STATE_FLOOR), a)
-    return la.floored(a @ ref @ a, la.STATE_FLOOR)
+    return la.resolved(a @ ref @ a)
 
 
 CHARTS: dict[str, Chart] = {
@@ -80,7 +84,7 @@ CHARTS: dict[str, Chart] = {
     "log_euclidean": Chart(lambda c, _: half(la.logm(c)), lambda z, _: la.floored(la.expm(unhalf(z)), la.STATE_FLOOR)),
     "transport_fixed": Chart(_transport, _from_transport(0.05), True),
     "transport_study": Chart(_transport, _from_transport(0.08), True),
-    "transport_local": Chart(_transport, _from_local, True),
+    "transport_local": Chart(_local, _from_local, True),
 }
 
 
@@ -109,8 +113,8 @@ def encode(states: DataFrame, references: DataFrame, methods: list[str], by: lis
             out = []
             for (method, d), g in b.groupby(["method", b["mean"].map(len)]):
                 stack = lambda c, shape: np.stack(g[c].map(np.asarray)).reshape(shape)  # noqa: B023, E731
-                z = np.stack([encode_arrays(method, m, c, rm, rc) for m, c, rm, rc in zip(stack("mean", (-1, 1, d)), stack("cov", (-1, 1, d, d)), stack("ref_mean", (-1, d)), stack("ref_cov", (-1, d, d)), strict=True)])
-                out.append(g[[*by, "t", "method"]].assign(z=list(z[:, 0])))
+                z = encode_arrays(method, stack("mean", (-1, d)), stack("cov", (-1, d, d)), stack("ref_mean", (-1, d)), stack("ref_cov", (-1, d, d)))
+                out.append(g[[*by, "t", "method"]].assign(z=list(z)))
             if out:
                 yield pd.concat(out)
 
@@ -119,22 +123,21 @@ def encode(states: DataFrame, references: DataFrame, methods: list[str], by: lis
 
 
 def decode(coordinates: DataFrame, references: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, t, method, mean, cov, repaired): states back from coordinates; ``repaired`` tells that a map had to be made positive."""
+    """(by, t, method, mean, cov, repaired, low): states back from coordinates, a stack of matrices at a time. ``low`` is the smallest eigenvalue of the raw map I + H (of the decoded covariance in charts without one), ``repaired`` tells that the map had to be made positive."""
     by = by or []
     rows = coordinates.join(F.broadcast(references), by) if by else coordinates.crossJoin(F.broadcast(references))
 
     def run(batches):
         for b in batches:
             out = []
-            for r in b.itertuples():
-                ref_mean = np.asarray(r.ref_mean)
-                d = len(ref_mean)
-                ref_cov, z = np.asarray(r.ref_cov).reshape(d, d), np.asarray(r.z)
-                m, c = decode_arrays(r.method, z, d, ref_mean, ref_cov)
-                low = la.smallest_eigenvalue(np.eye(d) + unhalf(z[d:])) if CHARTS[r.method].centred else 1.0
-                out.append((*(getattr(r, k) for k in by), r.t, r.method, m, c.reshape(-1), bool(low <= 0)))
+            for (method, d), g in b.groupby(["method", b["ref_mean"].map(len)]):
+                chart, stack = CHARTS[method], lambda c, g=g: np.stack(g[c].map(np.asarray))
+                z, ref_mean, ref_cov = stack("z"), stack("ref_mean"), stack("ref_cov").reshape(-1, d, d)
+                m, c = z[:, :d] + (ref_mean if chart.centred else 0.0), chart.decode(z[:, d:], ref_cov)
+                low = la.smallest_eigenvalue(np.eye(d) + unhalf(z[:, d:])) if chart.centred else la.smallest_eigenvalue(c)
+                out.append(g[[*by, "t", "method"]].assign(mean=list(m), cov=list(c.reshape(len(g), -1)), repaired=low <= 0, low=low))
             if out:
-                yield pd.DataFrame(out, columns=[*by, "t", "method", "mean", "cov", "repaired"])
+                yield pd.concat(out)
 
     kinds = "".join(f"`{c}` {coordinates.schema[c].dataType.simpleString()}, " for c in by)
-    return rows.mapInPandas(run, f"{kinds}t int, method string, mean array<double>, cov array<double>, repaired boolean")
+    return rows.mapInPandas(run, f"{kinds}t int, method string, mean array<double>, cov array<double>, repaired boolean, low double")

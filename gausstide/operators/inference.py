@@ -97,8 +97,18 @@ def circular_intervals(rows: DataFrame, by: list[str], value: str, order: str, b
     return rows.join(F.broadcast(groups), by).groupBy(*by).applyInPandas(run, f"{kinds}mean double, se double, low double, high double, n long")
 
 
+def _draw(seed: int, by: list[str], *place: str):
+    """A number from 0 to 2**32 - 1 for each replicate and block, from the MD5 of seed, group, replicate and block: the same in any engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in [*by, *place]))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _spread(means: DataFrame, by: list[str]) -> DataFrame:
+    return means.groupBy(*by).agg(F.stddev_samp("m").alias("se"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
 def circular_intervals_at_scale(rows: DataFrame, by: list[str], value: str, order: str, block: int = 7, draws: int = 2_000, seed: int = 20260731) -> DataFrame:
-    """The same by replicates instead of groups: block sums are windows, and every replicate is a hash-seeded draw of blocks joined to them, so replicates run in parallel."""
+    """The same by replicates instead of groups: block sums are windows, and every replicate is a hash-seeded draw of blocks joined to them, so replicates run in parallel and do not depend on the order of groups."""
     w = W.partitionBy(*by)
     numbered = rows.select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count("*").over(w).alias("n"))
     shifted = numbered.select(*by, "n", "v", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"), "i").withColumn("start", F.pmod(F.col("i") - F.col("j"), F.col("n")))
@@ -106,7 +116,23 @@ def circular_intervals_at_scale(rows: DataFrame, by: list[str], value: str, orde
     sums = shifted.groupBy(*by, "n", "start").agg(F.sum("v").alias("whole"), F.sum(F.when(F.col("j") < last, F.col("v"))).alias("cut"))
     blocks = F.ceil(F.col("n") / block)
     plan = numbered.select(*by, "n").distinct().withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("b", F.explode(F.sequence(F.lit(1), blocks)))
-    plan = plan.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), *by, "r", "b"), F.col("n"))).withColumn("final", F.col("b") == blocks)
+    plan = plan.withColumn("start", F.pmod(_draw(seed, by, "r", "b"), F.col("n"))).withColumn("final", F.col("b") == blocks)
     means = plan.join(sums, [*by, "n", "start"]).groupBy(*by, "n", "r").agg((F.sum(F.when(F.col("final"), F.col("cut")).otherwise(F.col("whole"))) / F.first("n")).alias("m"))
-    spread = means.groupBy(*by).agg(F.stddev_samp("m").alias("se"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(spread, by)
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(_spread(means, by), by)
+
+
+def block_intervals_at_scale(rows: DataFrame, by: list[str], value: str, block: int = 3, draws: int = 10_000, seed: int = 20260714) -> DataFrame:
+    """(by, mean, se, low, high, n): the pooled mean of rows (by, origin, target_index, value) by blocks that stay inside their origin and do not wrap; every origin is refilled to its own length. Replicates are hash-seeded and run in parallel."""
+    w = W.partitionBy(*by, "origin")
+    numbered = rows.select(*by, "origin", F.col(value).alias("v"), (F.row_number().over(w.orderBy("target_index")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    numbered = numbered.withColumn("size", F.least(F.col("n"), F.lit(block)))
+    last = (F.col("n") - 1) % F.col("size") + 1
+    shifted = numbered.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1))).withColumn("start", F.col("i") - F.col("j")).filter("start >= 0 and start <= n - size")
+    sums = shifted.groupBy(*by, "origin", "start").agg(F.sum("v").alias("whole"), F.sum(F.when(F.col("j") < last, F.col("v"))).alias("cut"))
+    blocks = F.ceil(F.col("n") / F.col("size"))
+    plan = numbered.select(*by, "origin", "n", "size").distinct().withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("b", F.explode(F.sequence(F.lit(1), blocks)))
+    plan = plan.withColumn("start", F.pmod(_draw(seed, by, "origin", "r", "b"), F.col("n") - F.col("size") + 1)).withColumn("final", F.col("b") == blocks)
+    drawn = plan.join(sums, [*by, "origin", "start"]).groupBy(*by, "r").agg(F.sum(F.when(F.col("final"), F.col("cut")).otherwise(F.col("whole"))).alias("total"))
+    totals = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    means = drawn.join(totals.select(*by, "n"), by).select(*by, (F.col("total") / F.col("n")).alias("m"))
+    return totals.join(_spread(means, by), by)

@@ -12,6 +12,7 @@ from gausstide.functions import closed_forms as cf
 from gausstide.functions import linalg as la
 from gausstide.operators import autoregression as ar
 from gausstide.operators import charts, evaluation, grid, inference, references, simulation, splits, states
+from gausstide.plans import scoring_queries
 from gausstide.plans import views as v
 from gausstide.plans.views import sql
 
@@ -31,11 +32,11 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _QUERIES | scoring_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(_SQL)
+    return _SQL | scoring_queries.SQL
 
 
 def _r(c, digits: int = 8):

@@ -37,6 +37,21 @@ def S2(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
     return states.hopping_states(E2(spark, sf_dir), WINDOW, STEP, HOURS, RIDGE)
 
 
+PANELS = {1: ("click", "view"), 2: ("purchase", "signup")}
+
+
+def P(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    """States of two panels of two types each."""
+    e = E(spark, sf_dir)
+    return grid.union_all([states.hopping_states(e.filter(F.col("k").isin(*keys)), WINDOW, STEP, HOURS, RIDGE).withColumn("panel", F.lit(p)) for p, keys in PANELS.items()])
+
+
+def PX(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    """(panel, i, x): the raw vectors of the panels."""
+    e = E(spark, sf_dir)
+    return grid.union_all([states.vectors(e.filter(F.col("k").isin(*keys))).withColumn("panel", F.lit(p)) for p, keys in PANELS.items()])
+
+
 def S(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
     """All five types, standardised by the first fit block, so that d = 5 covariances are well conditioned."""
     e = E(spark, sf_dir)
@@ -73,6 +88,9 @@ SQL = {
     "s2": """v as (select i, max(case when k = 'click' then c end) as x, max(case when k = 'view' then c end) as y from e group by i),
     w as (select t::int as t, x, y from (select unnest(range(175)) as t) join v on i >= 4 * t and i < 4 * t + 24),
     s2 as (select t, avg(x) as mx, avg(y) as my, (sum(x*x) - sum(x)*sum(x)/24)/23 + 1e-5 as a, (sum(x*y) - sum(x)*sum(y)/24)/23 as b, (sum(y*y) - sum(y)*sum(y)/24)/23 + 1e-5 as d from w group by t)""",
+    "ps": """pv as (select panel, i, max(case when k = k1 then c end) as x, max(case when k = k2 then c end) as y from e join (values (1, 'click', 'view'), (2, 'purchase', 'signup')) pk(panel, k1, k2) on k in (k1, k2) group by panel, i),
+    pw as (select panel, t::int as t, x, y from (select unnest(range(175)) as t) join pv on i >= 4 * t and i < 4 * t + 24),
+    ps as (select panel, t, avg(x) as mx, avg(y) as my, (sum(x*x) - sum(x)*sum(x)/24)/23 + 1e-5 as a, (sum(x*y) - sum(x)*sum(y)/24)/23 as b, (sum(y*y) - sum(y)*sum(y)/24)/23 + 1e-5 as d from pw group by panel, t)""",
     "sp": "sp as (select * from (values (0,61,87,111),(1,85,111,135),(2,109,135,159),(3,133,159,175)) x(origin, fit_end, val_end, test_end))",
     "src": """src as (select origin, horizon, unnest(range(val_end - horizon, test_end - horizon))::int as source from sp, (select unnest([3,4,5]) as horizon))""",
     "adj": """adj as (select q.t, p.mx as m1, p.my as m2, p.a as a1, p.b as b1, p.d as d1, q.mx as n1, q.my as n2, q.a as a2, q.b as b2, q.d as d2 from s2 p join s2 q on q.t = p.t + 1)""",
@@ -83,5 +101,10 @@ SQL = {
 }
 
 
+def rounded(c, digits: int = 6):
+    """Rounded, without a negative zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
 def sql(body: str, *parts: str) -> str:
     return "with " + ",\n".join(SQL[p] for p in parts) + "\n" + body

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str, cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -20,3 +22,14 @@ def local_session(name: str, cores: int | str = "*", shuffle_partitions: int = 8
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read from there, for small tables that a long plan uses several times. Where the setting is missing, a folder of this process on a local master; elsewhere an error, since executors would write to their own disks."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {sc.master}")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gausstide-"))
+    return df.checkpoint()
