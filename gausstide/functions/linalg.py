@@ -287,6 +287,32 @@ def squared_distance(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def correlation_cell(a: str, d: int, i: int, j: int) -> Column:
+    """One cell of the correlation matrix of a d x d covariance, natively."""
+    at = lambda p, q: F.get(a, F.lit(p * d + q))
+    if i == j:
+        return F.lit(1.0)
+    spread = F.sqrt(F.greatest(at(i, i), F.lit(1e-12)) * F.greatest(at(j, j), F.lit(1e-12)))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at(i, j) / spread))
+
+
+def product(a: str, b: str, d: Column) -> Column:
+    """The product of two packed square matrices, natively."""
+    row = lambda p: F.floor(p / d).cast("int")
+    cell = lambda p: F.aggregate(F.sequence(F.lit(0), d - 1), F.lit(0.0), lambda s, k: s + F.get(a, row(p) * d + k) * F.get(b, k * d + p % d))
+    return F.transform(F.sequence(F.lit(0), d * d - 1), cell)
+
+
+def commutator_size(a: str, b: str) -> Column:
+    """Norm of AB - BA over the product of the norms, for symmetric matrices of any dimension, natively: BA is (AB) transposed."""
+    d = F.sqrt(F.size(a).cast("double")).cast("int")
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    at = F.sequence(F.lit(0), d * d - 1)
+    ab = F.array(product(a, b, d))  # named once by the transform below
+    gaps = F.transform(ab, lambda m: F.transform(at, lambda p: F.get(m, p) - F.get(m, (p % d) * d + F.floor(p / d).cast("int"))))
+    return norm(F.get(gaps, F.lit(0))) / F.greatest(norm(a) * norm(b), F.lit(1e-300))
+
+
 def upper(a: str, d: int) -> Column:
     """The upper triangle, row by row, diagonal included."""
     return F.array(*(F.get(a, F.lit(i * d + j)) for i in range(d) for j in range(i, d)))

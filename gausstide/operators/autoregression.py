@@ -21,7 +21,7 @@ def fit_diagonal(series: DataFrame, end: int, ridge: float | Column, by: list[st
 
 def forecast_diagonal(series: DataFrame, model: DataFrame, horizon: int, by: list[str]) -> DataFrame:
     """(by, t, z): the forecast of step t + horizon from step t: mu + slope^h (z - mu)."""
-    return series.join(F.broadcast(model), by).select(*by, "t", (F.col("mu") + F.pow("slope", F.lit(float(horizon))) * (F.col("z") - F.col("mu"))).alias("z"))
+    return series.join(model, by).select(*by, "t", (F.col("mu") + F.pow("slope", F.lit(float(horizon))) * (F.col("z") - F.col("mu"))).alias("z"))
 
 
 def fit_raw_diagonal(grid: DataFrame, end: int, ridge: float) -> DataFrame:

@@ -105,7 +105,7 @@ def decode_arrays(method: str, z: np.ndarray, d: int, ref_mean: np.ndarray, ref_
 def encode(states: DataFrame, references: DataFrame, methods: list[str], by: list[str] | None = None) -> DataFrame:
     """(by, t, method, z): every state in every chart. ``references``: one row (by, ref_mean, ref_cov) per series, broadcast."""
     by = by or []
-    joined = states.join(F.broadcast(references), by) if by else states.crossJoin(F.broadcast(references))
+    joined = states.join(references, by) if by else states.crossJoin(F.broadcast(references))
     rows = joined.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
 
     def run(batches):
@@ -125,7 +125,7 @@ def encode(states: DataFrame, references: DataFrame, methods: list[str], by: lis
 def decode(coordinates: DataFrame, references: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, t, method, mean, cov, repaired, low): states back from coordinates, a stack of matrices at a time. ``low`` is the smallest eigenvalue of the raw map I + H (of the decoded covariance in charts without one), ``repaired`` tells that the map had to be made positive."""
     by = by or []
-    rows = coordinates.join(F.broadcast(references), by) if by else coordinates.crossJoin(F.broadcast(references))
+    rows = coordinates.join(references, by) if by else coordinates.crossJoin(F.broadcast(references))
 
     def run(batches):
         for b in batches:

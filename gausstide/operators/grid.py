@@ -62,21 +62,21 @@ def fit_profile(grid: DataFrame, fit_end: int, ddof: int = 0) -> DataFrame:
 
 
 def standardised(grid: DataFrame, profile: DataFrame) -> DataFrame:
-    return grid.join(F.broadcast(profile), "k").select("i", "k", ((F.col("c") - F.col("center")) / F.col("scale")).alias("c"))
+    return grid.join(profile, "k").select("i", "k", ((F.col("c") - F.col("center")) / F.col("scale")).alias("c"))
 
 
 def destandardised(grid: DataFrame, profile: DataFrame) -> DataFrame:
-    return grid.join(F.broadcast(profile), "k").select("i", "k", (F.col("c") * F.col("scale") + F.col("center")).alias("c"))
+    return grid.join(profile, "k").select("i", "k", (F.col("c") * F.col("scale") + F.col("center")).alias("c"))
 
 
 def median_imputed(grid: DataFrame, fit_end: int) -> DataFrame:
     """Sensor cleaning: values that are null or not above 0 become the key's median of valid values before ``fit_end``; then centre and scale (ddof 1) of the filled fit steps. A scale of 0 is an error."""
     valid = F.when((F.col("c") > 0) & ~F.isnan("c"), F.col("c"))
     medians = grid.filter(F.col("i") < fit_end).groupBy("k").agg(F.median(valid).alias("m"))
-    full = grid.withColumn("c", valid).join(F.broadcast(medians), "k").select("i", "k", F.coalesce("c", "m").alias("c"))
+    full = grid.withColumn("c", valid).join(medians, "k").select("i", "k", F.coalesce("c", "m").alias("c"))
     profile = full.filter(F.col("i") < fit_end).groupBy("k").agg(F.avg("c").alias("center"), F.stddev_samp("c").alias("scale"))
     scale = F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.raise_error(F.lit("a key has no spread in the fitting steps")).cast("double"))
-    return full.join(F.broadcast(profile), "k").select("i", "k", ((F.col("c") - F.col("center")) / scale).alias("c"))
+    return full.join(profile, "k").select("i", "k", ((F.col("c") - F.col("center")) / scale).alias("c"))
 
 
 def key_scores(grid: DataFrame, early_end: int) -> DataFrame:
@@ -92,7 +92,7 @@ def top_keys(grid: DataFrame, early_end: int, n: int) -> DataFrame:
     best = key_scores(grid, early_end).filter(F.col("rank") <= n).select("k", "rank")
     if best.count() < n:
         raise ValueError(f"fewer than {n} keys")
-    return grid.join(F.broadcast(best), "k")
+    return grid.join(best, "k")
 
 
 def coverage(grid: DataFrame) -> DataFrame:

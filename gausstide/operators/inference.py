@@ -60,7 +60,7 @@ def bootstrap_means(rows: DataFrame, by: list[str], value: str, block: int = 3,
 
     groups = rows.select(*by).distinct().withColumn("_k", place)
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
-    return rows.join(F.broadcast(groups), by).groupBy(*by).applyInPandas(run, f"{kinds}mean double, low double, high double, n long")
+    return rows.join(groups, by).groupBy(*by).applyInPandas(run, f"{kinds}mean double, low double, high double, n long")
 
 
 def paired_inference(differences: DataFrame, by: list[str], family: list[str], block: int = 3, other_block: int = 6, draws: int = 10_000, seed: int = 20260714) -> DataFrame:
@@ -79,7 +79,7 @@ def paired_inference(differences: DataFrame, by: list[str], family: list[str], b
 
     groups = differences.select(*by).distinct().withColumn("_k", place)
     kinds = "".join(f"`{c}` {differences.schema[c].dataType.simpleString()}, " for c in by)
-    out = differences.join(F.broadcast(groups), by).groupBy(*by).applyInPandas(run, f"{kinds}mean double, low double, high double, other_low double, other_high double, p double, n long")
+    out = differences.join(groups, by).groupBy(*by).applyInPandas(run, f"{kinds}mean double, low double, high double, other_low double, other_high double, p double, n long")
     return holm(out, "p", family)
 
 
@@ -94,7 +94,7 @@ def circular_intervals(rows: DataFrame, by: list[str], value: str, order: str, b
 
     groups = rows.select(*by).distinct().withColumn("_k", place)
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
-    return rows.join(F.broadcast(groups), by).groupBy(*by).applyInPandas(run, f"{kinds}mean double, se double, low double, high double, n long")
+    return rows.join(groups, by).groupBy(*by).applyInPandas(run, f"{kinds}mean double, se double, low double, high double, n long")
 
 
 def _draw(seed: int, by: list[str], *place: str):

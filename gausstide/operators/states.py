@@ -1,11 +1,14 @@
 """Windowed Gaussian states from grids: moments of hopping windows and of tumbling blocks.
 
 A state row is (t, n, mean array<double>, cov array<double> row-major). Sums of values and of products are grouped
-natively: each step's vector is exploded into the windows that cover it, so partial sums combine before the shuffle.
+natively: first per pane (the greatest length that divides window and step), then panes are added up into the windows
+that cover them, so a step's products are formed and shuffled once however many windows overlap.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,11 +21,19 @@ def vectors(grid: DataFrame) -> DataFrame:
     return grid.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda r: r["c"]).alias("x"))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """(t, n, d, s): counts, and sums of the vector and of its outer product, from rows (t, x)."""
+def _sums(rows: DataFrame) -> DataFrame:
+    """(t, d, p, v, n): the sums of the vector and of its outer product, by cell, from rows (t, x)."""
     outer = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: a * b)))
     parts = rows.select("t", F.size("x").alias("d"), F.posexplode(F.concat("x", outer)).alias("p", "v"))
-    sums = parts.groupBy("t", "d", "p").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    return parts.groupBy("t", "d", "p").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """(t, n, d, s) from rows (t, x)."""
+    return _gathered(_sums(rows))
+
+
+def _gathered(sums: DataFrame) -> DataFrame:
     return sums.groupBy("t", "d").agg(F.max("n").cast("int").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda r: r["v"]).alias("s"))
 
 
@@ -52,13 +63,16 @@ def hopping_states(grid: DataFrame, window: int, step: int, steps: int, ridge: f
     ``floor`` clips eigenvalues at 1e-8 (an Arrow UDF); without it the plan has no Python. Too few steps: no rows.
     """
     n = max(0, (steps - window) // step + 1)
-    first = F.greatest(F.lit(0), F.ceil((F.col("i") - window + 1) / step)).cast("int")
-    last = F.least(F.lit(n - 1), F.floor(F.col("i") / step)).cast("int")
-    rows = vectors(grid).withColumn("a", first).withColumn("b", last).filter("a <= b").select(F.explode(F.sequence("a", "b")).alias("t"), "x")
+    size = math.gcd(window, step)
+    panes = _sums(vectors(grid).select(F.floor(F.col("i") / size).cast("int").alias("t"), "x"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("t") - window // size + 1) / (step // size))).cast("int")
+    last = F.least(F.lit(n - 1), F.floor(F.col("t") / (step // size))).cast("int")
+    cells = panes.withColumns({"a": first, "b": last}).filter("a <= b").withColumn("t", F.explode(F.sequence("a", "b"))).drop("a", "b")
     if n > most:
         keep = grid.sparkSession.createDataFrame([(t, j) for j, t in enumerate(thinned(n, most))], "t int, j int")
-        rows = rows.join(F.broadcast(keep), "t").select(F.col("j").alias("t"), "x")
-    out = _states(_moments(rows).filter(F.col("n") == window), ridge)
+        cells = cells.join(F.broadcast(keep), "t").withColumn("t", F.col("j")).drop("j")  # at most ``most`` rows
+    sums = cells.groupBy("t", "d", "p").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    out = _states(_gathered(sums).filter(F.col("n") == window), ridge)
     return out.withColumn("cov", state_floor("cov")) if floor else out
 
 
@@ -93,17 +107,24 @@ def from_tidy(means: DataFrame, cells: DataFrame) -> DataFrame:
     return mean.join(cov, "t")
 
 
-def overlap_average(grid: DataFrame, window: int, step: int, steps: int) -> DataFrame:
-    """(i, k, c): the series rebuilt from its windows by averaging what covers a step; uncovered steps carry the last value, 0 at the start."""
+def windows_of(grid: DataFrame, window: int, step: int, steps: int) -> DataFrame:
+    """(t, offset, k, value): the full windows of a grid, a row per step of each."""
     n = max(0, (steps - window) // step + 1)
-    starts = grid.sparkSession.range(n).select((F.col("id") * step).cast("int").alias("start"))
-    covered = starts.select(F.explode(F.sequence("start", F.col("start") + window - 1)).alias("i"))
-    mean = covered.join(grid, "i").groupBy("i", "k").agg(F.avg("c").alias("m"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - window + 1) / step)).cast("int")
+    last = F.least(F.lit(n - 1), F.floor(F.col("i") / step)).cast("int")
+    rows = grid.withColumns({"a": first, "b": last}).filter("a <= b").withColumn("t", F.explode(F.sequence("a", "b")))
+    return rows.select("t", (F.col("i") - F.col("t") * step).alias("offset"), "k", F.col("c").alias("value"))
+
+
+def overlap_average(windows: DataFrame, step: int, steps: int) -> DataFrame:
+    """(i, k, c): a series rebuilt from windows (t, offset, k, value), window t starting at t step, by averaging the values that cover a step; uncovered steps carry the last value, 0 at the start."""
+    mean = windows.groupBy((F.col("t") * step + F.col("offset")).cast("int").alias("i"), "k").agg(F.avg("value").alias("m"))
     w = W.partitionBy("k").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    return grid.select("i", "k").join(mean, ["i", "k"], "left").select("i", "k", F.coalesce(F.last("m", True).over(w), F.lit(0.0)).alias("c"))
+    frame = windows.select("k").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    return frame.join(mean, ["i", "k"], "left").select("i", "k", F.coalesce(F.last("m", True).over(w), F.lit(0.0)).alias("c"))
 
 
 def adjacent(states: DataFrame) -> DataFrame:
-    """Each state with the one before it as before_mean, before_cov."""
-    w = W.orderBy("t")
-    return states.withColumns({"before_mean": F.lag("mean").over(w), "before_cov": F.lag("cov").over(w)}).filter("before_mean is not null")
+    """Each state with the one before it as before_mean, before_cov: an equi-join on t, so no task sees all states. States are numbered without gaps."""
+    before = states.select((F.col("t") + 1).alias("t"), F.col("mean").alias("before_mean"), F.col("cov").alias("before_cov"))
+    return states.join(before, "t")

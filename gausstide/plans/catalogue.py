@@ -173,13 +173,28 @@ def contiguous_blocks(spark, sf_dir):
 
 @query(
     sql(
-        """select i, k, round(coalesce(m, last_value(m ignore nulls) over (partition by k order by i rows between unbounded preceding and current row), 0), 8) + 0.0::double as c from (
- select e.i, e.k, case when e.i < 720 then c end as m from e where e.i < 720)""",
+        """select i, k, round(coalesce(m, last_value(m ignore nulls) over (partition by k order by i rows between unbounded preceding and current row), 0), 8) + 0.0::double as c
+ from (select i::int as i, k from (select unnest(range(720)) as i), (select distinct k from e)) left join (
+ select t*7 + o as i, k, avg(value) as m from (select t, i - t*7 as o, k, c * (1 + 0.01*t) as value from (select unnest(range(140)) as t) join e on i >= t*7 and i < t*7 + 5) group by all) using (i, k)""",
         "e",
     )
 )
 def overlap_average_series(spark, sf_dir):
-    return states.overlap_average(v.E(spark, sf_dir), v.WINDOW, v.STEP, v.HOURS).withColumn("c", _r("c"))
+    """Windows of 5 steps that start every 7, each scaled by its number: every value differs by window, and two steps of seven are uncovered."""
+    windows = states.windows_of(v.E(spark, sf_dir), 5, 7, v.HOURS).filter("t < 140")
+    return states.overlap_average(windows.withColumn("value", F.col("value") * (1 + 0.01 * F.col("t"))), 7, v.HOURS).withColumn("c", _r("c"))
+
+
+@query(
+    sql(
+        """select i::int as i, k, round(avg(value), 8) + 0.0::double as c from (select i, k, c * (1 + 0.01*t) as value from (select unnest(range(175)) as t) join e on i >= t*4 and i < t*4 + 24) group by i, k""",
+        "e",
+    )
+)
+def overlap_average_overlapping(spark, sf_dir):
+    """Overlapping windows, each scaled by its number, averaged where they cover a step."""
+    windows = states.windows_of(v.E(spark, sf_dir), v.WINDOW, v.STEP, v.HOURS)
+    return states.overlap_average(windows.withColumn("value", F.col("value") * (1 + 0.01 * F.col("t"))), v.STEP, v.HOURS).withColumn("c", _r("c"))
 
 
 @query(sql("select t, round(mx, 8) as m0, round(my, 8) as m1, round(a, 8) as c0, round(b, 8) + 0.0::double as c1, round(b, 8) + 0.0::double as c2, round(d, 8) as c3 from s2", "e", "s2"))
@@ -266,7 +281,7 @@ _BURES = "greatest(a1 + d1 + a2 + d2 - 2*sqrt(a1*a2 + 2*b1*b2 + d1*d2 + 2*sqrt((
 
 @query(sql(f"select t, round({_BURES}, 6) + 0.0::double as bures from adj", "e", "s2", "adj"))
 def bures_d2(spark, sf_dir):
-    return _adjacent(spark, sf_dir).select("t", _r(la.call("bures", "before_cov", "cov"), 6).alias("bures"))
+    return _adjacent(spark, sf_dir).select("t", _r(cf.bures("before_cov", "cov"), 6).alias("bures"))
 
 
 @query(sql(f"select t, round(pow(m1 - n1, 2) + pow(m2 - n2, 2) + {_BURES}, 6) + 0.0::double as w2 from adj", "e", "s2", "adj"))
@@ -305,22 +320,22 @@ def matexp_d2(spark, sf_dir):
 
 @query(sql("select t, round(l2 / l1, 4) as condition from eig", "e", "s2", "eig"))
 def condition_d2(spark, sf_dir):
-    return v.S2(spark, sf_dir).select("t", _r(la.call("condition", "cov"), 4).alias("condition"))
+    return v.S2(spark, sf_dir).select("t", _r(cf.condition("cov"), 4).alias("condition"))
 
 
 @query(sql("select t, round(l1, 6) as low from eig", "e", "s2", "eig"))
 def smallest_eigenvalue_d2(spark, sf_dir):
-    return v.S2(spark, sf_dir).select("t", _r(la.call("smallest_eigenvalue", "cov"), 6).alias("low"))
+    return v.S2(spark, sf_dir).select("t", _r(cf.smallest_eigenvalue("cov"), 6).alias("low"))
 
 
 @query(sql("select t, round(b / sqrt(a*d), 6) + 0.0::double as rho from s2", "e", "s2"))
 def correlation_d2(spark, sf_dir):
-    return v.S2(spark, sf_dir).select("t", la.call("correlation", "cov").alias("m")).select("t", _r(_at("m", 1), 6).alias("rho"))
+    return v.S2(spark, sf_dir).select("t", _r(la.correlation_cell("cov", 2, 0, 1), 6).alias("rho"))
 
 
 @query(sql("select t, round(sqrt(2) * abs(a1*b2 + b1*d2 - b1*a2 - d1*b2) / (sqrt(a1*a1 + 2*b1*b1 + d1*d1) * sqrt(a2*a2 + 2*b2*b2 + d2*d2)), 6) + 0.0::double as commutator from adj", "e", "s2", "adj"))
 def commutator_d2(spark, sf_dir):
-    return _adjacent(spark, sf_dir).select("t", _r(la.call("commutator", "before_cov", "cov"), 6).alias("commutator"))
+    return _adjacent(spark, sf_dir).select("t", _r(la.commutator_size("before_cov", "cov"), 6).alias("commutator"))
 
 
 @query(
@@ -333,7 +348,7 @@ def commutator_d2(spark, sf_dir):
     )
 )
 def log_score_d2(spark, sf_dir):
-    return _adjacent(spark, sf_dir).select("t", _r(la.call("log_score", "before_mean", "before_cov", "mean", "cov"), 6).alias("score"))
+    return _adjacent(spark, sf_dir).select("t", _r(cf.log_score("before_mean", "before_cov", "mean", "cov"), 6).alias("score"))
 
 
 @query(
@@ -606,10 +621,16 @@ def circular_block_bootstrap(spark, sf_dir):
     return inference.circular_intervals(rows, ["method"], "loss", "i")
 
 
-@query()
+@query(
+    _LOSS
+    + ", gr as (select method as g, origin * 12 + target_index as source, loss as v from lt), "
+    + scoring_queries._CIRCULAR
+    + " select g as method, round(mean, 3) as mean, round(se, 3) as se, round(low, 3) as low, round(high, 3) as high, n::bigint as n from gm join iv using (g)"
+)
 def circular_block_bootstrap_at_scale(spark, sf_dir):
     rows = _loss_table(spark, sf_dir).withColumn("i", F.col("origin") * 12 + F.col("target_index"))
-    return inference.circular_intervals_at_scale(rows, ["method"], "loss", "i")
+    out = inference.circular_intervals_at_scale(rows, ["method"], "loss", "i")
+    return out.select("method", *(_r(c, 3).alias(c) for c in ("mean", "se", "low", "high")), "n")
 
 
 _SHRINK = """select coalesce(min(case when worst <= 3 then r end), min_by(r, worst)) as shrinkage from (select r, max(q) as worst from (select r, t % 4 as panel, quantile_cont(((1-r)*l2 + r*h) / ((1-r)*l1 + r*h), 0.9) as q
