@@ -7,8 +7,8 @@ import time
 from gausstide.plans import catalogue
 from gausstide.session import local_session
 
-HEADLINE = ["hourly_grid_filled", "key_scores", "hopping_covariances", "block_states_shrunk", "w2_d2", "bures_d2", "encode_transport_d2", "var_diag_ridge_argmin", "rolling_reference", "target_panel", "paired_inference", "holm_adjust"]
-LLM = ["op2_decontamination", "op4_sharding", "op6_line_dedup", "op9_mixture"]
+HEADLINE = ["hourly_grid_filled", "key_scores", "hopping_covariances", "block_states_shrunk", "w2_d2", "bures_d2", "encode_transport_d2", "var_diag_ridge_argmin", "rolling_reference", "recursive_scores", "panel_records", "panel_effects", "origin_block_intervals", "target_panel", "paired_inference", "holm_adjust"]
+LLM = ["op1_toxicity", "op2_decontamination", "op3_order_minhash", "op4_sharding", "op6_line_dedup", "op7_ngram_jaccard_join", "op8_token_counts", "op9_mixture", "op10_licences"]
 
 
 def main() -> None:
