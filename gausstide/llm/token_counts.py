@@ -80,6 +80,16 @@ def allocate(lengths: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: st
     return tokens, crossing
 
 
+def _disjoint(sections: list[dict | None]) -> list[dict]:
+    """Sections in ascending order, cut so that none begins before 0 or before the end of an earlier one. Null sections and bounds are left out; one that ends before its start is empty."""
+    out, last = [], 0
+    for s in sorted((s for s in sections if s and s["start"] is not None and s["end"] is not None), key=lambda s: (s["start"], s["end"])):
+        start = max(s["start"], last)
+        out.append({"section": s["section"], "start": start, "end": max(s["end"], start)})
+        last = out[-1]["end"]
+    return out
+
+
 def _attribute(path: str, pattern: str, rule: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, size = _encoding(path, pattern)
@@ -87,8 +97,7 @@ def _attribute(path: str, pattern: str, rule: str, names: list[str]):
             rows = []
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py() or ""
-                sections = [s for s in batch.column("sections")[i].as_py() or [] if s and s["end"] >= s["start"]]
-                sections.sort(key=lambda s: (s["start"], s["end"]))
+                sections = _disjoint(batch.column("sections")[i].as_py() or [])
                 edges = _byte_edges(text, [e for s in sections for e in (s["start"], s["end"])])
                 ids = np.array(encoding.encode_ordinary(text), np.int64)
                 tokens, crossing = allocate(size[ids], edges[::2], edges[1::2], rule)
@@ -105,8 +114,9 @@ def _attribute(path: str, pattern: str, rule: str, names: list[str]):
 def attribute_tokens(docs: DataFrame, rule: str = "start", path: str = VOCABULARY, pattern: str = PATTERN, key: str = "doc_id") -> DataFrame:
     """(key, section, n_tokens, n_crossing, n_chars, document_tokens): a row per section of ``docs`` (key, text, sections).
 
-    ``sections``: array of (section, start, end), code point positions from 0, end exclusive, disjoint. Bytes outside
-    all sections count for none. Null and empty texts have 0 tokens; a document with null or no sections gives no rows;
+    ``sections``: array of (section, start, end), code point positions from 0, end exclusive. Where sections overlap, the
+    one that starts first keeps the overlap. Bytes outside all sections count for none. ``path`` must be readable on every
+    executor. Null and empty texts have 0 tokens; a document with null or no sections gives no rows;
     repeated rows are counted each; other columns are ignored.
     """
     if rule not in RULES:

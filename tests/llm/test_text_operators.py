@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gausstide.llm import decontaminate, line_dedup, ngram_join, order_minhash, sharding, toxicity
+from gausstide.llm import decontaminate, line_dedup, mixture, ngram_join, order_minhash, sharding, toxicity
 from gausstide.llm.common import components
 
 SCHEMA = "doc_id long, text string, node string, term string, s string, n int, label int"
@@ -342,6 +342,69 @@ def test_trie_against_brute_force():
         assert (found[1] if found else None) == best
 
 
+def brute_score(text, model):
+    """The score of a text in plain Python: every word against every term, sums by loops."""
+    terms, weights, coef = model
+    tokens = re.findall(r"\w+|[\"“”«»„]", (text or "").lower())
+    matched = {}
+    for w in set(tokens):
+        best = None
+        for i, t in enumerate(terms):
+            bare = t.rstrip("*")
+            k = toxicity.allowed_edits(bare)
+            if not t.endswith("*") and abs(len(w) - len(bare)) > k:
+                continue
+            d = min(edit(bare, w[: len(bare) + k])) if t.endswith("*") else edit(bare, w)[-1]
+            if d <= k and (best is None or (d, -len(bare), i) < best):
+                best = (d, -len(bare), i)
+        if best and weights[best[2], best[0]] > 0:
+            matched[w] = (best[2], best[0])
+    hits, open_quotes, marks = [], 0, sum(t in toxicity.QUOTES for t in tokens)
+    for i, t in enumerate(tokens):
+        open_quotes += t in toxicity.QUOTES
+        if t in matched:
+            quoted = open_quotes % 2 == 1 and marks > open_quotes
+            told = any(x in toxicity.ATTRIBUTION for x in tokens[max(0, i - 4) : i])
+            hits.append((i, weights[matched[t]] * (toxicity.QUOTE_DISCOUNT if quoted or told else 1), matched[t][0]))
+    x = [0.0] * 4
+    if hits:
+        x = [max(sum(w for j, w, _ in hits if i <= j < i + toxicity.WINDOW) for i, _, _ in hits), np.log1p(sum(w for _, w, _ in hits)), min(20, 100 * len(hits) / len(tokens)), min(10, len({t for *_, t in hits}))]
+    return 1 / (1 + np.exp(-np.clip(coef[0] + np.dot(x, coef[1:]), -30, 30)))
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(4)
+    model = (["vilify*", "scoundrel", "oaf"], np.array([[4.0, 2.0, 0.0], [3.0, 2.5, 2.0], [2.0, 0.0, 0.0]]), np.array([-3.0, 0.4, 0.3, 0.05, 0.2]))
+    words = ["vilify", "vilifying", "vilfy", "scoundrel", "scoundrl", "skoundrl", "oaf", "oafs", "said", '"', "tree", "stone", "vil", "“", "”"]
+    rows = [(i, " ".join(rng.choice(words + ["plain"] * 20) for _ in range(rng.randrange(120)))) for i in range(60)] + [(100, None), (101, "")]
+    got = {r.doc_id: r.score for r in toxicity.score(make(spark, rows), model).collect()}
+    assert all(abs(got[d] - brute_score(t, model)) < 1e-9 for d, t in rows)
+
+
+def test_no_column_of_the_input_clashes(spark):
+    """Helper names of every operator as columns of the input: they keep their values."""
+    names = ["text_key", "_key", "_bucket", "_row", "_tie", "_extra", "_copies", "_copy", "_score", "_matches", "_w", "_n", "slot_", "_place"]
+    docs = spark.createDataFrame([(i, f"text number {i} of some words", "x", "y", *range(len(names))) for i in range(6)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    labels = spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of that")], "item_id long, text string")
+    outs = [toxicity.reject(docs, labels.limit(0)), decontaminate.remove_contaminated(docs, bench), mixture.mixed(docs), sharding.shards(docs, 2), order_minhash.with_next(order_minhash.with_signature(docs, "text", "sig"), ["sig"])]
+    for out in outs:
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert all(list(r[4 : 4 + len(names)]) == list(range(len(names))) for r in out.collect())
+
+
+def test_sharding_columns_of_the_query(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["a", "é" * 10, "", None, "x y z"] * 7)]
+    pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    out = sharding.query(spark, str(tmp_path)).collect()
+    assert all(r["size"] == len((rows[r.doc_id][1] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((rows[r.doc_id][1] or "").encode()) for r in out)
+    by = defaultdict(list)
+    for r in out:
+        by[r.shard].append(r.slot)
+    assert sorted(by) == list(range(8)) and all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert {(r.law, r.grown_shard) for r in out} == {("rows", None)}
+
+
 def test_long_words_match_and_no_term_is_cut():
     trie = toxicity.Trie(["vilify*", "scoundrel"])
     assert trie.match("vilify_" + "x" * 100) == (0, 0) and trie.match("vilify" + "y" * 50_000) == (0, 0)
