@@ -2,8 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of ``documents``. SQL cannot express the learned toxicity score, so
-there is no ORACLE_SQL. Tests look at each stage's columns and a few properties of its rows; no test holds the kept ids
-against brute force.
+there is no ORACLE_SQL; tests hold the ids that each stage keeps against a brute-force version.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles, the least doc_id stays."""
+    """Of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles one document stays, that of the least doc_id."""
     return ngram_join.one_of_each(docs, k=5, percent=80)
 
 
