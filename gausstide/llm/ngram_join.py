@@ -40,7 +40,7 @@ from gausstide.llm.common import broadcast_if_small, components, free, scratch,
 #: A shingle is frequent from this share of all documents on.
 FREQUENT_SHARE = 1e-4
 #: Documents, and shingles, after which a chunk is counted.
-CHUNK, CHUNK_SHINGLES = 4096, 6_000_000
+CHUNK, CHUNK_SHINGLES = 4096, 2_500_000
 #: Words that are hashed into shingles at a time.
 GROUP_WORDS = 100_000
 #: Bits of a suffix filter's bitmap for each member of the set, at least.
@@ -48,7 +48,7 @@ BITS = 4
 #: How many earlier shingles of a set a posting carries in the join across components.
 BACK = 4
 #: Entries after which a task starts its word tables anew.
-MEMO = 1_000_000
+MEMO = 300_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xBF58476D1CE4E5B9], np.uint64)
 
