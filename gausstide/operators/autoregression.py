@@ -1,10 +1,12 @@
-"""Ridge autoregression of order one: diagonal models natively, full ones in a task per fit."""
+"""Ridge autoregression of order one: diagonal models natively, full ones by grouped products and a small solve."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -33,6 +35,41 @@ def fit_raw_diagonal(grid: DataFrame, end: int, ridge: float) -> DataFrame:
     return s.select("k", ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"), slope.alias("slope"))
 
 
+# ---- full models: sums of products by grouping, only the solve of one small system is a helper
+
+
+def gram(coordinates: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, mu, g): rows, mean, and for each coordinate i the sums of x_i x_j and then of x_i y_j, where x is a row of ``coordinates`` (by, t, z) and y the next one, both centred by the mean of all rows."""
+    cells = coordinates.select(*by, "t", F.posexplode("z").alias("k", "v"))
+    listed = lambda c, k: F.transform(F.array_sort(F.collect_list(F.struct(*k, c))), lambda r: r[c])
+    mean = cells.groupBy(*by, "k").agg(F.avg("v").alias("m"), F.count("*").alias("n")).groupBy(*by).agg(F.max("n").alias("n"), listed("m", ["k"]).alias("mu"))
+    centred = coordinates.join(mean, by).select(*by, "t", F.zip_with("z", "mu", lambda a, b: a - b).alias("y"))
+    before = centred.select(*by, (F.col("t") + 1).alias("t"), F.col("y").alias("x"))
+    pairs = centred.join(before, [*by, "t"]).select(*by, "x", F.concat("x", "y").alias("xy"))
+    products = pairs.select(*by, F.posexplode("x").alias("i", "a"), "xy").select(*by, "i", "a", F.posexplode("xy").alias("j", "b"))
+    sums = products.groupBy(*by, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    return sums.groupBy(*by).agg(listed("s", ["i", "j"]).alias("g")).join(mean, by)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def propagator(g: pd.Series, penalty: pd.Series, horizon: pd.Series) -> pd.Series:
+    """The coefficient matrix of each system of ``gram``, ridge ``penalty`` on its diagonal, to the power of the horizon; row-major."""
+
+    def one(cells, p, h):
+        q = int(round(np.sqrt(len(cells) / 2)))
+        both = np.asarray(cells).reshape(q, 2 * q)
+        return np.linalg.matrix_power(np.linalg.solve(both[:, :q] + p * np.eye(q), both[:, q:]), int(h)).reshape(-1)
+
+    return pd.Series([one(*r) for r in zip(g, penalty, horizon, strict=True)])
+
+
+def propagated(z: str, mu: str, power: str) -> Column:
+    """mu + (z - mu) P, natively."""
+    q = F.size(mu)
+    cell = lambda j: F.get(mu, j) + F.aggregate(F.sequence(F.lit(0), q - 1), F.lit(0.0), lambda s, i: s + (F.get(z, i) - F.get(mu, i)) * F.get(power, i * q + j))
+    return F.transform(F.sequence(F.lit(0), q - 1), cell)
+
+
 # ---- full models, on arrays inside a task
 
 

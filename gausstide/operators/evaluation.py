@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 
 from gausstide.functions import linalg as la
 from gausstide.operators import autoregression as ar
-from gausstide.operators import charts, references
-from gausstide.operators.splits import test_sources
+from gausstide.operators import charts, references, scoring
+from gausstide.operators.splits import split_table, test_sources
 
 RIDGES = [1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0]
 WINDOWS = [24, 48, 72]
@@ -176,8 +176,8 @@ def _task(methods_raw):
     return run
 
 
-def target_panel(states: DataFrame, splits: list[tuple], horizons: list[int], methods: list[str], raw: DataFrame | None = None, window: int = 0, step: int = 0, diagonal: bool = False) -> DataFrame:
-    """The fact table: a row per (origin, horizon, target, method).
+def task_panel(states: DataFrame, splits: list[tuple], horizons: list[int], methods: list[str], raw: DataFrame | None = None, window: int = 0, step: int = 0, diagonal: bool = False) -> DataFrame:
+    """The fact table of ``target_panel`` with a task per (origin, horizon, method), each on the whole series: for the local chart and the raw rows, whose fits depend on the source; the tests hold the fixed charts of ``scoring`` against it.
 
     ``states``: (t, mean, cov) of one series, a bounded number (hundreds), sent to each task; ``raw``: (i, x) vectors for
     method raw_var. A failing task fails the panel.
@@ -191,6 +191,21 @@ def target_panel(states: DataFrame, splits: list[tuple], horizons: list[int], me
     return out.select(*(null(c) if c in ("window_length", "ridge", "reference_residual") else c for c in PANEL_COLUMNS))
 
 
+def target_panel(states: DataFrame, splits: list[tuple], horizons: list[int], methods: list[str], raw: DataFrame | None = None, window: int = 0, step: int = 0, diagonal: bool = False, d: int = 2) -> DataFrame:
+    """The fact table: a row per (origin, horizon, target, method). Persistence and the fixed charts are relations (``scoring.fixed_panel``); the local chart and the raw rows, fitted anew at each source, are tasks."""
+    tasks = [m for m in methods if m in ("transport_local", "raw_var")]
+    parts = []
+    if set(methods) - set(tasks):
+        table = split_table(states.sparkSession, [s for s in splits if s[3] > s[2]])
+        rows = scoring.fixed_panel(states, table, horizons, [m for m in methods if m not in tasks], d, RIDGES, diagonal)
+        rows = rows.withColumnsRenamed({"source": "source_index", "target": "target_index", "low": "min_pred_eig"})
+        none = {"window_length": "double", "reference_residual": "double", "reference_refreshed": "boolean", "reference_fallback": "boolean"}
+        parts.append(rows.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items()}).select(*PANEL_COLUMNS))
+    if tasks:
+        parts.append(task_panel(states, splits, horizons, tasks, raw, window, step, diagonal))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def panel_problems(panel: DataFrame, methods: list[str]) -> DataFrame:
     """(problem, n): what breaks a complete paired panel; no rows if it is complete."""
     count = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")

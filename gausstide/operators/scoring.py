@@ -17,7 +17,8 @@ from pyspark.sql import Window as W
 from gausstide.functions import closed_forms as cf
 from gausstide.functions import linalg as la
 from gausstide.operators import autoregression as ar
-from gausstide.operators import charts
+from gausstide.operators import charts, references
+from gausstide.session import checkpointed
 
 RIDGES = [1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0]
 
@@ -119,6 +120,61 @@ def block_likelihood(forecasts: DataFrame, raw: DataFrame, by: list[str], window
     return forecasts.join(each, keys)
 
 
+# ---- the fixed-chart part of the target panel
+
+
+def fixed_panel(states: DataFrame, splits: DataFrame, horizons: list[int], methods: list[str], d: int, ridges: list[float], diagonal: bool = False, first: int = 250) -> DataFrame:
+    """(origin, fit_end, val_end, test_end, horizon, method, ridge, source, the losses): forecasts of each test target of each origin by a full (or diagonal) autoregression in each fixed chart, and by persistence.
+
+    The reference is the mean and the barycenter of the states before fit_end (of the ``first`` ones at most, as the
+    method has it). The ridge is the one of least mean RMSE on the validation targets under models fitted before fit_end,
+    the smallest of equal ones; forecasts come from models fitted before val_end.
+    """
+    by, charts_ = ["origin", "method"], [m for m in methods if m != "persistence"]
+    states = states.select("t", "mean", "cov")
+    every = checkpointed(states.crossJoin(F.broadcast(splits)))  # a row of splits per origin
+    sources = ranges(splits, horizons, F.col("val_end") - F.col("horizon"), F.col("test_end") - F.col("horizon"))
+    plain = every.select("origin", "t", "mean", "cov")
+    parts = []
+    if charts_:
+        refs = checkpointed(references.group_references(every.filter(F.col("t") < F.col("fit_end")), ["origin"], first=first))
+        z = checkpointed(charts.encode(plain, refs, charts_, ["origin"]))
+        ends = splits.select("origin", "fit_end", "val_end")
+
+        def powers(end: str, ridge: DataFrame) -> DataFrame:
+            fit = z.join(F.broadcast(ends), "origin").filter(F.col("t") < F.col(end)).select(*by, "t", "z")
+            sums = ar.gram(fit, by)
+            if diagonal:
+                q = F.size("mu")
+                kept = F.transform("g", lambda v, p: F.when(F.pmod(p % (2 * q), q) == F.floor(p / (2 * q)), v).otherwise(0.0))
+                sums = sums.withColumn("g", kept)
+            both = sums.join(ridge, [c for c in ridge.columns if c in by])
+            return both.select(*by, "horizon", "ridge", "mu", ar.propagator("g", (F.col("n") - 1) * F.col("ridge"), "horizon").alias("power"))
+
+        def forecast(at: DataFrame, models: DataFrame) -> DataFrame:
+            start = z.withColumnRenamed("t", "source").join(at.select("origin", "horizon", "source"), ["origin", "source"])
+            return start.join(models, [*by, "horizon"]).select(*by, "horizon", "ridge", "source", ar.propagated("z", "mu", "power").alias("z"))
+
+        grid = splits.select("origin").withColumns({"horizon": F.explode(F.array(*map(F.lit, horizons)))}).withColumn("ridge", F.explode(F.array(*map(F.lit, ridges))))
+        val = ranges(splits, horizons, F.greatest(F.col("fit_end") - F.col("horizon"), F.lit(0)), F.col("val_end") - F.col("horizon"))
+        tried = forecast(val, powers("fit_end", grid)).join(refs.select("origin", "ref_mean"), "origin")
+        centred = F.col("method").isin([m for m in charts_ if charts.CHARTS[m].centred])
+        mean = F.when(centred, F.zip_with(F.slice("z", 1, d), "ref_mean", lambda a, b: a + b)).otherwise(F.slice("z", 1, d))
+        truth = states.select(F.col("t").alias("target"), F.col("mean").alias("true_mean"))
+        tried = tried.withColumns({"made": mean, "target": F.col("source") + F.col("horizon")}).join(truth, "target")
+        scores = tried.groupBy(*by, "horizon", "ridge").agg(F.avg(F.sqrt(la.squared_distance("made", "true_mean") / d)).alias("loss"))
+        choice = checkpointed(best(scores, [*by, "horizon"], "loss", ["ridge"]).drop("loss"))
+        made = forecast(sources, powers("val_end", choice))
+        keys = ["origin", "horizon", "ridge"]
+        # decode has one row a state: the source takes the place of t
+        parts.append(charts.decode(made.withColumnRenamed("source", "t"), refs.join(made.select(*keys).distinct(), "origin"), keys).select(*by, "horizon", "ridge", F.col("t").alias("source"), "mean", "cov"))
+    if "persistence" in methods:
+        still = persistence_forecasts(plain, sources, ["origin"]).withColumn("ridge", F.lit(None).cast("double"))
+        parts.append(still.select("origin", "method", "horizon", "ridge", "source", "mean", "cov"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return losses(out, plain, ["origin"], d).join(splits, "origin")
+
+
 # ---- raw rows
 
 

@@ -15,6 +15,7 @@ from gausstide.operators import charts, evaluation, grid, inference, references,
 from gausstide.plans import scoring_queries
 from gausstide.plans import views as v
 from gausstide.plans.views import sql
+from gausstide.session import checkpointed
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -533,9 +534,9 @@ def rolling_reference(spark, sf_dir):
 
 
 def _panel(spark, sf_dir):
-    s2 = v.S2(spark, sf_dir)
+    s2 = checkpointed(v.S2(spark, sf_dir))
     raw = states.vectors(v.E2(spark, sf_dir))
-    return evaluation.target_panel(s2, v.SPLITS, HORIZONS, evaluation.METHODS, raw, v.WINDOW, v.STEP)
+    return checkpointed(evaluation.target_panel(s2, v.SPLITS, HORIZONS, evaluation.METHODS, raw, v.WINDOW, v.STEP))
 
 
 @query()

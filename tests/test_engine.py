@@ -11,6 +11,7 @@ from gausstide.functions import linalg as la
 from gausstide.operators import autoregression as ar
 from gausstide.operators import charts, evaluation, grid, inference, references, reporting, simulation, splits, states
 from gausstide.plans import catalogue
+from gausstide.plans import views as v
 from gausstide.sources import files
 
 SF = "/root/testdata/sf0.01"
@@ -326,6 +327,16 @@ def test_hopping_states_of_long_overlaps(spark):
             assert np.allclose(got[j].mean, w.mean(0)) and np.allclose(np.array(got[j].cov).reshape(2, 2), np.cov(w.T))
 
 
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_fixed_panel_equals_the_task_version(spark, diagonal):
+    s2 = v.S2(spark, SF).persist()
+    methods = ["persistence", "euclidean", "cholesky", "log_euclidean", "transport_fixed"]
+    keys = ["origin", "horizon", "target_index", "method"]
+    a, b = (f(s2, v.SPLITS[:2], [3, 5], methods, diagonal=diagonal).toPandas().sort_values(keys).reset_index(drop=True) for f in (evaluation.target_panel, evaluation.task_panel))
+    assert len(a) == len(b) > 0 and a[keys].equals(b[keys]) and np.array_equal(a["ridge"].to_numpy(float), b["ridge"].to_numpy(float), equal_nan=True)
+    assert np.allclose(a[["raw_rmse", "w2", "min_pred_eig"]], b[["raw_rmse", "w2", "min_pred_eig"]], rtol=1e-6, atol=1e-8)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
