@@ -41,12 +41,13 @@ def _states(moments: DataFrame, ridge: float, shrinkage: float = 0.0) -> DataFra
     row = lambda p: F.floor(p / F.col("d")).cast("int")
     col = lambda p: p % F.col("d")
     s = lambda p: F.get("s", p)
-    cov = F.transform(F.sequence(F.lit(0), F.col("d") * F.col("d") - 1), lambda p: (s(F.col("d") + p) - s(row(p)) * s(col(p)) / F.col("n")) / (F.col("n") - 1))
-    out = moments.select("t", "n", "d", F.transform(F.slice("s", 1, F.col("d")), lambda v: v / F.col("n")).alias("mean"), cov.alias("cov"))
-    if shrinkage:
-        share = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda i: F.get("cov", i * (F.col("d") + 1))), F.lit(0.0), lambda a, v: a + v) / F.col("d")
-        out = out.withColumn("share", share)
-        out = out.withColumn("cov", F.transform("cov", lambda v, p: (1 - shrinkage) * v + F.when(row(p) == col(p), shrinkage * F.col("share")).otherwise(0.0)))
+    cell = lambda p: (s(F.col("d") + p) - s(row(p)) * s(col(p)) / F.col("n")) / (F.col("n") - 1)
+    cov = F.transform(F.sequence(F.lit(0), F.col("d") * F.col("d") - 1), cell)
+    columns = {"mean": F.transform(F.slice("s", 1, F.col("d")), lambda v: v / F.col("n")), "cov": cov}
+    if shrinkage:  # the trace comes from the sums, so that no cell is computed again for each diagonal cell
+        share = F.aggregate(F.sequence(F.lit(0), F.col("d") - 1), F.lit(0.0), lambda a, i: a + cell(i * (F.col("d") + 1))) / F.col("d")
+        columns["cov"] = F.transform(cov, lambda v, p: (1 - shrinkage) * v + F.when(row(p) == col(p), shrinkage * share).otherwise(0.0))
+    out = moments.select("t", "n", "d", *(c.alias(name) for name, c in columns.items()))
     if ridge:
         out = out.withColumn("cov", F.transform("cov", lambda v, p: v + F.when(row(p) == col(p), ridge).otherwise(0.0)))
     return out.select("t", "n", "mean", "cov")

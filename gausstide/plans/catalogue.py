@@ -470,12 +470,9 @@ def var_diag_ridge_argmin(spark, sf_dir):
     )
 )
 def var_full_d2_coef(spark, sf_dir):
-    def fit(g):
-        _, a = ar.fit_full(np.stack(g.sort_values("t")["mean"].map(np.asarray)), 0.01)
-        return pd.DataFrame([a.reshape(-1)], columns=["a00", "a01", "a10", "a11"])
-
-    out = v.S2(spark, sf_dir).filter("t < 87").select("t", "mean").withColumn("series", F.lit(0)).groupBy("series").applyInPandas(fit, "a00 double, a01 double, a10 double, a11 double")
-    return out.select(*(_r(c, 6).alias(c) for c in out.columns))
+    fit = v.S2(spark, sf_dir).filter("t < 87").select("t", F.col("mean").alias("z")).withColumn("series", F.lit(0))
+    a = ar.gram(fit, ["series"]).select(ar.propagator("g", (F.col("n") - 1) * 0.01, F.lit(1)).alias("a"))
+    return a.select(*(_r(_at("a", i), 6).alias(c) for i, c in enumerate(("a00", "a01", "a10", "a11"))))
 
 
 @query(
@@ -526,7 +523,7 @@ def reference_library(spark, sf_dir):
 
 @query()
 def rolling_reference(spark, sf_dir):
-    s = v.S2(spark, sf_dir).withColumn("series", F.lit("S2"))
+    s = v.P(spark, sf_dir).withColumn("series", F.col("panel").cast("string"))
     return references.rolling_references(s, ["series"], 24, refresh=10)
 
 
@@ -664,6 +661,18 @@ def covariance_pooled_by_label(spark, sf_dir):
     return s.select("t", "n", la.call("condition", "cov").alias("condition"), la.call("is_spd", "cov").alias("spd"))
 
 
+@query(
+    """with c as (select label::int as t, vec_id, unnest(embedding::double[]) as x, unnest(range(64))::int as i from embeddings),
+ cv as (select a.t, a.i, b.i as j, covar_samp(a.x, b.x) as v from c a join c b on a.vec_id = b.vec_id group by all)
+ select t, (i * 64 + j)::int as p, round(0.8*v + case when i = j then 0.2 * sum(case when i = j then v end) over (partition by t) / 64 else 0 end, 8) + 0.0::double as value from cv"""
+)
+def pooled_covariance_cells(spark, sf_dir):
+    """All cells of the shrunk covariance of each label, full dimension."""
+    e = v.read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    s = states._states(states._moments(e), 0.0, 0.2)
+    return s.select("t", F.posexplode("cov").alias("p", "value")).withColumn("value", _r("value"))
+
+
 @query()
 def simulate_s1_smoke(spark, sf_dir):
     designs = [{"design": "Baseline", "generator": g, "n": 120, "d": 3, "phi": 0.7, "dispersion": 0.15} for g in ("transport",)]
