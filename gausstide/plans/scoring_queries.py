@@ -138,10 +138,10 @@ _RUN = """, ru as (select origin, h.horizon, me.method, w2_mean, raw_rmse_mean,
  rr as (select origin, horizon, method, case when error is null then w2_mean end as w2_mean, case when error is null then raw_rmse_mean end as raw_rmse_mean, case when error is null then n_pairs end as n_pairs, error from ru) """
 
 
-@query(_origin_sql("val_end - horizon", "test_end - horizon", _RUN + "select origin::int as origin, horizon::int as horizon, method, round(w2_mean, 4) + 0.0::double as w2_mean, round(raw_rmse_mean, 4) + 0.0::double as raw_rmse_mean, n_pairs::bigint as n_pairs, error from rr"))
+@query(_origin_sql("val_end - horizon", "test_end - horizon", _RUN + "select origin::int as origin, horizon::int as horizon, method, round(w2_mean, 4) + 0.0::double as w2_mean, round(raw_rmse_mean, 4) + 0.0::double as raw_rmse_mean, coalesce(n_pairs, 0)::bigint as n_pairs, error from rr"))
 def rolling_run(spark, sf_dir):
     """Two charts and persistence; cholesky asks for more states than the first origin has, and long_memory has no scorer: both leave error rows."""
-    return _digits(_run(spark, sf_dir), ["w2_mean", "raw_rmse_mean"], 4).select("origin", "horizon", "method", "w2_mean", "raw_rmse_mean", "n_pairs", "error")
+    return _digits(_run(spark, sf_dir), ["w2_mean", "raw_rmse_mean"], 4).select("origin", "horizon", "method", "w2_mean", "raw_rmse_mean", F.coalesce("n_pairs", F.lit(0).cast("long")).alias("n_pairs"), "error")
 
 
 _GAINS = ["mean_gain", "median_gain", "mean_reduction", "median_reduction", "positive_rate", "best_rate"]
