@@ -34,7 +34,7 @@ QUOTE_DISCOUNT = 0.35
 #: Words that announce someone else's speech.
 ATTRIBUTION = frozenset(["said", "says", "quote", "quoted", "wrote", "called", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"])
 #: A stem has 3 to so many letters; a whole word of any length can be a term.
-LONGEST_STEM = 20
+LONGEST_STEM = 10
 QUOTES = frozenset('"“”«»„')
 TOKEN = re.compile(r"\w+|[\"“”«»„]")
 MEMO = 300_000
