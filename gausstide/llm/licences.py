@@ -133,14 +133,22 @@ def _idf(n: int, df: int) -> float:
 def _may_reach(terms: Column, most: dict[str, float], idf: dict[str, float], other: float, threshold: float) -> Column:
     """False only for units whose cosine to every template is below ``threshold``.
 
-    The dot product with any template is at most the sum of each occurrence's largest share ``most``, and a unit is at
-    least as long as if no term repeated (tf * tf >= tf). Both sums run over occurrences, so no counts are needed.
+    A unit's squared length is at least k + u: k, exact, of its terms that templates have, and u of its other words as if
+    none repeated (tf * tf >= tf). Its dot product with a template is at most the sum of each occurrence's largest share
+    ``most``, and, as templates have length 1 in these terms, at most the root of k. Known terms are sorted once, so that
+    repeats stand together: the step from tf to tf + 1 adds 2 tf + 1 squared weights to k.
     """
     pairs = F.create_map(*(x for t in most for x in (F.lit(t), F.struct(F.lit(most[t]).alias("w"), F.lit(idf[t] ** 2).alias("s")))))
-    known = F.transform(F.filter(terms, lambda w: w.isin(list(most))), lambda w: F.element_at(pairs, w))
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s"), F.lit(0).alias("n"))
-    total = F.aggregate(known, zero, lambda a, x: F.struct((a["w"] + x["w"]).alias("w"), (a["s"] + x["s"]).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.struct(a["n"].alias("n"), a["w"].alias("w"), (a["s"] + (F.size(terms) - a["n"]) * other**2).alias("s")))
-    return F.exists(F.array(total), lambda a: (a["n"] > 0) & (a["w"] >= (threshold - 1e-9) * F.sqrt(a["s"])))
+    known = F.transform(F.sort_array(F.filter(terms, lambda w: w.isin(list(most)))), lambda t: F.struct(t.alias("t"), F.element_at(pairs, t).alias("p")))
+    zero = F.struct(F.lit("").alias("t"), F.lit(0).alias("tf"), F.lit(0.0).alias("w"), F.lit(0.0).alias("k"), F.lit(0).alias("n"))
+
+    def add(a, x):
+        tf = F.when(a["t"] == x["t"], a["tf"]).otherwise(F.lit(0))
+        return F.struct(x["t"].alias("t"), (tf + 1).alias("tf"), (a["w"] + x["p"]["w"]).alias("w"), (a["k"] + x["p"]["s"] * (2 * tf + 1)).alias("k"), (a["n"] + 1).alias("n"))
+
+    total = F.aggregate(known, zero, add, lambda a: F.struct(a["n"].alias("n"), a["w"].alias("w"), a["k"].alias("k"), (a["k"] + (F.size(terms) - a["n"]) * other**2).alias("s")))
+    least = threshold - 1e-9
+    return F.exists(F.array(total), lambda a: (a["n"] > 0) & (a["w"] >= least * F.sqrt(a["s"])) & (a["k"] >= least**2 * a["s"]))
 
 
 def directory(path: Column) -> Column:
