@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gausstide.llm import decontaminate, licences, line_dedup, mixture, ngram_join, order_minhash, sharding, token_counts, toxicity, url_filter
+from gausstide.llm import collocations, decontaminate, fill_in_middle, licences, line_dedup, mixture, ngram_join, order_minhash, sharding, token_counts, toxicity, url_filter
 
 MODULES = {
     "op1_toxicity": toxicity,
@@ -15,6 +15,8 @@ MODULES = {
     "op8_token_counts": token_counts,
     "op9_mixture": mixture,
     "op10_licences": licences,
+    "op11_fill_in_middle": fill_in_middle,
+    "op13_collocations": collocations,
 }
 
 
