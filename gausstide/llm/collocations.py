@@ -26,6 +26,8 @@ from gausstide.llm.common import LOWER, UPPER, free, scratch, stage, table
 BITMAP_BITS = 1 << 26
 #: Entries a task sums up before it passes them on.
 HELD = 200_000
+#: Answers of the bitmap that a task remembers.
+KNOWN = 200_000
 #: Partial ranks within which each language's first rows are found before they meet.
 SALTS = 32
 UNKNOWN = "und"
@@ -44,9 +46,9 @@ def words_and_ends(text: bytes) -> list[bytes]:
 def _within(bits: np.ndarray, seen: dict[bytes, bool], phrase: bytes) -> bool:
     known = seen.get(phrase)
     if known is None:
-        h = xxhash.xxh64_intdigest(phrase, 42) % BITMAP_BITS
+        h = xxhash.xxh64_intdigest(phrase, 42) % (8 * len(bits))
         known = bool(bits[h >> 3] >> (h & 7) & 1)
-        if len(seen) < HELD:
+        if len(seen) < KNOWN:
             seen[phrase] = known
     return known
 
@@ -66,7 +68,7 @@ def _runs(words: list[bytes], ok: dict[bytes, bool], bits: np.ndarray) -> Iterat
         yield run
 
 
-def _counts(level: int, max_words: int, sent: tuple):
+def _counts(level: int, max_words: int, sent: tuple, most: int):
     """Counts of a scan: level 1 words, level 2 pairs of possibly frequent words, level 3 longer phrases of possibly frequent pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,7 @@ def _counts(level: int, max_words: int, sent: tuple):
                                 end += 1
                                 if end - at >= 2:
                                     counter[b" ".join(r[at : end + 1])] += 1
-                if sum(map(len, held.values())) > HELD:
+                if sum(map(len, held.values())) > most:
                     yield from flush()
         yield from flush()
 
@@ -132,7 +134,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, step) -> t
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).cast("string").alias("lang"), "text")
 
     def scan(level: int, sent: tuple) -> DataFrame:
-        return texts.mapInArrow(_counts(level, max_words, sent), ROWS).groupBy("lang", "phrase", "n_words").agg(F.sum("c").alias("f"))
+        return texts.mapInArrow(_counts(level, max_words, sent, HELD), ROWS).groupBy("lang", "phrase", "n_words").agg(F.sum("c").alias("f"))
 
     words = scan(1, ())
     tagged = words.withColumn("rare", F.col("f") < min_count)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gausstide.llm import collocations, decontaminate, fill_in_middle, licences, line_dedup, mixture, ngram_join, order_minhash, sharding, token_counts, toxicity, url_filter
+from gausstide.llm import collocations, decontaminate, fill_in_middle, licences, line_dedup, mixture, ngram_join, order_minhash, sharding, suffix_dedup, token_counts, toxicity, url_filter
 
 MODULES = {
     "op1_toxicity": toxicity,
@@ -16,6 +16,7 @@ MODULES = {
     "op9_mixture": mixture,
     "op10_licences": licences,
     "op11_fill_in_middle": fill_in_middle,
+    "op12_suffix_dedup": suffix_dedup,
     "op13_collocations": collocations,
 }
 
