@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,9 @@ from gausstide.llm.common import LOWER, UPPER, free, scratch, stage, table
 #: Bits of the bitmap that a scan gets from the scan before (8 MB), whatever the data.
 BITMAP_BITS = 1 << 26
 #: Entries a task sums up before it passes them on.
-HELD = 200_000
-#: Answers of the bitmap that a task remembers.
-KNOWN = 200_000
+HELD = 400_000
+#: Answers of a bitmap that a task remembers.
+KNOWN = 500_000
 #: Partial ranks within which each language's first rows are found before they meet.
 SALTS = 32
 UNKNOWN = "und"
@@ -39,43 +41,49 @@ ROWS = "lang string, phrase string, n_words int, c long"
 
 
 def words_and_ends(text: bytes) -> list[bytes]:
-    """The words of a text in order, with END where a piece ends."""
-    return text.translate(_FOLD).replace(END, b" \xff ").split(b" ")
-
-
-def _within(bits: np.ndarray, seen: dict[bytes, bool], phrase: bytes) -> bool:
-    known = seen.get(phrase)
-    if known is None:
-        h = xxhash.xxh64_intdigest(phrase, 42) % (8 * len(bits))
-        known = bool(bits[h >> 3] >> (h & 7) & 1)
-        if len(seen) < KNOWN:
-            seen[phrase] = known
-    return known
-
-
-def _runs(words: list[bytes], ok: dict[bytes, bool], bits: np.ndarray) -> Iterator[list[bytes]]:
-    """Runs of two and more neighbouring words of one piece that may all be frequent."""
-    run: list[bytes] = []
-    for w in words:
-        if w:
-            if w != END and _within(bits, ok, w):
-                run.append(w)
-            else:
-                if len(run) > 1:
-                    yield run
-                run = []
-    if len(run) > 1:
-        yield run
+    """The words of a text in order, with END where a piece ends. (No other white space is left for ``split``.)"""
+    return text.translate(_FOLD).replace(END, b" \xff ").split()
+
+
+class Known(dict):
+    """What a bitmap says of phrases; the first ``most`` answers are remembered."""
+
+    def __init__(self, bits: bytes, most: int):
+        self.bits, self.most = bits, most
+        self[END] = False
+
+    def __missing__(self, phrase: bytes) -> bool:
+        h = xxhash.xxh64_intdigest(phrase, 42) % (8 * len(self.bits))
+        found = bool(self.bits[h >> 3] >> (h & 7) & 1)
+        if len(self) < self.most:
+            self[phrase] = found
+        return found
+
+
+def _pairs(words: list[bytes], known: Known) -> tuple[Iterator[int], Iterator[bytes]]:
+    """Places and texts of the neighbouring words that may both be frequent; a piece's end never is."""
+    ok = list(map(known.__getitem__, words))
+    both = list(map(and_, ok, ok[1:]))
+    return compress(range(len(both)), both), map(b" ".join, compress(zip(words, words[1:]), both))
+
+
+def _longer(words: list[bytes], known: Known, pairs: Known, most: int) -> Iterator[bytes]:
+    """Phrases of three to ``most`` words whose pairs may all be frequent."""
+    at, texts = _pairs(words, known)
+    places = list(compress(at, map(pairs.__getitem__, texts)))
+    for first, p in enumerate(places):
+        for n in range(1, most - 1):
+            if first + n == len(places) or places[first + n] != p + n:
+                break
+            yield b" ".join(words[p : p + n + 2])
 
 
 def _counts(level: int, max_words: int, sent: tuple, most: int):
     """Counts of a scan: level 1 words, level 2 pairs of possibly frequent words, level 3 longer phrases of possibly frequent pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.frombuffer(b.value, np.uint8) for b in sent]
+        known = [Known(b.value, KNOWN) for b in sent]
         held: dict[str, Counter] = {}
-        words_ok: dict[bytes, bool] = {}
-        pairs_ok: dict[bytes, bool] = {}
 
         def flush():
             for lang, counter in held.items():
@@ -97,20 +105,11 @@ def _counts(level: int, max_words: int, sent: tuple, most: int):
                 words = words_and_ends(text)
                 if level == 1:
                     counter.update(words)
-                    counter.pop(b"", None)
                     counter.pop(END, None)
                 elif level == 2:
-                    for r in _runs(words, words_ok, bits[0]):
-                        counter.update([a + b" " + b for a, b in zip(r, r[1:])])
+                    counter.update(_pairs(words, known[0])[1])
                 else:
-                    for r in _runs(words, words_ok, bits[0]):
-                        pairs = [_within(bits[1], pairs_ok, a + b" " + b) for a, b in zip(r, r[1:])]
-                        for at in range(len(r) - 2):
-                            end = at
-                            while end < len(pairs) and pairs[end] and end - at < max_words - 1:
-                                end += 1
-                                if end - at >= 2:
-                                    counter[b" ".join(r[at : end + 1])] += 1
+                    counter.update(_longer(words, *known, max_words))
                 if sum(map(len, held.values())) > most:
                     yield from flush()
         yield from flush()
