@@ -156,7 +156,8 @@ def _definite(a: np.ndarray, what: str) -> np.ndarray:
 
 
 def strict_floored(a: np.ndarray) -> np.ndarray:
-    return _definite(floored(strict_matrices(a)), "a projected covariance")
+    """Eigenvalues floored at STATE_FLOOR, as all of the strict layer has it."""
+    return _definite(floored(strict_matrices(a), STATE_FLOOR), "a projected covariance")
 
 
 def strict_power(a: np.ndarray, p: float) -> np.ndarray:
@@ -165,7 +166,7 @@ def strict_power(a: np.ndarray, p: float) -> np.ndarray:
     w = np.linalg.eigvalsh(sym(a))
     if not np.isfinite(w).all() or w.min() <= 0:
         raise NumericalError("a power needs positive eigenvalues")
-    out = spectral(a, lambda w: np.maximum(w, FLOOR) ** p)
+    out = spectral(a, lambda w: np.maximum(w, STATE_FLOOR) ** p)
     if not np.isfinite(out).all():
         raise NumericalError("a power overflows")
     return out
@@ -177,16 +178,34 @@ def prepared(covs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return projected, strict_power(projected, 0.5)
 
 
+def singular(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and right vectors (as rows) of a stack. Where the divide-and-conquer driver fails, each matrix is reduced to its triangular factor first and tried again."""
+    try:
+        return np.linalg.svd(a)[1:]
+    except np.linalg.LinAlgError:
+        pass
+    values, vectors = np.empty(a.shape[:-1]), np.empty(a.shape)
+    for i in np.ndindex(a.shape[:-2]):
+        try:
+            _, values[i], vectors[i] = np.linalg.svd(np.linalg.qr(a[i])[1])
+        except np.linalg.LinAlgError as e:
+            raise NumericalError("singular values were not found") from e
+    return values, vectors
+
+
+def product_root(root_a: np.ndarray, root_b: np.ndarray) -> np.ndarray:
+    """(A^1/2 B A^1/2)^1/2 from the roots of A and B, without forming and flooring the product: with B^1/2 A^1/2 = U S V' it is V S V', so small eigenvalues keep their relative accuracy."""
+    s, v = singular(root_b @ root_a)
+    if not np.isfinite(s).all() or s.min() <= 0:
+        raise NumericalError("a product of roots needs positive singular values")
+    return sym((mt(v) * s[..., None, :]) @ v)
+
+
 def strict_transport(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The map T with T a T = b by the singular values of the product of roots: b^1/2 a^1/2 = U S V', and the root of
-    a^1/2 b a^1/2 is V S V'. The result must be definite and carry a to b within CONGRUENCE."""
+    """The map T with T a T = b by ``product_root``. The result must be definite and carry a to b within CONGRUENCE."""
     a, b = strict_floored(a), strict_floored(b)
-    factor = strict_power(b, 0.5) @ strict_power(a, 0.5)
-    _, s, v = np.linalg.svd(factor)
-    if not np.isfinite(s).all() or s.min() <= 0:
-        raise NumericalError("a transport map needs positive singular values")
     inverse = strict_power(a, -0.5)
-    out = _definite(sym(inverse @ ((mt(v) * s[..., None, :]) @ v) @ inverse), "a transport map")
+    out = _definite(sym(inverse @ product_root(strict_power(a, 0.5), strict_power(b, 0.5)) @ inverse), "a transport map")
     norm = lambda x: np.sqrt((x * x).sum((-1, -2)))
     residual = norm(out @ a @ out - b) / np.maximum(norm(b), 1e-12)
     if not (residual <= CONGRUENCE).all():
@@ -196,13 +215,21 @@ def strict_transport(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def resolved(a: np.ndarray) -> np.ndarray:
     """Decoded covariances floored, then lifted along the diagonal until the smallest eigenvalue can be told from 0 at the matrix's scale."""
-    a = floored(a)
+    a = floored(strict_matrices(a), STATE_FLOOR)
     w = np.linalg.eigvalsh(a)
-    least = FLOOR + 8 * RESOLUTION * np.finfo(float).eps * a.shape[-1] * np.maximum(np.abs(w).max(-1), 1.0)
+    least = STATE_FLOOR + 8 * RESOLUTION * np.finfo(float).eps * a.shape[-1] * np.maximum(np.abs(w).max(-1), 1.0)
     lift = np.maximum(least - w[..., 0], 0.0)
     return _definite(sym(a + lift[..., None, None] * np.eye(a.shape[-1])), "a decoded covariance")
 
 
+def local_state(h: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """The covariance that the map I + H makes of the reference; only a map that is not positive is repaired, by flooring its eigenvalues."""
+    a = np.eye(ref.shape[-1]) + sym(strict_matrices(h))
+    bad = smallest_eigenvalue(a) <= 0
+    a = np.where(bad[..., None, None], floored(a, STATE_FLOOR), a)
+    return resolved(a @ strict_floored(ref) @ a)
+
+
 def misaligned(vectors: np.ndarray, values: np.ndarray, direction: np.ndarray) -> np.ndarray:
     """V diag(order) V' for the order of ``values`` whose commutator with ``direction`` is largest; the first of equal ones. All orders are tried, so d is small."""
     orders = np.array(list(permutations(values)))
@@ -242,6 +269,35 @@ def column_function(fn, shapes: str, out: T.DataType = DOUBLES):
     return F.pandas_udf(f, out)
 
 
+def _tried(fn, shapes: str, *columns: pd.Series) -> pd.DataFrame:
+    """(value, error) per row: a stack that fails is tried again matrix by matrix, so that a row which fails costs itself only."""
+    n = len(columns[0])
+    value, error = np.full(n, None, dtype=object), np.full(n, None, dtype=object)
+    ok = np.logical_and.reduce([c.notna().to_numpy() for c in columns])
+    size = np.array([len(x) if good else -1 for x, good in zip(columns[0], ok, strict=True)])
+
+    def at_once(at: np.ndarray) -> None:
+        d = int(round(np.sqrt(size[at[0]]))) if shapes[0] == "m" else int(size[at[0]])
+        arrays = [np.stack([np.asarray(c.iat[i], float) for i in at]).reshape((-1, d, d) if k == "m" else (-1, d)) for c, k in zip(columns, shapes, strict=True)]
+        made = np.asarray(fn(*arrays))
+        if not np.isfinite(made).all():
+            raise NumericalError("a result is not finite")
+        for i, v in zip(at, made, strict=True):
+            value[i] = v.reshape(-1) if made.ndim > 1 else float(v)
+
+    for s in np.unique(size[ok]):
+        at = np.flatnonzero(size == s)
+        try:
+            at_once(at)
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError):
+            for i in at:
+                try:
+                    at_once(np.array([i]))
+                except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
+                    value[i], error[i] = None, f"{type(e).__name__}: {e}"
+    return pd.DataFrame({"value": value, "error": error})
+
+
 _FUNCTIONS = {
     "floored": (floored, "m", DOUBLES),
     "sqrtm": (lambda a: power(a, 0.5), "m", DOUBLES),
@@ -250,7 +306,9 @@ _FUNCTIONS = {
     "bures": (bures, "mm", T.DoubleType()),
     "transport": (transport, "mm", DOUBLES),
     "strict_transport": (strict_transport, "mm", DOUBLES),
+    "strict_floored": (strict_floored, "m", DOUBLES),
     "strict_root": (lambda a: strict_power(strict_floored(a), 0.5), "m", DOUBLES),
+    "local_state": (local_state, "mm", DOUBLES),
     "resolved": (resolved, "m", DOUBLES),
     "correlation": (correlation, "m", DOUBLES),
     "commutator": (commutator, "mm", T.DoubleType()),
@@ -268,6 +326,20 @@ def call(name: str, *columns) -> Column:
     return column_function(fn, shapes, out)(*columns)
 
 
+def tried(name: str, *columns) -> Column:
+    """As ``call``, but a struct (value, error): a row that fails has no value and the reason, and the job goes on. Null in: neither."""
+    fn, shapes, out = _FUNCTIONS[name]
+    kind = T.StructType([T.StructField("value", out), T.StructField("error", T.StringType())])
+    if len(shapes) == 1:
+        f = lambda a: _tried(fn, shapes, a)
+    elif len(shapes) == 2:
+        f = lambda a, b: _tried(fn, shapes, a, b)
+    else:
+        f = lambda a, b, c, d: _tried(fn, shapes, a, b, c, d)
+    f.__annotations__ = dict.fromkeys(["a", "b", "c", "d"][: len(shapes)], pd.Series) | {"return": pd.DataFrame}
+    return F.pandas_udf(f, kind)(*columns)
+
+
 def state_floor(cov: str, eps: float = STATE_FLOOR) -> Column:
     return column_function(lambda a: floored(a, eps), "m")(cov)
 

@@ -71,17 +71,21 @@ def _from_transport(margin: float):
 
 
 def _from_local(z, ref):
-    """Only a map that is not positive is repaired, by clipping its eigenvalues."""
-    a = np.eye(ref.shape[-1]) + unhalf(z)
-    bad = la.smallest_eigenvalue(a) <= 0
-    a = np.where(bad[..., None, None], la.floored(a, la.STATE_FLOOR), a)
-    return la.resolved(a @ ref @ a)
+    return la.local_state(unhalf(z), ref)
+
+
+def _strict_log(c, _):
+    """Without a floor: a covariance that is not definite is an error."""
+    if (la.smallest_eigenvalue(la.strict_matrices(c)) <= 0).any():
+        raise la.NumericalError("a logarithm needs positive eigenvalues")
+    return half(la.spectral(c, np.log))
 
 
 CHARTS: dict[str, Chart] = {
     "euclidean": Chart(lambda c, _: half(c), lambda z, _: la.floored(unhalf(z), la.STATE_FLOOR)),
     "cholesky": Chart(_cholesky, _from_cholesky),
     "log_euclidean": Chart(lambda c, _: half(la.logm(c)), lambda z, _: la.floored(la.expm(unhalf(z)), la.STATE_FLOOR)),
+    "log_strict": Chart(_strict_log, lambda z, _: la.floored(la.expm(unhalf(z)), la.STATE_FLOOR)),
     "transport_fixed": Chart(_transport, _from_transport(0.05), True),
     "transport_study": Chart(_transport, _from_transport(0.08), True),
     "transport_local": Chart(_local, _from_local, True),
@@ -102,8 +106,27 @@ def decode_arrays(method: str, z: np.ndarray, d: int, ref_mean: np.ndarray, ref_
     return z[..., :d] + (ref_mean if chart.centred else 0.0), chart.decode(z[..., d:], ref_cov)
 
 
-def encode(states: DataFrame, references: DataFrame, methods: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by, t, method, z): every state in every chart. ``references``: one row (by, ref_mean, ref_cov) per series, broadcast."""
+def _encoded(method: str, *arrays: np.ndarray) -> tuple[list, list]:
+    """(coordinates, errors) of a stack; if it fails, of each of its states alone."""
+    try:
+        z = encode_arrays(method, *arrays)
+        if np.isfinite(z).all():
+            return list(z), [None] * len(z)
+        if len(z) == 1:
+            raise la.NumericalError("coordinates are not finite")
+    except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
+        if len(arrays[0]) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+    each = [_encoded(method, *(a[i : i + 1] for a in arrays)) for i in range(len(arrays[0]))]
+    return [z for zs, _ in each for z in zs], [e for _, es in each for e in es]
+
+
+def encode(states: DataFrame, references: DataFrame, methods: list[str], by: list[str] | None = None, errors: bool = False) -> DataFrame:
+    """(by, t, method, z): every state in every chart. ``references``: one row (by, ref_mean, ref_cov) per series, broadcast.
+
+    ``errors`` adds the column error: a state that a chart fails on, or gives no finite coordinates, has no z and the
+    reason, and costs its own row only; without it such a failure ends the job.
+    """
     by = by or []
     joined = states.join(references, by) if by else states.crossJoin(F.broadcast(references))
     rows = joined.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
@@ -113,13 +136,15 @@ def encode(states: DataFrame, references: DataFrame, methods: list[str], by: lis
             out = []
             for (method, d), g in b.groupby(["method", b["mean"].map(len)]):
                 stack = lambda c, shape: np.stack(g[c].map(np.asarray)).reshape(shape)  # noqa: B023, E731
-                z = encode_arrays(method, stack("mean", (-1, d)), stack("cov", (-1, d, d)), stack("ref_mean", (-1, d)), stack("ref_cov", (-1, d, d)))
-                out.append(g[[*by, "t", "method"]].assign(z=list(z)))
+                arrays = stack("mean", (-1, d)), stack("cov", (-1, d, d)), stack("ref_mean", (-1, d)), stack("ref_cov", (-1, d, d))
+                z, why = _encoded(method, *arrays) if errors else (list(encode_arrays(method, *arrays)), None)
+                made = g[[*by, "t", "method"]].assign(z=z)
+                out.append(made.assign(error=why) if errors else made)
             if out:
                 yield pd.concat(out)
 
     kinds = "".join(f"`{c}` {states.schema[c].dataType.simpleString()}, " for c in by)
-    return rows.select(*by, "t", "method", "mean", "cov", "ref_mean", "ref_cov").mapInPandas(run, f"{kinds}t int, method string, z array<double>")
+    return rows.select(*by, "t", "method", "mean", "cov", "ref_mean", "ref_cov").mapInPandas(run, f"{kinds}t int, method string, z array<double>" + ", error string" * errors)
 
 
 def decode(coordinates: DataFrame, references: DataFrame, by: list[str] | None = None) -> DataFrame:

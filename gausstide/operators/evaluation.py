@@ -1,20 +1,13 @@
-"""Losses, model selection and evaluation panels.
-
-The parallel axis is the task grid (origin, horizon, method), not time: each task is a grouped map over the states it
-needs. Losses and summaries around it are column expressions.
-"""
+"""Losses, evaluation panels and the tables around them, as relations and column expressions."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gausstide.functions import linalg as la
-from gausstide.operators import autoregression as ar
-from gausstide.operators import charts, references, scoring
+from gausstide.operators import local_chart, raw_model, scoring
 from gausstide.operators.splits import split_table, test_sources
 
 RIDGES = [1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0]
@@ -53,157 +46,48 @@ def persistence(pairs: DataFrame) -> DataFrame:
     return pairs.select("origin", "horizon", "source", "target", mean_rmse("source_mean", "target_mean").alias("raw_rmse"), la.squared_distance("source_mean", "target_mean").alias("mean_w2"))
 
 
-# ---- fitting on arrays, inside a task
-
-
-def _rmse(a, b):
-    return float(np.sqrt(((a - b) ** 2).mean()))
-
-
-def _w2(m, c, tm, tc):
-    return float(((m - tm) ** 2).sum() + la.bures(c[None], tc[None])[0])
-
-
-class Series:
-    """The states of one series as arrays; t must run from 0 without a gap."""
-
-    def __init__(self, g: pd.DataFrame):
-        g = g.sort_values("t")
-        self.means = np.stack(g["mean"].map(np.asarray))
-        self.d = self.means.shape[1]
-        self.covs = np.stack(g["cov"].map(np.asarray)).reshape(-1, self.d, self.d)
-
-    def reference(self, fit_end: int, first: int = 250):
-        return self.means[:fit_end].mean(0), references.barycenter(self.covs[: min(fit_end, first)])
-
-
-def select_ridge(loss_of, ridges, ties: str = "first") -> float:
-    """The ridge of least loss; equal losses: the first or the last."""
-    losses = [loss_of(r) for r in ridges]
-    finite = [x if np.isfinite(x) else np.inf for x in losses]
-    best = min(finite)
-    at = [i for i, x in enumerate(finite) if x == best]
-    return ridges[at[0] if ties == "first" else at[-1]]
-
-
-def fixed_forecasts(s: Series, method: str, split, horizon: int, sources: range, diagonal: bool, ridges=RIDGES):
-    """(ridge, means, covs) of a chart method: ridge by validation RMSE of the means, smallest on ties, refit before val_end."""
-    _, fit_end, val_end, _ = split
-    ref = s.reference(fit_end)
-    z = charts.encode_arrays(method, s.means, s.covs, *ref)
-    fit = ar.fit_diag_arrays if diagonal else ar.fit_full
-    val = np.arange(max(fit_end - horizon, 0), val_end - horizon)
-
-    def loss(r):
-        m, _ = charts.decode_arrays(method, ar.predict(fit(z[:fit_end], r), z[val], horizon), s.d, *ref)
-        return np.mean(np.sqrt(((m - s.means[val + horizon]) ** 2).mean(1)))
-
-    ridge = select_ridge(loss, ridges)
-    return ridge, *charts.decode_arrays(method, ar.predict(fit(z[:val_end], ridge), z[np.array(sources)], horizon), s.d, *ref)
+# ---- the panel
 
 
-def local_forecasts(s: Series, split, horizon: int, sources: range, windows=WINDOWS, ridges=RIDGES):
-    """(window, ridge, rows): chart and fit on the trailing window of each source; window and ridge by validation RMSE, then the smaller window and the larger ridge."""
-    _, fit_end, val_end, _ = split
-    cache: dict = {}
+def target_panel(states: DataFrame, splits: list[tuple], horizons: list[int], methods: list[str], raw: DataFrame | None = None, window: int = 0, step: int = 0, diagonal: bool = False, d: int = 2, errors: bool = False) -> DataFrame:
+    """The fact table: a row per (origin, horizon, target, method), all of it relations.
 
-    def coordinates(t, length):
-        if (t, length) not in cache:
-            m, c = s.means[t - length + 1 : t + 1], s.covs[t - length + 1 : t + 1]
-            ref = m.mean(0), references.exact_barycenter(c)
-            cache[t, length] = (*ref, charts.encode_arrays("transport_local", m, c, *ref))
-        return cache[t, length]
-
-    def forecast(t, length, ridge):
-        rm, rc, z = coordinates(t, length)
-        return charts.decode_arrays("transport_local", ar.predict(ar.fit_dual(z, ridge), z[-1], horizon), s.d, rm, rc)
-
-    windows = [w for w in windows if w <= fit_end - horizon + 1] or [min(windows)]
-    val = range(max(fit_end - horizon, max(windows) - 1), val_end - horizon)
-    grid = [(np.mean([_rmse(forecast(t, w, r)[0], s.means[t + horizon]) for t in val]) if len(val) else 0.0, w, -r) for w in windows for r in ridges]
-    _, w, r = min(grid)
-    return w, -r, [(*forecast(t, w, -r), references._gap(references.fixed_point(s.covs[t - w + 1 : t + 1], coordinates(t, w)[1]), coordinates(t, w)[1])) for t in sources]
-
-
-def raw_forecasts(s: Series, x: np.ndarray, window: int, step: int, split, horizon: int, sources: range, ridges=RIDGES):
-    """(ridge, means, covs): vector autoregression of the raw rows; the state of the predicted window rows. Ties: the largest ridge."""
-    _, fit_end, val_end, _ = split
-
-    def state(t, weights):
-        rows = ar.predict_raw_window(x, weights, t * step + window, (t + horizon) * step, window)
-        c = np.atleast_2d(np.cov(rows, rowvar=False)) + 1e-8 * np.eye(s.d)
-        return rows.mean(0), la.floored(c, la.STATE_FLOOR)
-
-    raw_end = lambda end: (end - 1) * step + window
-    val = range(max(fit_end - horizon, 0), val_end - horizon)
-
-    def loss(r):
-        w = ar.fit_raw(x[: raw_end(fit_end)], r)
-        return np.mean([_rmse(state(t, w)[0], s.means[t + horizon]) for t in val])
-
-    ridge = select_ridge(loss, ridges, ties="last")
-    weights = ar.fit_raw(x[: raw_end(val_end)], ridge)
-    found = [state(t, weights) for t in sources]
-    return ridge, np.array([m for m, _ in found]), np.array([c for _, c in found])
-
-
-def _task(methods_raw):
-    x, window, step, diagonal = methods_raw
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        one = g.iloc[0]
-        split = (int(one["origin"]), int(one["fit_end"]), int(one["val_end"]), int(one["test_end"]))
-        h, method = int(one["horizon"]), one["method"]
-        s = Series(g)
-        sources = range(split[2] - h, split[3] - h)
-        length, ridge, residual = None, None, [None] * len(sources)
-        if method == "persistence":
-            at = np.array(sources)
-            means, covs = s.means[at], s.covs[at]
-        elif method == "transport_local":
-            length, ridge, found = local_forecasts(s, split, h, sources)
-            means, covs, residual = (list(c) for c in zip(*found, strict=True))
-        elif method == "raw_var":
-            ridge, means, covs = raw_forecasts(s, x, window, step, split, h, sources)
-        else:
-            ridge, means, covs = fixed_forecasts(s, method, split, h, sources, diagonal)
-        rows = []
-        for t, m, c, r in zip(sources, means, covs, residual, strict=True):
-            local = method == "transport_local"
-            rows.append((*split, h, t, t + h, method, length, ridge, _rmse(m, s.means[t + h]), _w2(m, c, s.means[t + h], s.covs[t + h]), float(la.smallest_eigenvalue(c)), r, True if local else None, False if local else None))
-        return pd.DataFrame(rows, columns=PANEL_COLUMNS)
-
-    return run
-
-
-def task_panel(states: DataFrame, splits: list[tuple], horizons: list[int], methods: list[str], raw: DataFrame | None = None, window: int = 0, step: int = 0, diagonal: bool = False) -> DataFrame:
-    """The fact table of ``target_panel`` with a task per (origin, horizon, method), each on the whole series: for the local chart and the raw rows, whose fits depend on the source; the tests hold the fixed charts of ``scoring`` against it.
-
-    ``states``: (t, mean, cov) of one series, a bounded number (hundreds), sent to each task; ``raw``: (i, x) vectors for
-    method raw_var. A failing task fails the panel.
+    Persistence and the fixed charts come from ``scoring.fixed_panel``, the local chart from ``local_chart``, the raw
+    rows ``raw`` (i, x) from ``raw_model``. ``states``: (t, mean, cov) numbered without gaps. The local reference is
+    solved anew at every source, so reference_refreshed is true and reference_fallback false on its rows, null on others.
+    A forecast of the local chart or the raw rows that fails has no losses; ``errors`` adds the column that tells why.
     """
     spark = states.sparkSession
-    x = np.stack([np.asarray(r.x) for r in raw.orderBy("i").collect()]) if raw is not None and "raw_var" in methods else None
-    tasks = spark.createDataFrame([(*s, h, m) for s in splits for h in horizons for m in methods if s[3] > s[2]], "origin int, fit_end int, val_end int, test_end int, horizon int, method string")
-    grid = tasks.repartition(len(splits) * len(horizons) * len(methods)).crossJoin(F.broadcast(states.select("t", "mean", "cov")))
-    out = grid.groupBy("origin", "horizon", "method").applyInPandas(_task((x, window, step, diagonal)), PANEL)
-    null = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select(*(null(c) if c in ("window_length", "ridge", "reference_residual") else c for c in PANEL_COLUMNS))
+    table = split_table(spark, [s for s in splits if s[3] > s[2]])
+    states = states.select("t", "mean", "cov")
+    parts = []
+    fixed = [m for m in methods if m not in ("transport_local", "raw_var")]
+    none = {"window_length": "double", "ridge": "double", "reference_residual": "double", "reference_refreshed": "boolean", "reference_fallback": "boolean", "error": "string"}
+
+    def shaped(rows: DataFrame, **more) -> DataFrame:
+        names = {"source": "source_index", "target": "target_index", "low": "min_pred_eig"}
+        rows = rows.withColumnsRenamed({k: v for k, v in names.items() if k in rows.columns}).withColumns(more)
+        rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items() if c not in rows.columns})
+        return rows.select(*(F.col(c).cast("double") if c == "window_length" else c for c in PANEL_COLUMNS), "error")
+
+    if fixed:
+        parts.append(shaped(scoring.fixed_panel(states, table, horizons, fixed, d, RIDGES, diagonal)))
+    if "transport_local" in methods:
+        scored = local_chart.scored_forecasts(states, table, horizons, d, WINDOWS, RIDGES)
+        rows = local_chart.local_panel(scored, table, horizons, max(WINDOWS))
+        parts.append(shaped(rows, method=F.lit("transport_local"), reference_refreshed=F.lit(True), reference_fallback=F.lit(False)))
+    if "raw_var" in methods:
+        parts.append(shaped(raw_model.raw_panel(raw, states, table, horizons, RIDGES, d, window, step), method=F.lit("raw_var")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out if errors else out.drop("error")
 
 
-def target_panel(states: DataFrame, splits: list[tuple], horizons: list[int], methods: list[str], raw: DataFrame | None = None, window: int = 0, step: int = 0, diagonal: bool = False, d: int = 2) -> DataFrame:
-    """The fact table: a row per (origin, horizon, target, method). Persistence and the fixed charts are relations (``scoring.fixed_panel``); the local chart and the raw rows, fitted anew at each source, are tasks."""
-    tasks = [m for m in methods if m in ("transport_local", "raw_var")]
-    parts = []
-    if set(methods) - set(tasks):
-        table = split_table(states.sparkSession, [s for s in splits if s[3] > s[2]])
-        rows = scoring.fixed_panel(states, table, horizons, [m for m in methods if m not in tasks], d, RIDGES, diagonal)
-        rows = rows.withColumnsRenamed({"source": "source_index", "target": "target_index", "low": "min_pred_eig"})
-        none = {"window_length": "double", "reference_residual": "double", "reference_refreshed": "boolean", "reference_fallback": "boolean"}
-        parts.append(rows.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items()}).select(*PANEL_COLUMNS))
-    if tasks:
-        parts.append(task_panel(states, splits, horizons, tasks, raw, window, step, diagonal))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+def local_tuning(states: DataFrame, splits: list[tuple], horizons: list[int], d: int = 2) -> DataFrame:
+    """The tuning table of the local chart, see ``local_chart.tuning_table``."""
+    table = split_table(states.sparkSession, splits)
+    return local_chart.tuning_table(local_chart.scored_forecasts(states.select("t", "mean", "cov"), table, horizons, d, WINDOWS, RIDGES), table, horizons, max(WINDOWS))
 
 
 def panel_problems(panel: DataFrame, methods: list[str]) -> DataFrame:

@@ -164,3 +164,18 @@ def protocol(settings: dict, tables: dict[str, DataFrame]) -> DataFrame:
         counted = df.agg(F.count("*").cast("string").alias("value")).select(F.lit(f"{name}.rows").alias("name"), "value")
         out = out.unionByName(counted).unionByName(spark.createDataFrame([(f"{name}.columns", ",".join(df.columns))], "name string, value string"))
     return out
+
+
+def replicated_ratios(rows: DataFrame, by: list[str], replicate: list[str], value: str, method: str = "persistence") -> DataFrame:
+    """(by, method, n_rep, ratio_mean, ratio_se): the value of each method over that of ``method`` in the same replicate, averaged over replicates; ``rows``: (by, replicate, method, value)."""
+    base = rows.filter(F.col("method") == method).select(*by, *replicate, F.greatest(F.col(value), F.lit(1e-12)).alias("_base"))
+    ratio = rows.join(base, [*by, *replicate]).withColumn("_ratio", F.col(value) / F.col("_base"))
+    return ratio.groupBy(*by, "method").agg(F.count_distinct(*replicate).alias("n_rep"), F.avg("_ratio").alias("ratio_mean"), standard_error("_ratio").alias("ratio_se"))
+
+
+def paired_decision(rows: DataFrame, by: list[str], replicate: list[str], value: str, target: str, comparator: str) -> DataFrame:
+    """(by, mean_change, se, low, high, win_rate, n): percent change of the target method against the comparator in each replicate, with a normal 95 % interval and the share of replicates in which it is lower."""
+    of = lambda m, name: rows.filter(F.col("method") == m).select(*by, *replicate, F.col(value).alias(name))
+    change = of(target, "_a").join(of(comparator, "_b"), [*by, *replicate]).withColumn("_c", 100 * (F.col("_a") / F.greatest(F.col("_b"), F.lit(1e-14)) - 1))
+    out = change.groupBy(*by).agg(F.avg("_c").alias("mean_change"), standard_error("_c").alias("se"), F.avg((F.col("_c") < 0).cast("double")).alias("win_rate"), F.count("*").alias("n"))
+    return out.withColumns({"low": F.col("mean_change") - 1.96 * F.col("se"), "high": F.col("mean_change") + 1.96 * F.col("se")})

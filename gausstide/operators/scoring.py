@@ -84,9 +84,9 @@ def score_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(*stats, F.count("*").alias("n_pairs"), F.min("low").alias("min_pred_eig"))
 
 
-def best(rows: DataFrame, by: list[str], loss: str, order: list) -> DataFrame:
-    """The row of least ``loss`` (rounded to 9 digits) in each group, the first by ``order`` of equal ones. Rows without a finite loss cannot win."""
-    finite = F.when(F.abs(loss) < float("inf"), F.round(loss, 9))
+def best(rows: DataFrame, by: list[str], loss: str, order: list, digits: int | None = 9) -> DataFrame:
+    """The row of least ``loss`` (rounded to ``digits``, or as it is) in each group, the first by ``order`` of equal ones. Rows without a finite loss cannot win."""
+    finite = F.when(F.abs(loss) < float("inf"), F.col(loss) if digits is None else F.round(loss, digits))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(finite.asc_nulls_last(), *order))
     return rows.withColumn("_r", rank).filter((F.col("_r") == 1) & finite.isNotNull()).drop("_r")
 
@@ -203,23 +203,76 @@ def raw_window_forecasts(grid: DataFrame, model: DataFrame, sources: DataFrame,
 # ---- runs over origins, methods that may fail, comparisons
 
 
-def rolling_run(splits: DataFrame, horizons: list[int], methods: list[str], summaries: DataFrame, least_fit: dict[str, int] | None = None) -> DataFrame:
-    """(origin, horizon, method, the columns of ``summaries``, error): a row for every task, with the reason where a method gave no finite score, so that one failing method costs its own rows only.
+def chart_errors(coordinates: DataFrame, splits: DataFrame, by: list[str]) -> DataFrame:
+    """(by, error): the first reason (by t) for which a chart failed on a state before the origin's test_end; ``coordinates`` of ``charts.encode`` with errors, ``by`` holds origin."""
+    bad = coordinates.filter("error is not null").join(F.broadcast(splits.select("origin", "test_end")), "origin").filter("t < test_end")
+    return bad.groupBy(*by).agg(F.min_by("error", "t").alias("error"))
+
+
+def rolling_run(splits: DataFrame, horizons: list[int], methods: list[str], summaries: DataFrame, least_fit: dict[str, int] | None = None, failures: DataFrame | None = None) -> DataFrame:
+    """(origin, horizon, method, the columns of ``summaries``, error): a row for every task, with the reason where a method gave no finite score.
 
     Origins whose test block ends within a horizon of the validation block have no tasks. ``least_fit``: states that a
-    method needs before fit_end.
+    method needs before fit_end. ``failures`` (origin, method, error), as ``chart_errors`` gives them: charts that failed
+    on a state; such a method costs its own rows only, the others are scored.
     """
     spark = splits.sparkSession
     needs = spark.createDataFrame([(m, i, (least_fit or {}).get(m, 0)) for i, m in enumerate(methods)], "method string, place int, least int")
     tasks = splits.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).filter(F.col("test_end") > F.col("val_end") + F.col("horizon")).crossJoin(F.broadcast(needs))
     values = [c for c in summaries.columns if c not in ("origin", "horizon", "method")]
     out = tasks.join(summaries, ["origin", "horizon", "method"], "left")
+    if failures is not None:
+        out = out.join(failures.select("origin", "method", F.col("error").alias("_why")), ["origin", "method"], "left")
+    else:
+        out = out.withColumn("_why", F.lit(None).cast("string"))
     few = F.col("fit_end") < F.col("least")
     bad = F.col("w2_mean").isNull() | F.isnan("w2_mean") | (F.abs("w2_mean") == float("inf"))
-    error = F.when(few, F.concat(F.lit("needs "), F.col("least").cast("string"), F.lit(" states to fit"))).when(bad, F.lit("no finite score"))
+    error = F.when(few, F.concat(F.lit("needs "), F.col("least").cast("string"), F.lit(" states to fit"))).when(F.col("_why").isNotNull(), F.col("_why")).when(bad, F.lit("no finite score"))
     return out.select("origin", "horizon", "method", *(F.when(error.isNull(), F.col(c)).alias(c) for c in values), error.alias("error"))
 
 
+METRICS = ["w2", "log_score", "raw_rmse"]
+
+
+def reference_run(states: DataFrame, splits: DataFrame, horizons: list[int], candidates: DataFrame, d: int, ridges: list[float] = RIDGES, metric: str = "w2", chart: str = "transport_fixed") -> DataFrame:
+    """(origin, horizon, reference, place, ridge, val_* and test_* means, n_test_pairs, error, selected): every candidate reference of every origin fitted, tuned on validation and tested, all in one plan; ``selected`` marks the one of least validation ``metric``, the first in ``place`` of equal ones.
+
+    ``candidates``: (origin, reference, place, ref_mean, ref_cov). Diagonal autoregressions fitted before fit_end are
+    scored on the validation targets, the ridge of least ``metric`` is fitted before val_end and scored on the test
+    targets. A candidate whose chart fails on a state, or that has no finite validation score, keeps its row with the
+    reason and is not selected.
+    """
+    by = ["origin", "reference"]
+    refs = checkpointed(candidates.select(*by, "place", "ref_mean", "ref_cov"))
+    states = states.select("t", "mean", "cov")
+    ends = F.broadcast(splits.select("origin", "fit_end", "val_end", "test_end"))
+    every = states.crossJoin(F.broadcast(refs.select(*by))).join(ends, "origin").filter("t < test_end")  # candidates are few
+    coded = checkpointed(charts.encode(every.select(*by, "t", "mean", "cov"), refs.select(*by, "ref_mean", "ref_cov"), [chart], by, errors=True))
+    failed = checkpointed(chart_errors(coded, splits, by))
+    coords = coded.join(F.broadcast(failed), by, "left_anti").select(*by, "method", "t", F.posexplode("z").alias("k", "z"))
+    within = lambda end: coords.join(ends, "origin").filter(F.col("t") < F.col(end)).select(*coords.columns)
+    never = 2**31 - 1  # the rows are within their ends already
+    both = refs.select(*by, "ref_mean", "ref_cov")
+
+    def scores(model: DataFrame, low: Column, high: Column, keys: list[str]) -> DataFrame:
+        sources = ranges(splits, horizons, low, high).select("origin", "horizon", "source").join(refs.select(*by), "origin")
+        made = chart_forecasts(coords, model, both, sources, by, ["method", "horizon", *keys])
+        return losses(made, states, [], d).groupBy(*by, "horizon", *keys)
+
+    gridded = within("fit_end").withColumn("ridge", F.explode(F.array(*map(F.lit, ridges))))
+    tried = scores(ar.fit_diagonal(gridded, never, F.col("ridge"), [*by, "method", "ridge", "k"]), F.greatest(F.col("fit_end") - F.col("horizon"), F.lit(0)), F.col("val_end") - F.col("horizon"), ["ridge"])
+    tried = tried.agg(*(F.avg(m).alias(f"val_{m}_mean") for m in METRICS))
+    choice = checkpointed(best(tried, [*by, "horizon"], f"val_{metric}_mean", ["ridge"]))
+    fitted = within("val_end").join(choice.select(*by, "horizon", "ridge"), by)
+    tested = scores(ar.fit_diagonal(fitted, never, F.col("ridge"), [*by, "method", "horizon", "ridge", "k"]), F.greatest(F.col("val_end") - F.col("horizon"), F.lit(0)), F.col("test_end") - F.col("horizon"), ["ridge"])
+    tested = tested.agg(*(F.avg(m).alias(f"test_{m}_mean") for m in METRICS), F.count("*").alias("n_test_pairs")).drop("ridge")
+    grid = refs.select(*by, "place").join(ends, "origin").withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).filter(F.col("test_end") > F.col("val_end") + F.col("horizon"))
+    out = grid.drop("fit_end", "val_end", "test_end").join(choice, [*by, "horizon"], "left").join(tested, [*by, "horizon"], "left").join(failed, by, "left")
+    out = out.withColumn("error", F.coalesce("error", F.when(F.col("ridge").isNull(), F.lit("no finite validation score"))))
+    first = best(out, ["origin", "horizon"], f"val_{metric}_mean", ["place"]).select("origin", "horizon", "reference", F.lit(True).alias("selected"))
+    return out.join(first, ["origin", "horizon", "reference"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
 def rolling_comparison(run: DataFrame, by: list[str], target: str, value: str) -> DataFrame:
     """(by, best_other, best_other_loss, target_loss, reduction, gain, as_good): the target method against the best other method of each group; rows with an error take no part."""
     scored = run.filter(F.col(value).isNotNull())

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from gausstide.functions import closed_forms as cf
 from gausstide.functions import linalg as la
 from gausstide.operators import autoregression as ar
-from gausstide.operators import charts, evaluation, grid, inference, references, simulation, splits, states
+from gausstide.operators import charts, evaluation, grid, inference, local_chart, references, splits, states
 from gausstide.plans import scoring_queries
 from gausstide.plans import views as v
 from gausstide.plans.views import sql
@@ -488,13 +488,15 @@ def raw_var_diag(spark, sf_dir):
 
 @query()
 def dual_vs_primal(spark, sf_dir):
-    """The same full model in both spaces: the largest difference of coefficients, per ridge."""
-
-    def run(g):
-        z = np.stack(g.sort_values("t")["mean"].map(np.asarray))
-        return pd.DataFrame([(r, float(abs(ar.fit_full(z, r)[1] - ar.fit_dual(z, r)[1]).max())) for r in evaluation.RIDGES[1:]], columns=["ridge", "gap"])
-
-    return v.S(spark, sf_dir).select("t", "mean").withColumn("series", F.lit(0)).groupBy("series").applyInPandas(run, "ridge double, gap double")
+    """Forecasts of full models in both spaces, for every trailing window of 24 states and every ridge: the largest difference."""
+    s = checkpointed(v.S(spark, sf_dir).select("t", F.col("mean").alias("z")))
+    windows = s.filter("t >= 23").select(F.col("t").alias("source"), F.explode(F.sequence(F.col("t") - 23, F.col("t"))).alias("t")).join(s, "t")
+    ridges = F.explode(F.array(*map(F.lit, evaluation.RIDGES[1:]))).alias("ridge")
+    primal = ar.gram(windows, ["source"]).select("*", ridges).select("source", "ridge", "mu", ar.propagator("g", F.lit(23.0) * F.col("ridge"), F.lit(3)).alias("power"))
+    primal = primal.join(s.withColumnRenamed("t", "source"), "source").select("source", "ridge", ar.propagated("z", "mu", "power").alias("a"))
+    listed = windows.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "z"))), lambda r: r["z"]).alias("z"))
+    dual = listed.select("source", F.explode(local_chart.forecasts_of(evaluation.RIDGES[1:], [3])("z")["forecasts"]).alias("f")).select("source", "f.ridge", F.col("f.z").alias("b"))
+    return primal.join(dual, ["source", "ridge"]).groupBy("ridge").agg(F.max(F.sqrt(la.squared_distance("a", "b"))).alias("gap"), F.count("*").alias("n"))
 
 
 # ---- references
@@ -508,6 +510,31 @@ def barycenter_1d(spark, sf_dir):
     return references.group_references(one, ["series"], exact=True).select("series", _r(_at("ref_cov", 0), 6).alias("s"))
 
 
+_SMALL = "small as (select t % 7 as series, a*1e-6 as e0, d as e1, (a + d)*2e-8 as e2 from s2)"
+
+
+@query(sql("select series::int as series, round(pow(avg(sqrt(e0)), 2), 13) as s0, round(pow(avg(sqrt(e1)), 2), 6) as s1, round(pow(avg(sqrt(e2)), 2), 14) as s2 from small group by series", "e", "s2").replace("\nselect series", ",\n" + _SMALL + "\nselect series", 1))
+def barycenter_diagonal(spark, sf_dir):
+    """Barycenters of commuting covariances whose eigenvalues lie seven orders apart, the least under 1e-6."""
+    cell = lambda i: _at("cov", i)
+    e = [cell(0) * 1e-6, cell(3), (cell(0) + cell(3)) * 2e-8]
+    rows = v.S2(spark, sf_dir).select((F.col("t") % 7).alias("series"), "t", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("mean"), F.array(*(e[i] if i == j else F.lit(0.0) for i in range(3) for j in range(3))).alias("cov"))
+    out = references.group_references(rows, ["series"], exact=True, large=10)
+    return out.select("series", F.round(_at("ref_cov", 0), 13).alias("s0"), F.round(_at("ref_cov", 4), 6).alias("s1"), F.round(_at("ref_cov", 8), 14).alias("s2"))
+
+
+_RESOLVED = "greatest({e}, 1e-8 + 8*64*2.220446049250313e-16*2*greatest(y, 1.0))"
+
+
+@query(sql(f"select t::int as t, round(x, 12) as x, round(y, 6) + 0.0::double as y, round({_RESOLVED.format(e='x')}, 12) as rx from (select t, greatest(case when t % 2 = 1 then a*1e-9 else a*1e-7 end, 1e-8) as x, d as y from s2)", "e", "s2"))
+def strict_floors_d2(spark, sf_dir):
+    """States whose smaller eigenvalue lies below 1e-7, at odd steps below 1e-8: projected, and resolved after decoding."""
+    small = _at("cov", 0) * F.when(F.col("t") % 2 == 1, 1e-9).otherwise(1e-7)
+    rows = v.S2(spark, sf_dir).select("t", F.array(small, F.lit(0.0), F.lit(0.0), _at("cov", 3)).alias("c"))
+    both = rows.select("t", la.call("strict_floored", "c").alias("p"), la.call("resolved", "c").alias("r"))
+    return both.select("t", F.round(_at("p", 0), 12).alias("x"), _r(_at("p", 3), 6).alias("y"), F.round(_at("r", 0), 12).alias("rx"))
+
+
 @query()
 def barycenter_d5(spark, sf_dir):
     s = v.S(spark, sf_dir).withColumn("series", (F.col("t") % 3).cast("string"))
@@ -518,7 +545,9 @@ def barycenter_d5(spark, sf_dir):
 
 @query()
 def reference_library(spark, sf_dir):
-    return references.library(v.S(spark, sf_dir).withColumn("series", F.lit("S")), ["series"], 61)
+    """The candidates of each origin, from the states before its fit_end."""
+    ends = splits.split_table(spark, v.SPLITS).select("origin", "fit_end")
+    return references.library(v.S(spark, sf_dir).crossJoin(F.broadcast(ends)).filter("t < fit_end"), ["origin"])
 
 
 @query()
@@ -546,6 +575,14 @@ def panel_completeness(spark, sf_dir):
     return evaluation.panel_problems(_panel(spark, sf_dir), evaluation.METHODS)
 
 
+@query()
+def local_chart_tuning(spark, sf_dir):
+    """Every window length and ridge of every origin and horizon, with the chosen ones marked."""
+    tuning = checkpointed(evaluation.local_tuning(v.S2(spark, sf_dir), v.SPLITS, HORIZONS))
+    first = local_chart.chosen(tuning).select("origin", "horizon", "window_length", "ridge", F.lit(True).alias("chosen"))
+    return tuning.join(first, ["origin", "horizon", "window_length", "ridge"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+
+
 @query()
 def local_chart_forecast(spark, sf_dir):
     return evaluation.target_panel(v.S2(spark, sf_dir), v.SPLITS, HORIZONS, ["persistence", "transport_local"])
@@ -644,7 +681,7 @@ def shrinkage_choice_d2(spark, sf_dir):
     return evaluation.shrinkage_choice(rows, 3.0)
 
 
-# ---- panels of embeddings, simulations
+# ---- panels of embeddings
 
 
 @query()
@@ -657,7 +694,7 @@ def spatial_panels(spark, sf_dir):
 def covariance_pooled_by_label(spark, sf_dir):
     """Full-dimension covariance by label, shrunk so that few vectors still give a definite matrix."""
     e = v.read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    s = states._states(states._moments(e), 0.0, 0.2)
+    s = states.moments(e, ["t"], 0.0, 0.2)
     return s.select("t", "n", la.call("condition", "cov").alias("condition"), la.call("is_spd", "cov").alias("spd"))
 
 
@@ -669,30 +706,10 @@ def covariance_pooled_by_label(spark, sf_dir):
 def pooled_covariance_cells(spark, sf_dir):
     """All cells of the shrunk covariance of each label, full dimension."""
     e = v.read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    s = states._states(states._moments(e), 0.0, 0.2)
+    s = states.moments(e, ["t"], 0.0, 0.2)
     return s.select("t", F.posexplode("cov").alias("p", "value")).withColumn("value", _r("value"))
 
 
-@query()
-def simulate_s1_smoke(spark, sf_dir):
-    designs = [{"design": "Baseline", "generator": g, "n": 120, "d": 3, "phi": 0.7, "dispersion": 0.15} for g in ("transport",)]
-    return simulation.summarise_study(simulation.study_one(spark, designs, 4))
-
-
-_CASES = [("persistent", 0.75), ("mean_reverting", 1.0)]
-
-
-@query()
-def simulate_s2_smoke(spark, sf_dir):
-    return simulation.decision_table(simulation.study_two(spark, 2, _CASES, n=120, fit_end=50, val_end=80, ridges=(1e-2, 1e-1)))
-
-
-@query()
-def s2_audit(spark, sf_dir):
-    rows = simulation.study_two(spark, 1, _CASES, n=120, fit_end=50, val_end=80, ridges=(1e-2, 1e-1))
-    return simulation.audit(rows, 1, _CASES, (1, 3, 6), (1e-2, 1e-1))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hopping states to the fixed transport chart, diagonal autoregression, and the forecasts' Wasserstein loss by origin."""
     panel = evaluation.target_panel(v.S2(spark, sf_dir), v.SPLITS, [3], ["persistence", "transport_fixed"], diagonal=True)

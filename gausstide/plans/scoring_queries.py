@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gausstide.functions import linalg as la
 from gausstide.operators import autoregression as ar
-from gausstide.operators import grid, inference, references, reporting, scoring, splits, states
+from gausstide.operators import charts, grid, inference, raw_model, references, reporting, scoring, splits, states
 from gausstide.plans import views as v
 from gausstide.plans.views import rounded, sql
 from gausstide.session import checkpointed
@@ -144,6 +144,163 @@ def rolling_run(spark, sf_dir):
     return _digits(_run(spark, sf_dir), ["w2_mean", "raw_rmse_mean"], 4).select("origin", "horizon", "method", "w2_mean", "raw_rmse_mean", F.coalesce("n_pairs", F.lit(0).cast("long")).alias("n_pairs"), "error")
 
 
+# ---- a chart that fails on a state, and every candidate reference as a model of its own (EVAL-5, TUN-7)
+
+_BAD = 50
+_FLOORED = """lx as (select t, mx, my, a, b, d, (a + d)/2 - sqrt(pow((a - d)/2, 2) + b*b) as l1, (a + d)/2 + sqrt(pow((a - d)/2, 2) + b*b) as l2 from sx),
+ sf as (select t, mx, my, case when l1 >= 1e-8 then a else a + (1e-8 - l1)/(l2 - l1)*(l2 - a) end as a, case when l1 >= 1e-8 then b else b - (1e-8 - l1)/(l2 - l1)*b end as b, case when l1 >= 1e-8 then d else d + (1e-8 - l1)/(l2 - l1)*(l2 - d) end as d from lx)"""
+
+
+def _errors_sql() -> str:
+    parts = [
+        f"sx as (select t, mx, my, a, case when t = {_BAD} then 1.5*sqrt(a*d) else b end as b, d from s2)",
+        _FLOORED,
+        "z as (select 'euclidean' as method, t, unnest([0,1,2,3,4]) as k, unnest([mx, my, a, b, d]) as z from sx)",
+        "zo as (select sp.origin, z.* from z join sp on z.t < sp.val_end)",
+        _fit("mo", "origin", "zo"),
+        "so as (select origin, horizon, unnest(range(val_end - horizon, test_end - horizon)) as source from sp, (select unnest([3,4,5]) as horizon))",
+        "fc as (select mo.origin, mo.method, so.horizon, so.source, mo.k, mu + pow(xy / (xx + m*0.01), so.horizon) * (z.z - mu) as zh from mo join so using (origin) join z on z.method = mo.method and z.k = mo.k and z.t = so.source)",
+        _decode("dc", "origin", "fc"),
+        "al as (select * from dc union all select origin, 'persistence', horizon, source, mx, my, a, b, d from so join sf on sf.t = so.source)",
+        _loss("lo", "origin", "al", "sf", ""),
+        f"sc as ({_scores('lo', 'origin, horizon, method')})",
+    ]
+    tail = "select origin::int as origin, h.horizon::int as horizon, me.method, round(w2_mean, 4) + 0.0::double as w2_mean, round(raw_rmse_mean, 4) + 0.0::double as raw_rmse_mean, case when me.method = 'log_strict' then 'NumericalError: a logarithm needs positive eigenvalues' end as error from sp cross join (select unnest([3,4,5]) as horizon) h cross join (values ('persistence'), ('euclidean'), ('log_strict')) me(method) left join sc on sc.origin = sp.origin and sc.horizon = h.horizon and sc.method = me.method where test_end > val_end + h.horizon"
+    return sql(", ".join(parts) + " " + tail.replace("select origin::int", "select sp.origin::int", 1), "e", "s2", "sp").replace("\nsx as (", ",\nsx as (", 1)
+
+
+@query(_errors_sql())
+def rolling_run_errors(spark, sf_dir):
+    """One covariance of the series is indefinite: the chart without a floor fails on it and leaves error rows with its reason; the other methods, and the truth, see it projected and are scored in the same run."""
+    s2 = v.S2(spark, sf_dir)
+    at = lambda i: F.get("cov", F.lit(i))
+    broken = F.array(at(0), 1.5 * F.sqrt(at(0) * at(3)), 1.5 * F.sqrt(at(0) * at(3)), at(3))
+    raw = checkpointed(s2.withColumn("cov", F.when(F.col("t") == _BAD, broken).otherwise(F.col("cov"))).select("t", "mean", "cov"))
+    known = raw.withColumn("cov", la.state_floor("cov"))
+    table = splits.split_table(spark, v.SPLITS)
+    ends, refs = F.broadcast(table.select("origin", "val_end")), table.select("origin").crossJoin(F.broadcast(raw.filter("t = 0").select(F.col("mean").alias("ref_mean"), F.col("cov").alias("ref_cov"))))
+    coded = checkpointed(charts.encode(raw.crossJoin(F.broadcast(table.select("origin"))), refs, ["euclidean", "log_strict"], ["origin"], errors=True))
+    failures = scoring.chart_errors(coded, table, ["origin", "method"])
+    coords = coded.join(F.broadcast(failures), ["origin", "method"], "left_anti").select("origin", "method", "t", F.posexplode("z").alias("k", "z"))
+    model = ar.fit_diagonal(coords.join(ends, "origin").filter("t < val_end"), v.STATES, 0.01, ["origin", "method", "k"])
+    sources = scoring.ranges(table, HORIZONS, F.col("val_end") - F.col("horizon"), F.col("test_end") - F.col("horizon")).select("origin", "horizon", "source")
+    made = scoring.chart_forecasts(coords, model, refs, sources, ["origin"], ["method", "horizon"])
+    both = made.unionByName(scoring.persistence_forecasts(known.crossJoin(F.broadcast(table.select("origin"))), sources, ["origin"]).select(*made.columns))
+    scores = scoring.score_summary(scoring.losses(both, known, [], 2), ["origin", "horizon", "method"])
+    out = scoring.rolling_run(table, HORIZONS, ["persistence", "euclidean", "log_strict"], scores, failures=failures)
+    return _digits(out, ["w2_mean", "raw_rmse_mean"], 4).select("origin", "horizon", "method", "w2_mean", "raw_rmse_mean", "error")
+
+
+_REF_RIDGES = [1e-3, 1e-1, 10.0]
+_FORMED = ["pooled", "diagonal", "identity", "sample_0", "sample_1", "sample_2", "sample_3"]
+
+
+def _references_sql() -> str:
+    """The transport chart for d = 2: T = A^-1 # B in closed form, coordinates T - I, C = (I + H) A (I + H)."""
+    lib = """av as (select origin, fit_end, avg(mx) as rx, avg(my) as ry, avg(a) as ra, avg(b) as rb, avg(d) as rd from s2 join sp on t < fit_end group by all),
+ lib as (select origin, 'pooled' as reference, 0 as place, rx, ry, ra, rb, rd from av union all select origin, 'diagonal', 2, rx, ry, ra, 0, rd from av union all select origin, 'identity', 3, rx, ry, (ra + rd)/2, 0, (ra + rd)/2 from av
+  union all select origin, 'sample_' || j, 5 + j, mx, my, a, b, d from sp cross join (select unnest([0,1,2,3]) as j) js join s2 on t = (j * (fit_end - 1)) // 3)"""
+    parts = [
+        lib,
+        "e0 as (select lib.*, t, mx - rx as ux, my - ry as uy, a, b, d, sqrt(ra*rd - rb*rb) as q1, sqrt(a*d - b*b) as q2 from lib cross join s2)",
+        "e1 as (select *, 1/q1 as al, rd/q1 + a/q2 as pa, -rb/q1 + b/q2 as pb, ra/q1 + d/q2 as pd from e0)",
+        "e2 as (select *, sqrt(al*q2)/sqrt(pa*pd - pb*pb) as f from e1)",
+        "z as (select origin, reference as method, t, unnest([0,1,2,3,4]) as k, unnest([ux, uy, f*pa - 1, f*pb, f*pd - 1]) as z from e2)",
+        "zf as (select z.* from z join sp using (origin) where t < fit_end), zv as (select z.* from z join sp using (origin) where t < val_end)",
+        _fit("mf", "origin", "zf"),
+        _fit("mv", "origin", "zv"),
+        "so as (select origin, horizon, 'v' as part, unnest(range(fit_end - horizon, val_end - horizon)) as source from sp, (select unnest([3,5]) as horizon) union all select origin, horizon, 't', unnest(range(val_end - horizon, test_end - horizon)) from sp, (select unnest([3,5]) as horizon))",
+        "fa as (select m.origin, m.method, so.part, so.horizon, ridge, so.source, m.k, mu + pow(xy / (xx + m*ridge), so.horizon) * (z.z - mu) as zh from (select *, 'v' as part from mf union all select *, 't' from mv) m join so on so.origin = m.origin and so.part = m.part cross join (select unnest([0.001, 0.1, 10.0]::double[]) as ridge) join z on z.origin = m.origin and z.method = m.method and z.k = m.k and z.t = so.source)",
+        "d0 as (select origin, method, part, horizon, ridge, source, " + ", ".join(f"max(case when k = {i} then zh end) as z{i}" for i in range(5)) + " from fa group by all)",
+        "d1 as (select *, (z2 + z4)/2 - sqrt(pow((z2 - z4)/2, 2) + z3*z3) as low from d0)",
+        "d2 as (select *, case when low < 0 and 1 + low < 0.05 then 0.95/abs(low) else 1 end as sh from d1)",
+        "d3 as (select d2.*, l.rx, l.ry, 1 + sh*z2 as u, sh*z3 as w, 1 + sh*z4 as y, ra, rb, rd from d2 join lib l on l.origin = d2.origin and l.reference = d2.method)",
+        "d4 as (select *, u*(u*ra + w*rb) + w*(u*rb + w*rd) as pa, u*(w*ra + y*rb) + w*(w*rb + y*rd) as pb, w*(w*ra + y*rb) + y*(w*rb + y*rd) as pd, rx + z0 as m0, ry + z1 as m1 from d3)",
+        """lo as (select *, pow(m0 - q.mx, 2) + pow(m1 - q.my, 2) as mp, greatest(pa + pd + q.a + q.d - 2*sqrt(pa*q.a + 2*pb*q.b + pd*q.d + 2*sqrt((pa*pd - pb*pb)*(q.a*q.d - q.b*q.b))), 0) as cp,
+  0.5*(2*ln(2*pi()) + ln(pa*pd - pb*pb) + (pd*q.a - 2*pb*q.b + pa*q.d)/(pa*pd - pb*pb) + (pd*pow(q.mx - m0, 2) - 2*pb*(q.mx - m0)*(q.my - m1) + pa*pow(q.my - m1, 2))/(pa*pd - pb*pb)) as ls from d4 join s2 q on q.t = d4.source + d4.horizon)""",
+        "sc as (select origin, method, part, horizon, ridge, avg(mp + cp) as w2, avg(ls) as log_score, avg(sqrt(mp/2)) as raw_rmse, count(*) as n from lo group by all)",
+        "ch as (select * from (select *, row_number() over (partition by origin, method, horizon order by round(w2, 9), ridge) as r from sc where part = 'v') where r = 1)",
+        "jo as (select ch.origin, ch.horizon, ch.method as reference, ch.ridge, ch.w2 as val_w2_mean, ch.log_score as val_log_score_mean, ch.raw_rmse as val_raw_rmse_mean, te.w2 as test_w2_mean, te.log_score as test_log_score_mean, te.raw_rmse as test_raw_rmse_mean, te.n as n_test_pairs, place from ch join sc te on te.part = 't' and te.origin = ch.origin and te.method = ch.method and te.horizon = ch.horizon and te.ridge = ch.ridge join lib on lib.origin = ch.origin and lib.reference = ch.method)",
+    ]
+    digits = _sql_digits([f"{p}_{m}_mean" for p in ("val", "test") for m in scoring.METRICS], 5)
+    tail = f"select origin::int as origin, horizon::int as horizon, reference, ridge, {digits}, n_test_pairs::bigint as n_test_pairs, row_number() over (partition by origin, horizon order by round(val_w2_mean, 9), place) = 1 as selected from jo"
+    return sql(", ".join(parts) + " " + tail, "e", "s2", "sp").replace("\nav as (", ",\nav as (", 1)
+
+
+def _library(spark, s2: DataFrame) -> DataFrame:
+    table = splits.split_table(spark, v.SPLITS)
+    rows = s2.crossJoin(F.broadcast(table.select("origin", "fit_end"))).filter("t < fit_end")
+    place = F.array_position(F.array(*map(F.lit, references.LIBRARY)), F.col("name"))
+    return references.library(rows, ["origin"]).select("origin", F.col("name").alias("reference"), place.cast("int").alias("place"), "ref_mean", "ref_cov")
+
+
+@query(_references_sql())
+def reference_run_d2(spark, sf_dir):
+    """The candidates of the library that SQL can form, each fitted, tuned, tested and ranked."""
+    s2 = checkpointed(v.S2(spark, sf_dir))
+    out = scoring.reference_run(s2, splits.split_table(spark, v.SPLITS), [3, 5], _library(spark, s2).filter(F.col("reference").isin(_FORMED)), 2, _REF_RIDGES)
+    means = [f"{p}_{m}_mean" for p in ("val", "test") for m in scoring.METRICS]
+    return _digits(out, means, 5).select("origin", "horizon", "reference", "ridge", *means, "n_test_pairs", "selected")
+
+
+@query()
+def reference_library_run(spark, sf_dir):
+    """The whole library, all horizons and ridges."""
+    s2 = checkpointed(v.S2(spark, sf_dir))
+    return scoring.reference_run(s2, splits.split_table(spark, v.SPLITS), HORIZONS, _library(spark, s2), 2)
+
+
+# ---- raw rows, full model for d = 2 (AR-5, AR-6, EVAL-4)
+
+
+@query(
+    sql(
+        """rw as (select i, max(case when k = 'click' then c end) as x, max(case when k = 'view' then c end) as y from e where k in ('click', 'view') group by i),
+pr as (select i, lag(x) over (order by i) as px, lag(y) over (order by i) as py, x, y from rw),
+ft as (select origin, avg(px) as ax, avg(py) as ay, avg(x) as bx, avg(y) as by_, sum(px*px) - sum(px)*sum(px)/count(*) + 0.1 as sxx, sum(px*py) - sum(px)*sum(py)/count(*) as sxy, sum(py*py) - sum(py)*sum(py)/count(*) + 0.1 as syy,
+  sum(px*x) - sum(px)*sum(x)/count(*) as cxx, sum(px*y) - sum(px)*sum(y)/count(*) as cxy, sum(py*x) - sum(py)*sum(x)/count(*) as cyx, sum(py*y) - sum(py)*sum(y)/count(*) as cyy
+  from pr join sp on i < (val_end - 1)*4 + 24 where px is not null group by origin),
+we as (select origin, ax, ay, bx, by_, (syy*cxx - sxy*cyx)/dt as w00, (syy*cxy - sxy*cyy)/dt as w01, (sxx*cyx - sxy*cxx)/dt as w10, (sxx*cyy - sxy*cxy)/dt as w11 from (select *, sxx*syy - sxy*sxy as dt from ft)),
+wb as (select *, bx - ax*w00 - ay*w10 as i0, by_ - ax*w01 - ay*w11 as i1 from we)""".replace("rw as", ", rw as", 1)
+        + """, so as (select origin, horizon, unnest(range(val_end - horizon, test_end - horizon)) as source from sp, (select unnest([3,4,5]) as horizon)),
+st as (select origin, horizon, source, source*4 + 23 as last, (source + horizon)*4 as start from so),
+rc as (select st.*, i, x, y from st join rw on i = last union all select r.origin, horizon, source, last, start, i + 1, i0 + x*w00 + y*w10, i1 + x*w01 + y*w11 from rc r join wb on wb.origin = r.origin where i + 1 < start + 24),
+al as (select origin, horizon, source, i, x, y from rc where i >= start and i > last union all select origin, horizon, source, rw.i, x, y from st join rw on rw.i >= start and rw.i <= last)
+select origin::int as origin, horizon::int as horizon, source::int as source, round(avg(x), 5) + 0.0::double as m0, round(avg(y), 5) + 0.0::double as m1, round(covar_samp(x, x) + 1e-8, 4) + 0.0::double as a, round(covar_samp(x, y), 4) + 0.0::double as b, round(covar_samp(y, y) + 1e-8, 4) + 0.0::double as d from al group by all""",
+        "e",
+        "sp",
+    )
+    .replace("with ", "with recursive ", 1)
+    .replace("\n, rw as", ",\nrw as", 1)
+)
+def raw_model_d2(spark, sf_dir):
+    """Full vector autoregression of the raw rows at a ridge of 0.1 fitted before each origin's val_end: the states of all test targets."""
+    raw = checkpointed(states.vectors(v.E2(spark, sf_dir)))
+    table = splits.split_table(spark, v.SPLITS)
+    ends = [(s[2] - 1) * v.STEP + v.WINDOW for s in v.SPLITS]
+    tests = scoring.ranges(table, HORIZONS, F.col("val_end") - F.col("horizon"), F.col("test_end") - F.col("horizon"))
+    wanted = tests.select("origin", raw_model.raw_end("val_end", v.WINDOW, v.STEP).cast("int").alias("end"), F.lit(0.1).alias("ridge"), "horizon", "source")
+    powers = raw_model.power_table(raw_model.normal_sums(raw, ends), wanted.select("end", "ridge").distinct(), max(HORIZONS) * v.STEP)
+    made = raw_model.raw_forecasts(raw, wanted, powers, v.WINDOW, v.STEP)
+    at = lambda c, i: F.get(c, F.lit(i))
+    return made.select("origin", "horizon", "source", rounded(at("mean", 0), 5).alias("m0"), rounded(at("mean", 1), 5).alias("m1"), *(rounded(at("cov", i), 4).alias(n) for i, n in ((0, "a"), (1, "b"), (3, "d"))))
+
+
+# ---- tables over replicates (AGG-7, AGG-9): origins in their place
+
+
+@query(_origin_sql("val_end", "test_end", ", ra as (select s.horizon, s.method, s.w2_mean / greatest(b.w2_mean, 1e-12) as r from sc s join sc b on b.origin = s.origin and b.horizon = s.horizon and b.method = 'persistence') select horizon::int as horizon, method, count(*)::bigint as n_rep, round(avg(r), 5) + 0.0::double as ratio_mean, round(stddev_samp(r)/sqrt(count(*)), 5) + 0.0::double as ratio_se from ra group by all"))
+def replicated_ratios(spark, sf_dir):
+    rows = _origin_scores(spark, sf_dir, F.col("val_end"), F.col("test_end"))
+    return _digits(reporting.replicated_ratios(rows, ["horizon"], ["origin"], "w2_mean"), ["ratio_mean", "ratio_se"], 5)
+
+
+@query(_origin_sql("val_end", "test_end", ", ra as (select s.horizon, 100*(s.w2_mean / greatest(b.w2_mean, 1e-14) - 1) as c from sc s join sc b on b.origin = s.origin and b.horizon = s.horizon and b.method = 'cholesky' where s.method = 'euclidean'), rb as (select horizon, avg(c) as mean_change, stddev_samp(c)/sqrt(count(*)) as se, avg((c < 0)::int) as win_rate, count(*) as n from ra group by all) select horizon::int as horizon, round(mean_change, 4) + 0.0::double as mean_change, round(se, 4) + 0.0::double as se, round(mean_change - 1.96*se, 4) + 0.0::double as low, round(mean_change + 1.96*se, 4) + 0.0::double as high, win_rate, n::bigint as n from rb"))
+def paired_decision(spark, sf_dir):
+    rows = _origin_scores(spark, sf_dir, F.col("val_end"), F.col("test_end"))
+    return _digits(reporting.paired_decision(rows, ["horizon"], ["origin"], "w2_mean", "euclidean", "cholesky"), ["mean_change", "se", "low", "high"], 4)
+
+
 _GAINS = ["mean_gain", "median_gain", "mean_reduction", "median_reduction", "positive_rate", "best_rate"]
 _COMPARE = """, co as (select o.origin, o.horizon, t.w2_mean as target_loss, b as best_other_loss from rr t join (select origin, horizon, min(w2_mean) as b from rr where method <> 'euclidean' and w2_mean is not null group by all) o using (origin, horizon) where t.method = 'euclidean' and t.w2_mean is not null),
  cm as (select horizon, avg(g) as mean_gain, median(g) as median_gain, avg(r) as mean_reduction, median(r) as median_reduction, avg((g > 0)::int) as positive_rate, avg((target_loss <= best_other_loss)::int) as best_rate, count(*) as n_jobs

@@ -3,13 +3,14 @@ from itertools import permutations
 import duckdb
 import numpy as np
 import pandas as pd
+import panel_brute
 import pytest
 from pyspark.sql import functions as F
 
 from gausstide.functions import closed_forms as cf
 from gausstide.functions import linalg as la
 from gausstide.operators import autoregression as ar
-from gausstide.operators import charts, evaluation, grid, inference, references, reporting, simulation, splits, states
+from gausstide.operators import charts, evaluation, grid, inference, references, reporting, splits, states
 from gausstide.plans import catalogue
 from gausstide.plans import views as v
 from gausstide.sources import files
@@ -76,8 +77,6 @@ def test_barycenters(spark):
     c = spd(5, rng, 40)
     plain, exact = references.barycenter(c), references.exact_barycenter(c)
     assert np.allclose(plain, exact, atol=1e-7) and references._gap(references.fixed_point(c, exact), exact) < 1e-8
-    rows = spark.createDataFrame([(x.reshape(-1).tolist(),) for x in c], "cov array<double>").repartition(3)
-    assert np.allclose(references.distributed_barycenter(rows), plain, atol=1e-7)
 
 
 def test_rolling_reference_order():
@@ -209,14 +208,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files.altered(m, m).count() == 0 and files.altered(m, m.withColumn("bytes", F.lit(1))).count() == 1
 
 
-def test_simulations():
-    means, covs, low = simulation.continuous_case("persistent", 0.75, 80, 60, 3)
-    assert means.shape == (80, 3) and la.is_spd(covs).all() and low > 0
-    ref = spd(3, np.random.default_rng(1))
-    end = simulation.displaced(ref, la.spectral_normalised(np.diag([1.0, -0.5, 0.2])), 0.5)
-    assert np.isclose(np.sqrt(la.bures(ref[None], end[None])[0]), 0.5, atol=1e-6)
-
-
 def test_streaming_counts_equal_batch(spark, tmp_path):
     from gausstide.streaming import rolling
 
@@ -328,12 +319,13 @@ def test_hopping_states_of_long_overlaps(spark):
 
 
 @pytest.mark.parametrize("diagonal", [False, True])
-def test_fixed_panel_equals_the_task_version(spark, diagonal):
+def test_fixed_panel_equals_arrays(spark, diagonal):
     s2 = v.S2(spark, SF).persist()
     methods = ["persistence", "euclidean", "cholesky", "log_euclidean", "transport_fixed"]
     keys = ["origin", "horizon", "target_index", "method"]
-    a, b = (f(s2, v.SPLITS[:2], [3, 5], methods, diagonal=diagonal).toPandas().sort_values(keys).reset_index(drop=True) for f in (evaluation.target_panel, evaluation.task_panel))
-    assert len(a) == len(b) > 0 and a[keys].equals(b[keys]) and np.array_equal(a["ridge"].to_numpy(float), b["ridge"].to_numpy(float), equal_nan=True)
+    a = evaluation.target_panel(s2, v.SPLITS[:2], [3, 5], methods, diagonal=diagonal).toPandas()
+    a, b = (f.sort_values(keys).reset_index(drop=True) for f in (a, panel_brute.panel(s2.toPandas(), v.SPLITS[:2], [3, 5], methods, diagonal=diagonal)))
+    assert len(a) == len(b) > 0 and a[keys].astype(str).equals(b[keys].astype(str)) and np.array_equal(a["ridge"].to_numpy(float), b["ridge"].to_numpy(float), equal_nan=True)
     assert np.allclose(a[["raw_rmse", "w2", "min_pred_eig"]], b[["raw_rmse", "w2", "min_pred_eig"]], rtol=1e-6, atol=1e-8)
 
 
