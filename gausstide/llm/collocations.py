@@ -10,10 +10,7 @@ equally frequent longer one go by an anti-join on one-word extensions, and a win
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +23,8 @@ from gausstide.llm.common import LOWER, UPPER, free, scratch, stage, table
 
 #: Bits of the bitmap that a scan gets from the scan before (8 MB), whatever the data.
 BITMAP_BITS = 1 << 26
-#: Entries a task sums up before it passes them on.
-HELD = 400_000
-#: Answers of a bitmap that a task remembers.
-KNOWN = 500_000
+#: Words of a language, and distinct words, that a task sums up before it passes their n-grams on.
+HELD = 2_000_000
 #: Partial ranks within which each language's first rows are found before they meet.
 SALTS = 32
 UNKNOWN = "und"
@@ -45,55 +40,82 @@ def words_and_ends(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(END, b" \xff ").split()
 
 
-class Known(dict):
-    """What a bitmap says of phrases; the first ``most`` answers are remembered."""
-
-    def __init__(self, bits: bytes, most: int):
-        self.bits, self.most = bits, most
-        self[END] = False
-
-    def __missing__(self, phrase: bytes) -> bool:
-        h = xxhash.xxh64_intdigest(phrase, 42) % (8 * len(self.bits))
-        found = bool(self.bits[h >> 3] >> (h & 7) & 1)
-        if len(self) < self.most:
-            self[phrase] = found
-        return found
-
-
-def _pairs(words: list[bytes], known: Known) -> tuple[Iterator[int], Iterator[bytes]]:
-    """Places and texts of the neighbouring words that may both be frequent; a piece's end never is."""
-    ok = list(map(known.__getitem__, words))
-    both = list(map(and_, ok, ok[1:]))
-    return compress(range(len(both)), both), map(b" ".join, compress(zip(words, words[1:]), both))
-
-
-def _longer(words: list[bytes], known: Known, pairs: Known, most: int) -> Iterator[bytes]:
-    """Phrases of three to ``most`` words whose pairs may all be frequent."""
-    at, texts = _pairs(words, known)
-    places = list(compress(at, map(pairs.__getitem__, texts)))
-    for first, p in enumerate(places):
-        for n in range(1, most - 1):
-            if first + n == len(places) or places[first + n] != p + n:
-                break
-            yield b" ".join(words[p : p + n + 2])
+class Codes(dict):
+    """Numbers of the words of a task, from 1 on (0: the end of a piece), with the hash of each word."""
+
+    def __init__(self):
+        self[END] = 0
+        self.words, self.hashes = [END], [0]
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self.words)
+        self.words.append(word)
+        self.hashes.append(xxhash.xxh64_intdigest(word, 42))
+        return code
+
+
+def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the bitmap holds."""
+    at = (hashes % np.uint64(8 * len(bits))).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _pair_hash(first, second):
+    return (first >> np.uint64(13)) ^ second
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, count) of each distinct key, and the number of each key among the distinct ones."""
+    _, first, number, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    return first, count, number
+
+
+def _grams(level: int, codes: np.ndarray, hashes: np.ndarray, bits: list[np.ndarray], max_words: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(places of first occurrences, number of words, counts) of the distinct n-grams of a scan in a row of codes."""
+    if level == 1:
+        first, count, _ = _counted(codes)
+        yield first[codes[first] > 0], 1, count[codes[first] > 0]
+        return
+    ok = (codes > 0) & _set(bits[0], hashes)[codes]
+    start = ok[:-1] & ok[1:]
+    if level > 2:
+        h = hashes[codes]
+        start &= _set(bits[1], _pair_hash(h[:-1], h[1:]))
+    wide = codes.astype(np.uint64)
+    pairs = start  # where a pair that may be frequent begins
+    # an n-gram's key: the number of its first n - 1 words, then the last word's code, so keys are exact at any length
+    places, number = np.flatnonzero(start), wide[:-1][start]
+    for n in range(2, max_words + 1):
+        if not len(places):
+            return
+        first, count, number = _counted((number.astype(np.uint64) << np.uint64(32)) | wide[places + n - 1])
+        if level == 2 or n > 2:
+            yield places[first], n, count
+        if level == 2:
+            return
+        longer = places + n - 1 < len(pairs)
+        longer[longer] = pairs[places[longer] + n - 1]
+        places, number = places[longer], number[longer]
 
 
 def _counts(level: int, max_words: int, sent: tuple, most: int):
-    """Counts of a scan: level 1 words, level 2 pairs of possibly frequent words, level 3 longer phrases of possibly frequent pairs."""
+    """Counts of a scan: level 1 words, level 2 pairs of possibly frequent words, level 3 longer phrases of possibly frequent pairs. A task sums up ``most`` words of a language at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Known(b.value, KNOWN) for b in sent]
-        held: dict[str, Counter] = {}
-
-        def flush():
-            for lang, counter in held.items():
-                keys, values = list(counter), list(counter.values())
-                for at in range(0, len(keys), 50_000):
-                    part = keys[at : at + 50_000]
-                    sizes = [k.count(b" ") + 1 for k in part]
-                    columns = [pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(values[at : at + 50_000], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n_words", "c"])
-            held.clear()
+        bits = [np.frombuffer(b.value, np.uint8) for b in sent]
+        known = Codes()
+        held: dict[str, list] = {}
+        sizes: dict[str, int] = {}
+
+        def flush(lang: str):
+            codes, hashes = np.concatenate(held.pop(lang)), np.array(known.hashes, np.uint64)
+            sizes.pop(lang)
+            for places, n, counts in _grams(level, codes, hashes, bits, max_words):
+                for at in range(0, len(places), 50_000):
+                    part = places[at : at + 50_000]
+                    columns = [map(known.words.__getitem__, codes[part + j].tolist()) for j in range(n)]
+                    phrases = pa.array([b" ".join(w) for w in zip(*columns)], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), phrases, pa.array(np.full(len(part), n, np.int32)), pa.array(counts[at : at + 50_000].astype(np.int64))], ["lang", "phrase", "n_words", "c"])
 
         for batch in batches:
             texts, langs = batch.column("text").cast(pa.binary()), batch.column("lang")
@@ -101,25 +123,26 @@ def _counts(level: int, max_words: int, sent: tuple, most: int):
                 text = texts[i].as_py()
                 if not text:
                     continue
-                counter = held.setdefault(langs[i].as_py(), Counter())
-                words = words_and_ends(text)
-                if level == 1:
-                    counter.update(words)
-                    counter.pop(END, None)
-                elif level == 2:
-                    counter.update(_pairs(words, known[0])[1])
-                else:
-                    counter.update(_longer(words, *known, max_words))
-                if sum(map(len, held.values())) > most:
-                    yield from flush()
-        yield from flush()
+                lang, words = langs[i].as_py(), words_and_ends(text)
+                words.append(END)
+                held.setdefault(lang, []).append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+                sizes[lang] = sizes.get(lang, 0) + len(words)
+                if sizes[lang] > most:
+                    yield from flush(lang)
+                if len(known.words) > most:
+                    for each in list(held):
+                        yield from flush(each)
+                    known = Codes()
+        for each in list(held):
+            yield from flush(each)
 
     return run
 
 
-def _bitmap(spark: SparkSession, phrases: DataFrame):
-    """A broadcast bitmap of BITMAP_BITS bits with the hash of each phrase set."""
-    hashed = phrases.select(F.xxhash64("phrase").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("h"))
+def _bitmap(spark: SparkSession, phrases: DataFrame, n_words: int):
+    """A broadcast bitmap of BITMAP_BITS bits with the hash of each phrase of ``n_words`` (1 or 2) words set."""
+    h = "xxhash64(phrase)" if n_words == 1 else "shiftrightunsigned(xxhash64(split_part(phrase, ' ', 1)), 13) ^ xxhash64(split_part(phrase, ' ', 2))"
+    hashed = phrases.select(F.expr(f"({h}) & {BITMAP_BITS - 1}L").alias("h"))
     parts = hashed.select(F.expr("cast(shiftright(h, 3) as int)").alias("at"), F.expr("shiftleft(1, cast(h & 7 as int))").alias("bit"))
     rows = parts.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(BITMAP_BITS // 8, np.uint8)
@@ -143,7 +166,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, step) -> t
     levels = [kept.filter("phrase is not null").select("lang", "phrase", F.lit(1).alias("n_words"), "f")]
     sent: tuple = ()
     for level in (2, 3)[: max_words - 1]:
-        sent = (*sent, _bitmap(spark, levels[-1]))
+        sent = (*sent, _bitmap(spark, levels[-1], level - 1))
         levels.append(step(scan(level, sent).filter(F.col("f") >= min_count), f"phrases-{level}"))
     out = levels[0]
     for more in levels[1:]:
