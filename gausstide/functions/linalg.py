@@ -126,6 +126,18 @@ def log_score(m_pred, c_pred, m_true, c_true) -> np.ndarray:
     return 0.5 * (p.shape[-1] * np.log(2 * np.pi) + np.linalg.slogdet(p)[1] + trace(solved[..., :-1]) + (diff * solved[..., -1]).sum(-1))
 
 
+def gaussian_nll(m_pred, c_pred, m_true, c_true) -> np.ndarray:
+    """As ``log_score`` of covariances as they are; one that is not definite is lifted by 1e-6 and tried again."""
+    try:
+        np.linalg.cholesky(c_pred)
+    except np.linalg.LinAlgError:
+        c_pred = c_pred + 1e-6 * np.eye(c_pred.shape[-1])
+        np.linalg.cholesky(c_pred)
+    diff = m_true - m_pred
+    solved = np.linalg.solve(c_pred, np.concatenate([c_true, diff[..., None]], -1))
+    return 0.5 * (c_pred.shape[-1] * np.log(2 * np.pi) + np.linalg.slogdet(c_pred)[1] + trace(solved[..., :-1]) + (diff * solved[..., -1]).sum(-1))
+
+
 # ---- the strict layer: errors instead of NaN
 
 #: Multiples of machine precision that an eigenvalue must stand above, and the largest relative residual of a map.
@@ -316,6 +328,7 @@ _FUNCTIONS = {
     "smallest_eigenvalue": (smallest_eigenvalue, "m", T.DoubleType()),
     "spectral_normalised": (spectral_normalised, "m", DOUBLES),
     "is_spd": (is_spd, "m", T.BooleanType()),
+    "gaussian_nll": (gaussian_nll, "vmvm", T.DoubleType()),
     "log_score": (log_score, "vmvm", T.DoubleType()),
 }
 

@@ -160,20 +160,27 @@ def shrinkage_choice(conditions: DataFrame, cap: float = 100.0) -> DataFrame:
 
 
 def nearest_members(points: DataFrame, centres: DataFrame, n: int) -> DataFrame:
-    """(cluster, id, rank): the ``n`` points (id, x) nearest to each centre (cluster, x), ties by id; few centres, broadcast."""
-    both = points.crossJoin(F.broadcast(centres.withColumnRenamed("x", "centre")))
-    rank = F.row_number().over(W.partitionBy("cluster").orderBy(F.round(la.squared_distance("x", "centre"), 9), "id"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= n).select("cluster", "id", "rank")
+    """(cluster, id, rank): of the members of each cluster, points (id, cluster, x), the ``n`` nearest to its centre (cluster, x), ties by id. A cluster with fewer members is an error, so panels are disjoint and full."""
+    both = points.join(F.broadcast(centres.withColumnRenamed("x", "centre")), "cluster")  # a row per cluster
+    w = W.partitionBy("cluster")
+    rank = F.row_number().over(w.orderBy(F.round(la.squared_distance("x", "centre"), 9), "id"))
+    few = F.raise_error(F.concat(F.lit("cluster "), F.col("cluster").cast("string"), F.lit(f" has fewer than {n} members"))).cast("int")
+    ranked = both.withColumns({"rank": rank, "_n": F.count("*").over(w)}).filter(F.col("rank") <= n)
+    return ranked.select("cluster", "id", F.when(F.col("_n") >= n, F.col("rank")).otherwise(few).alias("rank"))
 
 
-def spatial_panels(points: DataFrame, k: int, n: int, seed: int) -> DataFrame:
-    """k-means (MLlib, so clusters differ from other seedings) of points (id, x array), then the n nearest of each centre."""
+def spatial_panels(points: DataFrame, k: int, n: int, seed: int, eligible: DataFrame | None = None) -> DataFrame:
+    """``k`` panels of ``n`` points each: k-means (MLlib, so clusters differ from other seedings) of points (id, x array), then of each cluster the members nearest to its centre. ``eligible`` (id) keeps only those points; fewer than k n of them are an error, and so is a cluster of fewer than ``n``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(k=k, seed=seed).fit(points.select(array_to_vector("x").alias("features")))
+    points = points if eligible is None else points.join(eligible.select("id"), "id", "left_semi")
+    if points.limit(k * n).count() < k * n:
+        raise ValueError(f"fewer than {k * n} usable points")
+    rows = points.select("id", "x", array_to_vector("x").alias("features"))
+    model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(rows)
     centres = points.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, x array<double>")
-    return nearest_members(points, centres, n)
+    return nearest_members(model.transform(rows).select("id", "x", "cluster"), centres, n)
 
 
 def evaluation_origins(splits: DataFrame, horizons: list[int]) -> DataFrame:

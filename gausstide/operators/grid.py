@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gausstide.session import checkpointed
+
 SECONDS = {"hour": 3600, "day": 86400}
 
 
@@ -114,3 +116,32 @@ def wide(grid: DataFrame, keys: list[str]) -> DataFrame:
 
 def missing_steps(grid: DataFrame, steps: int) -> Column:
     return F.lit(steps) - grid.select("i").distinct().count()
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "i", first: int = 0) -> DataFrame:
+    """``rows`` with dense numbers in ascending ``order`` (nulls first), as int64 from ``first`` on, without a task that sees all rows: a range partition, a count per range, and running sums of the counts, which are as many as partitions. Ties are numbered in any order, so ``order`` should tell rows apart."""
+    ranged = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order))  # numbers below depend on the partitions, so they are fixed first
+    placed = ranged.withColumn("_at", F.monotonically_increasing_id())  # partition << 33 | place
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect())
+    starts, before = [], first
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    table = rows.sparkSession.createDataFrame(starts or [(0, first)], "_part long, _before long")
+    joined = placed.withColumn("_part", part).join(F.broadcast(table), "_part")  # a row per partition
+    return joined.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
+def eligible_keys(grid: DataFrame, fit_end: int, coverage: float = 0.995, spread: float = 1.0) -> DataFrame:
+    """(k, coverage, spread): keys whose values before ``fit_end`` are valid (finite and above 0) in a share of at least ``coverage`` of the steps, with a standard deviation (ddof 0) of the valid ones above ``spread``."""
+    valid = F.when((F.col("c") > 0) & (F.col("c") < float("inf")), F.col("c"))
+    stats = grid.filter(F.col("i") < fit_end).groupBy("k").agg((F.count(valid) / F.count("*")).alias("coverage"), F.stddev_pop(valid).alias("spread"))
+    return stats.filter((F.col("coverage") >= coverage) & (F.col("spread") > spread))
+
+
+def whole_counts(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """``wide`` with whole numbers as int64; a value that is not whole to 1e-12 is an error."""
+    bad = F.raise_error(F.lit("a count is not whole")).cast("long")
+    cast = {k: F.when(F.abs(F.col(f"`{k}`") - F.rint(F.col(f"`{k}`"))) <= 1e-12, F.rint(F.col(f"`{k}`")).cast("long")).otherwise(bad) for k in keys}
+    return wide(grid, keys).select("i", *(c.alias(k) for k, c in cast.items()))

@@ -18,6 +18,7 @@ from gausstide.functions import closed_forms as cf
 from gausstide.functions import linalg as la
 from gausstide.operators import autoregression as ar
 from gausstide.operators import charts, references
+from gausstide.operators.states import moments
 from gausstide.session import checkpointed
 
 RIDGES = [1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0]
@@ -110,14 +111,22 @@ def panel_forecasts(states: DataFrame, coords: DataFrame, references: DataFrame,
     return made.unionByName(persistence_forecasts(states, sources, by).select(*made.columns))
 
 
-def block_likelihood(forecasts: DataFrame, raw: DataFrame, by: list[str], window: int, step: int) -> DataFrame:
-    """``forecasts`` (d = 2) with raw_nll: the mean negative log likelihood of the raw vectors (by, i, x) of the target's window, [target step, target step + window), under the predicted state with a floor of 1e-7."""
-    wanted = forecasts.select(*by, (F.col("source") + F.col("horizon")).alias("target")).distinct()
+def block_likelihood(forecasts: DataFrame, raw: DataFrame, by: list[str], window: int, step: int, d: int = 2) -> DataFrame:
+    """``forecasts`` with raw_nll: the mean negative log likelihood of the raw vectors (by, i, x) of the target's window, [target step, target step + window), under the predicted state with a floor of 1e-7.
+
+    The vectors of a block enter by their number, mean and scatter, formed once for each target: the mean of the
+    likelihood is that of one Gaussian under another, so rows never meet forecasts.
+    """
+    target = F.col("source") + F.col("horizon")
+    wanted = forecasts.select(*by, target.alias("target")).distinct()
     rows = wanted.withColumn("i", F.explode(F.sequence(F.col("target") * step, F.col("target") * step + window - 1))).join(raw, [*by, "i"])
-    made = forecasts.withColumns({"target": F.col("source") + F.col("horizon"), "floored": cf.floored("cov", la.FLOOR)})
-    keys = [c for c in forecasts.columns if c not in ("mean", "cov")]
-    each = made.join(rows, [*by, "target"]).groupBy(*keys).agg(F.avg(cf.negative_log_likelihood("mean", "floored", "x")).alias("raw_nll"))
-    return forecasts.join(each, keys)
+    block = moments(rows.select(*by, "target", "x"), [*by, "target"])
+    scatter = F.transform("cov", lambda c: F.coalesce(c * (F.col("n") - 1) / F.col("n"), F.lit(0.0)))  # of one row: none
+    block = block.select(*by, "target", F.col("mean").alias("block_mean"), scatter.alias("block_cov"))
+    floored = cf.floored("cov", la.FLOOR) if d == 2 else la.state_floor("cov", la.FLOOR)
+    both = forecasts.withColumns({"target": target, "floored": floored}).join(block, [*by, "target"])
+    score = cf.log_score if d == 2 else lambda *c: la.call("gaussian_nll", *c)
+    return both.withColumn("raw_nll", score("mean", "floored", "block_mean", "block_cov")).select(*forecasts.columns, "raw_nll")
 
 
 # ---- the fixed-chart part of the target panel

@@ -41,7 +41,7 @@ def _states(moments: DataFrame, keys: list[str], ridge: float, shrinkage: float
     row = lambda p: F.floor(p / F.col("_d")).cast("int")
     col = lambda p: p % F.col("_d")
     s = lambda p: F.get("_s", p)
-    cell = lambda p: (s(F.col("_d") + p) - s(row(p)) * s(col(p)) / F.col("n")) / (F.col("n") - 1)
+    cell = lambda p: (s(F.col("_d") + p) - s(row(p)) * s(col(p)) / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
     cov = F.transform(F.sequence(F.lit(0), F.col("_d") * F.col("_d") - 1), cell)
     columns = {"mean": F.transform(F.slice("_s", 1, F.col("_d")), lambda v: v / F.col("n")), "cov": cov}
     if shrinkage:  # the trace comes from the sums, so that no cell is computed again for each diagonal cell

@@ -168,8 +168,7 @@ def block_states_shrunk(spark, sf_dir):
 )
 def contiguous_blocks(spark, sf_dir):
     days = v.read(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts")).distinct()
-    rows = days.withColumn("i", (F.row_number().over(W.orderBy("ts")) - 1).cast("int"))
-    return states.contiguous_blocks(rows, 7, 86400)
+    return states.contiguous_blocks(grid.numbered(days, ["ts"]), 7, 86400)
 
 
 @query(
@@ -684,10 +683,33 @@ def shrinkage_choice_d2(spark, sf_dir):
 # ---- panels of embeddings
 
 
+def _label_points(spark, sf_dir):
+    return v.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("cluster"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+
+
+@query(
+    """with p as (select vec_id as id, label::int as cluster, unnest(range(64)) as j, unnest(embedding::double[]) as x from embeddings),
+ m as (select cluster, j, avg(x) as c from p group by all), d as (select cluster, id, sum(pow(x - c, 2)) as s from p join m using (cluster, j) group by all),
+ r as (select cluster, id, row_number() over (partition by cluster order by round(s, 9), id)::int as rank from d)
+ select cluster, id, rank from r where rank <= 20"""
+)
+def panel_members(spark, sf_dir):
+    """Of each label's vectors the 20 nearest to their mean: the step from clusters to panels, with labels as clusters."""
+    points = _label_points(spark, sf_dir)
+    cells = points.select("cluster", F.posexplode("x").alias("j", "v")).groupBy("cluster", "j").agg(F.avg("v").alias("v"))
+    centres = cells.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda r: r["v"]).alias("x"))
+    return evaluation.nearest_members(points, centres, 20)
+
+
+@query(sql("select k, round(cov, 6) + 0.0::double as coverage, round(spread, 6) + 0.0::double as spread from (select k, count(*) filter (c > 0) / count(*) as cov, stddev_pop(c) filter (c > 0) as spread from e where i < 432 group by k) where cov >= 0.5 and spread > 0.1", "e"))
+def eligible_keys(spark, sf_dir):
+    return grid.eligible_keys(v.E(spark, sf_dir), 432, 0.5, 0.1).select("k", _r("coverage", 6).alias("coverage"), _r("spread", 6).alias("spread"))
+
+
 @query()
 def spatial_panels(spark, sf_dir):
-    e = v.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("x"))
-    return evaluation.spatial_panels(e, 4, 20, 20260731)
+    """k-means of the whole vectors into four clusters, then panels of 20."""
+    return evaluation.spatial_panels(_label_points(spark, sf_dir).drop("cluster"), 4, 20, 20260731)
 
 
 @query()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import io
 import json
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
+from gausstide.operators.grid import numbered
 from gausstide.operators.states import tidy
 
 TIMES, STATIONS = "started_at", ("start_station_id", "start_station_name")
@@ -22,31 +25,70 @@ def month_paths(template: str, months: list[str]) -> list[str]:
     return [template.format(month=m) for m in months]
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for path, content in zip(b["path"], b["content"], strict=True):
-            archive = zipfile.ZipFile(io.BytesIO(content))
-            names = [n for n in archive.namelist() if n.lower().endswith(".csv") and not n.startswith("__MACOSX/") and not n.rsplit("/", 1)[-1].startswith("._")]
+def _csv_members(archive: zipfile.ZipFile) -> list[str]:
+    """CSV members that do not lie among system files."""
+    return [n for n in archive.namelist() if n.lower().endswith(".csv") and not n.startswith("__MACOSX/") and not n.rsplit("/", 1)[-1].startswith("._")]
+
+
+class Member(InputPartition):
+    def __init__(self, path: str, name: str):
+        self.path, self.name = path, name
+
+
+class _MemberReader(DataSourceReader):
+    """A partition per (archive, member). Archives are opened by path, so they lie on a file system that the driver and all executors mount."""
+
+    def __init__(self, options: dict, schema: StructType):
+        self.paths, self.columns = json.loads(options["paths"]), [f.name for f in schema.fields]
+        self.alternatives = json.loads(options.get("alternatives", "{}"))
+
+    def partitions(self) -> list[Member]:
+        out = []
+        for path in self.paths:
+            with zipfile.ZipFile(path) as archive:  # the directory at its end, no member
+                names = _csv_members(archive)
             if not names:
                 raise ValueError(f"no CSV member in {path}")
-            for n in names:
-                with archive.open(n) as f:
-                    header = pd.read_csv(f, nrows=0).columns
-                station = next((c for c in STATIONS if c in header), None)
-                if TIMES not in header or station is None:
-                    continue
-                with archive.open(n) as f:
-                    for chunk in pd.read_csv(f, usecols=[TIMES, station], dtype=str, chunksize=CHUNK):
-                        yield pd.DataFrame({"ts": chunk[TIMES], "k": chunk[station]})
+            out += [Member(path, n) for n in names]
+        return out
+
+    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+        with zipfile.ZipFile(partition.path) as archive:
+            with archive.open(partition.name) as f:
+                header = pd.read_csv(f, nrows=0).columns
+            source = {c: next((x for x in self.alternatives.get(c, [c]) if x in header), None) for c in self.columns}
+            if None in source.values():
+                return
+            with archive.open(partition.name) as f:  # decompressed as it is read
+                for chunk in pd.read_csv(f, usecols=list(set(source.values())), dtype=str, chunksize=CHUNK):
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk[source[c]].where(chunk[source[c]].notna(), None), pa.string()) for c in self.columns], self.columns)
+
+
+class ZippedCsv(DataSource):
+    """Spark data source "zipped_csv": string columns of the CSV members of zip archives, only those of the schema.
+
+    Options: ``paths``, a JSON list; ``alternatives``, a JSON object from a column to the header names it may have, the
+    first that is there counts. Members that lack a column are skipped; an archive without CSV members is an error.
+    """
 
+    @classmethod
+    def name(cls) -> str:
+        return "zipped_csv"
 
-def read_trip_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(ts, k) as strings from zipped CSV files; one task per archive, members streamed in chunks.
+    def reader(self, schema: StructType) -> _MemberReader:
+        return _MemberReader(self.options, schema)
 
-    Members that are not CSV, or lie among system files, are ignored; a member without the time or a station column is
-    skipped; an archive without any CSV is an error.
-    """
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(_members, "ts string, k string")
+
+def read_zipped_csv(spark: SparkSession, paths: list[str], columns: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``columns`` (name to the header names it may have) of the CSV members of zip archives, as strings; a task per member, streamed in chunks."""
+    spark.dataSource.register(ZippedCsv)
+    reader = spark.read.format("zipped_csv").schema(", ".join(f"`{c}` string" for c in columns))
+    return reader.option("paths", json.dumps(paths)).option("alternatives", json.dumps(columns)).load()
+
+
+def read_trip_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(ts, k) as strings from zipped CSV files, see ``read_zipped_csv``; a member without the time or a station column is skipped."""
+    return read_zipped_csv(spark, paths, {"ts": (TIMES,), "k": STATIONS})
 
 
 def read_locations(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
@@ -60,7 +102,7 @@ def read_locations(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 def read_sensor_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(i, ts, k, c) of a sensor table stored as Parquet (ts_ns, sensor, value); HDF5 needs a library that is not assumed here."""
     rows = spark.read.parquet(path).select(F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)).alias("ts"), F.col("sensor").cast("string").alias("k"), F.col("value").cast("double").alias("c"))
-    steps = rows.select("ts").distinct().withColumn("i", (F.expr("row_number() over (order by ts)") - 1).cast("int"))
+    steps = numbered(rows.select("ts").distinct(), ["ts"]).withColumn("i", F.col("i").cast("int"))
     return rows.join(steps, "ts").select("i", "ts", "k", "c")
 
 
@@ -102,6 +144,15 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
     return from_tidy(read_results(spark, f"{path}/means", "t int, i int, value double"), read_results(spark, f"{path}/covariances", "t int, i int, j int, value double"))
 
 
+def row_manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows, columns, content): for each table the rows, the columns, and a sum of row hashes that does not depend on order; one pass each. Beside the digests of ``manifest`` it tells what was written."""
+    parts = [df.select(F.lit(n).alias("name"), F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).groupBy("name").agg(F.count("*").alias("rows"), F.sum("h").cast("string").alias("content")).withColumn("columns", F.lit(",".join(df.columns))) for n, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("name", "rows", "columns", "content")
+
+
 def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, bytes, sha256) of files, hashed where they are read."""
     return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
@@ -125,3 +176,50 @@ def grid_problems(grid: DataFrame, steps: int) -> DataFrame:
         (F.lit(steps).cast("long") - F.count_distinct("i")).alias("missing step"),
     )
     return bad.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, bad.columns)), F.array(*[f"`{c}`" for c in bad.columns]))).alias("problem", "n")).filter("n <> 0")
+
+
+# ---- processed packages
+
+COUNTS, PROFILE, MANIFEST = "selected_hourly_counts.csv", "selected_station_profile.csv", "processed_data_manifest.json"
+
+
+def package_problems(counts: DataFrame, stations: list[str], start: str, steps: int, fit_end: int) -> DataFrame:
+    """(problem, n): what keeps a package of hourly counts (timestamp, a column per station in the order of ``stations``) from being loaded; no rows if nothing does.
+
+    The data are read once. The calendar is every hour from ``start`` on, ``steps`` of them, each once; values are finite,
+    not negative, and whole to 1e-12; the fitting block ends within the calendar.
+    """
+    spark = counts.sparkSession
+    driver = [("no stations", int(not stations)), ("repeated station", len(stations) - len(set(stations))), ("columns differ from the profile", int(counts.columns != ["timestamp", *stations])), ("fitting block outside the calendar", int(not 0 < fit_end <= steps))]
+    at = F.col("timestamp").try_cast("timestamp")
+    hour = (F.unix_timestamp(at) - F.unix_timestamp(F.lit(start).cast("timestamp"))) / 3600
+    inside = at.isNotNull() & (hour == F.floor(hour)) & (hour >= 0) & (hour < steps)
+    values = F.array(*(F.col(f"`{c}`").cast("double") for c in counts.columns[1:])) if len(counts.columns) > 1 else F.array().cast("array<double>")
+    rows = counts.select(F.when(inside, hour).alias("h"), values.alias("v"))
+    bad = lambda f: F.sum(F.size(F.filter("v", f)))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    found = rows.agg(
+        F.count_if(F.col("h").isNull()).alias("row outside the calendar"),
+        (F.count("h") - F.count_distinct("h")).alias("repeated hour"),
+        (F.lit(steps).cast("long") - F.count_distinct("h")).alias("missing hour"),
+        bad(lambda x: ~finite(x)).alias("not finite"),
+        bad(lambda x: finite(x) & (x < 0)).alias("negative"),
+        bad(lambda x: finite(x) & (F.abs(x - F.rint(x)) > 1e-12)).alias("not whole"),
+    )
+    names = found.columns
+    data = found.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long") for c in names)))).alias("problem", "n"))
+    return data.unionByName(spark.createDataFrame(driver, "problem string, n long")).filter("n <> 0")
+
+
+def load_package(spark: SparkSession, folder: str, start: str, steps: int) -> tuple[DataFrame, list[str], int]:
+    """(grid (i, k, c), stations in order, end of the fitting block) of a processed package; ValueError with all its problems if it has any. Stations are few: a column each."""
+    profile = spark.read.csv(f"{folder}/{PROFILE}", header=True)
+    stations = [r.station_id for r in profile.select("station_id", F.col("station_rank").cast("int").alias("rank")).orderBy("rank").collect()]
+    fit_end = int(read_json(spark, f"{folder}/{MANIFEST}")["processing"]["standardization_block_hours"])
+    counts = spark.read.csv(f"{folder}/{COUNTS}", header=True)
+    problems = package_problems(counts, stations, start, steps, fit_end).orderBy("problem").collect()
+    if problems:
+        raise ValueError("; ".join(f"{r.problem}: {r.n}" for r in problems))
+    i = ((F.unix_timestamp(F.col("timestamp").cast("timestamp")) - F.unix_timestamp(F.lit(start).cast("timestamp"))) / 3600).cast("int")
+    cells = F.explode(F.map_from_arrays(F.array(*map(F.lit, stations)), F.array(*(F.col(f"`{c}`").cast("double") for c in stations)))).alias("k", "c")
+    return counts.select(i.alias("i"), cells), stations, fit_end
