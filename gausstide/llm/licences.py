@@ -31,7 +31,7 @@ _GNU_HEAD = "is free software: you can redistribute it and/or modify it under th
 _GNU_FSF = "as published by the Free Software Foundation"
 _GNU_LATER = "either version {} of the License, or (at your option) any later version."
 _CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
-TEMPLATES = [
+_NOTICES = [
     ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -63,6 +63,43 @@ TEMPLATES = [
     ("CC-BY-NC-ND-4.0", _CC.format("-NonCommercial-NoDerivatives")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+_MORE = [
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+#: What licences are called in sentences that point to them.
+CALLED = [
+    ("MIT", "MIT License"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache License, Version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"),
+    ("Zlib", "zlib License"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("Unlicense", "Unlicense"), ("MPL-2.0", "Mozilla Public License 2.0"), ("EPL-2.0", "Eclipse Public License 2.0"), ("CC0-1.0", "CC0 1.0 Universal"),
+    ("GPL-2.0", "GNU General Public License v2.0"), ("GPL-3.0", "GNU General Public License v3.0"), ("LGPL-3.0", "GNU Lesser General Public License v3.0"), ("AGPL-3.0", "GNU Affero General Public License v3.0"),
+]
+POINTERS = ["Licensed under the {}", "Distributed under the {}", "This project is licensed under the {}", "This project is licensed under the {} - see the LICENSE file for details"]
+_VERSIONED = {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"}
+TEMPLATES = [
+    *((licence, pointer.format(name)) for pointer in POINTERS for licence, name in CALLED),
+    *((x, f"SPDX-License-Identifier: {x}{end}") for x in dict.fromkeys(name for name, _ in _NOTICES + _MORE) for end in (["", "-only", "-or-later"] if x in _VERSIONED else [""])),
+    *_MORE,
+    *_NOTICES,
+]
+#: The words that name a licence. A template with such words of its own licence matches only units that have them too.
+NAMES = {
+    "Apache-1.1": ["apache"], "Apache-2.0": ["apache"], "MIT": ["mit"], "ISC": ["isc"], "0BSD": ["0bsd"], "BSD-2-Clause": ["bsd"], "BSD-3-Clause": ["bsd"], "MPL-2.0": ["mozilla", "mpl"], "BSL-1.0": ["boost", "bsl"], "Zlib": ["zlib"],
+    "Unlicense": ["unlicense", "unencumbered"], "EPL-2.0": ["eclipse", "epl"], "CC0-1.0": ["cc0"], "GPL-2.0": ["gnu", "gpl"], "GPL-3.0": ["gnu", "gpl"], "LGPL-2.1": ["gnu", "lesser", "lgpl"], "LGPL-3.0": ["gnu", "lesser", "lgpl"], "AGPL-3.0": ["gnu", "affero", "agpl"],
+    **{f"CC-BY{short}-4.0": ["cc", "creative"] for short in ("", "-SA", "-ND", "-NC", "-NC-SA", "-NC-ND")},
+}
+#: Where comments begin and end.
+MARKS = "//+|/[*]+|[*]+/|#+|<!--|-->"
 THRESHOLD = 0.6
 #: By so much a unit's best licence must be nearer than its second.
 MARGIN = 0.01
@@ -73,24 +110,31 @@ def terms_of(text: Column) -> Column:
 
 
 def units_of(text: Column, whole: Column) -> Column:
-    """The lines of a text, its paragraphs (between blank lines) of more than one line, and, if ``whole``, all of it where it has several paragraphs. Null has none."""
+    """The lines of a text, the parts of lines that comment marks divide, its paragraphs (between blank lines) of more than one line, and, if ``whole``, all of it where it has several paragraphs. Null has none."""
     paragraphs = F.split(text, "\n[ \t\r]*\n")
     several = F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n")))
-    return F.concat(F.split(text, "\n"), several, F.when(whole & (F.size(paragraphs) > 1), F.array(text)).otherwise(F.array().cast("array<string>")))
+    lines = F.split(text, "\n")
+    parts = F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(MARKS)), lambda x: F.split(x, MARKS)))
+    return F.concat(lines, parts, several, F.when(whole & (F.size(paragraphs) > 1), F.array(text)).otherwise(F.array().cast("array<string>")))
 
 
 def template_table(spark, templates: list[tuple[str, str]]) -> DataFrame:
-    """(template, licence, term, tf)."""
+    """(template, licence, term, tf, must): ``must`` marks the words that name the template's licence."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], T.StructType([T.StructField("template", T.IntegerType()), T.StructField("licence", T.StringType()), T.StructField("text", T.StringType())]))
-    return rows.select("template", "licence", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
+    named = F.lit(False)
+    for name, words in NAMES.items():
+        named = named | ((F.col("licence") == name) & F.col("term").isin(words))
+    out = rows.select("template", "licence", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
+    return out.withColumn("must", named.cast("int"))
 
 
 def own_licences(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """(doc_id, text_key, own_licence, cosine) of the files with a unit that reaches ``threshold``: the best unit, ties by licence name.
 
     Weights are term counts times ln((units + 1) / (df + 1)) + 1. Words outside the templates enter a unit's length as
-    if no other unit had them, so a notice buried in other words scores lower, never higher. A notice counts however
-    many units carry it. A unit whose second licence is less than ``margin`` behind the first is left out: a sentence that
+    if no other unit had them, so a notice buried in other words scores lower, never higher. A template that names its
+    licence matches only units with that name, so a sentence about a licence that no template knows is not taken for one
+    that it resembles. A notice counts however many units carry it. A unit whose second licence is less than ``margin`` behind the first is left out: a sentence that
     two licences share decides nothing. Units without a term of the templates match nothing. Null and empty texts have no
     licence. Files without is_licence_file are no licence files; further columns play no part.
     """
@@ -107,8 +151,8 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] | None = Non
         weight = [(t, _idf(n, df.get(t, 0))) for t in vocabulary]
         idf = spark.createDataFrame(weight, T.StructType([T.StructField("term", T.StringType()), T.StructField("idf", T.DoubleType())]))
         vectors = vectors.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-        sizes = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-        vectors = F.broadcast(vectors.join(F.broadcast(sizes), "template").select("template", "licence", "term", (F.col("w") / F.col("size") * F.col("idf")).alias("w")))
+        sizes = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.sum("must").alias("needs"))
+        vectors = F.broadcast(vectors.join(F.broadcast(sizes), "template").select("template", "licence", "needs", "must", "term", (F.col("w") / F.col("size") * F.col("idf")).alias("w")))
 
         most = vectors.groupBy("term").agg(F.max("w").alias("w")).collect()  # bounded by the templates
         reach = _may_reach(F.col("terms"), {r["term"]: r["w"] for r in most}, dict(weight), _idf(n, 0), threshold)
@@ -116,7 +160,7 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] | None = Non
         each = found.select("unit").distinct().select("unit", F.explode(F.split("unit", " ")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
         each = each.join(F.broadcast(idf), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(_idf(n, 0))))
         length = each.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-        dots = each.join(vectors, "term").groupBy("unit", "template", "licence").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"))
+        dots = each.join(vectors, "term").groupBy("unit", "template", "licence", "needs").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"), F.sum("must").alias("has")).filter("has = needs")
         cosine = F.round(F.least(F.lit(1.0), F.col("dot") / F.col("length")), 9)
         scored = dots.join(length, "unit").groupBy("unit", "licence").agg(F.max(cosine).alias("cosine"))
         ranked = F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("less"), F.col("licence"))))
@@ -138,8 +182,12 @@ def _may_reach(terms: Column, most: dict[str, float], idf: dict[str, float], oth
     ``most``, and, as templates have length 1 in these terms, at most the root of k. Known terms are sorted once, so that
     repeats stand together: the step from tf to tf + 1 adds 2 tf + 1 squared weights to k.
     """
-    pairs = F.create_map(*(x for t in most for x in (F.lit(t), F.struct(F.lit(most[t]).alias("w"), F.lit(idf[t] ** 2).alias("s")))))
-    known = F.transform(F.sort_array(F.filter(terms, lambda w: w.isin(list(most)))), lambda t: F.struct(t.alias("t"), F.element_at(pairs, t).alias("p")))
+    entry = lambda t: (F.lit(t), F.struct(F.lit(most[t]).alias("w"), F.lit(idf[t] ** 2).alias("s")))
+    first: dict[int, list[str]] = {}
+    for t in most:  # a map is searched from its start, so there is one for each first character
+        first.setdefault(ord(t[0]), []).append(t)
+    pairs = F.array(*(F.create_map(*(x for t in first.get(c, [next(iter(most))]) for x in entry(t))) for c in range(ord("0"), ord("z") + 1)))
+    known = F.transform(F.sort_array(F.filter(terms, lambda w: w.isin(list(most)))), lambda t: F.struct(t.alias("t"), F.element_at(F.get(pairs, F.ascii(t) - ord("0")), t).alias("p")))
     zero = F.struct(F.lit("").alias("t"), F.lit(0).alias("tf"), F.lit(0.0).alias("w"), F.lit(0.0).alias("k"), F.lit(0).alias("n"))
 
     def add(a, x):
@@ -201,6 +249,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     templates = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))
+    names = ", ".join(f"({quoted(name)}, {quoted(w)})" for name, words in NAMES.items() for w in words)
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""
 with files as (
@@ -211,6 +260,7 @@ placed as (
 units as (
   select doc_id, row_number() over () as u, list_filter(string_split_regex({lower.format("unit")}, '[^a-z0-9]+'), lambda w: w <> '') as terms from (
     select doc_id, unnest(string_split(text, chr(10))) as unit from placed
+    union all select doc_id, unnest(string_split_regex(unit, '{MARKS}')) as unit from (select doc_id, unnest(string_split(text, chr(10))) as unit from placed) where regexp_matches(unit, '{MARKS}')
     union all select doc_id, unit from (select doc_id, unnest(string_split_regex(text, '\n[ \t\r]*\n')) as unit from placed) where contains(unit, chr(10))
     union all select doc_id, text from placed where small and len(string_split_regex(text, '\n[ \t\r]*\n')) > 1)),
 tf as (select doc_id, u, term, count(*) as tf from (select doc_id, u, unnest(terms) as term from units) group by all),
@@ -218,9 +268,10 @@ tt as (select t, licence, term, count(*) as tf from (select t, licence, unnest(l
        from (values {templates}) v(t, licence, txt)) group by all),
 n as (select count(*) as n from units),
 idf as (select term, ln((n + 1.0) / (coalesce(df, 0) + 1)) + 1 as idf from (select distinct term from tt) left join (select term, count(*) as df from tf group by term) using (term), n),
-vec as (select t, licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by t)) * idf as w from tt join idf using (term)),
+vec as (select t, tt.licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by t)) * idf as w, count(nw.word) over (partition by t) as needs, nw.word is not null as must
+        from tt join idf using (term) left join (values {names}) nw(name, word) on nw.name = tt.licence and nw.word = term),
 size as (select u, sqrt(sum(pow(tf * coalesce(idf, ln(n + 1.0) + 1), 2))) as len from tf left join idf using (term), n group by u),
-scored as (select doc_id, u, licence, max(round(least(1.0, dot / len), 9)) as cosine from (select doc_id, u, t, licence, sum(tf * w) as dot from tf join vec using (term) group by all) join size using (u) group by all),
+scored as (select doc_id, u, licence, max(round(least(1.0, dot / len), 9)) as cosine from (select doc_id, u, t, licence, needs, sum(tf * w) as dot from tf join vec using (term) group by all having count(*) filter (must) = needs) join size using (u) group by all),
 ranked as (select *, row_number() over (partition by u order by cosine desc, licence) as r, lead(cosine) over (partition by u order by cosine desc, licence) as second from scored),
 own as (select doc_id, first(licence order by cosine desc, licence) as own_licence, max(cosine) as cosine from ranked
         where r = 1 and cosine >= {THRESHOLD} and cosine - coalesce(second, -1) >= {MARGIN} - 1e-9 group by doc_id),

@@ -151,22 +151,25 @@ def test_mixture_rows(spark, monkeypatch):
 def brute_licences(rows, threshold=licences.THRESHOLD, margin=licences.MARGIN):
     terms = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
     vocabulary = {w for _, t in licences.TEMPLATES for w in terms(t)}
-    cut = lambda t: t.split("\n") + [p for p in re.split("\n[ \t\r]*\n", t) if "\n" in p]
+    parts = lambda x: re.split(licences.MARKS, x) if re.search(licences.MARKS, x) else []
+    cut = lambda t: t.split("\n") + [y for x in t.split("\n") for y in parts(x)] + [p for p in re.split("\n[ \t\r]*\n", t) if "\n" in p]
     units = [(d, terms(x)) for d, t in rows if t is not None for x in cut(t)]
     df = Counter(w for _, x in units for w in set(x) if w in vocabulary)
     n = len(units)
     idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1 if w in vocabulary else math.log(n + 1) + 1
     norm = lambda c: math.sqrt(sum((k * idf(w)) ** 2 for w, k in c.items()))
     models = [(name, Counter(terms(t))) for name, t in licences.TEMPLATES]
-    models = [(name, m, norm(m)) for name, m in models]
+    models = [(name, m, norm(m), [w for w in licences.NAMES[name] if w in m]) for name, m in models]
     best = defaultdict(list)
     for d, x in units:
         c, of = Counter(x), {}
-        for name, m, size in models if x else []:
+        for name, m, size, must in models if x else []:
+            if any(w not in c for w in must):
+                continue
             cos = round(min(1.0, sum(c[w] * m[w] * idf(w) ** 2 for w in m) / norm(c) / size), 9)
             of[name] = max(of.get(name, 0), cos)
         order = sorted((-cos, name) for name, cos in of.items())
-        if order and -order[0][0] >= threshold and order[1][0] - order[0][0] >= margin - 1e-9:
+        if order and -order[0][0] >= threshold and (len(order) == 1 or order[1][0] - order[0][0] >= margin - 1e-9):
             best[d].append(order[0])
     return {d: min(v) for d, v in best.items()}
 
@@ -195,7 +198,7 @@ def test_no_unit_within_reach_is_set_aside(spark):
     rng = random.Random(12)
     words = [w for _, t in licences.TEMPLATES for w in t.split()] + ["zeta", "eta"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for i in range(150)] + [(200 + i, t + " zeta" * (i % 4) + " the" * (i % 3)) for i, (_, t) in enumerate(licences.TEMPLATES * 3)]
-    rows += [(500 + i, f"intro {i}\n\n" + "\n".join(" ".join(w) for w in (t.split()[:9], t.split()[9:]))) for i, (_, t) in enumerate(licences.TEMPLATES)]
+    rows += [(5000 + i, f"intro {i}\n\n" + "\n".join(" ".join(w) for w in (t.split()[:9], t.split()[9:]))) for i, (_, t) in enumerate(licences.TEMPLATES)]
     got = {r.doc_id: (round(-r.cosine, 6), r.own_licence) for r in licences.own_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: (round(c, 6), name) for d, (c, name) in brute_licences(rows).items()}
 
@@ -216,6 +219,23 @@ def test_confusable_licences(spark):
         assert got == dict(enumerate(cases))
 
 
+def test_sentences_that_point_to_a_licence(spark):
+    """Tags, pointers, grants behind code, and licences that no template knows."""
+    cases = {
+        "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0",
+        "This project is licensed under the MIT License - see the LICENSE file for details": "MIT", "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.": "Zlib",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "EPL-2.0", "Licensed under the CC0 1.0 Universal": "CC0-1.0",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "BSD-3-Clause", "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007": "AGPL-3.0",
+        "int main() { return run(argc, argv); } // Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "MIT",
+        "Distributed under the Frobnicate Software License, Version 1.0.": None, "SPDX-License-Identifier: WTFPL": None, "Licensed under the Quux License, Version 2.0": None, "See http://example.org/license for our terms": None,
+    }
+    for filler in (5, 200):
+        rows = [(i, t) for i, t in enumerate(cases)] + [(100 + i, f"plain line {i} of some words\nand another # one") for i in range(filler)]
+        got = {r.doc_id: r.own_licence for r in licences.own_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {t: got.get(i) for i, t in enumerate(cases)} == cases and set(got) < set(range(100))
+
+
 def test_licences_of_an_empty_table(spark):
     files = spark.createDataFrame([], "doc_id long, path string, text string, is_licence_file boolean, text_key int, dir string, unit string")
     assert licences.scan(files).count() == 0
