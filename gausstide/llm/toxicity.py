@@ -33,10 +33,19 @@ WINDOW = 40
 QUOTE_DISCOUNT = 0.35
 #: Words that announce someone else's speech.
 ATTRIBUTION = frozenset(["said", "says", "quote", "quoted", "wrote", "called", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"])
-#: A stem has 3 to so many letters; a whole word of any length can be a term.
-LONGEST_STEM = 10
+#: A stem has 3 letters or more (2 in scripts without blanks). All stems of up to so many letters are counted at once,
+#: longer ones only where stems of half their length are frequent: see ``_frequent_terms``.
+FIRST_STEMS = 10
+#: Lengths above this are tried at its doubles only.
+EVERY_STEM = 64
 QUOTES = frozenset('"“”«»„')
-TOKEN = re.compile(r"\w+|[\"“”«»„]")
+#: Thai, Lao, Burmese, Khmer, Kana and Han letters: words do not end at blanks there, so one may begin at any letter.
+_RUN_ON = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF"
+RUN_ON = re.compile(f"[{_RUN_ON}]")
+TOKEN = re.compile(rf"[{_RUN_ON}]+|(?:(?![{_RUN_ON}])[^\W_])+|[\"“”«»„]")
+PLAIN = re.compile(r"[^\W_]+|[\"“”«»„]")
+#: Letters from its first on that a term of such a script may have.
+RUN_ON_REACH = 8
 MEMO = 300_000
 #: States of the automaton after which a worker starts it anew.
 MAX_STATES = 100_000
@@ -160,8 +169,24 @@ class Matcher(dict):
         return found
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """Lower-case words (underscores part them) and quotation marks; of scripts without blanks, what follows each letter."""
+    if not text:
+        return []
+    text = text.lower()
+    if text.isascii() or not RUN_ON.search(text):
+        return PLAIN.findall(text)
+    out: list[str] = []
+    for t in TOKEN.findall(text):
+        if RUN_ON.match(t):
+            out.extend(t[i : i + RUN_ON_REACH] for i in range(len(t)))
+        else:
+            out.append(t)
+    return out
+
+
 def document_matches(matcher: Matcher, text: str | None) -> tuple[list[str], list[tuple[int, tuple[int, int]]]]:
-    tokens = TOKEN.findall(text.lower()) if text else []
+    tokens = tokens_of(text)
     return tokens, [(i, m) for i, m in enumerate(map(matcher.__getitem__, tokens)) if m]
 
 
@@ -187,17 +212,32 @@ def document_features(tokens: list[str], found: list, weights: np.ndarray) -> tu
     return float(window), math.log1p(total[-1]), min(20.0, 100.0 * len(at) / len(tokens)), float(min(len(terms), 10))
 
 
-def _counted(keep: frozenset | None, label: int):
-    """(term, n): documents of a task that hold each word or prefix; ``keep`` limits the terms."""
+def _stem_lengths(word: str, low: int, high: int) -> Iterator[int]:
+    """Lengths of the stems of a word from ``low`` to ``high``."""
+    most = min(len(word) - 1, high)
+    least = 2 if RUN_ON.match(word) else 3
+    yield from range(max(low, least), min(most, EVERY_STEM) + 1)
+    double = 2 * EVERY_STEM
+    while double <= most:
+        if double >= low:
+            yield double
+        double *= 2
+
+
+def _counted(keep: frozenset | None, low: int, high: int, roots: frozenset | None):
+    """(term, n): documents of a task that hold each word (where ``low`` is 1) and each stem of ``low`` to ``high`` letters. ``keep`` limits the terms, ``roots`` the words whose stems are counted: to those with one of these stems."""
+    sizes = sorted({len(r) - 1 for r in roots or ()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column("text"):
                 terms = set()
-                for w in set(TOKEN.findall((text.as_py() or "").lower())):
-                    terms.add(w)
-                    terms.update(w[:k] + "*" for k in range(3, min(len(w) - 1, LONGEST_STEM) + 1))
+                for w in set(tokens_of(text.as_py())):
+                    if low == 1:
+                        terms.add(w)
+                    if roots is None or any(w[:k] + "*" in roots for k in sizes if k < len(w)):
+                        terms.update(w[:k] + "*" for k in _stem_lengths(w, low, high))
                 counts.update(terms & keep if keep is not None else terms)
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
@@ -205,6 +245,19 @@ def _counted(keep: frozenset | None, label: int):
     return run
 
 
+def _frequent_terms(count, least: int) -> dict[str, int]:
+    """Words and stems found in ``least`` toxic documents or more, of any length: a stem is no more frequent than its own beginnings, so longer ones are sought behind frequent ones alone, twice as far each time. ``count(keep, low, high, roots)`` counts documents."""
+    found = {r[0]: r[1] for r in count(None, 1, FIRST_STEMS, None).filter(F.col("n") >= least).collect()}
+    high = FIRST_STEMS
+    while True:
+        tried = [k for k in range(high, 0, -1) if k <= EVERY_STEM or k & (k - 1) == 0]  # the longest length counted so far
+        roots = frozenset(t for t in found if t.endswith("*") and len(t) - 1 == tried[0])
+        if not roots:
+            return found
+        found |= {r[0]: r[1] for r in count(None, high + 1, 2 * high, roots).filter(F.col("n") >= least).collect()}
+        high *= 2
+
+
 def choose_terms(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> list[str]:
     """Terms far likelier in toxic documents, those with most evidence first; of equal evidence whole words, then the longest.
 
@@ -296,9 +349,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = FIT_DOCUMENTS)
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     least = max(3, n_pos // 100)
-    count = lambda label, keep: sample.filter(F.col("toxic") == label).select("text").mapInArrow(_counted(keep, label), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    pos = {r[0]: r[1] for r in count(1, None).filter(F.col("n") >= least).collect()}
-    neg = {r[0]: r[1] for r in count(0, frozenset(pos)).collect()} if pos else {}
+
+    def count(label: int):
+        rows = sample.filter(F.col("toxic") == label).select("text")
+        return lambda *how: rows.mapInArrow(_counted(*how), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+    pos = _frequent_terms(count(1), least)
+    longest = max((len(t) - 1 for t in pos if t.endswith("*")), default=0)
+    neg = {r[0]: r[1] for r in count(0)(frozenset(pos), 1, longest, None).collect()} if pos else {}
     terms = choose_terms(pos, neg, n_pos, n_neg)
     weights = np.zeros((max(1, len(terms)), 3))
     if terms:

@@ -436,6 +436,36 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert toxicity.score(make(spark, []), model).count() == 0
 
 
+def test_tokens_at_underscores_and_without_blanks():
+    assert toxicity.tokens_of('You_IDIOT, "no"') == ["you", "idiot", '"', "no", '"']
+    assert toxicity.tokens_of("ab你是白痴吗") == ["ab", "你是白痴吗", "是白痴吗", "白痴吗", "痴吗", "吗"]
+    assert toxicity.tokens_of("größe été_x") == ["größe", "été", "x"] and toxicity.tokens_of(None) == []
+    matcher = toxicity.Matcher(toxicity.Trie(["idiot*", "白痴*"]))
+    found = lambda t: [m for _, m in toxicity.document_matches(matcher, t)[1]]
+    assert found("you_idiot") == [(0, 0)] and found("你是白痴吗") == [(1, 0)] and found("白 痴") == []
+
+
+def test_stems_of_any_length_are_learned(spark):
+    """A stem longer than any that is counted at first, behind which every word ends otherwise; and one without blanks."""
+    rng = random.Random(4)
+    plain = ["tree", "river", "house", "cloud", "stone", "green", "superimportantanythingelse"]
+    long_stem, ends = "superimportantvilificationhood", ["a", "bb", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr"]
+    rows, labels = [], []
+    for i in range(400):
+        bad, han = i % 8 == 0, i % 8 == 1
+        w = [rng.choice(plain) for _ in range(20)] + ([long_stem + rng.choice(ends)] if bad else ["天地人" + chr(0x4E00 + i) + "白痴" + chr(0x5000 + i)] if han else ["天地人" + chr(0x4E00 + i) + chr(0x5000 + i)])
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad or han)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    terms, _, _ = model = toxicity.fit(docs, marks)
+    assert any(t.endswith("*") and 10 < len(t) - 1 <= len(long_stem) and long_stem.startswith(t[:-1]) for t in terms), terms
+    assert any(t.startswith("白痴") for t in terms), terms
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all((got[i] >= 0.5) == bool(t) for i, _, t in labels)
+
+
 def test_likeness_does_not_depend_on_place_length_or_script(spark):
     """What is kept of a text makes it alike, wherever it stands, whatever its words' length."""
     rng = random.Random(31)
