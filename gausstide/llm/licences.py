@@ -154,8 +154,12 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] | None = Non
         sizes = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.sum("must").alias("needs"))
         vectors = F.broadcast(vectors.join(F.broadcast(sizes), "template").select("template", "licence", "needs", "must", "term", (F.col("w") / F.col("size") * F.col("idf")).alias("w")))
 
-        most = vectors.groupBy("term").agg(F.max("w").alias("w")).collect()  # bounded by the templates
-        reach = _may_reach(F.col("terms"), {r["term"]: r["w"] for r in most}, dict(weight), _idf(n, 0), threshold)
+        cells = vectors.select("template", "term", "w").collect()  # bounded by the templates
+        most: dict[str, float] = {}
+        for r in cells:
+            most[r["term"]] = max(most.get(r["term"], 0.0), r["w"])
+        telling = sorted(set(most) - _common({(r["template"], r["term"]): r["w"] for r in cells}, dict(weight), threshold))
+        reach = F.exists("terms", lambda w: w.isin(telling)) & _may_reach(F.col("terms"), most, dict(weight), _idf(n, 0), threshold)
         found = step(units.filter(reach).select("doc_id", "text_key", F.array_join("terms", " ").alias("unit")), "notices")
         each = found.select("unit").distinct().select("unit", F.explode(F.split("unit", " ")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
         each = each.join(F.broadcast(idf), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(_idf(n, 0))))
@@ -174,6 +178,21 @@ def _idf(n: int, df: int) -> float:
     return math.log((n + 1) / (df + 1)) + 1
 
 
+def _common(weights: dict[tuple[int, str], float], idf: dict[str, float], threshold: float) -> set[str]:
+    """Terms, the most common first, that carry so little of each template that a unit with no other terms of the templates stays below the threshold: within those terms the dot product is at most the template's length there (Cauchy and Schwarz), times the unit's whole length."""
+    of: dict[str, list[tuple[int, float]]] = {}
+    for (template, term), w in weights.items():
+        of.setdefault(term, []).append((template, (w / idf[term]) ** 2))
+    held: dict[int, float] = {}
+    out = set()
+    for term in sorted(of, key=lambda t: (idf[t], t)):
+        if all(held.get(template, 0.0) + x < (threshold - 1e-6) ** 2 for template, x in of[term]):
+            out.add(term)
+            for template, x in of[term]:
+                held[template] = held.get(template, 0.0) + x
+    return out
+
+
 def _may_reach(terms: Column, most: dict[str, float], idf: dict[str, float], other: float, threshold: float) -> Column:
     """False only for units whose cosine to every template is below ``threshold``.
 
