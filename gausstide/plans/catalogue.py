@@ -212,22 +212,22 @@ def tidy_state_roundtrip(spark, sf_dir):
  select origin::int as origin, fit::int as fit_end, (fit + val)::int as val_end, least(fit + val + block, n)::int as test_end from r where fit + val + 2 < n and least(fit + val + block, n) - fit - val >= 2"""
 )
 def rolling_origin_splits(spark, sf_dir):
-    return splits.split_table(spark, splits.rolling_origins(v.STATES))
+    return splits.split_table(spark, splits.rolling_origins(v.state_count(spark, sf_dir).first().n))
 
 
 @query(sql("select origin::int as origin, horizon::int as horizon, source, (source + horizon)::int as target from src", "sp", "src"))
 def test_sources(spark, sf_dir):
-    return splits.test_sources(splits.split_table(spark, v.SPLITS), HORIZONS)
+    return splits.test_sources(v.split_rows(spark, sf_dir), HORIZONS)
 
 
 @query(sql("select origin::int as origin, horizon::int as horizon, source::int as source, (source + horizon)::int as target from (select origin, horizon, unnest(range(greatest(fit_end - horizon, 71), val_end - horizon)) as source from sp, (select unnest([3,4,5]) as horizon))", "sp"))
 def validation_sources(spark, sf_dir):
-    return splits.validation_sources(splits.split_table(spark, v.SPLITS), HORIZONS, 72)
+    return splits.validation_sources(v.split_rows(spark, sf_dir), HORIZONS, 72)
 
 
 @query(sql("select origin::int as origin, horizon::int as horizon, source::int as source, (source + horizon)::int as target from (select origin, horizon, unnest(range(val_end, test_end - horizon)) as source from sp, (select unnest([1,3,6]) as horizon))", "sp"))
 def evaluation_origins(spark, sf_dir):
-    return splits.block_sources(splits.split_table(spark, v.SPLITS), [1, 3, 6])
+    return splits.block_sources(v.split_rows(spark, sf_dir), [1, 3, 6])
 
 
 @query(
@@ -247,7 +247,7 @@ def month_splits(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return splits.paired(v.S2(spark, sf_dir), splits.test_sources(splits.split_table(spark, v.SPLITS), HORIZONS))
+    return splits.paired(v.S2(spark, sf_dir), splits.test_sources(v.split_rows(spark, sf_dir), HORIZONS))
 
 
 _PERSIST = "pe as (select origin, horizon, source, pow(p.mx - q.mx, 2) + pow(p.my - q.my, 2) as mw from src join s2 p on p.t = source join s2 q on q.t = source + horizon)"

@@ -630,17 +630,17 @@ _AT = "timestamp '2024-01-01' + to_hours(({})::int * 4)"
 
 @query(sql(f"select origin::int as origin, fit_end::int as fit_end, val_end::int as val_end, test_end::int as test_end, {_AT.format('fit_end - 1')} as fit_last, {_AT.format('fit_end')} as val_first, {_AT.format('val_end')} as test_first, {_AT.format('test_end - 1')} as test_last from sp", "sp"))
 def split_boundaries(spark, sf_dir):
-    return reporting.split_boundaries(splits.split_table(spark, v.SPLITS), _starts(spark))
+    return reporting.split_boundaries(v.split_rows(spark, sf_dir), _starts(spark))
 
 
 @query(sql(f"select origin::int as origin, horizon::int as horizon, source::int as source, (source + horizon)::int as target, {_AT.format('source')} as source_start, {_AT.format('source + horizon')} as target_start from src", "sp", "src"))
 def source_times(spark, sf_dir):
-    return reporting.source_times(splits.test_sources(splits.split_table(spark, v.SPLITS), HORIZONS), _starts(spark))
+    return reporting.source_times(splits.test_sources(v.split_rows(spark, sf_dir), HORIZONS), _starts(spark))
 
 
 @query("select * from (values ('fit', 0, 104, 105), ('validation', 105, 139, 35), ('test', 140, 174, 35)) x(part, first, last, n)")
 def partition_rows(spark, sf_dir):
-    return reporting.partition_rows(v.STATES, FIT, VAL, spark)
+    return reporting.partition_rows(v.state_count(spark, sf_dir).first().n, FIT, VAL, spark)
 
 
 _PROFILE = ["valid_share", "median", "center", "scale", "raw_scale"]

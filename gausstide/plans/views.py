@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gausstide.operators import grid, states
+from gausstide.operators.splits import split_table
 
 HOURS, DAYS, WINDOW, STEP, STATES = 720, 2405, 24, 4, 175
 SPLITS = [(0, 61, 87, 111), (1, 85, 111, 135), (2, 109, 135, 159), (3, 133, 159, 175)]
@@ -37,19 +38,33 @@ def S2(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
     return states.hopping_states(E2(spark, sf_dir), WINDOW, STEP, HOURS, RIDGE)
 
 
+def state_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n): how many states the events give."""
+    return S2(spark, sf_dir).agg(F.count("*").cast("int").alias("n"))
+
+
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The splits that the states at hand can fill."""
+    return split_table(spark, SPLITS).join(F.broadcast(state_count(spark, sf_dir)), F.col("test_end") <= F.col("n")).drop("n")
+
+
 PANELS = {1: ("click", "view"), 2: ("purchase", "signup")}
 
 
+def _panel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E with the panel of each type."""
+    panel = F.coalesce(*(F.when(F.col("k").isin(*keys), F.lit(p)) for p, keys in PANELS.items()))
+    return E(spark, sf_dir).withColumn("panel", panel).filter("panel is not null")
+
+
 def P(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    """States of two panels of two types each."""
-    e = E(spark, sf_dir)
-    return grid.union_all([states.hopping_states(e.filter(F.col("k").isin(*keys)), WINDOW, STEP, HOURS, RIDGE).withColumn("panel", F.lit(p)) for p, keys in PANELS.items()])
+    """States of two panels of two types each, in one plan."""
+    return states.hopping_states(_panel_grid(spark, sf_dir), WINDOW, STEP, HOURS, RIDGE, by=["panel"])
 
 
 def PX(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
     """(panel, i, x): the raw vectors of the panels."""
-    e = E(spark, sf_dir)
-    return grid.union_all([states.vectors(e.filter(F.col("k").isin(*keys))).withColumn("panel", F.lit(p)) for p, keys in PANELS.items()])
+    return states.vectors(_panel_grid(spark, sf_dir), ["panel"])
 
 
 def S(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
