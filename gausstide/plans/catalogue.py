@@ -555,6 +555,21 @@ def rolling_reference(spark, sf_dir):
     return references.rolling_references(s, ["series"], 24, refresh=10)
 
 
+@query(
+    sql(
+        """select panel::int as panel, t::int as t, round(m, 6) + 0.0::double as ref_mean, round(r*r, 6) + 0.0::double as ref_cov, (t % 10 = 0 or t = 23) as refreshed, false as fallback from (
+ select panel, t, avg(mx) over w as m, avg(sqrt(a)) over w as r from ps window w as (partition by panel order by t rows between 23 preceding and current row)) where t >= 23""",
+        "e",
+        "ps",
+    )
+)
+def rolling_reference_d1(spark, sf_dir):
+    """Rolling references of the first type of each panel: in one dimension a barycenter is the squared mean of roots."""
+    one = v.P(spark, sf_dir).select("panel", "t", F.slice("mean", 1, 1).alias("mean"), F.slice("cov", 1, 1).alias("cov"))
+    out = references.rolling_references(one, ["panel"], 24, refresh=10)
+    return out.select("panel", "t", _r(_at("ref_mean", 0), 6).alias("ref_mean"), _r(_at("ref_cov", 0), 6).alias("ref_cov"), "refreshed", "fallback")
+
+
 # ---- panels and inference
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gausstide.functions import linalg as la
 from gausstide.operators import autoregression as ar
-from gausstide.operators import charts, grid, inference, raw_model, references, reporting, scoring, splits, states
+from gausstide.operators import charts, grid, inference, local_chart, raw_model, references, reporting, scoring, splits, states
 from gausstide.plans import views as v
 from gausstide.plans.views import rounded, sql
 from gausstide.session import checkpointed
@@ -250,6 +250,46 @@ def reference_library_run(spark, sf_dir):
     return scoring.reference_run(s2, splits.split_table(spark, v.SPLITS), HORIZONS, _library(spark, s2), 2)
 
 
+# ---- the local chart where it has a closed form: one dimension (EVAL-7, REF-5, TUN-4)
+
+_LENGTHS, _LOCAL_RIDGES, _LOCAL_HORIZONS = [24, 48], [1e-3, 1e-1, 10.0], [3, 5]
+
+
+def _local_sql() -> str:
+    """In one dimension the reference is (mean of roots) squared, the map a ratio of roots, and the model 2 x 2."""
+    step = lambda n, a, b: f"{n} as (select *, {a}*a00 + {b}*a10 as {n}u, {a}*a01 + {b}*a11 as {n}w from {{}})"
+    chain, before = [], "md"
+    for i in range(1, 6):
+        u, w = ("zu", "zw") if i == 1 else (f"p{i - 1}u", f"p{i - 1}w")
+        chain.append(step(f"p{i}", u, w).format(before))
+        before = f"p{i}"
+    parts = [
+        "s1 as (select t, mx as m, sqrt(a) as r from s2)",
+        "wn as (select source, length, q.t, q.m, q.r, avg(m) over w as rm, avg(r) over w as rr from (select t as source, unnest([24, 48]) as length from s1) k join s1 q on q.t > source - length and q.t <= source where source >= length - 1 window w as (partition by source, length))",
+        "zz as (select source, length, t, rm, rr, m - rm as u, r/rr - 1 as w from wn)",
+        "lg as (select *, lag(u) over (partition by source, length order by t) as bu, lag(w) over (partition by source, length order by t) as bw from zz)",
+        "sm as (select source, length, max(rm) as rm, max(rr) as rr, sum(bu*bu) as suu, sum(bu*bw) as suw, sum(bw*bw) as sww, sum(bu*u) as cuu, sum(bu*w) as cuw, sum(bw*u) as cwu, sum(bw*w) as cww, max(case when t = source then u end) as zu, max(case when t = source then w end) as zw from lg group by all)",
+        "md as (select *, (e*cuu - suw*cwu)/dt as a00, (e*cuw - suw*cww)/dt as a01, (d*cwu - suw*cuu)/dt as a10, (d*cww - suw*cuw)/dt as a11 from (select *, d*e - suw*suw as dt from (select sm.*, ridge, suu + (length - 1)*ridge as d, sww + (length - 1)*ridge as e from sm cross join (select unnest([0.001, 0.1, 10.0]::double[]) as ridge))))",
+        *chain,
+        "fc as (select source, length, ridge, horizon, rm + case horizon when 3 then p3u else p5u end as fm, rr * greatest(1 + case horizon when 3 then p3w else p5w end, 1e-8) as fr from p5 cross join (select unnest([3, 5]) as horizon))",
+        "ls as (select fc.*, source + horizon as target, abs(fm - q.m) as rmse, pow(fm - q.m, 2) + pow(fr - q.r, 2) as w2 from fc join s1 q on q.t = source + horizon)",
+        "tu as (select origin, horizon, length, ridge, avg(rmse) as loss from ls join sp on source >= greatest(fit_end - horizon, 47) and source < val_end - horizon group by all)",
+        "ch as (select * from (select *, row_number() over (partition by origin, horizon order by loss, length, ridge desc) as k from tu) where k = 1)",
+    ]
+    tail = "select ch.origin::int as origin, ch.horizon::int as horizon, target::int as target, ch.length::int as window_length, ch.ridge, round(rmse, 5) + 0.0::double as raw_rmse, round(w2, 5) + 0.0::double as w2 from ch join sp on sp.origin = ch.origin join ls on ls.horizon = ch.horizon and ls.length = ch.length and ls.ridge = ch.ridge and source >= val_end - ch.horizon and source < test_end - ch.horizon"
+    return sql(", ".join(parts) + " " + tail, "e", "s2", "sp").replace("\ns1 as (", ",\ns1 as (", 1)
+
+
+@query(_local_sql())
+def local_chart_d1(spark, sf_dir):
+    """The whole of the local chart for one event type: references, coordinates, models, tuning, and the test targets under the chosen window and ridge."""
+    one = v.S2(spark, sf_dir).select("t", F.slice("mean", 1, 1).alias("mean"), F.slice("cov", 1, 1).alias("cov"))
+    table = splits.split_table(spark, v.SPLITS)
+    scored = local_chart.scored_forecasts(checkpointed(one), table, _LOCAL_HORIZONS, 1, _LENGTHS, _LOCAL_RIDGES)
+    rows = local_chart.local_panel(scored, table, _LOCAL_HORIZONS, max(_LENGTHS))
+    return _digits(rows, ["raw_rmse", "w2"], 5).select("origin", "horizon", "target", "window_length", "ridge", "raw_rmse", "w2")
+
+
 # ---- raw rows, full model for d = 2 (AR-5, AR-6, EVAL-4)
 
 
