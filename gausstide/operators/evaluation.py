@@ -108,6 +108,18 @@ def panel_problems(panel: DataFrame, methods: list[str]) -> DataFrame:
     return out.filter("n > 0")
 
 
+def state_problems(states: DataFrame, d: int) -> DataFrame:
+    """(problem, n): states whose mean or covariance has another size than ``d`` wants, a value that is not finite, or a covariance that is not symmetric (to 1e-10 of its cells, 1e-12 at least) or not positive definite; no rows if all are sound. Each state counts once, under the first that applies."""
+    finite = lambda c: F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    at = F.sequence(F.lit(0), F.lit(d * d - 1))
+    mirror = lambda p: F.get("cov", (p % d) * d + F.floor(p / d).cast("int"))
+    even = F.forall(at, lambda p: F.abs(F.get("cov", p) - mirror(p)) <= F.lit(1e-12) + 1e-10 * F.abs(mirror(p)))
+    sized = F.coalesce((F.size("mean") == d) & (F.size("cov") == d * d), F.lit(False))
+    low = F.when(sized & finite("mean") & finite("cov"), scoring.geometry(d).smallest("cov"))
+    problem = F.when(~sized, "size").when(~(finite("mean") & finite("cov")), "not finite").when(~even, "not symmetric").when(low <= 0, "not definite")
+    return states.select(problem.alias("problem")).filter("problem is not null").groupBy("problem").agg(F.count("*").alias("n"))
+
+
 # ---- tables around the panel
 
 

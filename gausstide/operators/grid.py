@@ -145,3 +145,22 @@ def whole_counts(grid: DataFrame, keys: list[str]) -> DataFrame:
     bad = F.raise_error(F.lit("a count is not whole")).cast("long")
     cast = {k: F.when(F.abs(F.col(f"`{k}`") - F.rint(F.col(f"`{k}`"))) <= 1e-12, F.rint(F.col(f"`{k}`")).cast("long")).otherwise(bad) for k in keys}
     return wide(grid, keys).select("i", *(c.alias(k) for k, c in cast.items()))
+
+
+def standardised_stream(grid: DataFrame, fit_end: int, metric: str, label: str, kind: str = "count") -> tuple[DataFrame, DataFrame]:
+    """(grid, profile): keys that vary, gaps filled by interpolation, then values standardised by the steps before ``fit_end``; the profile (k, metric, label, kind, center, scale, fit_raw_end) tells how to go back."""
+    clean = checkpointed(interpolated(varying_keys(grid)))
+    profile = fit_profile(clean, fit_end)
+    described = profile.select("k", F.lit(metric).alias("metric"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), "center", "scale", F.lit(fit_end).alias("fit_raw_end"))
+    return standardised(clean, profile), described
+
+
+def destandardised_states(states: DataFrame, profile: DataFrame) -> DataFrame:
+    """``states`` (mean, cov, ...) of standardised values in the units of the data: mean times scale plus center, D cov D with D the scales. ``profile``: (k, center, scale), a row per coordinate in the order of k."""
+    row = profile.agg(F.array_sort(F.collect_list(F.struct("k", "center", "scale"))).alias("_p"))  # as many as coordinates
+    both = states.crossJoin(F.broadcast(row))
+    d = F.size("_p")
+    scale = lambda i: F.get("_p", i)["scale"]
+    mean = F.transform("mean", lambda v, i: v * scale(i) + F.get("_p", i)["center"])
+    cov = F.transform("cov", lambda v, p: v * scale(F.floor(p / d).cast("int")) * scale(p % d))
+    return both.withColumns({"mean": mean, "cov": cov}).drop("_p")

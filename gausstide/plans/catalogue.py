@@ -570,6 +570,38 @@ def rolling_reference_d1(spark, sf_dir):
     return out.select("panel", "t", _r(_at("ref_mean", 0), 6).alias("ref_mean"), _r(_at("ref_cov", 0), 6).alias("ref_cov"), "refreshed", "fallback")
 
 
+# ---- streams with their profile, and back (WIN-2, PRJ-9); sound states (LOSS-6, VAL-2)
+
+
+@query(sql("select k, 'count' as kind, 'rmse' as metric, 'events' as label, round(avg(c), 8) + 0.0::double as center, round(case when stddev_pop(c) >= 1e-8 then stddev_pop(c) else 1 end, 8) + 0.0::double as scale, 264 as fit_raw_end from e where i < 264 group by k", "e"))
+def stream_profile(spark, sf_dir):
+    _, profile = grid.standardised_stream(v.E(spark, sf_dir), 264, "rmse", "events")
+    return profile.select("k", "kind", "metric", "label", _r("center").alias("center"), _r("scale").alias("scale"), "fit_raw_end")
+
+
+@query(
+    sql(
+        """pf as (select max(case when k = 'click' then m end) as mx0, max(case when k = 'click' then s end) as sx, max(case when k = 'view' then m end) as my0, max(case when k = 'view' then s end) as sy from (select k, avg(c) as m, stddev_pop(c) as s from e where i < 264 group by k))
+select t::int as t, round(mx, 6) + 0.0::double as m0, round(my, 6) + 0.0::double as m1, round((a - 1e-5) + 1e-5*sx*sx, 6) + 0.0::double as a, round(b, 6) + 0.0::double as b, round((d - 1e-5) + 1e-5*sy*sy, 6) + 0.0::double as d from s2, pf""",
+        "e",
+        "s2",
+    ).replace("\npf as (", ",\npf as (", 1)
+)
+def destandardised_states(spark, sf_dir):
+    """States of the standardised stream in the units of the counts."""
+    stream, profile = grid.standardised_stream(v.E2(spark, sf_dir), 264, "rmse", "events")
+    out = grid.destandardised_states(states.hopping_states(stream, v.WINDOW, v.STEP, v.HOURS, v.RIDGE), profile)
+    return out.select("t", _r(_at("mean", 0), 6).alias("m0"), _r(_at("mean", 1), 6).alias("m1"), _r(_at("cov", 0), 6).alias("a"), _r(_at("cov", 1), 6).alias("b"), _r(_at("cov", 3), 6).alias("d"))
+
+
+@query(sql("select problem, count(*)::bigint as n from (select case when t % 10 = 3 then 'not symmetric' when t % 10 = 7 then 'not definite' when t % 10 = 8 then 'size' when t % 10 = 9 then 'not finite' end as problem from s2) where problem is not null group by problem", "e", "s2"))
+def state_problems(spark, sf_dir):
+    """States of which some are spoilt: a cell changed on one side, a covariance larger than its variances allow, a missing cell, a NaN."""
+    c = lambda i: _at("cov", i)
+    spoilt = F.when(F.col("t") % 10 == 3, F.array(c(0), c(1) + 0.5, c(1), c(3))).when(F.col("t") % 10 == 7, F.array(c(0), F.sqrt(c(0) * c(3)) * 2, F.sqrt(c(0) * c(3)) * 2, c(3))).when(F.col("t") % 10 == 8, F.slice("cov", 1, 3)).when(F.col("t") % 10 == 9, F.array(F.lit(float("nan")), c(1), c(2), c(3))).otherwise(F.col("cov"))
+    return evaluation.state_problems(v.S2(spark, sf_dir).withColumn("cov", spoilt), 2)
+
+
 # ---- panels and inference
 
 

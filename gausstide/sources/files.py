@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from gausstide.operators.grid import numbered
-from gausstide.operators.states import tidy
+from gausstide.operators.states import from_tidy, tidy
 
 TIMES, STATIONS = "started_at", ("start_station_id", "start_station_name")
 CHUNK = 200_000
@@ -132,16 +132,29 @@ def write_results(df: DataFrame, path: str, compression: str = "none") -> None:
     df.write.mode("errorifexists").option("header", True).option("compression", compression).csv(path)
 
 
-def write_states(states: DataFrame, path: str) -> None:
-    means, cells = tidy(states)
+#: What the diagnostics of the local chart hold, of the columns that are there.
+DIAGNOSTICS = ["origin", "horizon", "source_index", "target_index", "window_length", "ridge", "min_pred_eig", "reference_residual", "reference_refreshed", "reference_fallback", "error"]
+
+
+def write_panel_outputs(folder: str, panel: DataFrame, tuning: DataFrame, inference: DataFrame, settings: DataFrame) -> None:
+    """CSV tables of an evaluation: losses, tuning, inference, settings, and the local chart's diagnostics."""
+    diagnostics = panel.filter("method = 'transport_local'").select(*(c for c in DIAGNOSTICS if c in panel.columns))
+    for name, table in {"losses": panel, "tuning": tuning, "inference": inference, "settings": settings, "diagnostics": diagnostics}.items():
+        write_results(table, f"{folder}/{name}")
+
+
+def write_states(states: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Long means and covariances; ``by`` names columns of a series, such as a panel. Doubles are written so that they read back the same."""
+    means, cells = tidy(states, by)
     write_results(means, f"{path}/means")
     write_results(cells, f"{path}/covariances")
 
 
-def read_states(spark: SparkSession, path: str) -> DataFrame:
-    from gausstide.operators.states import from_tidy
-
-    return from_tidy(read_results(spark, f"{path}/means", "t int, i int, value double"), read_results(spark, f"{path}/covariances", "t int, i int, j int, value double"))
+def read_states(spark: SparkSession, path: str, by: str = "") -> DataFrame:
+    """(by, t, mean, cov); ``by`` as a schema, such as "panel int"."""
+    keys = f"{by}, " if by else ""
+    names = [c.split()[0] for c in by.split(",")] if by else []
+    return from_tidy(read_results(spark, f"{path}/means", f"{keys}t int, i int, value double"), read_results(spark, f"{path}/covariances", f"{keys}t int, i int, j int, value double"), names)
 
 
 def row_manifest(tables: dict[str, DataFrame]) -> DataFrame:

@@ -140,3 +140,40 @@ def test_likelihood_lifts_what_is_not_definite():
     one = lambda a: np.asarray(a, float)[None]
     got = la.gaussian_nll(one([0, 0]), one([[1, 0], [0, 0]]), one([0, 0]), one([[1, 0], [0, 0]]))
     assert np.isfinite(got).all()
+
+
+def test_panel_outputs_and_states_by_panel(spark, tmp_path):
+    panel = spark.createDataFrame([(0, 3, "transport_local", 1.5, 0.1), (0, 3, "persistence", 2.5, None)], "origin int, horizon int, method string, w2 double, reference_residual double")
+    small = spark.createDataFrame([(1, "x")], "a int, b string")
+    files.write_panel_outputs(str(tmp_path / "out"), panel, small, small, small)
+    assert spark.read.csv(str(tmp_path / "out/losses"), header=True).count() == 2
+    diagnostics = spark.read.csv(str(tmp_path / "out/diagnostics"), header=True)
+    assert diagnostics.columns == ["origin", "horizon", "reference_residual"] and diagnostics.count() == 1
+    states = spark.createDataFrame([(p, t, [0.1 * p, 1 / 3], [1.0, 2e-17 * t, 2e-17 * t, 1e300]) for p in (1, 2) for t in range(3)], "panel int, t int, mean array<double>, cov array<double>")
+    files.write_states(states, str(tmp_path / "states"), ["panel"])
+    back = files.read_states(spark, str(tmp_path / "states"), "panel int")
+    assert sorted(map(tuple, back.select("panel", "t", "mean", "cov").collect())) == sorted(map(tuple, states.collect()))
+
+
+def test_streams_and_states_in_units_of_the_data(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3)) * [1.0, 5.0, 0.0] + [10.0, -3.0, 2.0]
+    rows = [(i, "abc"[k], None if (i, k) == (20, 1) else float(x[i, k])) for i in range(60) for k in range(3)]
+    stream, profile = grid.standardised_stream(spark.createDataFrame(rows, "i int, k string, c double"), 40, "rmse", "things")
+    got = {r.k: r for r in profile.collect()}
+    assert set(got) == {"a", "b"} and got["a"].fit_raw_end == 40 and np.isclose(got["a"].center, x[:40, 0].mean()) and np.isclose(got["a"].scale, x[:40, 0].std())
+    from gausstide.operators import states
+
+    made = grid.destandardised_states(states.hopping_states(stream, 12, 6, 60, 0.0), profile).orderBy("t").collect()
+    x[20, 1] = (x[19, 1] + x[21, 1]) / 2
+    for r in made:
+        w = x[r.t * 6 : r.t * 6 + 12, :2]
+        assert np.allclose(r.mean, w.mean(0)) and np.allclose(np.reshape(r["cov"], (2, 2)), np.cov(w.T))
+
+
+def test_state_problems(spark):
+    good = [1.0, 0.5, 0.5, 2.0]
+    rows = [([0.0, 0.0], good), ([0.0], good), ([0.0, None], good), ([0.0, 0.0], None), ([0.0, float("inf")], good), ([0.0, 0.0], [1.0, 0.5, 0.4, 2.0]), ([0.0, 0.0], [1.0, 2.0, 2.0, 1.0]), ([0.0, 0.0], [float("nan")] * 4)]
+    got = {r.problem: r.n for r in evaluation.state_problems(spark.createDataFrame(rows, "mean array<double>, cov array<double>"), 2).collect()}
+    assert got == {"size": 2, "not finite": 3, "not symmetric": 1, "not definite": 1}
+    assert evaluation.state_problems(spark.createDataFrame(rows[:1], "mean array<double>, cov array<double>"), 2).count() == 0
