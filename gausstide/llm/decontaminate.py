@@ -1,125 +1,142 @@
 """Operator 2: benchmark decontamination over a positional inverted index.
 
-Benchmark texts are cut into windows of consecutive words. One scan of all texts stores the index: for each document,
-which benchmark term stands at each position. Document frequencies follow from it, and give every window its terms in
-order, rarest first. The lists of the rarest terms are taken out as postings (term, document, position, and the part of
-the document's lists that a window can reach from there) and each joins the windows of its term once; there the lists of
-the window's further terms, in order of rarity, are intersected with it at their adjusted offsets, until one fails.
-Everything is DataFrame expressions. Windows are taken in blocks, so neither the word sets in the plan nor the broadcast
-windows grow with the benchmark.
+Benchmark texts are cut into windows of consecutive words. One scan of all texts, however many windows there are, stores
+the index: a posting (term, document, position) for each occurrence of a benchmark term, sorted by term within each part
+so that the lists of few terms are read from few row groups. The lengths of the lists put the terms of every window in
+order, rarest first. The rarest term's list gives the candidates (document, window, start); the lists of the second and
+the third term are intersected with them one after the other at their adjusted offsets, and the lists of all further terms
+together. Postings and candidates are flat rows that meet on (document, term, position), so no group gathers more than
+one occurrence of a window, and a term in every document is spread over the documents. With a slop the lists are met
+within so many positions, in cells of 2 slop + 1 of them, which gives phrase and proximity matches in one pass.
+Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from gausstide.llm.common import ascii_words, broadcast_if_small, free, scratch, stage, table, text_key
+from gausstide.llm.common import ascii_words, broadcast_if_small, free, same, scratch, stage, table, text_key
 
 WINDOW_WORDS = 10
-#: The windows of one block; each block is one scan of the documents.
-BLOCK_WINDOWS = 20_000
+#: The words that may stand between those of a window in the query's proximity matches.
+NEAR_SLOP = 3
+#: Words from this length on are indexed by their SHA-256 in hex, so that no posting is long.
+LONG_WORD = 64
+DOC = ["doc_id", "text_key"]
 
 
-def windows_of(items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """(window, item_id): each run of ``size`` words of an item, or all words of a shorter item. Items without words or without an id have none."""
+def windows_of(items: DataFrame, size: int | None = WINDOW_WORDS) -> DataFrame:
+    """(window, item_id): each run of ``size`` words of an item, or all words of a shorter item or where ``size`` is None. Items without words or without an id have none."""
     words = items.filter("item_id is not null").select("item_id", ascii_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    if size is None:
+        return words.select("item_id", F.col("words").alias("window"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
     return words.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, F.lit(size)))).alias("window"))
 
 
-def _anchored(windows: DataFrame, index: DataFrame) -> DataFrame:
-    """Per anchor term: the windows it is the rarest term of, each with its offset and its terms, rarest first. Windows with a term that no document has are gone."""
-    df = index.select(F.explode(F.array_distinct("terms")).alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("df"))
-    terms = windows.select("window", "item_ids", F.posexplode("window").alias("offset", "word")).join(df, "word", "left")
-    by_rarity = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "offset")))
-    ranked = terms.groupBy("window").agg(by_rarity.alias("terms"), F.first("item_ids").alias("item_ids")).filter(F.col("terms")[0]["df"] > 0)
-    entry = F.struct(F.size("window").alias("length"), F.col("terms")[0]["offset"].alias("offset"), F.transform("terms", lambda t: F.struct(t["offset"].alias("offset"), t["word"].alias("word"))).alias("terms"), "window", "item_ids")
-    return ranked.groupBy(F.col("terms")[0]["word"].alias("term")).agg(F.collect_list(entry).alias("windows"))
-
-
-def _postings(anchors: list[str], before: int, after: int) -> Column:
-    """The positions (from 1) of anchor terms, each with the terms around it and the position of the first of these."""
-    at = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda i: F.element_at("terms", i).isin(anchors))
-    first = lambda i: F.greatest(i - before, F.lit(1))
-    entry = lambda i: F.struct(F.element_at("terms", i).alias("term"), i.alias("pos"), first(i).alias("first"), F.slice("terms", first(i), i + after + 1 - first(i)).alias("around"))
-    return F.when(F.size("terms") > 0, F.transform(at, entry))
-
-
-def _blocks(windows: DataFrame, step):
-    """Blocks of distinct windows with their item ids, each a staged table with its vocabulary (bounded by the block)."""
-    windows = step(windows, "windows")
-    n = max(1, -(-windows.count() // BLOCK_WINDOWS))
-    for b in range(n):
-        part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(n)) == b) if n > 1 else windows
-        part = step(part.groupBy("window").agg(F.collect_set("item_id").alias("item_ids")), "window-block")
-        vocabulary = [r[0] for r in part.select(F.explode("window").alias("w")).distinct().collect()]
-        if vocabulary:
-            yield part, vocabulary
-
-
-def positional_index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, text_key, n_words, terms): for each position the term of the vocabulary that stands there, else null."""
-    words = docs.select("doc_id", text_key().alias("text_key"), ascii_words(F.col("text")).alias("words"))
-    return words.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.transform("words", lambda w: F.when(w.isin(vocabulary), w)).alias("terms"))
-
-
-def _anchor_lists(windows: DataFrame, index: DataFrame, step, slack: int = 0) -> DataFrame:
-    """(doc_id, text_key, term, pos, first, around, windows): the postings of the anchor terms with the windows of each."""
-    anchors = step(_anchored(windows, index), "anchors")
-    terms = [r[0] for r in anchors.select("term").collect()]
-    reach = (windows.agg(F.max(F.size("window"))).first()[0] or 1) - 1 + slack
-    posted = index.select("doc_id", "text_key", F.explode(_postings(terms, reach, reach)).alias("p")).select("doc_id", "text_key", "p.*")
-    return posted.join(broadcast_if_small(anchors), "term")
-
-
-NO_HITS = "array<struct<start:int,length:int,item_ids:array<string>>>"
-
-
-def _phrase_hits(docs: DataFrame, items: DataFrame, size: int, step) -> tuple[DataFrame, DataFrame]:
-    sizes, found = None, None
-    for windows, vocabulary in _blocks(windows_of(items, size), step):
-        index = step(positional_index(docs, vocabulary), "positional-index")
-        sizes = sizes or index.select("doc_id", "text_key", "n_words")
-        both = _anchor_lists(windows, index, step)
-        start = lambda w: F.col("pos") - w["offset"]
-        stands = lambda w: (start(w) >= F.col("first")) & F.forall(w["terms"], lambda t: F.coalesce(F.get("around", start(w) - F.col("first") + t["offset"]) == t["word"], F.lit(False)))
-        hits = F.transform(F.filter("windows", stands), lambda w: F.struct(start(w).alias("start"), w["length"].alias("length"), w["item_ids"].alias("item_ids")))
-        hits = step(both.select("doc_id", "text_key", hits.alias("hits")).filter(F.size("hits") > 0), "hits")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        sizes = docs.select("doc_id", text_key().alias("text_key"), F.size(ascii_words(F.col("text"))).cast("long").alias("n_words"))
-        return sizes, sizes.limit(0).select("doc_id", "text_key", F.lit(None).cast(NO_HITS).alias("hits"))
-    return sizes, found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-
-
-def phrase_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, n_words) of all documents, and (doc_id, text_key, hits) of those with hits.
-
-    hits: array of (start, length, item_ids), start from 1: every exact occurrence of a window. Null texts and texts
+def _term(word: Column) -> Column:
+    return F.when(F.length(word) >= LONG_WORD, F.sha2(word, 256)).otherwise(word)
+
+
+def positional_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, doc_id, text_key, pos): the postings of the terms of ``vocabulary`` (term, a staged table), positions from 0."""
+    words = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(ascii_words(F.col("text"))).alias("pos", "word"))
+    return words.select(_term(F.col("word")).alias("term"), *DOC, "pos").join(broadcast_if_small(vocabulary), "term").sortWithinPartitions("term")
+
+
+def _ranked(windows: DataFrame, index: DataFrame, step) -> DataFrame:
+    """(w, length, offset, term, rank): the places of each window, from the shortest list on. A window with a term that no document has is gone."""
+    places = windows.select("w", F.size("window").alias("length"), F.posexplode("window").alias("offset", "word")).withColumn("term", _term(F.col("word"))).drop("word")
+    sizes = step(index.groupBy("term").agg(F.count("*").alias("postings")), "list-lengths")
+    sized = places.join(broadcast_if_small(sizes), "term", "left")
+    of_window = W.partitionBy("w")
+    rank = F.row_number().over(of_window.orderBy("postings", "term", "offset"))
+    return sized.withColumns({"rank": rank, "known": F.count("postings").over(of_window)}).filter("known = length").select("w", "length", "offset", "term", "rank")
+
+
+def _met(wanted: DataFrame, index: DataFrame, slop: int, how: str) -> DataFrame:
+    """``wanted`` (doc_id, text_key, term, at, ...) joined with the postings of its term in its document within ``slop`` positions of ``at``."""
+    width = 2 * slop + 1
+    cell = lambda at: F.floor(at / width).cast("int")
+    cells = F.explode(F.sequence(cell(F.col("at") - slop), cell(F.col("at") + slop)))
+    left = wanted.withColumn("cell", cells) if slop else wanted.withColumn("cell", F.col("at"))
+    right = index.withColumn("cell", cell(F.col("pos")) if slop else F.col("pos"))
+    on = same(left, right, DOC) & (left["term"] == right["term"]) & (left["cell"] == right["cell"]) & (F.abs(right["pos"] - left["at"]) <= slop)
+    out = left.join(right, on, how)
+    return out.select(*(left[c] for c in wanted.columns), *([] if how == "left_semi" else [right["pos"]]))
+
+
+def _matches(docs: DataFrame, items: DataFrame, size: int | None, slop: int, step) -> tuple[DataFrame, DataFrame]:
+    """windows (w, window, item_ids), and matches (doc_id, text_key, w, length, start, exact, ends): per document and candidate place of a window whether it stands there word for word, and the spans (s, e) that hold its words in order with ``slop`` others at most. Positions from 0."""
+    windows = windows_of(items, size).groupBy("window").agg(F.collect_set("item_id").alias("item_ids"))
+    windows = step(windows.withColumn("w", F.monotonically_increasing_id()), "windows")
+    vocabulary = step(windows.select(F.explode("window").alias("word")).select(_term(F.col("word")).alias("term")).distinct(), "vocabulary")
+    index = step(positional_index(docs.select("doc_id", "text"), vocabulary), "positional-index")
+    ranked = step(_ranked(windows, index, step), "ranked-places")
+
+    of_rank = lambda r: broadcast_if_small(step(ranked.filter(F.col("rank") == r), f"rank-{r}"))
+    start = F.col("pos") - F.col("offset")
+    found = index.join(of_rank(1), "term").select(*DOC, "w", "length", F.col("offset").alias("anchor"), start.alias("start")).filter("start >= 0").distinct()
+    key = [*DOC, "w", "length", "anchor", "start"]
+    for r in (2, 3):
+        found = step(found, f"candidates-{r - 1}")
+        terms = of_rank(r).select("w", "term", "offset")
+        wanted = found.filter(F.col("length") >= r).join(terms, "w").select(*key, "term", (F.col("start") + F.col("offset")).alias("at"))
+        found = found.filter(F.col("length") < r).unionByName(_met(wanted, index, slop, "left_semi").select(*key).distinct())
+    found = step(found, "candidates-3")
+
+    others = ranked.filter("rank > 1").select("w", "term", "offset")
+    wanted = found.join(broadcast_if_small(others), "w").select(*key, "offset", "term", (F.col("start") + F.col("offset")).alias("at"))
+    places = _met(wanted, index, slop, "inner").select(*key, F.struct("offset", "pos").alias("place"))
+    own = found.select(*key, F.struct(F.col("anchor").alias("offset"), (F.col("start") + F.col("anchor")).alias("pos")).alias("place"))
+    held = places.unionByName(own).groupBy(*key).agg(F.collect_set("place").alias("places"))
+    held = held.filter(F.size(F.array_distinct(F.col("places")["offset"])) == F.col("length"))
+    exact = F.size(F.filter("places", lambda p: p["pos"] == F.col("start") + p["offset"])) == F.col("length")
+    after = lambda e, i: F.array_min(F.filter("places", lambda p: (p["offset"] == i) & (p["pos"] > e))["pos"])
+    rest = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: i > 0)
+    heads = F.filter("places", lambda p: p["offset"] == 0)["pos"]
+    spans = F.transform(heads, lambda s: F.named_struct(F.lit("s"), s, F.lit("e"), F.aggregate(rest, s, after)))
+    ends = F.filter(spans, lambda x: F.coalesce(x["e"] - x["s"] < F.col("length") + slop, F.lit(False)))
+    return windows, step(held.select(*DOC, "w", "length", "start", exact.alias("exact"), ends.alias("ends")).filter(F.col("exact") | (F.size("ends") > 0)), "matches")
+
+
+def phrase_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, slop: int = 0) -> DataFrame:
+    """(doc_id, text_key, hits, near_ids) of the documents with a match.
+
+    hits: array of (start, length, item_ids), start from 1: every exact occurrence of a window. near_ids: the items (sorted
+    strings) with a window whose words stand in order with ``slop`` others between them at most. Null texts and texts
     without words have no hits; rows that repeat a document have the same hits; an empty benchmark gives no hits. Items of
-    any length: a posting carries as many terms as two windows, not as an item. Further columns play no part.
+    any length. Further columns play no part.
     """
     with scratch(docs.sparkSession, "decontamination") as step:
-        sizes, hits = _phrase_hits(docs, items, size, step)
-        return stage(sizes, "document-sizes"), stage(hits, "phrase-hits")
+        windows, matches = _matches(docs, items, size, slop, step)
+        both = matches.join(windows.select("w", "item_ids"), "w")
+        hit = F.when(F.col("exact"), F.struct((F.col("start") + 1).alias("start"), "length", "item_ids"))
+        out = both.groupBy(*DOC).agg(F.collect_list(hit).alias("hits"), F.flatten(F.collect_set("item_ids")).alias("near_ids"))
+        return stage(out.withColumn("near_ids", _strings(F.col("near_ids"))), "phrase-hits")
+
+
+def _strings(ids: Column) -> Column:
+    return F.array_sort(F.transform(F.array_distinct(ids), lambda i: i.cast("string")))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """Per document: doc_id, text_key, n_words, n_hit (words inside any occurrence), item_ids (sorted strings), contaminated. For odd cases see ``phrase_hits``."""
-    sizes, hits = phrase_hits(docs, items, size)
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, slop: int = 0) -> DataFrame:
+    """Per document: doc_id, text_key, n_words, n_hit (words inside any occurrence), item_ids (sorted strings), near_ids (those with proximity matches within ``slop``, item_ids among them), contaminated. For odd cases see ``phrase_hits``."""
+    hits = phrase_hits(docs, items, size, slop)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
-    ids = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["item_ids"]))), lambda i: i.cast("string")))
-    hits = hits.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.size(covered).cast("long").alias("n_hit"), ids.alias("item_ids"))
-    both = sizes.join(hits, sizes["doc_id"].eqNullSafe(hits["_d"]) & (sizes["text_key"] == hits["_k"]), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return both.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n_hit > 0).alias("contaminated"))
+    ids = _strings(F.flatten(F.transform("hits", lambda h: h["item_ids"])))
+    hits = broadcast_if_small(stage(hits.select(*DOC, F.size(covered).cast("long").alias("n_hit"), ids.alias("item_ids"), "near_ids"), "hit-documents"))
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.size(ascii_words(F.col("text"))).cast("long").alias("n_words"))
+    n_hit, none = F.coalesce("n_hit", F.lit(0).cast("long")), F.array().cast("array<string>")
+    both = rows.join(hits, same(rows, hits, DOC), "left")
+    return both.select(rows["doc_id"], rows["text_key"], "n_words", n_hit.alias("n_hit"), *(F.coalesce(c, none).alias(c) for c in ("item_ids", "near_ids")), (n_hit > 0).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """``docs`` without the contaminated rows, all columns kept, whatever their names."""
-    found = stage(contamination(docs.select("doc_id", "text"), items, size).filter("contaminated").select("doc_id", "text_key").distinct(), "contaminated")
-    found = broadcast_if_small(found)
+    found = broadcast_if_small(stage(phrase_hits(docs.select("doc_id", "text"), items, size).filter(F.size("hits") > 0).select(*DOC), "contaminated"))
     (key,) = free(docs.columns, "text_key")
     keyed = docs.withColumn(key, text_key())
     return keyed.join(found, keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed[key] == found["text_key"]), "left_anti").drop(key)
@@ -129,39 +146,23 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame
     """(doc_id, text_key, item_id, start, end): where all words of an item stand in order, with ``slop`` words at most between them in all.
 
     Of the spans that begin at one position the shortest is given. slop 0 is exact phrase search. Items are whole
-    queries here (no windows), so a posting carries as many terms as twice the longest item; positions count from 1.
+    queries here (no windows); positions count from 1.
     """
-    words = items.filter("item_id is not null").select("item_id", ascii_words(F.col("text")).alias("window")).filter(F.size("window") > 0)
-    found = None
     with scratch(docs.sparkSession, "proximity") as step:
-        for windows, vocabulary in _blocks(words, step):
-            index = step(positional_index(docs, vocabulary), "positional-index")
-            each = _anchor_lists(windows, index, step, slack=slop).select("*", F.explode("windows").alias("w"))
-
-            def end_from(s):
-                after = lambda e, word: F.array_position(F.slice("around", e + 1, F.size("around")), word)
-                step = lambda e, word: F.when(after(e, word) > 0, e + after(e, word).cast("int"))
-                return F.aggregate(F.slice("w.window", 2, F.size("w.window")), s, step)
-
-            heads = F.filter(F.sequence(F.lit(1), F.size("around")), lambda i: F.element_at("around", i) == F.element_at("w.window", 1))
-            spans = F.filter(F.transform(heads, lambda s: F.named_struct(F.lit("s"), s, F.lit("e"), end_from(s))), lambda x: x["e"].isNotNull() & (x["e"] - x["s"] + 1 <= F.size("w.window") + slop))
-            out = each.select("doc_id", "text_key", "first", F.explode("w.item_ids").alias("item_id"), spans.alias("spans"))
-            out = out.select("doc_id", "text_key", "item_id", "first", F.explode("spans").alias("x"))
-            out = step(out.select("doc_id", "text_key", "item_id", (F.col("first") + F.col("x.s") - 1).alias("start"), (F.col("first") + F.col("x.e") - 1).alias("end")).distinct(), "spans")
-            found = out if found is None else found.unionByName(out)
-        if found is not None:
-            return stage(found, "proximity-matches")
-    return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+        windows, matches = _matches(docs, items, None, slop, step)
+        spans = matches.select(*DOC, "w", F.explode("ends").alias("x")).groupBy(*DOC, "w", (F.col("x.s") + 1).alias("start")).agg((F.min("x.e") + 1).alias("end"))
+        return stage(spans.join(windows, "w").select(*DOC, F.explode("item_ids").alias("item_id"), "start", "end"), "proximity-matches")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+    out = contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), slop=NEAR_SLOP)
+    n = lambda c: F.size(c).cast("long")
+    return out.select("doc_id", "n_words", "n_hit", n("item_ids").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated", n("near_ids").alias("n_near"))
 
 
 SQL = r"""
-with cut as (
+with recursive cut as (
   select 'd' as t, doc_id as id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents
   union all select 'i', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
 words as (select t, id, list_filter(string_split_regex(x, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from cut),
@@ -172,8 +173,16 @@ grams as (select id as doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') as g
 hit as (select distinct doc_id, s, n, item_id from grams join win using (n, g)),
 covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from hit) group by doc_id),
 items as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
-          from (select distinct doc_id, item_id from hit) group by doc_id)
+          from (select distinct doc_id, item_id from hit) group by doc_id),
+pat as (select distinct n, string_split(g, ' ') as p from win),
+-- words of a window met in order, each the next one after the last, at most n + 3 words in all
+walk as (select id as doc_id, p, n, s, s as e, 1 as k from (select id, unnest(range(1, len(w) + 1)) as s, w from words where t = 'd') join pat on p[1] = w[s]
+         union all
+         select doc_id, p, n, s, e + j, k + 1
+         from (select walk.*, list_position(w[e + 1:least(s + n + 2, len(w))], p[k + 1]) as j from walk join words on t = 'd' and id = doc_id where k < n) where j > 0),
+near as (select doc_id, count(distinct item_id) as n_near from (select distinct doc_id, p, n from walk where k = n) join win on g = array_to_string(p, ' ') group by doc_id)
 select id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from words left join covered on id = covered.doc_id left join items on id = items.doc_id where t = 'd'
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+       coalesce(n_near, 0)::bigint as n_near
+from words left join covered on id = covered.doc_id left join items on id = items.doc_id left join near on id = near.doc_id where t = 'd'
 """

@@ -97,6 +97,40 @@ def test_contamination_against_brute_force(spark):
     assert got == want
 
 
+def test_near_items_against_brute_force(spark):
+    """Windows whose words stand in order with three others at most; words of 64 letters and more are indexed by digest."""
+    rng = random.Random(8)
+    vocab = ["w%d" % i for i in range(9)] + ["v" * 64, "v" * 70]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 3, 6, 11])))) for i in range(14)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(60)))) for i in range(40)]
+    for i, (_, t) in enumerate(items):
+        w = t.split()
+        at = rng.randrange(len(w))
+        rows.append((100 + i, " ".join(w[:at] + ["q"] * rng.randrange(5) + w[at:])))
+    rows += [(7, rows[3][1]), (3, rows[3][1]), (None, items[3][1])]
+
+    def near(w, g):
+        for s in (s for s, x in enumerate(w) if x == g[0]):
+            e = s
+            for x in g[1:]:
+                e = next((j for j in range(e + 1, len(w)) if w[j] == x), None)
+                if e is None:
+                    break
+            if e is not None and e - s + 1 <= len(g) + 3:
+                return True
+        return False
+
+    out = decontaminate.contamination(make(spark, rows), spark.createDataFrame(items, "item_id long, text string"), slop=3).collect()
+    got = sorted((str(r.doc_id), r.n_words, tuple(r.near_ids)) for r in out)
+    want = []
+    for d, t in rows:
+        w = words_of(t)
+        ids = {str(i) for i, it in items for g in [words_of(it)] if any(near(w, g[s : s + 10]) for s in range(max(1, len(g) - 9)))}
+        want.append((str(d), len(w), tuple(sorted(ids))))
+    assert got == sorted(want)
+    assert all(set(r.item_ids) <= set(r.near_ids) for r in out)
+
+
 def test_contamination_without_benchmark(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     out = decontaminate.contamination(make(spark, ODD), bench)
