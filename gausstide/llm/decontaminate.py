@@ -1,14 +1,14 @@
 """Operator 2: benchmark decontamination over a positional inverted index.
 
-Benchmark texts are cut into windows of consecutive words. One scan of all texts, however many windows there are, stores
-the index: a posting (term, document, position) for each occurrence of a benchmark term, sorted by term within each part
-so that the lists of few terms are read from few row groups. The lengths of the lists put the terms of every window in
-order, rarest first. The rarest term's list gives the candidates (document, window, start); the lists of the second and
-the third term are intersected with them one after the other at their adjusted offsets, and the lists of all further terms
-together. Postings and candidates are flat rows that meet on (document, term, position), so no group gathers more than
-one occurrence of a window, and a term in every document is spread over the documents. With a slop the lists are met
-within so many positions, in cells of 2 slop + 1 of them, which gives phrase and proximity matches in one pass.
-Everything is DataFrame expressions.
+Benchmark texts are cut into windows of consecutive words. One scan of all texts counts the benchmark's terms, which puts
+the terms of every window in order, rarest first. A second one, however many windows there are, stores the index: a
+posting (term, document, position) for each occurrence of a term that is among the LISTS rarest of some window; the lists
+of words that are common in every window they stand in are never read, so they are not stored. The rarest term's list
+gives the candidates (document, window, start); the lists of the next terms are intersected with them one after the other
+at their adjusted offsets. Postings and candidates are flat rows that meet on (document, term, position), so a term in
+every document is spread over the documents. What is left is held against the words of its document around the start.
+With a slop the lists are met within so many positions, in cells of 2 slop + 1 of them, which gives phrase and proximity
+matches in one pass. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ WINDOW_WORDS = 10
 NEAR_SLOP = 3
 #: Words from this length on are indexed by their SHA-256 in hex, so that no posting is long.
 LONG_WORD = 64
+#: The rarest terms of a window whose lists are intersected.
+LISTS = 3
 DOC = ["doc_id", "text_key"]
 
 
@@ -43,63 +45,72 @@ def _term(word: Column) -> Column:
 def positional_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, doc_id, text_key, pos): the postings of the terms of ``vocabulary`` (term, a staged table), positions from 0."""
     words = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(ascii_words(F.col("text"))).alias("pos", "word"))
-    return words.select(_term(F.col("word")).alias("term"), *DOC, "pos").join(broadcast_if_small(vocabulary), "term").sortWithinPartitions("term")
+    return words.select(_term(F.col("word")).alias("term"), *DOC, "pos").join(broadcast_if_small(vocabulary), "term")
 
 
-def _ranked(windows: DataFrame, index: DataFrame, step) -> DataFrame:
-    """(w, length, offset, term, rank): the places of each window, from the shortest list on. A window with a term that no document has is gone."""
+def _list_lengths(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, postings): how often each term stands in the texts."""
+    words = docs.select(F.explode(ascii_words(F.col("text"))).alias("word")).select(_term(F.col("word")).alias("term"))
+    return words.join(broadcast_if_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("postings"))
+
+
+def _ranked(windows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(w, length, offset, term, rank): the LISTS places of each window with the shortest lists. A window with a term that no document has is gone."""
     places = windows.select("w", F.size("window").alias("length"), F.posexplode("window").alias("offset", "word")).withColumn("term", _term(F.col("word"))).drop("word")
-    sizes = step(index.groupBy("term").agg(F.count("*").alias("postings")), "list-lengths")
     sized = places.join(broadcast_if_small(sizes), "term", "left")
     of_window = W.partitionBy("w")
     rank = F.row_number().over(of_window.orderBy("postings", "term", "offset"))
-    return sized.withColumns({"rank": rank, "known": F.count("postings").over(of_window)}).filter("known = length").select("w", "length", "offset", "term", "rank")
+    ranked = sized.withColumns({"rank": rank, "known": F.count("postings").over(of_window)})
+    return ranked.filter((F.col("known") == F.col("length")) & (F.col("rank") <= LISTS)).select("w", "length", "offset", "term", "rank")
 
 
-def _met(wanted: DataFrame, index: DataFrame, slop: int, how: str) -> DataFrame:
-    """``wanted`` (doc_id, text_key, term, at, ...) joined with the postings of its term in its document within ``slop`` positions of ``at``."""
+def _met(wanted: DataFrame, index: DataFrame, slop: int) -> DataFrame:
+    """The rows of ``wanted`` (doc_id, text_key, term, at, ...) with a posting of their term in their document within ``slop`` positions of ``at``; with a slop a row may come twice."""
     width = 2 * slop + 1
     cell = lambda at: F.floor(at / width).cast("int")
     cells = F.explode(F.sequence(cell(F.col("at") - slop), cell(F.col("at") + slop)))
-    left = wanted.withColumn("cell", cells) if slop else wanted.withColumn("cell", F.col("at"))
+    left = wanted.withColumn("cell", cells if slop else F.col("at"))
     right = index.withColumn("cell", cell(F.col("pos")) if slop else F.col("pos"))
     on = same(left, right, DOC) & (left["term"] == right["term"]) & (left["cell"] == right["cell"]) & (F.abs(right["pos"] - left["at"]) <= slop)
-    out = left.join(right, on, how)
-    return out.select(*(left[c] for c in wanted.columns), *([] if how == "left_semi" else [right["pos"]]))
+    return left.join(right, on, "left_semi")
 
 
-def _matches(docs: DataFrame, items: DataFrame, size: int | None, slop: int, step) -> tuple[DataFrame, DataFrame]:
-    """windows (w, window, item_ids), and matches (doc_id, text_key, w, length, start, exact, ends): per document and candidate place of a window whether it stands there word for word, and the spans (s, e) that hold its words in order with ``slop`` others at most. Positions from 0."""
+def _matches(docs: DataFrame, items: DataFrame, size: int | None, slop: int, step) -> DataFrame:
+    """(doc_id, text_key, length, start, item_ids, exact, spans): per document and candidate place of a window whether it stands there word for word, and the spans (s, e) that hold its words in order with ``slop`` others at most. Positions from 0."""
+    docs = docs.select("doc_id", "text")
     windows = windows_of(items, size).groupBy("window").agg(F.collect_set("item_id").alias("item_ids"))
     windows = step(windows.withColumn("w", F.monotonically_increasing_id()), "windows")
     vocabulary = step(windows.select(F.explode("window").alias("word")).select(_term(F.col("word")).alias("term")).distinct(), "vocabulary")
-    index = step(positional_index(docs.select("doc_id", "text"), vocabulary), "positional-index")
-    ranked = step(_ranked(windows, index, step), "ranked-places")
+    ranked = step(_ranked(windows, step(_list_lengths(docs, vocabulary), "list-lengths")), "ranked-places")
+    index = step(positional_index(docs, step(ranked.select("term").distinct(), "listed-terms")), "positional-index")
 
     of_rank = lambda r: broadcast_if_small(step(ranked.filter(F.col("rank") == r), f"rank-{r}"))
-    start = F.col("pos") - F.col("offset")
-    found = index.join(of_rank(1), "term").select(*DOC, "w", "length", F.col("offset").alias("anchor"), start.alias("start")).filter("start >= 0").distinct()
-    key = [*DOC, "w", "length", "anchor", "start"]
-    for r in (2, 3):
-        found = step(found, f"candidates-{r - 1}")
-        terms = of_rank(r).select("w", "term", "offset")
-        wanted = found.filter(F.col("length") >= r).join(terms, "w").select(*key, "term", (F.col("start") + F.col("offset")).alias("at"))
-        found = found.filter(F.col("length") < r).unionByName(_met(wanted, index, slop, "left_semi").select(*key).distinct())
-    found = step(found, "candidates-3")
-
-    others = ranked.filter("rank > 1").select("w", "term", "offset")
-    wanted = found.join(broadcast_if_small(others), "w").select(*key, "offset", "term", (F.col("start") + F.col("offset")).alias("at"))
-    places = _met(wanted, index, slop, "inner").select(*key, F.struct("offset", "pos").alias("place"))
-    own = found.select(*key, F.struct(F.col("anchor").alias("offset"), (F.col("start") + F.col("anchor")).alias("pos")).alias("place"))
-    held = places.unionByName(own).groupBy(*key).agg(F.collect_set("place").alias("places"))
-    held = held.filter(F.size(F.array_distinct(F.col("places")["offset"])) == F.col("length"))
-    exact = F.size(F.filter("places", lambda p: p["pos"] == F.col("start") + p["offset"])) == F.col("length")
-    after = lambda e, i: F.array_min(F.filter("places", lambda p: (p["offset"] == i) & (p["pos"] > e))["pos"])
-    rest = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: i > 0)
-    heads = F.filter("places", lambda p: p["offset"] == 0)["pos"]
-    spans = F.transform(heads, lambda s: F.named_struct(F.lit("s"), s, F.lit("e"), F.aggregate(rest, s, after)))
-    ends = F.filter(spans, lambda x: F.coalesce(x["e"] - x["s"] < F.col("length") + slop, F.lit(False)))
-    return windows, step(held.select(*DOC, "w", "length", "start", exact.alias("exact"), ends.alias("ends")).filter(F.col("exact") | (F.size("ends") > 0)), "matches")
+    key = [*DOC, "w", "length", "start"]
+    found = index.join(of_rank(1), "term").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0").select(*key).distinct()
+    for r in range(2, LISTS + 1):
+        found = step(found, "candidates")
+        wanted = found.join(of_rank(r).select("w", "term", "offset"), "w").select(*key, "term", (F.col("start") + F.col("offset")).alias("at"))
+        met = _met(wanted, index, slop).select(*key)
+        found = found.filter(F.col("length") < r).unionByName(met.distinct() if slop else met)
+    found = step(found, "candidates")
+
+    ids = broadcast_if_small(step(found.select(*DOC).distinct(), "candidate-documents"))
+    keyed = docs.withColumn("text_key", text_key())
+    texts = keyed.join(ids, same(keyed, ids, DOC), "left_semi").dropDuplicates(DOC)
+    texts = step(texts.select(*DOC, ascii_words(F.col("text")).alias("words")), "candidate-words")  # cut once, not per candidate
+    places = found.groupBy(*DOC).agg(F.collect_list(F.struct("w", "length", "start")).alias("places"))
+    both = texts.join(places, same(texts, places, DOC)).select(*(texts[c] for c in DOC), "words", "places")
+    first = lambda p: F.greatest(p["start"] - slop, F.lit(0))
+    around = lambda p: F.struct(p["w"].alias("w"), p["length"].alias("length"), p["start"].alias("start"), first(p).alias("first"), F.slice("words", first(p) + 1, p["start"] + p["length"] + slop - first(p)).alias("around"))
+    both = both.select(*DOC, F.inline(F.transform("places", around))).join(windows, "w")
+    exact = F.slice("around", F.col("start") - F.col("first") + 1, F.col("length")) == F.col("window")
+    after = lambda e, word: F.array_position(F.slice("around", e + 1, F.size("around")), word).cast("int")
+    end_from = lambda s: F.aggregate(F.slice("window", 2, F.size("window")), s, lambda e, word: F.when(after(e, word) > 0, e + after(e, word)))
+    heads = F.filter(F.sequence(F.lit(1), F.size("around")), lambda i: F.element_at("around", i) == F.element_at("window", 1))
+    spans = F.filter(F.transform(heads, lambda s: F.named_struct(F.lit("s"), s, F.lit("e"), end_from(s))), lambda x: F.coalesce(x["e"] - x["s"] < F.col("length") + slop, F.lit(False)))
+    spans = F.transform(spans, lambda x: F.named_struct(F.lit("s"), x["s"] + F.col("first") - 1, F.lit("e"), x["e"] + F.col("first") - 1))
+    out = both.select(*DOC, "length", "start", "item_ids", exact.alias("exact"), spans.alias("spans"))
+    return step(out.filter(F.col("exact") | (F.size("spans") > 0)), "matches")
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, slop: int = 0) -> DataFrame:
@@ -111,8 +122,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, slo
     any length. Further columns play no part.
     """
     with scratch(docs.sparkSession, "decontamination") as step:
-        windows, matches = _matches(docs, items, size, slop, step)
-        both = matches.join(windows.select("w", "item_ids"), "w")
+        both = _matches(docs, items, size, slop, step)
         hit = F.when(F.col("exact"), F.struct((F.col("start") + 1).alias("start"), "length", "item_ids"))
         out = both.groupBy(*DOC).agg(F.collect_list(hit).alias("hits"), F.flatten(F.collect_set("item_ids")).alias("near_ids"))
         return stage(out.withColumn("near_ids", _strings(F.col("near_ids"))), "phrase-hits")
@@ -149,9 +159,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame
     queries here (no windows); positions count from 1.
     """
     with scratch(docs.sparkSession, "proximity") as step:
-        windows, matches = _matches(docs, items, None, slop, step)
-        spans = matches.select(*DOC, "w", F.explode("ends").alias("x")).groupBy(*DOC, "w", (F.col("x.s") + 1).alias("start")).agg((F.min("x.e") + 1).alias("end"))
-        return stage(spans.join(windows, "w").select(*DOC, F.explode("item_ids").alias("item_id"), "start", "end"), "proximity-matches")
+        spans = _matches(docs, items, None, slop, step).select(*DOC, F.explode("item_ids").alias("item_id"), "spans").select(*DOC, "item_id", F.explode("spans").alias("x"))
+        return stage(spans.groupBy(*DOC, "item_id", (F.col("x.s") + 1).alias("start")).agg((F.min("x.e") + 1).alias("end")), "proximity-matches")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
