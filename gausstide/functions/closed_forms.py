@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,6 +58,14 @@ def floored(m: str, eps: float) -> Column:
     return F.when(low >= eps, F.col(m)).when(high <= eps, whole).otherwise(F.array(*cells))
 
 
+def spectral(m: str, f: Callable[[Column], Column]) -> Column:
+    """``f`` of the matrix, p + q m through both eigenvalues. IEEE throughout: where ``f`` overflows, or the eigenvalues are equal, cells are infinite or NaN."""
+    low, high = eigenvalues(m)
+    q = F.when(high > low, (f(high) - f(low)) / (high - low)).otherwise(F.lit(float("nan")))
+    p = f(low) - q * low
+    return F.array(*((p + q * _at(m, i)) if i in (0, 3) else q * _at(m, i) for i in range(4)))
+
+
 def _quadratic(m: str, x: Column, y: Column) -> Column:
     """(x, y) under the inverse of ``m``."""
     return (_at(m, 3) * x * x - 2 * _at(m, 1) * x * y + _at(m, 0) * y * y) / det(m)
