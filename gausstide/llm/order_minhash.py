@@ -1,10 +1,10 @@
 """Operator 3: document fingerprints by Order MinHash.
 
-A k-mer is the K code points from an anchor on, or as many as there are before the next anchor; anchors are a fixed
-set of letters and digits and every code point beyond ASCII. Where a text has k-mers follows from the code points there
+A k-mer begins at every code point and is K code points long, or as many as there are before the next bound; bounds are
+a fixed set of letters and digits and every code point beyond ASCII. What is a k-mer follows from the code points there
 and from nothing else: no length, place or neighbouring blank plays a part, so an edit changes the few k-mers it
 touches, whatever stands before it and in any script. Each k-mer is numbered by its occurrence, so a repeated k-mer counts as often as it stands. Every
-numbered k-mer is hashed once; the hash range is cut into SKETCH parts, and in each part the TUPLE least hashes are kept
+numbered k-mer is hashed once; the hashes are dealt into SKETCH parts, and in each part the TUPLE least hashes are kept
 (one permutation instead of SKETCH of them). What is kept is put back into text order and hashed as a tuple. Two texts
 share a tuple when they share its k-mers and their order, which makes the likeness follow edit distance rather than
 bags of words. A text passes through one row expression: sort, runs, sort; no k-mer becomes a row.
@@ -12,6 +12,8 @@ bags of words. A text passes through one row expression: sort, runs, sort; no k-
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +23,13 @@ from gausstide.llm.common import BLANKS, free, table, text_key
 
 #: Code points of a k-mer.
 K = 4
-#: k-mers begin at these ASCII characters, about one in five of European prose, and at every other code point.
-ANCHORS = "aioAIO048"
+#: No k-mer reaches over these ASCII characters, about one in five of European prose, nor over a code point beyond ASCII; they begin k-mers of their own.
+BOUNDS = "aioAIO048"
 
 
 def kmer_pattern(k: int) -> str:
-    """An anchor and up to k - 1 code points that are none; at the head of a text, up to k that are none."""
-    rest = f"[\\x00-\\x7F&&[^{ANCHORS}]]"
-    return f"(?:[{ANCHORS}]|[^\\x00-\\x7F]){rest}{{0,{k - 1}}}|^{rest}{{1,{k}}}"
+    """At each code point that one and up to k - 1 more that are no bounds, as group 1; the matches are empty, so they begin everywhere (never between two surrogates)."""
+    return f"(?=([^\\p{{Cs}}][\\x00-\\x7F&&[^{BOUNDS}]]{{0,{k - 1}}}))"
 
 
 #: A k-mer is one long: 40 bits of hash above 24 bits of place.
@@ -36,43 +37,71 @@ PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
 SKETCH = 32
 TUPLE = 2
+#: Of a text's hashes so many of the least are looked at first, a multiple of SKETCH * TUPLE; if they do not fill every part, all are.
+LEAST = 384
 #: Documents of one bucket of the ascending order, about.
 BUCKET_ROWS = 2_000
 MAX_BUCKETS = 20_000
 
 
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once; an expression that a lambda names directly may be computed anew for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _packed(h: Column, place: Column) -> Column:
+    return h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(place)
+
+
+def _bare(x: Column) -> Column:
+    return F.shiftright(x, PLACE_BITS)
+
+
+def _numbered(g: str) -> Column:
+    """The hashes of (k-mer, occurrence) from the column ``g``, the sorted ones of k-mers. It names ``g`` more than once, so that Spark keeps it as a column, sorted as primitives."""
+    changes = lambda a, i: F.shiftrightunsigned(F.get(a, i).bitwiseXOR(F.get(a, i - 1)), PLACE_BITS) != 0
+    begins = F.concat(F.array(F.lit(0)), _bound(F.col(g), lambda a: F.filter(F.sequence(F.lit(1), F.greatest(F.size(g) - 1, F.lit(1))), lambda i: changes(a, i))))
+    # a run of equal hashes lists its places in text order: the place in the run is the occurrence number
+    occurrences = lambda r: F.flatten(F.transform(r, lambda x, n: F.sequence(F.lit(0), F.coalesce(F.get(r, n + 1), F.size(g)) - x - 1)))
+    marks = lambda o: F.transform(g, lambda x, j: _packed(F.xxhash64(_bare(x), F.get(o, j)), x.bitwiseAND(F.lit(PLACE))))
+    return _bound(begins, lambda r: _bound(occurrences(r), marks))
+
+
+def _picked(least: Column, bits: int, size: int) -> Column:
+    """The ``size`` least of each part, the part in the upper bits. A part is the lowest bits of a hash, so the least hashes are of all parts."""
+    part = lambda x: F.shiftrightunsigned(x, 64 - bits)
+    order = lambda x: F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(1 << 63))), PLACE_BITS + bits)
+    to_top = lambda x: F.shiftleft(_bare(x), 64 - bits).bitwiseOR(F.shiftleft(order(x), PLACE_BITS)).bitwiseOR(x.bitwiseAND(F.lit(PLACE)))
+    return _bound(F.sort_array(F.transform(least, to_top)), lambda a: F.filter(a, lambda x, i: (i < size) | (part(F.get(a, i - size)) != part(x))))
+
+
 def with_signature(df: DataFrame, text: str, out: str, k: int = K, sketch: int = SKETCH, size: int = TUPLE) -> DataFrame:
     """Adds ``out``: an array of longs, one for each of the ``sketch`` (a power of two) parts that k-mers fall into, the part in its upper bits.
 
-    Null and empty texts have an empty array. What stands before the first anchor, if anything, is a k-mer too, so every
-    other text has one. Input columns keep their
+    Null and empty texts have an empty array; every code point of another text begins a k-mer. Input columns keep their
     names and values, unless one is named ``out``. Places are counted up to 2**24 k-mers; beyond, k-mers of one tuple may
     change their order.
     """
-    _w, _g, _r, _n, _m = free(df.columns, "_w", "_g", "_r", "_n", "_m")
-    df = df.withColumn(_w, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(kmer_pattern(k)), F.lit(0)))
-    packed = lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i)
-    df = df.withColumn(_g, F.sort_array(F.transform(_w, lambda w, i: packed(F.xxhash64(w), i.cast("long").bitwiseAND(F.lit(PLACE))))))
-    bare = lambda x: F.shiftright(x, PLACE_BITS)
-    df = df.withColumn(_r, F.filter(F.sequence(F.lit(0), F.size(_g)), lambda i: (i == 0) | F.coalesce(bare(F.get(_g, i - 1)) != bare(F.get(_g, i)), F.lit(True))))
-    # a run of equal hashes lists its places in text order: the place in the run is the occurrence number
-    # (slice copies the whole array each time, so elements are fetched one by one)
-    until = lambda n: F.coalesce(F.get(_r, n + 1), F.lit(0)) - 1
-    own = lambda a, n: F.when(until(n) >= a, F.sequence(a, until(n))).otherwise(F.array().cast("array<int>"))
-    numbered = F.flatten(F.transform(_r, lambda a, n: F.transform(own(a, n), lambda j: packed(F.xxhash64(bare(F.get(_g, j)), j - a), F.get(_g, j).bitwiseAND(F.lit(PLACE))))))
-    df = df.withColumn(_n, F.sort_array(numbered))
+    _g, _n, _m = free(df.columns, "_g", "_n", "_m")
     bits = sketch.bit_length() - 1
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(kmer_pattern(k)), F.lit(1))
+    df = df.withColumn(_g, F.sort_array(F.transform(words, lambda w, i: _packed(F.xxhash64(w), i.cast("long").bitwiseAND(F.lit(PLACE))))))
+
+    df = df.withColumn(_n, F.sort_array(_numbered(_g)))
+    whole, few = _picked(F.col(_n), bits, size), _picked(F.slice(_n, 1, LEAST), bits, size)
+    enough = _bound(few, lambda m: F.when(F.size(m) == sketch * size, m).otherwise(whole))
+    df = df.withColumn(_m, F.when(F.size(_n) <= LEAST, whole).otherwise(enough))
     part = lambda x: F.shiftrightunsigned(x, 64 - bits)
-    # hashes are sorted, so the members of a part stand together
-    df = df.withColumn(_m, F.filter(_n, lambda x, i: (i < size) | (part(F.get(_n, i - size)) != part(x))))
 
-    def gathered(x, i):
-        own = F.filter(F.slice(_m, i + 1, F.lit(size)), lambda y: part(y) == part(x))
-        ordered = F.transform(F.sort_array(F.transform(own, lambda y: F.struct(y.bitwiseAND(F.lit(PLACE)).alias("i"), bare(y).alias("h")))), lambda y: y["h"])
+    def gathered(m, x, i):
+        # hashes are sorted, so the members of a part stand together
+        own = F.filter(F.slice(m, i + 1, F.lit(size)), lambda y: part(y) == part(x))
+        ordered = F.transform(F.sort_array(F.transform(own, lambda y: F.struct(y.bitwiseAND(F.lit(PLACE)).alias("i"), _bare(y).alias("h")))), lambda y: y["h"])
         named = F.shiftleft(part(x), 64 - bits).bitwiseOR(F.shiftrightunsigned(F.xxhash64(ordered), bits))
-        return F.when((i == 0) | (part(F.get(_m, i - 1)) != part(x)), named)
+        return F.when((i == 0) | (part(F.get(m, i - 1)) != part(x)), named)
 
-    return df.withColumn(out, F.filter(F.transform(_m, gathered), lambda x: x.isNotNull())).drop(_w, _g, _r, _n, _m)
+    signature = _bound(F.col(_m), lambda m: F.filter(F.transform(m, lambda x, i: gathered(m, x, i)), lambda x: x.isNotNull()))
+    return df.withColumn(out, signature).drop(_g, _n, _m)
 
 
 def fingerprint(signature: str) -> Column:
@@ -87,9 +116,11 @@ def likeness(a: str, b: str, sketch: int = SKETCH) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``docs`` with next_<column>: the values of the next row in ascending ``key`` (nulls first, then by text key), after the last those of the first.
 
+    ``derive`` adds columns, which ``columns`` may name, once the rows are in place, so that nothing before computes them too.
+
     The order is cut into buckets at quantiles of the key, which is a number, found on the driver (BUCKET_ROWS rows each,
     MAX_BUCKETS at most; the window spills). Every bucket also gets the first row of the next filled one, so windows need
     no neighbour. Input columns keep their names and values; an empty table stays empty.
@@ -105,6 +136,7 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
     firsts = keyed.groupBy(_bucket).agg(F.min(F.struct(F.col(key).isNotNull().alias("n"), F.col(key).alias("k"), F.col(_tie).alias("t"))).alias("f")).select(_bucket, "f.*").collect()
     firsts.sort(key=lambda r: r[0])
     if not firsts:
+        docs = derive(docs)
         return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
     before = [firsts[i - 1][0] for i in range(len(firsts))]  # the first bucket's head goes behind the last
     heads = spark.createDataFrame([(r[2], r[3], b) for r, b in zip(firsts, before, strict=True)], T.StructType([T.StructField(_k, docs.schema[key].dataType), T.StructField(_t, T.LongType()), T.StructField(_to, T.IntegerType())]))
@@ -112,7 +144,7 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
     extra = own.join(F.broadcast(heads), own[key].eqNullSafe(heads[_k]) & (own[_tie] == heads[_t])).dropDuplicates([_to])
     extra = extra.withColumns({_bucket: F.col(_to), _extra: F.lit(1)}).select(*keyed.columns)
     inside = W.partitionBy(_bucket).orderBy(_extra, key, _tie)
-    both = keyed.unionByName(extra)
+    both = derive(keyed.unionByName(extra))
     both = both.withColumns({f"next_{c}": F.lead(c).over(inside) for c in columns})
     return both.filter(F.col(_extra) == 0).drop(_bucket, _tie, _extra)
 
@@ -131,7 +163,7 @@ def _bucket_of(key: str, cuts: list[int]) -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = with_next(with_signature(docs, "text", "sig"), ["text", "sig"])
+    signed = with_next(docs, ["text", "sig"], derive=lambda df: with_signature(df, "text", "sig"))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
