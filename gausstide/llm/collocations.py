@@ -10,10 +10,12 @@ equally frequent longer one go by an anti-join on one-word extensions, and a win
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,7 +26,9 @@ from gausstide.llm.common import LOWER, UPPER, free, scratch, stage, table
 #: Bits of the bitmap that a scan gets from the scan before (8 MB), whatever the data.
 BITMAP_BITS = 1 << 26
 #: Words of a language, and distinct words, that a task sums up before it passes their n-grams on.
-HELD = 2_000_000
+HELD = 1_000_000
+#: N-grams that a task passes on at a time.
+ROWS_OUT = 50_000
 #: Partial ranks within which each language's first rows are found before they meet.
 SALTS = 32
 UNKNOWN = "und"
@@ -45,7 +49,7 @@ class Codes(dict):
 
     def __init__(self):
         self[END] = 0
-        self.words, self.hashes = [END], [0]
+        self.words, self.hashes = [b""], array("Q", [0])
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self.words)
@@ -64,37 +68,50 @@ def _pair_hash(first, second):
     return (first >> np.uint64(13)) ^ second
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and their counts. ``keys`` is sorted in place: no order beside it is needed, so little memory is."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.diff(first, append=len(keys))
+
+
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first place, count) of each distinct key, and the number of each key among the distinct ones."""
     _, first, number, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
     return first, count, number
 
 
-def _grams(level: int, codes: np.ndarray, hashes: np.ndarray, bits: list[np.ndarray], max_words: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """(places of first occurrences, number of words, counts) of the distinct n-grams of a scan in a row of codes."""
+def _grams(level: int, codes: np.ndarray, hashes: np.ndarray, bits: list[np.ndarray], max_words: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(codes of the first words, of the second ones and so on, counts) of the distinct n-grams of a scan in a row of codes."""
     if level == 1:
-        first, count, _ = _counted(codes)
-        yield first[codes[first] > 0], 1, count[codes[first] > 0]
+        counts = np.bincount(codes)
+        found = 1 + np.flatnonzero(counts[1:])
+        yield [found], counts[found]
         return
     ok = (codes > 0) & _set(bits[0], hashes)[codes]
-    start = ok[:-1] & ok[1:]
-    if level > 2:
-        h = hashes[codes]
-        start &= _set(bits[1], _pair_hash(h[:-1], h[1:]))
-    wide = codes.astype(np.uint64)
-    pairs = start  # where a pair that may be frequent begins
+    at = np.flatnonzero(ok[:-1] & ok[1:])
+    if not len(at):
+        return
+    if level == 2:
+        keys = codes[at].astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= codes[at + 1]
+        del ok, at
+        keys, counts = _distinct(keys)
+        yield [keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], counts
+        return
+    places = at[_set(bits[1], _pair_hash(hashes[codes[at]], hashes[codes[at + 1]]))]
+    pairs = np.zeros(len(codes), bool)  # where a pair that may be frequent begins
+    pairs[places] = True
     # an n-gram's key: the number of its first n - 1 words, then the last word's code, so keys are exact at any length
-    places, number = np.flatnonzero(start), wide[:-1][start]
+    number = codes[places]
     for n in range(2, max_words + 1):
         if not len(places):
             return
-        first, count, number = _counted((number.astype(np.uint64) << np.uint64(32)) | wide[places + n - 1])
-        if level == 2 or n > 2:
-            yield places[first], n, count
-        if level == 2:
-            return
-        longer = places + n - 1 < len(pairs)
-        longer[longer] = pairs[places[longer] + n - 1]
+        first, count, number = _counted((number.astype(np.uint64) << np.uint64(32)) | codes[places + n - 1])
+        if n > 2:
+            yield [codes[places[first] + j] for j in range(n)], count
+        longer = pairs[places + n - 1]
         places, number = places[longer], number[longer]
 
 
@@ -110,12 +127,13 @@ def _counts(level: int, max_words: int, sent: tuple, most: int):
         def flush(lang: str):
             codes, hashes = np.concatenate(held.pop(lang)), np.array(known.hashes, np.uint64)
             sizes.pop(lang)
-            for places, n, counts in _grams(level, codes, hashes, bits, max_words):
-                for at in range(0, len(places), 50_000):
-                    part = places[at : at + 50_000]
-                    columns = [map(known.words.__getitem__, codes[part + j].tolist()) for j in range(n)]
-                    phrases = pa.array([b" ".join(w) for w in zip(*columns)], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), phrases, pa.array(np.full(len(part), n, np.int32)), pa.array(counts[at : at + 50_000].astype(np.int64))], ["lang", "phrase", "n_words", "c"])
+            words = pa.array(known.words, pa.binary()).cast(pa.string())
+            for columns, counts in _grams(level, codes, hashes, bits, max_words):
+                n = len(columns)
+                for at in range(0, len(counts), ROWS_OUT):
+                    part = slice(at, at + ROWS_OUT)
+                    phrases = pc.binary_join_element_wise(*(words.take(pa.array(x[part])) for x in columns), " ")
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrases)), phrases, pa.array(np.full(len(phrases), n, np.int32)), pa.array(counts[part].astype(np.int64))], ["lang", "phrase", "n_words", "c"])
 
         for batch in batches:
             texts, langs = batch.column("text").cast(pa.binary()), batch.column("lang")

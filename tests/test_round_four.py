@@ -3,16 +3,19 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from gausstide.llm import order_minhash
+from gausstide.llm import collocations, order_minhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -113,3 +116,23 @@ def test_next_rows_derive_once(spark):
     assert sorted((r.doc_id, r.next_text, r.next_n) for r in got) == [(1, None, None), (2, "z", 1), (3, "x", 1)]
     empty = order_minhash.with_next(df.limit(0), ["n"], derive=lambda d: d.withColumn("n", F.length("text")))
     assert empty.collect() == [] and "next_n" in empty.columns
+
+
+# ---- operator 13
+
+
+def test_counting_stays_small_in_memory():
+    """A task's memory for 2.4 million words of a language, all words and pairs possibly frequent; no occurrence is lost."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 4000)) for _ in range(600)]
+    batches = pa.table({"lang": ["en"] * 600, "text": texts}).to_batches(max_chunksize=50)
+    every = SimpleNamespace(value=b"\xff" * 1024)
+    for level in (1, 2):
+        seen, rows = 0, 0
+        tracemalloc.start()
+        for b in collocations._counts(level, 5, (every,) * (level - 1), collocations.HELD)(iter(batches)):
+            seen, rows = seen + sum(b.column("c").to_pylist()), rows + b.num_rows
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert seen == 600 * (4001 - level) and rows < seen
+        assert peak < 100, (level, peak)
