@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from gausstide.llm import collocations, order_minhash
+from gausstide.llm import collocations, order_minhash, suffix_dedup
+from gausstide.llm.common import text_key
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -136,3 +137,28 @@ def test_counting_stays_small_in_memory():
         tracemalloc.stop()
         assert seen == 600 * (4001 - level) and rows < seen
         assert peak < 100, (level, peak)
+
+
+# ---- operator 12
+
+
+def test_only_texts_with_spans_are_shuffled(spark):
+    """Of 2,000 texts 20 have spans; the others pass without meeting the list, and the result is the plain one."""
+    docs = spark.range(2000).selectExpr("id as doc_id", "case when id % 100 = 7 then null else repeat(cast(id as string), 90) end as text", "id as text_key")
+    spans = docs.filter("doc_id % 100 = 5").select("doc_id", text_key().alias("text_key"), F.lit(10).alias("start"), F.lit(40).alias("stop"))
+    got = suffix_dedup.remove_spans(docs, spans).collect()
+    want = {i: b"" if i % 100 == 7 else str(i).encode() * 90 for i in range(2000)}
+    assert len(got) == 2000 and all(r.text_key == r.doc_id and bytes(r.kept) == (w[:10] + w[40:] if r.doc_id % 100 == 5 else w) for r in got for w in [want[r.doc_id]])
+    keyed = docs.withColumn("text_key", text_key())
+    listed = suffix_dedup.with_listed(keyed, "text_key", spans.select("text_key"), "listed").filter("listed")
+    assert {r.doc_id for r in listed.collect()} >= set(range(5, 2000, 100)) and listed.count() < 40
+
+
+def test_bitmap_has_every_key(spark, monkeypatch):
+    """One row of the bitmap and many; the least and greatest keys."""
+    edge = [0, 1, 7, 8, 2**15 - 1, 2**15, 2**26 - 1, 2**26, -1, -(2**63), 2**63 - 1]
+    for bits in (1 << 15, 1 << 26):
+        monkeypatch.setattr(suffix_dedup, "BITMAP_BITS", bits)
+        for k in edge:
+            rows = suffix_dedup.with_listed(spark.createDataFrame([(x,) for x in edge], "x long"), "x", spark.createDataFrame([(k,)], "k long"), "in").collect()
+            assert len(rows) == len(edge) and {r.x for r in rows if r["in"]} == {x for x in edge if (x - k) % bits == 0}, (bits, k)
