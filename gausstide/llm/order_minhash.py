@@ -37,7 +37,7 @@ PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
 SKETCH = 32
 TUPLE = 2
-#: Of a text's hashes so many of the least are looked at first, a multiple of SKETCH * TUPLE; if they do not fill every part, all are.
+#: Of a text's hashes about so many of the least are looked at first, those below a bound set by their number; if they do not fill every part, all are.
 LEAST = 384
 #: Documents of one bucket of the ascending order, about.
 BUCKET_ROWS = 2_000
@@ -87,10 +87,13 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K, sketch: int =
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(kmer_pattern(k)), F.lit(1))
     df = df.withColumn(_g, F.sort_array(F.transform(words, lambda w, i: _packed(F.xxhash64(w), i.cast("long").bitwiseAND(F.lit(PLACE))))))
 
-    df = df.withColumn(_n, F.sort_array(_numbered(_g)))
-    whole, few = _picked(F.col(_n), bits, size), _picked(F.slice(_n, 1, LEAST), bits, size)
+    df = df.withColumn(_n, _numbered(_g))
+    # hashes are uniform; what a part keeps of those below any bound is right as soon as the part is filled
+    bound = F.expr(f"{1 - (1 << 63)}L + ({(1 << 63) - 1}L div greatest(size({_n}), {2 * LEAST})) * {2 * LEAST}L")
+    least = _bound(bound, lambda t: F.filter(_n, lambda x: x <= t))
+    whole, few = _picked(F.col(_n), bits, size), _picked(least, bits, size)
     enough = _bound(few, lambda m: F.when(F.size(m) == sketch * size, m).otherwise(whole))
-    df = df.withColumn(_m, F.when(F.size(_n) <= LEAST, whole).otherwise(enough))
+    df = df.withColumn(_m, F.when(F.size(_n) <= 2 * LEAST, whole).otherwise(enough))
     part = lambda x: F.shiftrightunsigned(x, 64 - bits)
 
     def gathered(m, x, i):

@@ -111,6 +111,13 @@ def test_fingerprint_query_of_every_position(spark):
         assert abs(r.near_edited - alike(signed[d], signature(edited))) < 1e-9 and abs(r.near_next - alike(signed[d], signed[after])) < 1e-9
 
 
+def test_numbered_hashes_are_not_sorted(spark):
+    """Sorting all numbered hashes of a text costs a seventh of the signature; a bound picks the least ones. Only the k-mers are sorted whole."""
+    plan = order_minhash.with_signature(spark.createDataFrame([("a",)], "t string"), "t", "s")._jdf.queryExecution().analyzed().toString()
+    sorted_whole = [name for name in ("_g", "_n") if f", true) AS {name}#" in plan]
+    assert sorted_whole == ["_g"], sorted_whole
+
+
 def test_next_rows_derive_once(spark):
     df = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "doc_id long, text string")
     got = order_minhash.with_next(df, ["text", "n"], derive=lambda d: d.withColumn("n", F.length("text"))).collect()
