@@ -118,6 +118,32 @@ def test_numbered_hashes_are_not_sorted(spark):
     assert sorted_whole == ["_g"], sorted_whole
 
 
+@pytest.mark.parametrize("least", [order_minhash.LEAST, 64])
+def test_signatures_of_an_edit_share_hashes(spark, monkeypatch, least):
+    """A text and its edited text are signed together, the k-mers of what stays told once; each has its own signature all the same."""
+    monkeypatch.setattr(order_minhash, "LEAST", least)
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice(["one", "two", "three", "x" * 17, "𝔞é", "0a8"]) for _ in range(n))
+    texts = ["", "a", "bcd", "bcdf", "bcdfg", None, "z" * 3000, "😀" * 9, prose(40), prose(900)]
+    rows = [(i, t, keep, end) for i, (t, keep, end) in enumerate((t, keep, end) for t in texts for end in ("", "xb", None, prose(30)) for keep in {0, 2, len(t or "") * 3 // 4, len(t or "")} if keep <= len(t or ""))]
+    df = spark.createDataFrame(rows, "i long, t string, keep int, end string")
+    both = order_minhash.with_signatures_of_edit(df, "t", "keep", "end", "a", "b")
+    assert both.columns == ["i", "t", "keep", "end", "a", "b"]
+    for i, t, keep, end in rows:
+        rows[i] = (signature(t or ""), signature((t or "")[:keep] + (end or "")))
+    for r in both.collect():
+        assert [sorted(x % 2**64 for x in got) for got in (r.a, r.b)] == [sorted(x for _, x in want) for want in rows[r.i]], r.i
+    plan = both._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 2  # the text, and what follows it in the edited one
+
+
+def test_next_text_is_there_to_derive_from(spark):
+    """Signatures are made behind the shuffle, from a text and the next one."""
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "doc_id long, text string")
+    got = order_minhash.with_next(df, ["text", "n"], derive=lambda d: d.withColumn("n", F.concat_ws("-", "text", "next_text"))).collect()
+    assert sorted((r.doc_id, r.n) for r in got) == [(1, "x"), (2, "z"), (3, "z-x")]
+
+
 def test_next_rows_derive_once(spark):
     df = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "doc_id long, text string")
     got = order_minhash.with_next(df, ["text", "n"], derive=lambda d: d.withColumn("n", F.length("text"))).collect()
